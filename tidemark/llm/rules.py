@@ -1,7 +1,7 @@
 """Quality rules by weak supervision, in DataFrame expressions only.
 
 Each rule looks at a text and votes good (1), bad (0) or abstains (null). Expectation-maximisation
-over the counts of vote patterns estimates how often each rule is right, without labels; a document is
+over the counts of vote patterns estimates how accurate each rule is, without labels; a document is
 kept when its posterior probability of being good is high enough. A document that fails the base
 rules is out whatever the vote.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import GAP, stored, table
 
 SYMBOLS = "#*$%&|<>"
-RULES = ("length", "word_size", "symbols", "lines", "repeats", "capitals", "letters", "variety")
+RULES = ("length", "symbols", "symbol_words", "bare_words", "letters", "capitals", "shouted", "exclaimed", "lines", "repeats", "variety", "word_size")
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -36,6 +36,10 @@ def _measured(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
         F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
+        F.regexp_count("text", F.lit("!")).cast("long").alias("n_exclaimed"),
+        F.size(F.filter("w", lambda w: F.length(F.translate(w, SYMBOLS, "")) < F.length(w))).cast("long").alias("n_symbol_words"),
+        F.size(F.filter("w", lambda w: ~w.rlike(r"\p{L}"))).cast("long").alias("n_bare_words"),
+        F.size(F.filter("w", lambda w: w.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$"))).cast("long").alias("n_shouted"),
         hashes.alias("h"),
     )
     kept = [c for c in d.columns if c not in ("w", "h")]
@@ -48,61 +52,70 @@ def _measured(docs: DataFrame) -> DataFrame:
     return d.select(*kept, repeated.alias("n_repeat_words"))
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, 0).when(good, 1)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    return F.when(bad, 0) if good is None else F.when(bad, 0).when(good, 1)
 
 
 def _voted(d: DataFrame) -> DataFrame:
     n = F.greatest("n_words", F.lit(1))
     mean = F.col("word_chars") / n
-    share = {c: F.col(c) / n for c in ("n_symbols", "n_repeat_words", "n_distinct")}
+    a_word = {c: F.col(f"n_{c}") / n for c in ("symbols", "symbol_words", "bare_words", "shouted", "exclaimed", "repeat_words", "distinct")}
     lines = F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))
-    capital = F.col("n_capitals") / F.greatest("n_letters", F.lit(1))
+    capitals = F.col("n_capitals") / F.greatest("n_letters", F.lit(1))
     letters = F.col("n_letters") / F.greatest("word_chars", F.lit(1))
     votes = {
-        "length": _vote(F.col("n_words") < 10, F.col("n_words") >= 30),
-        "word_size": _vote((mean < 2.5) | (mean > 14), (mean >= 3.5) & (mean <= 10)),
-        "symbols": _vote(share["n_symbols"] > 0.3, share["n_symbols"] < 0.05),
-        "lines": _vote(lines > 0.3, lines < 0.05),
-        "repeats": _vote(share["n_repeat_words"] > 0.2, share["n_repeat_words"] < 0.05),
-        "capitals": _vote(capital > 0.4, capital < 0.15),
-        "letters": _vote(letters < 0.7, letters > 0.9),
-        "variety": _vote((share["n_distinct"] < 0.1) & (F.col("n_words") >= 50), share["n_distinct"] > 0.2),
+        "length": _vote(F.col("n_words") < 10),
+        "symbols": _vote(a_word["symbols"] > 0.25, a_word["symbols"] < 0.05),
+        "symbol_words": _vote(a_word["symbol_words"] > 0.2, a_word["symbol_words"] < 0.05),
+        "bare_words": _vote(a_word["bare_words"] > 0.2, a_word["bare_words"] < 0.1),
+        "letters": _vote(letters < 0.75, letters > 0.9),
+        "capitals": _vote(capitals > 0.4, capitals < 0.15),
+        "shouted": _vote(a_word["shouted"] > 0.3, a_word["shouted"] < 0.1),
+        "exclaimed": _vote(a_word["exclaimed"] > 0.3, a_word["exclaimed"] < 0.1),
+        "lines": _vote(lines > 0.3, lines < 0.1),
+        "repeats": _vote(a_word["repeat_words"] > 0.2, a_word["repeat_words"] < 0.1),
+        "variety": _vote((a_word["distinct"] < 0.1) & (F.col("n_words") >= 50)),
+        "word_size": _vote((mean < 2) | (mean > 15)),
     }
     return d.select("*", *(v.cast("int").alias(f"vote_{k}") for k, v in votes.items()))
 
 
-def _posterior(accuracy: dict[str, float], prior: float) -> Column:
-    """Probability of good: votes are independent given the truth, abstentions carry nothing."""
+#: Before the first round, by true class (bad, good): how often a rule votes bad, and how often good.
+START = {"bad": (0.3, 0.02), "good": (0.4, 0.8)}
+
+
+def _posterior(rate: dict[str, dict[str, tuple[float, float]]], prior: float) -> Column:
+    """Probability of good, with rules independent given the truth; an abstention carries nothing."""
     odds = F.lit(math.log(prior / (1 - prior)))
-    for k, a in accuracy.items():
-        step = math.log(a / (1 - a))
-        odds = odds + F.when(F.col(f"vote_{k}").isNull(), 0.0).when(F.col(f"vote_{k}") == 1, step).otherwise(-step)
+    for k, r in rate.items():
+        bad, good = (math.log(r[v][1] / r[v][0]) for v in ("bad", "good"))
+        odds = odds + F.when(F.col(f"vote_{k}") == 0, bad).when(F.col(f"vote_{k}") == 1, good).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
-def learned(voted: DataFrame, rounds: int = 25, start: float = 0.8, low: float = 0.55, high: float = 0.99) -> tuple[dict[str, float], float]:
-    """Accuracy of each rule and the share of good documents, by expectation-maximisation from start.
+def learned(voted: DataFrame, rounds: int = 25) -> tuple[dict[str, dict[str, tuple[float, float]]], float]:
+    """How often each rule votes bad or good, for truly bad and truly good documents, and the share of good ones.
 
-    The steps run over vote patterns (3 ** 8 at most), not documents; the driver gets one row of sums a round.
-    Accuracies stay within low and high, so that classes can't swap; 2 pseudo-votes at start smooth them.
+    Expectation-maximisation from START over vote patterns (3 ** 12 at most), not documents; the driver gets one row of
+    sums a round. A bad vote stays at least twice as likely for a bad document, and a good vote no likelier, so that the
+    classes keep their meaning; 20 pseudo-votes at START smooth the rates.
     """
-    votes = [f"vote_{k}" for k in RULES]
-    patterns = stored(voted.groupBy(*votes).agg(F.count("*").alias("n")).coalesce(1), "patterns")
-    accuracy, prior = dict.fromkeys(RULES, start), 0.7
+    patterns = stored(voted.groupBy(*(f"vote_{k}" for k in RULES)).agg(F.count("*").alias("n")), "patterns").coalesce(1)
+    rate, prior = {k: dict(START) for k in RULES}, 0.8
     for _ in range(rounds):
-        p = patterns.withColumn("q", _posterior(accuracy, prior))
-        right = {k: F.sum(F.when(F.col(f"vote_{k}") == 1, F.col("n") * F.col("q")).when(F.col(f"vote_{k}") == 0, F.col("n") * (1 - F.col("q")))) for k in RULES}
-        cast = {k: F.sum(F.when(F.col(f"vote_{k}").isNotNull(), F.col("n"))) for k in RULES}
-        got = p.agg(F.sum(F.col("n") * F.col("q")).alias("good"), F.sum("n").alias("all"), *(v.alias(f"right_{k}") for k, v in right.items()), *(v.alias(f"cast_{k}") for k, v in cast.items())).first()
-        if not got["all"]:
+        p = patterns.withColumn("q", _posterior(rate, prior) * F.col("n")).withColumn("r", F.col("n") - F.col("q"))
+        sums = [F.sum(F.when(F.col(f"vote_{k}") == v, F.col(c))).alias(f"{k}_{v}_{c}") for k in RULES for v in (0, 1) for c in ("r", "q")]
+        got = p.agg(F.sum("q").alias("q"), F.sum("r").alias("r"), F.sum("n").alias("n"), *sums).first()
+        if not got["n"]:
             break
-        before = [*accuracy.values(), prior]
-        accuracy = {k: min(high, max(low, ((got[f"right_{k}"] or 0) + 2 * start) / ((got[f"cast_{k}"] or 0) + 2))) for k in RULES}
-        prior = min(0.99, max(0.01, (got["good"] + 1) / (got["all"] + 2)))
-        if max(abs(a - b) for a, b in zip(before, [*accuracy.values(), prior], strict=True)) < 1e-6:
+        before, rate = rate, {}
+        for k in RULES:
+            bad, good = (tuple(((got[f"{k}_{v}_{c}"] or 0) + 20 * START[name][at]) / (got[c] + 20) for at, c in enumerate(("r", "q"))) for v, name in ((0, "bad"), (1, "good")))
+            rate[k] = {"bad": (bad[0], min(bad[1], bad[0] / 2)), "good": (min(good), good[1])}
+        prior = min(0.99, max(0.01, (got["q"] + 8) / (got["n"] + 10)))
+        if max(abs(x - y) for k in RULES for v in ("bad", "good") for x, y in zip(before[k][v], rate[k][v], strict=True)) < 1e-6:
             break
-    return accuracy, prior
+    return rate, prior
 
 
 def judged(docs: DataFrame, keep: float = 0.5) -> DataFrame:
@@ -112,9 +125,9 @@ def judged(docs: DataFrame, keep: float = 0.5) -> DataFrame:
     A null doc_id stays null. No rows: no rows. Very long texts are judged whole. Other columns are left out.
     """
     counts = stored(_voted(_measured(docs)), "rules")
-    accuracy, prior = learned(counts)
+    rate, prior = learned(counts)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = counts.withColumn("posterior", _posterior(accuracy, prior)).withColumn("base_failed", failed)
+    out = counts.withColumn("posterior", _posterior(rate, prior)).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep))
 
 
