@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, packing, rules, token_files, vectors
+from tidemark.llm import mixing, packing, repeats, rules, token_files, vectors
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op4_nearest": vectors.op4_nearest,
     "op6_rules": rules.op6_rules,
+    "op7_repeats": repeats.op7_repeats,
     "op8_mixing": mixing.op8_mixing,
     "op10_token_files": token_files.op10_token_files,
 }

@@ -33,13 +33,13 @@ def _measured(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
-        F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.length(F.regexp_replace("text", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
+        F.length(F.regexp_replace("text", r"\P{L}+", "")).cast("long").alias("n_letters"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
-        F.regexp_count("text", F.lit("!")).cast("long").alias("n_exclaimed"),
-        F.size(F.filter("w", lambda w: F.length(F.translate(w, SYMBOLS, "")) < F.length(w))).cast("long").alias("n_symbol_words"),
+        (F.length("text") - F.length(F.translate("text", "!", ""))).cast("long").alias("n_exclaimed"),
+        F.size(F.filter("w", lambda w: w.rlike(r"[#*$%&|<>]"))).cast("long").alias("n_symbol_words"),
         F.size(F.filter("w", lambda w: ~w.rlike(r"\p{L}"))).cast("long").alias("n_bare_words"),
-        F.size(F.filter("w", lambda w: w.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$"))).cast("long").alias("n_shouted"),
+        F.size(F.filter("w", lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w))).cast("long").alias("n_shouted"),
         hashes.alias("h"),
     )
     kept = [c for c in d.columns if c not in ("w", "h")]
@@ -77,57 +77,61 @@ def _voted(d: DataFrame) -> DataFrame:
         "variety": _vote((a_word["distinct"] < 0.1) & (F.col("n_words") >= 50)),
         "word_size": _vote((mean < 2) | (mean > 15)),
     }
-    return d.select("*", *(v.cast("int").alias(f"vote_{k}") for k, v in votes.items()))
+    slots = [F.lit(3 * i) + F.when(v == 0, 1).when(v == 1, 2).otherwise(0) for i, v in enumerate(votes[k] for k in RULES)]
+    return d.withColumn("votes", F.array(*slots, F.lit(PRIOR)))
 
 
+#: A vote is the number 3 * rule + (0: abstains, 1: bad, 2: good); each pattern ends in one that stands for the prior.
+PRIOR = 3 * len(RULES)
 #: Before the first round, by true class (bad, good): how often a rule votes bad, and how often good.
-START = {"bad": (0.3, 0.02), "good": (0.4, 0.8)}
+START = ((0.3, 0.02), (0.4, 0.8))
 
 
-def _posterior(rate: dict[str, dict[str, tuple[float, float]]], prior: float) -> Column:
-    """Probability of good, with rules independent given the truth; an abstention carries nothing."""
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for k, r in rate.items():
-        bad, good = (math.log(r[v][1] / r[v][0]) for v in ("bad", "good"))
-        odds = odds + F.when(F.col(f"vote_{k}") == 0, bad).when(F.col(f"vote_{k}") == 1, good).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+def _posterior(weights: list[float]) -> Column:
+    """Probability of good: log odds add up over the votes, with rules independent given the truth."""
+    table_ = F.array(*(F.lit(float(w)) for w in weights))
+    return 1 / (1 + F.exp(-F.aggregate("votes", F.lit(0.0), lambda total, at: total + F.element_at(table_, at + 1))))
 
 
-def learned(voted: DataFrame, rounds: int = 25) -> tuple[dict[str, dict[str, tuple[float, float]]], float]:
-    """How often each rule votes bad or good, for truly bad and truly good documents, and the share of good ones.
+def learned(voted: DataFrame, rounds: int = 25) -> list[float]:
+    """The log odds of good that each vote adds, the prior's last; an abstention adds nothing.
 
-    Expectation-maximisation from START over vote patterns (3 ** 12 at most), not documents; the driver gets one row of
-    sums a round. A bad vote stays at least twice as likely for a bad document, and a good vote no likelier, so that the
-    classes keep their meaning; 20 pseudo-votes at START smooth the rates.
+    Expectation-maximisation from START over vote patterns (3 ** 12 at most), not documents; the driver gets a row of
+    sums for each vote a round. A bad vote stays at least twice as likely for a bad document, and a good vote no
+    likelier, so that the classes keep their meaning; 20 pseudo-votes at START smooth the rates.
     """
-    patterns = stored(voted.groupBy(*(f"vote_{k}" for k in RULES)).agg(F.count("*").alias("n")), "patterns").coalesce(1)
-    rate, prior = {k: dict(START) for k in RULES}, 0.8
+    patterns = stored(voted.groupBy("votes").agg(F.count("*").alias("n")), "patterns").coalesce(1)
+
+    def weights(rates: list[tuple[float, float]], prior: float) -> list[float]:
+        return [0.0 if at % 3 == 0 else math.log(good / bad) for at, (bad, good) in enumerate(rates)] + [math.log(prior / (1 - prior))]
+
+    rates = [(1.0, 1.0), *START] * len(RULES)
+    now = weights(rates, 0.8)
     for _ in range(rounds):
-        p = patterns.withColumn("q", _posterior(rate, prior) * F.col("n")).withColumn("r", F.col("n") - F.col("q"))
-        sums = [F.sum(F.when(F.col(f"vote_{k}") == v, F.col(c))).alias(f"{k}_{v}_{c}") for k in RULES for v in (0, 1) for c in ("r", "q")]
-        got = p.agg(F.sum("q").alias("q"), F.sum("r").alias("r"), F.sum("n").alias("n"), *sums).first()
-        if not got["n"]:
+        p = patterns.withColumn("q", _posterior(now)).select(F.explode("votes").alias("vote"), (F.col("n") * F.col("q")).alias("good"), (F.col("n") * (1 - F.col("q"))).alias("bad"))
+        sums = {r["vote"]: (r["bad"], r["good"]) for r in p.groupBy("vote").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()}
+        if not sums:
             break
-        before, rate = rate, {}
-        for k in RULES:
-            bad, good = (tuple(((got[f"{k}_{v}_{c}"] or 0) + 20 * START[name][at]) / (got[c] + 20) for at, c in enumerate(("r", "q"))) for v, name in ((0, "bad"), (1, "good")))
-            rate[k] = {"bad": (bad[0], min(bad[1], bad[0] / 2)), "good": (min(good), good[1])}
-        prior = min(0.99, max(0.01, (got["q"] + 8) / (got["n"] + 10)))
-        if max(abs(x - y) for k in RULES for v in ("bad", "good") for x, y in zip(before[k][v], rate[k][v], strict=True)) < 1e-6:
+        bad, good = sums[PRIOR]
+        for at in range(PRIOR):
+            if at % 3:
+                b, g = ((n + 20 * s) / (of + 20) for n, s, of in zip(sums.get(at, (0.0, 0.0)), START[at % 3 - 1], (bad, good), strict=True))
+                rates[at] = (b, min(g, b / 2)) if at % 3 == 1 else (min(b, g), g)
+        before, now = now, weights(rates, min(0.99, max(0.01, (good + 8) / (good + bad + 10))))
+        if max(abs(x - y) for x, y in zip(before, now, strict=True)) < 1e-3:
             break
-    return rate, prior
+    return now
 
 
 def judged(docs: DataFrame, keep: float = 0.5) -> DataFrame:
-    """Counts, votes, posterior, base_failed and kept for each row of docs (doc_id, text).
+    """Counts, votes (see PRIOR), posterior, base_failed and kept for each row of docs (doc_id, text).
 
     Null and empty texts have no words, so they fail the base rules. Rows that repeat a doc_id are judged one by one.
     A null doc_id stays null. No rows: no rows. Very long texts are judged whole. Other columns are left out.
     """
     counts = stored(_voted(_measured(docs)), "rules")
-    rate, prior = learned(counts)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = counts.withColumn("posterior", _posterior(rate, prior)).withColumn("base_failed", failed)
+    out = counts.withColumn("posterior", _posterior(learned(counts))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep))
 
 
