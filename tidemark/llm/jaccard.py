@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
+from tidemark.llm.hashing import STEP, U, hashed_words, mixed
 
 WORDS, NEAR = 3, 90
 #: Parts that may be empty in a set before its empty parts count as parts to meet in.
@@ -33,67 +34,29 @@ SPARE = 2
 CHUNK = 256
 LAST = np.iinfo(np.int64).max
 
-_U = np.uint64
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-
-
-def _spread(n: int, seed: int) -> np.ndarray:
-    """n odd 64-bit numbers, by a counter and a mixer."""
-    x = (np.arange(1, n + 1, dtype=_U) + _U(seed)) * _U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return (x ^ (x >> _U(31))) | _U(1)
-
-
-_BYTE, _BASE, _STEP = _spread(256, 11), int(_spread(1, 500)[0]), _spread(16, 900)
-_POWERS: list[np.ndarray] = []
-
-
-def _mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _STEP[k]
-    x = (x ^ (x >> _U(29))) * _STEP[k + 1]
-    return x ^ (x >> _U(32))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(n, x, _U)])) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
 def shingle_sets(texts: Sequence[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, ascending, one text after the other; and where each text's end.
 
     Words are runs of other bytes than space and control white space, with A-Z in lower case. A text with
     fewer words than a shingle is one shingle; one without words has none.
     """
-    raw = [t.encode() if isinstance(t, str) else b"" for t in texts]
-    data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
-    text_ends = np.cumsum([len(r) + 1 for r in raw])
-    space = _SPACE[data]
-    inside = np.concatenate([[False], ~space])
-    begins, stops = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(space & inside[:-1])
-    up, down = _powers(len(data))
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[data] * up[: len(data)])])
-    word = _mixed((sums[stops] - sums[begins]) * down[begins] + (stops - begins).astype(_U))
-    text = np.searchsorted(text_ends, begins, side="right")
-    n_words = np.bincount(text, minlength=len(raw))
+    word, text, _, _ = hashed_words(texts)
+    n_words = np.bincount(text, minlength=len(texts))
     first = np.concatenate([[0], np.cumsum(n_words)])
     # A shingle starts at each word with enough words after it in its text, or at the first word of a short text.
     left = first[text + 1] - np.arange(len(word))
     start = np.flatnonzero((left >= words) | ((n_words[text] < words) & (left == n_words[text])))
-    value = np.zeros(len(start), _U)
+    value = np.zeros(len(start), U)
     for k in range(words):
         more = k < left[start]
-        value = np.where(more, _mixed(value * _STEP[4] + word[np.minimum(start + k, len(word) - 1)], 1), value) if len(word) else value
+        value = np.where(more, mixed(value * STEP[4] + word[np.minimum(start + k, len(word) - 1)], 1), value) if len(word) else value
     owner = text[start]
     order = np.lexsort((value, owner))
     value, owner = value[order], owner[order]
     if len(value):
         new = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])
         value, owner = value[new], owner[new]
-    return value, np.cumsum(np.bincount(owner, minlength=len(raw)))
+    return value, np.cumsum(np.bincount(owner, minlength=len(texts)))
 
 
 def size_class(n: np.ndarray, near: int = NEAR) -> np.ndarray:
@@ -114,35 +77,35 @@ def signatures(values: np.ndarray, ends: np.ndarray, near: int = NEAR) -> tuple[
     """Hashes of the parts of each set, and the set's number for each."""
     sizes = np.diff(np.concatenate([[0], ends]))
     owner = np.repeat(np.arange(len(ends)), sizes)
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mixed(values, 3))])
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(values, 3))])
     out, of = [], []
     for up in (0, 1):
         level = size_class(sizes, near) + up
         count = parts_of(level, near)
         base = np.concatenate([[0], np.cumsum(count)])
         # 32 bits of the hash times the number of parts: ascending hashes lie in ascending parts.
-        part = ((values >> _U(32)) * count[owner].astype(_U) >> _U(32)).astype(np.int64) + base[owner]
+        part = ((values >> U(32)) * count[owner].astype(U) >> U(32)).astype(np.int64) + base[owner]
         if not len(part):
             continue
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         until = np.concatenate([edge[1:], [len(part)]])
         own = owner[edge]
-        tag = _mixed(level[own].astype(_U) * _STEP[8] + (part[edge] - base[own]).astype(_U) * _STEP[9], 5)
-        out.append(_mixed(sums[until] - sums[edge] + tag, 6))
+        tag = mixed(level[own].astype(U) * STEP[8] + (part[edge] - base[own]).astype(U) * STEP[9], 5)
+        out.append(mixed(sums[until] - sums[edge] + tag, 6))
         of.append(own)
         empty = count - np.bincount(own, minlength=len(ends))
         for i in np.flatnonzero((empty > SPARE) & (sizes > 0)).tolist():
             no = np.setdiff1d(np.arange(count[i]), part[edge][own == i] - base[i])
-            out.append(_mixed(_mixed(np.full(len(no), level[i], np.int64).astype(_U) * _STEP[8] + no.astype(_U) * _STEP[9], 5), 6))
+            out.append(mixed(mixed(np.full(len(no), level[i], np.int64).astype(U) * STEP[8] + no.astype(U) * STEP[9], 5), 6))
             of.append(np.full(len(no), i))
     return (np.concatenate(out), np.concatenate(of)) if out else (values[:0], owner[:0])
 
 
 def set_keys(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64 bits that stand for a set: 0 for the empty one."""
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mixed(values, 7))])
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(values, 7))])
     begins = np.concatenate([[0], ends[:-1]])
-    return np.where(ends > begins, _mixed(sums[ends] - sums[begins] + (ends - begins).astype(_U) * _STEP[10], 8), _U(0)).astype(np.int64)
+    return np.where(ends > begins, mixed(sums[ends] - sums[begins] + (ends - begins).astype(U) * STEP[10], 8), U(0)).astype(np.int64)
 
 
 def t_occurrence(lists: list[np.ndarray], least: int, mu: float = 0.01) -> dict[int, int]:
@@ -214,8 +177,8 @@ def _sent(docs: DataFrame, buckets: int) -> DataFrame:
             first[one] = True
             signs, of = signs[first[of]], of[first[of]]
             out = []
-            home = (_mixed(keys[one].astype(_U)) % _U(buckets)).astype(np.int64)
-            place = (_mixed(signs) % _U(buckets)).astype(np.int64)
+            home = (mixed(keys[one].astype(U)) % U(buckets)).astype(np.int64)
+            place = (mixed(signs) % U(buckets)).astype(np.int64)
             at, to = np.argsort(home, kind="stable"), np.argsort(place, kind="stable")
             a, b = np.searchsorted(home[at], np.arange(buckets + 1)), np.searchsorted(place[to], np.arange(buckets + 1))
             for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
@@ -253,7 +216,7 @@ def _led(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys in frame["keys"]:
             own = np.asarray(keys, np.int64)
             for k in (0, 2):
-                lead = own[np.argmin(_mixed(own.astype(_U), k))]
+                lead = own[np.argmin(mixed(own.astype(U), k))]
                 rest = own[own != lead]
                 out.append(np.stack([np.full(len(rest), lead), rest], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)

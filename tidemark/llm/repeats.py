@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, new_path, stored, table
+from tidemark.llm.hashing import BYTE, STEP, U, mixed, prefix_sums, spans
 
 LENGTH, NAME = 50, 24
 BATCH_BYTES, BATCH_DOCS = 2_000_000, 4096
@@ -36,46 +37,17 @@ MERGE_BYTES = 6_000_000
 #: Stands for a null doc_id: no document has a larger id.
 LAST = np.iinfo(np.int64).max
 
-_U = np.uint64
-
-
-def _spread(n: int, seed: int) -> np.ndarray:
-    """n odd 64-bit numbers, by a counter and a mixer."""
-    with np.errstate(over="ignore"):
-        x = (np.arange(1, n + 1, dtype=_U) + _U(seed)) * _U(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return (x ^ (x >> _U(31))) | _U(1)
-
-
-_BYTE, _STEP, _MIX = _spread(256, 7), _spread(8, 1000), _spread(4, 2000)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = int(_STEP[7])
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(n, x, _U)])) for x in (base, pow(base, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _MIX[0]
-    return x ^ (x >> _U(29))
-
-
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last window start, name and content hash of each run of the documents that end at ends."""
     n = len(data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, _U),) * 2
-    x = _BYTE[data]
-    h2 = x[:-1] * _STEP[0] + x[1:]
-    h4 = h2[:-2] * _STEP[1] + h2[2:]
-    h8 = h4[:-4] * _STEP[2] + h4[4:]
-    h16 = h8[:-8] * _STEP[3] + h8[8:]
-    least = _mixed(h16[:-8] * _STEP[4] + h8[16:])
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, U),) * 2
+    x = BYTE[data]
+    h2 = x[:-1] * STEP[0] + x[1:]
+    h4 = h2[:-2] * STEP[1] + h2[2:]
+    h8 = h4[:-4] * STEP[2] + h4[4:]
+    h16 = h8[:-8] * STEP[3] + h8[8:]
+    least = mixed(h16[:-8] * STEP[4] + h8[16:])
     del h2, h4, h8, h16
     for step in (1, 2, 4, 8, 11):  # 27 strings of 24 bytes in a window
         least = np.minimum(least[:-step], least[step:])
@@ -91,18 +63,15 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     old = within.copy()
     old[:-1] &= new[1:] | ~within[1:]
     last = np.flatnonzero(old)
-    up, down = _powers(n)
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(x * up[:n])])
-    content = (sums[last + LENGTH] - sums[first]) * down[first]
-    return first, last, least[first], _mixed(content + (last - first).astype(_U) * _MIX[1])
+    return first, last, least[first], spans(prefix_sums(data), first, last + LENGTH)
 
 
 def rotations(text: np.ndarray) -> np.ndarray:
     """Starts of the rotations of text, in an order right for 64 bytes at least."""
     n = len(text)
-    key = np.resize(text, n + 8).astype(_U)
+    key = np.resize(text, n + 8).astype(U)
     for by in (1, 2, 4):
-        key = (key[:-by] << _U(8 * by)) | key[by:]
+        key = (key[:-by] << U(8 * by)) | key[by:]
     key, by = key[:n], 8
     while True:
         order = np.argsort(key, kind="stable")
@@ -197,7 +166,7 @@ class _Batch:
         self.first, self.last, name, content = runs(self.data, self.ends)
         self.doc = np.searchsorted(self.ends, self.first, side="right")
         # names are least hashes, of which small ones are common
-        bucket = (_mixed(name) % _U(buckets)).astype(np.int64)
+        bucket = (mixed(name) % U(buckets)).astype(np.int64)
         order = np.lexsort((self.ids[self.doc], content, name, bucket))
         name, content, bucket = name[order], content[order], bucket[order]
         new = np.ones(len(order), bool)
@@ -212,11 +181,11 @@ class _Batch:
 
 def _six(x: np.ndarray) -> bytes:
     """The low 48 bits of each number: low halves first, then the rest."""
-    return (x & _U(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> _U(32)).astype("<u2").tobytes()
+    return (x & U(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> U(32)).astype("<u2").tobytes()
 
 
 def _from_six(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u4", n).astype(_U) | np.frombuffer(data, "<u2", n, 4 * n).astype(_U) << _U(32)
+    return np.frombuffer(data, "<u4", n).astype(U) | np.frombuffer(data, "<u2", n, 4 * n).astype(U) << U(32)
 
 
 def _sent(batches: DataFrame, buckets: int) -> DataFrame:
@@ -367,13 +336,13 @@ def _cut(batches: DataFrame, found: DataFrame, buckets: int, texts: bool) -> Dat
                 begin = 0
                 for name, end in zip(b.ids.tolist(), b.ends.tolist(), strict=True):
                     own, text = gone[begin:end], b.raw[begin:end]
-                    spans = np.zeros((0, 2), np.int64)
+                    cuts = np.zeros((0, 2), np.int64)
                     if own.any():
                         edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]])))
-                        spans, text = edges.reshape(-1, 2), b.data[begin:end][~own].tobytes()
-                    row = (None if name == LAST else name, end - begin, int(own.sum()), len(spans), hashlib.sha256(text).hexdigest())
+                        cuts, text = edges.reshape(-1, 2), b.data[begin:end][~own].tobytes()
+                    row = (None if name == LAST else name, end - begin, int(own.sum()), len(cuts), hashlib.sha256(text).hexdigest())
                     if texts:
-                        row += hashlib.sha256(b.raw[begin:end]).hexdigest(), text.decode(errors="ignore"), [{"start": s, "stop": e} for s, e in spans.tolist()]
+                        row += hashlib.sha256(b.raw[begin:end]).hexdigest(), text.decode(errors="ignore"), [{"start": s, "stop": e} for s, e in cuts.tolist()]
                     out.append(row)
                     begin = end
                 frame_ = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_sha256", "kept", "spans"][: 8 if texts else 5])
