@@ -15,31 +15,29 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import GAP, stored, table
 
-SYMBOLS = "#*$%&|<>"
-RULES = ("length", "symbols", "symbol_words", "bare_words", "letters", "capitals", "shouted", "exclaimed", "lines", "repeats", "variety", "word_size")
+RULES = ("length", "symbols", "bare_words", "letters", "capitals", "exclaimed", "lines", "repeats", "variety", "word_size")
 
 
 def _measured(docs: DataFrame) -> DataFrame:
     """Counts per document. Each step uses an array of the step before at least twice, so that Spark computes it once."""
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", text.alias("text"), F.filter(F.split(text, GAP), lambda w: w != "").alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    d = docs.select("doc_id", text.alias("text"), F.array_remove(F.split(text, GAP), "").alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("w")
-    hashes = F.expr("CASE WHEN size(w) >= 5 THEN transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i+1], w[i+2], w[i+3], w[i+4])) ELSE array() END")
+    d = d.select("*", F.transform("w", lambda w: F.xxhash64(w)).alias("x"))
+    hashes = F.expr("CASE WHEN size(x) >= 5 THEN transform(sequence(0, size(x) - 5), i -> xxhash64(x[i], x[i+1], x[i+2], x[i+3], x[i+4])) ELSE array() END")
     d = d.select(
         "doc_id",
         "w",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.length(F.regexp_replace("text", r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
         F.length(F.regexp_replace("text", r"\P{L}+", "")).cast("long").alias("n_letters"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
-        (F.length("text") - F.length(F.translate("text", "!", ""))).cast("long").alias("n_exclaimed"),
-        F.size(F.filter("w", lambda w: w.rlike(r"[#*$%&|<>]"))).cast("long").alias("n_symbol_words"),
+        F.length(F.regexp_replace("text", "[^!]+", "")).cast("long").alias("n_exclaimed"),
         F.size(F.filter("w", lambda w: ~w.rlike(r"\p{L}"))).cast("long").alias("n_bare_words"),
-        F.size(F.filter("w", lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w))).cast("long").alias("n_shouted"),
         hashes.alias("h"),
     )
     kept = [c for c in d.columns if c not in ("w", "h")]
@@ -59,18 +57,16 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
 def _voted(d: DataFrame) -> DataFrame:
     n = F.greatest("n_words", F.lit(1))
     mean = F.col("word_chars") / n
-    a_word = {c: F.col(f"n_{c}") / n for c in ("symbols", "symbol_words", "bare_words", "shouted", "exclaimed", "repeat_words", "distinct")}
+    a_word = {c: F.col(f"n_{c}") / n for c in ("symbols", "bare_words", "exclaimed", "repeat_words", "distinct")}
     lines = F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))
     capitals = F.col("n_capitals") / F.greatest("n_letters", F.lit(1))
     letters = F.col("n_letters") / F.greatest("word_chars", F.lit(1))
     votes = {
         "length": _vote(F.col("n_words") < 10),
         "symbols": _vote(a_word["symbols"] > 0.25, a_word["symbols"] < 0.05),
-        "symbol_words": _vote(a_word["symbol_words"] > 0.2, a_word["symbol_words"] < 0.05),
         "bare_words": _vote(a_word["bare_words"] > 0.2, a_word["bare_words"] < 0.1),
         "letters": _vote(letters < 0.75, letters > 0.9),
         "capitals": _vote(capitals > 0.4, capitals < 0.15),
-        "shouted": _vote(a_word["shouted"] > 0.3, a_word["shouted"] < 0.1),
         "exclaimed": _vote(a_word["exclaimed"] > 0.3, a_word["exclaimed"] < 0.1),
         "lines": _vote(lines > 0.3, lines < 0.1),
         "repeats": _vote(a_word["repeat_words"] > 0.2, a_word["repeat_words"] < 0.1),
@@ -96,7 +92,7 @@ def _posterior(weights: list[float]) -> Column:
 def learned(voted: DataFrame, rounds: int = 25) -> list[float]:
     """The log odds of good that each vote adds, the prior's last; an abstention adds nothing.
 
-    Expectation-maximisation from START over vote patterns (3 ** 12 at most), not documents; the driver gets a row of
+    Expectation-maximisation from START over vote patterns (3 ** 10 at most), not documents; the driver gets a row of
     sums for each vote a round. A bad vote stays at least twice as likely for a bad document, and a good vote no
     likelier, so that the classes keep their meaning; 20 pseudo-votes at START smooth the rates.
     """
