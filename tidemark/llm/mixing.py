@@ -87,7 +87,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     both = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of")) & (F.col("__nth") == F.col("__at"))).where("taken > 0")
     copies = F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("__size")).cast("int")), lambda i: F.least(F.col("__size"), F.col("taken") - i * F.col("__size")))
     both = both.withColumn("__words", F.explode(copies))
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("__words").cast("string"), F.lit("}")), 0)
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
     text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(cut)
     both = both.withColumn("text", text)
     if "n_chars" in docs.columns:
