@@ -293,8 +293,8 @@ _PLACES = f"""r AS (SELECT {FRAMES["places"]} FROM ev WHERE ts BETWEEN {MONTH.st
 c AS (SELECT participant_id, latitude, longitude, count(*) AS here, row_number() OVER (PARTITION BY participant_id ORDER BY count(*) DESC, latitude, longitude) - 1 AS rank FROM r GROUP BY 1, 2, 3),
 cl AS (SELECT c.* FROM c JOIN n ON n.participant_id = c.participant_id WHERE here > floor(n * 0.01) AND rank < n - 1),
 pr AS (SELECT *, here / sum(here) OVER (PARTITION BY participant_id) AS proportion FROM cl),
-lab AS (SELECT r.participant_id, r.ts, r.seq, cl.rank, row_number() OVER (PARTITION BY r.participant_id ORDER BY ts, seq) AS at FROM r LEFT JOIN cl ON cl.participant_id = r.participant_id AND cl.latitude = r.latitude AND cl.longitude = r.longitude),
-isl AS (SELECT participant_id, rank, at - row_number() OVER (PARTITION BY participant_id, rank ORDER BY at) AS i, ts FROM lab),
+lab AS (SELECT r.participant_id, r.ts, r.seq, cl.rank, row_number() OVER (PARTITION BY r.participant_id ORDER BY ts, seq) AS pos FROM r LEFT JOIN cl ON cl.participant_id = r.participant_id AND cl.latitude = r.latitude AND cl.longitude = r.longitude),
+isl AS (SELECT participant_id, rank, pos - row_number() OVER (PARTITION BY participant_id, rank ORDER BY pos) AS i, ts FROM lab),
 dw AS (SELECT participant_id, rank, CAST(sum(d) AS BIGINT) AS duration FROM (SELECT participant_id, rank, max(ts) - min(ts) AS d FROM isl WHERE rank IS NOT NULL GROUP BY participant_id, rank, i) x GROUP BY 1, 2)"""
 
 
@@ -532,8 +532,8 @@ def _daily(spark, sf_dir):
 
 @_query(
     "q_impute",
-    f"""WITH {_EV}, {_DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY day) AS at FROM dl), w(d, w) AS (VALUES (-3, 0.05::DOUBLE), (-2, 0.2), (-1, 0.4), (0, 1.5), (1, 0.4), (2, 0.2), (3, 0.05))
-    SELECT a.participant_id, a.day, round(sum(w.w * b.v) / sum(w.w), 6) AS v, round(sum(w.w * b.u) / sum(w.w), 6) AS u FROM n a CROSS JOIN w JOIN n b ON b.participant_id = a.participant_id AND b.at = a.at + w.d GROUP BY a.participant_id, a.day""",
+    f"""WITH {_EV}, {_DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY day) AS pos FROM dl), w(d, w) AS (VALUES (-3, 0.05::DOUBLE), (-2, 0.2), (-1, 0.4), (0, 1.5), (1, 0.4), (2, 0.2), (3, 0.05))
+    SELECT a.participant_id, a.day, round(sum(w.w * b.v) / sum(w.w), 6) AS v, round(sum(w.w * b.u) / sum(w.w), 6) AS u FROM n a CROSS JOIN w JOIN n b ON b.participant_id = a.participant_id AND b.pos = a.pos + w.d GROUP BY a.participant_id, a.day""",
 )
 def _impute(spark, sf_dir):
     return _rounded(cohort.imputed(_daily(spark, sf_dir)), "v", "u")

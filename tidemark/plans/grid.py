@@ -94,5 +94,5 @@ def expanded(ids: list[str], participants: DataFrame, studies: DataFrame) -> Dat
     participants: participant_id, study_id. studies: study_id, researcher_id.
     """
     rows = participants.join(studies, "study_id", "left")
-    named = F.col("participant_id").isin(ids) | F.col("study_id").isin(ids) | F.col("researcher_id").isin(ids)
+    named = F.col("participant_id").cast("string").isin(ids) | F.col("study_id").cast("string").isin(ids) | F.col("researcher_id").cast("string").isin(ids)
     return rows.where(named).select("participant_id").distinct()
