@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import runs
 
-_DAYS = W.partitionBy("participant_id").orderBy("day")
+
+def _days():
+    return W.partitionBy("participant_id").orderBy("day")
+
+
 #: Weights of the three days before, the day itself and the three after.
 WEIGHTS = (0.05, 0.2, 0.4, 1.5, 0.4, 0.2, 0.05)
 
@@ -24,12 +28,12 @@ def _each(frame: DataFrame, domains: Sequence[str] | None) -> list[str]:
 def imputed(daily: DataFrame, domains: Sequence[str] | None = None, last_row: int | None = 90) -> DataFrame:
     """Every value replaced by the weighted mean of the seven rows around it that have one. Rows from last_row on (counted from 0)
     are not looked at, as kept results have it; None looks at all."""
-    rows = daily.withColumn("__at", F.row_number().over(_DAYS) - 1)
+    rows = daily.withColumn("__at", F.row_number().over(_days()) - 1)
     out = {}
     for c in _each(daily, domains):
         total, weight = F.lit(0.0), F.lit(0.0)
         for k, w in zip(range(-3, 4), WEIGHTS, strict=True):
-            v = F.lead(c, k).over(_DAYS) if k > 0 else F.lag(c, -k).over(_DAYS)
+            v = F.lead(c, k).over(_days()) if k > 0 else F.lag(c, -k).over(_days())
             if last_row is not None:
                 v = F.when(F.col("__at") + k < last_row, v)
             total = total + F.coalesce(v * w, F.lit(0.0))
@@ -75,7 +79,7 @@ def transitions(daily: DataFrame, domains: Sequence[str] | None = None, joint_si
     every = []
     for names in combinations(_each(daily, domains), joint_size):
         rows = daily.dropna(subset=list(names)).select("participant_id", "day", F.concat_ws(",", *(_label(c) for c in names)).alias("from"))
-        rows = rows.withColumn("to", F.lead("from").over(_DAYS)).withColumn("gap", F.lead("day").over(_DAYS) - F.col("day")).where("gap <= 3")
+        rows = rows.withColumn("to", F.lead("from").over(_days())).withColumn("gap", F.lead("day").over(_days()) - F.col("day")).where("gap <= 3")
         every.append(rows.groupBy("participant_id", "from", "to").agg(F.count("*").alias("n")).withColumn("domains", F.lit(",".join(names))))
     return reduce(DataFrame.unionByName, every).select("participant_id", "domains", "from", "to", "n")
 
@@ -99,8 +103,8 @@ def domain_bouts(daily: DataFrame, domain: str) -> DataFrame:
     more than 8 days on, which counts as an end; a run of one row that nothing follows lasts 3 days.
     """
     rows = daily.where(F.col(domain).isNotNull()).select("participant_id", "day", _label(domain).alias("state"))
-    new = (F.lag("state").over(_DAYS) != F.col("state")) | (F.col("day") - F.lag("day").over(_DAYS) > 6)
-    rows = rows.withColumn("run", runs(F.coalesce(new, F.lit(True)), _DAYS)).withColumn("next", F.lead("day").over(_DAYS))
+    new = (F.lag("state").over(_days()) != F.col("state")) | (F.col("day") - F.lag("day").over(_days()) > 6)
+    rows = rows.withColumn("run", runs(F.coalesce(new, F.lit(True)), _days())).withColumn("next", F.lead("day").over(_days()))
     bouts = rows.groupBy("participant_id", "run").agg(F.first("state").alias("state"), F.min("day").alias("start"), F.max("day").alias("last"), F.count("*").alias("n"), F.max_by(F.struct("next"), "day").alias("after"))
     after = F.col("after.next")
     stop = F.when(after.isNull(), F.when(F.col("n") == 1, F.col("last") + 3).otherwise(F.col("last"))).when(after - F.col("last") > 8, F.col("last") + 3).otherwise(after)

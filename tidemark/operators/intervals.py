@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import haversine_km, metres, planar_km
 from tidemark.plans.registry import PRIMARY, feature
 
-_TIME = W.partitionBy("participant_id").orderBy("ts", "seq")
+
+def by_time(*keys: str):
+    """Each participant's rows in order of time and arrival."""
+    return W.partitionBy("participant_id", *keys).orderBy("ts", "seq")
 
 
 def one_per_time(rows: DataFrame, *keys: str) -> DataFrame:
@@ -30,9 +33,9 @@ def runs(flag: Column, over) -> Column:
 def acc_jerk(accelerometer: DataFrame, threshold: int = 500) -> DataFrame:
     """Jerk between readings less than threshold ms apart: participant_id, start, end, acc_jerk."""
     rows = one_per_time(accelerometer)
-    dt = (F.lead("ts").over(_TIME) - F.col("ts")) / 1000
-    jerk = F.sqrt(sum(F.pow((F.lead(c).over(_TIME) - F.col(c)) / dt, 2) for c in "xyz"))
-    rows = rows.select("participant_id", F.col("ts").alias("start"), F.lead("ts").over(_TIME).alias("end"), jerk.alias("acc_jerk"), dt.alias("dt"))
+    dt = (F.lead("ts").over(by_time()) - F.col("ts")) / 1000
+    jerk = F.sqrt(sum(F.pow((F.lead(c).over(by_time()) - F.col(c)) / dt, 2) for c in "xyz"))
+    rows = rows.select("participant_id", F.col("ts").alias("start"), F.lead("ts").over(by_time()).alias("end"), jerk.alias("acc_jerk"), dt.alias("dt"))
     return rows.where(F.col("dt") < threshold / 1000).drop("dt")
 
 
@@ -45,12 +48,12 @@ def screen_bouts(device_state: DataFrame, duration_threshold: int = 7_200_000, f
     on, off = ((1, 2), (0, 3)) if flipped else ((0, 3), (1, 2))
     state = F.when(F.col("value").isin(*on), 1).when(F.col("value").isin(*off), 0)
     rows = device_state.select("participant_id", "ts", "seq", state.alias("on"))
-    after, then = F.lead("ts").over(_TIME), F.lead("on").over(_TIME)
+    after, then = F.lead("ts").over(by_time()), F.lead("on").over(by_time())
     rows = rows.select("*", after.isNull().alias("last"), F.coalesce((F.col("on") == 1) & (then == 1) & (after - F.col("ts") < 1000), F.lit(False)).alias("bounced"))
     rows = rows.where(F.col("on").isNotNull() & ~F.col("bounced") & ~(F.col("last") & (F.col("on") == 1)))
-    before = F.lag("on").over(_TIME)
+    before = F.lag("on").over(by_time())
     turns = rows.withColumn("before", before).where((F.col("before") != F.col("on")) | (F.col("before").isNull() & (F.col("on") == 1)))
-    ends = turns.select("participant_id", "on", F.col("ts").alias("start"), F.lead("ts").over(_TIME).alias("end"), F.lead("last").over(_TIME).alias("final"))
+    ends = turns.select("participant_id", "on", F.col("ts").alias("start"), F.lead("ts").over(by_time()).alias("end"), F.lead("last").over(by_time()).alias("final"))
     bouts = ends.where((F.col("on") == 1) & F.col("end").isNotNull()).withColumn("duration", F.col("end") - F.col("start"))
     return bouts.where((F.col("duration") <= duration_threshold) | F.col("final")).select("participant_id", "start", "end", "duration")
 
@@ -76,11 +79,11 @@ def trips(gps: DataFrame, geo: str = "swapped") -> DataFrame:
     going on at the end is no trip. geo: "swapped" takes latitudes as longitudes, as kept results do; "standard" does not.
     """
     lat, lon = ("longitude", "latitude") if geo == "swapped" else ("latitude", "longitude")
-    hours = (F.col("ts") - F.lag("ts").over(_TIME)) / 3_600_000
-    dx = haversine_km(F.lag(lat).over(_TIME), F.lag(lon).over(_TIME), F.col(lat), F.col(lon), 6367.0)
+    hours = (F.col("ts") - F.lag("ts").over(by_time())) / 3_600_000
+    dx = haversine_km(F.lag(lat).over(by_time()), F.lag(lon).over(by_time()), F.col(lat), F.col(lon), 6367.0)
     rows = gps.select("participant_id", "ts", "seq", "latitude", "longitude", hours.alias("dt"), dx.alias("dx"))
     rows = rows.withColumn("still", F.coalesce((F.col("dx") < 10 * F.col("dt")) | (F.col("dt") > 600), F.lit(False)))
-    rows = rows.withColumn("run", runs(F.col("still") != F.coalesce(F.lag("still").over(_TIME), ~F.col("still")), _TIME)).withColumn("open", F.lead("ts").over(W.partitionBy("participant_id").orderBy("ts", "seq")).isNull())
+    rows = rows.withColumn("run", runs(F.col("still") != F.coalesce(F.lag("still").over(by_time()), ~F.col("still")), by_time())).withColumn("open", F.lead("ts").over(by_time()).isNull())
     moving = rows.where("NOT still").groupBy("participant_id", "run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.min_by("latitude", F.struct("ts", "seq")).alias("latitude"), F.min_by("longitude", F.struct("ts", "seq")).alias("longitude"), F.sum(F.coalesce("dx", F.lit(0.0))).alias("distance"), F.max("open").alias("open"))
     return moving.where("NOT open").select("participant_id", "start", "end", "latitude", "longitude", "distance")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.intervals import _TIME, locations_by_mode, one_per_time, runs
+from tidemark.operators.intervals import locations_by_mode, one_per_time, runs
 from tidemark.operators.intervals import screen_active as _screen_active
 from tidemark.operators.intervals import trips as _trips
 from tidemark.plans.grid import Grid
