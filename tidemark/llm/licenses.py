@@ -87,7 +87,8 @@ def aligned(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAN
             best = max(both, gone, more)
             score[i, k] = best
             step[i, k] = 0 if best == both else 1 if best == gone else 2
-    i, k = m, int(np.argmax(score[m, 1 : width + 1])) + 1
+    best = np.flatnonzero(score[m] == score[m, 1 : width + 1].max())
+    i, k = m, int(best[np.argmin(np.abs(best - band - 1))])  # of equal ends the one nearest to shift
     count, first, last = 0, -1, -1
     while i > 0 and k > 0:
         if step[i, k] == 0:
@@ -139,13 +140,13 @@ def found_notices(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
                         shifts[one, number].add(int(at[h] - edges[one]) - position)
                 found = defaultdict(list)
                 for (one, number), all_ in shifts.items():
-                    own, last = word[edges[one] : edges[one + 1]], None
+                    own, seen = word[edges[one] : edges[one + 1]], (0, -1)
                     for shift in sorted(all_):
-                        if last is not None and shift - last <= BAND:
+                        if seen[0] <= shift <= seen[1]:  # another shift of the notice just found
                             continue
-                        last = shift
                         count, i, j = aligned(bodies[number], own, shift)
                         if count >= coverage * len(bodies[number]):
+                            seen = i, j
                             found[one].append((-count, i, number, j))
                 for one, matches in found.items():
                     taken = []
