@@ -61,14 +61,15 @@ def _voted(d: DataFrame) -> DataFrame:
     lines = F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))
     capitals = F.col("n_capitals") / F.greatest("n_letters", F.lit(1))
     letters = F.col("n_letters") / F.greatest("word_chars", F.lit(1))
+    enough = F.col("n_words") >= 35  # shares of few words say little
     votes = {
         "length": _vote(F.col("n_words") < 10),
         "symbols": _vote(a_word["symbols"] > 0.25, a_word["symbols"] < 0.05),
-        "bare_words": _vote(a_word["bare_words"] > 0.2, a_word["bare_words"] < 0.1),
-        "letters": _vote(letters < 0.75, letters > 0.9),
+        "bare_words": _vote((a_word["bare_words"] > 0.2) & enough, a_word["bare_words"] < 0.1),
+        "letters": _vote((letters < 0.75) & enough, letters > 0.9),
         "capitals": _vote(capitals > 0.4, capitals < 0.15),
         "exclaimed": _vote(a_word["exclaimed"] > 0.3, a_word["exclaimed"] < 0.1),
-        "lines": _vote(lines > 0.3, lines < 0.1),
+        "lines": _vote((lines > 0.3) & (F.col("n_dup_lines") > 2), lines < 0.1),
         "repeats": _vote(a_word["repeat_words"] > 0.2, a_word["repeat_words"] < 0.1),
         "variety": _vote((a_word["distinct"] < 0.1) & (F.col("n_words") >= 50)),
         "word_size": _vote((mean < 2) | (mean > 15)),
@@ -80,7 +81,7 @@ def _voted(d: DataFrame) -> DataFrame:
 #: A vote is the number 3 * rule + (0: abstains, 1: bad, 2: good); each pattern ends in one that stands for the prior.
 PRIOR = 3 * len(RULES)
 #: Before the first round, by true class (bad, good): how often a rule votes bad, and how often good.
-START = ((0.3, 0.02), (0.4, 0.8))
+START = ((0.3, 0.01), (0.6, 0.8))
 
 
 def _posterior(weights: list[float]) -> Column:
