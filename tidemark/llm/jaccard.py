@@ -30,8 +30,10 @@ from tidemark.llm.hashing import STEP, U, hashed_words, mixed
 WORDS, NEAR = 3, 90
 #: Parts that may be empty in a set before its empty parts count as parts to meet in.
 SPARE = 2
-#: Members that one search indexes.
-CHUNK = 256
+#: Members that one search indexes, and pairs whose searches share a task's group.
+CHUNK, PACK = 256, 1000
+#: Bytes of a sketch: one for each of so many ranges of the hashes.
+SKETCH = 256
 LAST = np.iinfo(np.int64).max
 
 def shingle_sets(texts: Sequence[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +110,24 @@ def set_keys(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.where(ends > begins, mixed(sums[ends] - sums[begins] + (ends - begins).astype(U) * STEP[10], 8), U(0)).astype(np.int64)
 
 
+def sketches(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SKETCH bytes for each set, one of the sum of each hash range. Bytes that differ come from elements that differ, so that sets
+    with more unlike bytes than linked sets have unlike elements are not linked."""
+    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    slot = owner * SKETCH + (values >> U(56)).astype(np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(values, 9))])
+    out = np.zeros(len(ends) * SKETCH, np.uint8)
+    out[slot[edge]] = (mixed(sums[np.append(edge[1:], len(slot))[: len(edge)]] - sums[edge], 10) >> U(56)).astype(np.uint8)
+    return out.reshape(-1, SKETCH)
+
+
+def may_link(a: np.ndarray, size: int, b: np.ndarray, sizes: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """Which sets of sketches b and sizes could be linked with the one of sketch a."""
+    most = (size + sizes) * (100 - near) // (100 + near)
+    return (np.minimum(size, sizes) * 100 >= near * np.maximum(size, sizes)) & ((a != b).sum(axis=1) <= most)
+
+
 def t_occurrence(lists: list[np.ndarray], least: int, mu: float = 0.01) -> dict[int, int]:
     """Ids in at least `least` of the ascending lists, with the number of lists: DivideSkip.
 
@@ -223,20 +243,40 @@ def _led(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"leader": pairs[:, 0], "member": pairs[:, 1]})
 
 
+def _promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (leader, member) that sizes and sketches do not rule out."""
+    a, b = (sets.select(F.col("key").alias(k), F.col("size").alias(f"{k}_size"), F.col("sketch").alias(f"{k}_sketch")) for k in ("leader", "member"))
+
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                one, other = (np.frombuffer(b"".join(frame[f"{k}_sketch"]), np.uint8).reshape(-1, SKETCH) for k in ("leader", "member"))
+                yield frame.loc[may_link(one, frame["leader_size"].to_numpy(), other, frame["member_size"].to_numpy()), ["leader", "member"]]
+
+    return pairs.join(a, "leader").join(b, "member").mapInPandas(pick, "leader long, member long")
+
+
 def _searched(tasks: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (leader, member), those that are linked. Members of one leader are dealt out over searches of CHUNK."""
     counts = tasks.groupBy("leader").agg(F.count("*").alias("n"))
+    packs = max(1, tasks.count() // PACK)
     dealt = tasks.join(counts, "leader").withColumn("deal", F.pmod(F.xxhash64("member"), F.ceil(F.col("n") / CHUNK)).cast("int")).drop("n")
+    dealt = dealt.withColumn("pack", F.pmod(F.xxhash64("leader", "deal"), F.lit(packs)))
     members = dealt.join(sets.select(F.col("key").alias("member"), F.col("shingles").alias("own")), "member")
-    queries = dealt.select(F.col("leader").alias("query"), F.col("deal").alias("part")).distinct().join(sets.select(F.col("key").alias("query"), "shingles"), "query")
+    queries = dealt.select(F.col("pack").alias("of"), F.col("leader").alias("query"), F.col("deal").alias("part")).distinct().join(sets.select(F.col("key").alias("query"), "shingles"), "query")
 
-    def search(key: tuple, query: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(query) or not len(rows):
-            return pd.DataFrame({"leader": [], "member": []}, dtype="int64")
-        found = linked(np.frombuffer(query["shingles"].iloc[0], "<u8"), [np.frombuffer(x, "<u8") for x in rows["own"]])
-        return pd.DataFrame({"leader": key[0], "member": rows["member"].to_numpy()[found]}, columns=["leader", "member"]).astype("int64")
+    def search(query: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        own, out = {}, []
+        for leader, deal, member, shingles in zip(rows["leader"], rows["deal"], rows["member"], rows["own"], strict=True):
+            names, sets_ = own.setdefault((leader, deal), ([], []))
+            names.append(member)
+            sets_.append(np.frombuffer(shingles, "<u8"))
+        for leader, deal, shingles in zip(query["query"], query["part"], query["shingles"], strict=True):
+            names, sets_ = own.get((leader, deal), ([], []))
+            out += [(leader, names[i]) for i in linked(np.frombuffer(shingles, "<u8"), sets_)]
+        return pd.DataFrame(out, columns=["leader", "member"]).astype("int64")
 
-    return queries.groupBy("query", "part").cogroup(members.groupBy("leader", "deal")).applyInPandas(search, "leader long, member long")
+    return queries.groupBy("of").cogroup(members.groupBy("pack")).applyInPandas(search, "leader long, member long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -245,8 +285,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Leaders take the least label of their members and members that of their leaders, then every label is followed
     one step on, until nothing changes; labels are written to the shared folder each round.
     """
-    touched = links.select(F.col("leader").alias("key")).union(links.select("member")).distinct()
-    labels = stored(nodes.join(touched, "key", "left_semi").select("key", F.col("start").alias("label")), "labels")
+    labels = stored(nodes.select("key", F.col("start").alias("label")), "labels")
     both = stored(links.union(links.select("member", "leader")).distinct(), "links").toDF("from", "to")
     total = None
     while True:
@@ -258,27 +297,30 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         total = now
 
 
-def _apart(groups: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs of sets that meet, lie in different components so far, and have sizes that could be linked."""
-    members = groups.withColumn("meeting", F.monotonically_increasing_id())
-    members = stored(members.select("meeting", F.explode("keys").alias("key")), "members").join(sizes, "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "start"))
-    open_ = members.groupBy("meeting").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("meeting")
-    rows = members.join(open_, "meeting", "left_semi").select("meeting", "key", "size", "label")
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        parts = sorted((g for _, g in frame.groupby("label")), key=len)
-        for i, own in enumerate(parts[:-1]):
-            rest = pd.concat(parts[i + 1 :])
-            keys, sizes_ = rest["key"].to_numpy(), rest["size"].to_numpy()
-            for key, size in zip(own["key"], own["size"], strict=True):
-                able = np.minimum(size, sizes_) * 100 >= NEAR * np.maximum(size, sizes_)
-                if able.any():
-                    out.append(np.stack([np.full(able.sum(), key), keys[able]], axis=1))
-        got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"leader": got[:, 0], "member": got[:, 1]})
-
-    return rows.groupBy("meeting").applyInPandas(pairs, "leader long, member long").distinct()
+def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of sets that meet, lie in different components so far, and are not ruled out by sizes and sketches."""
+    members = stored(groups.distinct().select(F.monotonically_increasing_id().alias("meeting"), F.explode("keys").alias("key")), "members")
+    rows = members.join(labels, "key")
+    open_ = rows.groupBy("meeting").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("meeting")
+    rows = rows.join(open_, "meeting", "left_semi").join(sets.select("key", "size", "sketch"), "key")
+    meetings = rows.groupBy("meeting").agg(F.collect_list("key").alias("keys"), F.collect_list("size").alias("sizes"), F.collect_list("label").alias("labels"), F.collect_list("sketch").alias("sketches"))
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [np.zeros((0, 2), np.int64)]
+            for x in frame.itertuples(index=False):
+                keys, sizes, labels_ = (np.asarray(c, np.int64) for c in (x.keys, x.sizes, x.labels))
+                sketch = np.frombuffer(b"".join(x.sketches), np.uint8).reshape(-1, SKETCH)
+                _, rank, count = np.unique(labels_, return_inverse=True, return_counts=True)
+                place = np.argsort(np.argsort(count, kind="stable"), kind="stable")[rank]  # small components ask, larger ones answer
+                for i in np.flatnonzero(place < place.max()).tolist():
+                    rest = np.flatnonzero(place > place[i])
+                    able = rest[may_link(sketch[i], sizes[i], sketch[rest], sizes[rest])]
+                    found.append(np.stack([np.full(len(able), keys[i]), keys[able]], axis=1))
+            got = np.unique(np.concatenate(found), axis=0)
+            yield pd.DataFrame({"leader": got[:, 0], "member": got[:, 1]})
+
+    return meetings.mapInPandas(pairs, "leader long, member long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -304,16 +346,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
             values, ends = shingle_sets(frame["text"].tolist())
             same = set_keys(values, ends) == frame["key"].to_numpy()
             begins = np.concatenate([[0], ends[:-1]])
-            out = [(k, values[i:j].astype("<u8").tobytes()) for k, i, j, s in zip(frame["key"], begins, ends, same, strict=True) if s]
-            yield pd.DataFrame(out, columns=["key", "shingles"])
+            sketch = sketches(values, ends)
+            out = [(k, j - i, sketch[n].tobytes(), values[i:j].astype("<u8").tobytes()) for n, (k, i, j, s) in enumerate(zip(frame["key"], begins, ends, same, strict=True)) if s]
+            yield pd.DataFrame(out, columns=["key", "size", "sketch", "shingles"])
 
     named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(LAST))))
-    sets = stored(named.join(wanted, "doc_id").mapInPandas(read, "key long, shingles binary").dropDuplicates(["key"]), "sets")
-    links = stored(_searched(tasks, sets), "links")
-    labels = components(nodes, links)
-    more = stored(_apart(groups, labels, nodes).join(tasks, ["leader", "member"], "left_anti"), "tasks")
+    sets = stored(named.join(wanted, "doc_id").mapInPandas(read, "key long, size long, sketch binary, shingles binary").dropDuplicates(["key"]), "sets")
+    links = stored(_searched(stored(_promising(tasks, sets), "tasks"), sets), "links")
+    labels = components(nodes.join(keys, "key", "left_semi"), links)
+    more = stored(_apart(groups, labels, sets).join(tasks, ["leader", "member"], "left_anti"), "tasks")
     links = links.union(stored(_searched(more, sets), "links"))
-    labels = components(nodes, links)
+    labels = components(nodes.join(keys, "key", "left_semi"), links)
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
