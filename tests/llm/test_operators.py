@@ -146,11 +146,11 @@ def test_no_token_files(none, tmp_path):
 # near-duplicate groups
 
 
-def brute_groups(rows, near=90):
+def brute_groups(rows, words=5, near=80):
     sets = []
     for r in rows:
         w = split(r[1])
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set())
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
@@ -164,11 +164,16 @@ def brute_groups(rows, near=90):
     return sorted(((r[0], len(s), least.get(g)) for r, s, g in zip(rows, sets, group, strict=True)), key=str)
 
 
-def test_groups(docs, rows):
-    assert got(jaccard.near_groups(docs)) == brute_groups(rows)
+ALIKE = pytest.mark.parametrize(("n", "near"), [(3, 90), (5, 80)])
 
 
-def test_groups_of_chains_and_hubs(spark):
+@ALIKE
+def test_groups(docs, rows, n, near):
+    assert got(jaccard.near_groups(docs, n, near)) == brute_groups(rows, n, near)
+
+
+@ALIKE
+def test_groups_of_chains_and_hubs(spark, n, near):
     r = random.Random(5)
     base = [f"w{i}" for i in range(80)]
     rows, i = [], 0
@@ -182,7 +187,20 @@ def test_groups_of_chains_and_hubs(spark):
         words[(k * 7) % 80] = f"c{k}"
         rows.append((i, " ".join(words)))
         i += 1
-    assert got(jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute_groups(rows)
+    assert got(jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n, near)) == brute_groups(rows, n, near)
+
+
+def test_groups_query(spark, tmp_path):
+    """The query on a table of its own: copies on both sides of its similarity, and rows without words."""
+    r = random.Random(8)
+    rows = [(100, None), (101, " \t"), (102, "A b"), (103, "a B")]
+    for i in range(40):
+        words = [f"v{i % 5}_{k}" for k in range(120)]
+        for _ in range(r.randint(0, 5)):
+            words[r.randrange(120)] = f"y{r.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert got(jaccard.op2_jaccard(spark, str(tmp_path))) == brute_groups(rows, 3, 90)
 
 
 def test_no_groups(none):

@@ -29,6 +29,15 @@ def mixed(x: np.ndarray, k: int = 0) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+def six_bytes(x: np.ndarray) -> bytes:
+    """The low 48 bits of each number: low halves first, then the rest."""
+    return (x & U(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> U(32)).astype("<u2").tobytes()
+
+
+def from_six(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4", n).astype(U) | np.frombuffer(data, "<u2", n, 4 * n).astype(U) << U(32)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n of an odd number and of its inverse."""
     if not _POWERS or len(_POWERS[0]) <= n:

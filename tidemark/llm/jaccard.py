@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
-from tidemark.llm.hashing import STEP, U, hashed_words, mixed
+from tidemark.llm.hashing import STEP, U, from_six, hashed_words, mixed, six_bytes
 
-WORDS, NEAR = 3, 90
+#: Words of a shingle, and percent of similarity from which sets link.
+WORDS, NEAR = 5, 80
 #: Parts that may be empty in a set before its empty parts count as parts to meet in.
 SPARE = 2
 #: Members that one search indexes, and pairs whose searches share a task's group.
@@ -36,6 +37,7 @@ CHUNK, PACK = 256, 1000
 SKETCH = 256
 LAST = np.iinfo(np.int64).max
 
+
 def shingle_sets(texts: Sequence[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, ascending, one text after the other; and where each text's end.
 
@@ -182,17 +184,17 @@ def _ids(column: pd.Series) -> np.ndarray:
     return np.array([LAST if pd.isna(x) else int(x) for x in column.astype(object)], np.int64)
 
 
-def _sent(docs: DataFrame, buckets: int) -> DataFrame:
+def _sent(docs: DataFrame, buckets: int, words: int, near: int) -> DataFrame:
     """For each bucket: distinct sets with their least document, and (part, set) pairs, packed by batch."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
-            values, ends = shingle_sets(frame["text"].tolist())
+            values, ends = shingle_sets(frame["text"].tolist(), words)
             keys, ids, sizes = set_keys(values, ends), _ids(frame["doc_id"]), np.diff(np.concatenate([[0], ends]))
             order = np.lexsort((ids, keys))
             one = order[np.concatenate([[True], np.diff(keys[order]) != 0])]
             one = one[sizes[one] > 0]
-            signs, of = signatures(values, ends)
+            signs, of = signatures(values, ends, near)
             first = np.zeros(len(keys), bool)
             first[one] = True
             signs, of = signs[first[of]], of[first[of]]
@@ -203,7 +205,7 @@ def _sent(docs: DataFrame, buckets: int) -> DataFrame:
             a, b = np.searchsorted(home[at], np.arange(buckets + 1)), np.searchsorted(place[to], np.arange(buckets + 1))
             for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
                 s, p = one[at[a[k] : a[k + 1]]], to[b[k] : b[k + 1]]
-                out.append((k, np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), signs[p].astype("<u8").tobytes(), keys[of[p]].astype("<i8").tobytes()))
+                out.append((k, np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), six_bytes(signs[p]), keys[of[p]].astype("<i8").tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "sets", "signs", "keys"])
 
     return docs.mapInPandas(send, "bucket int, sets binary, signs binary, keys binary")
@@ -217,7 +219,8 @@ def _met(frame: pd.DataFrame) -> pd.DataFrame:
     sets = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for x in frame["sets"]], axis=1)
     sets = sets[:, np.lexsort((sets[1], sets[0]))]
     sets = sets[:, np.concatenate([[True], np.diff(sets[0]) != 0])] if sets.shape[1] else sets
-    signs, keys = np.concatenate([np.frombuffer(x, "<u8") for x in frame["signs"]]), np.concatenate([np.frombuffer(x, "<i8") for x in frame["keys"]])
+    # 48 bits of a part and its bucket: parts that are taken for equal only bring sets together that are then told apart
+    signs, keys = np.concatenate([from_six(x, len(x) // 6) for x in frame["signs"]]), np.concatenate([np.frombuffer(x, "<i8") for x in frame["keys"]])
     order = np.lexsort((keys, signs))
     signs, keys = signs[order], keys[order]
     if len(signs):
@@ -243,7 +246,7 @@ def _led(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"leader": pairs[:, 0], "member": pairs[:, 1]})
 
 
-def _promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _promising(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     """The pairs (leader, member) that sizes and sketches do not rule out."""
     a, b = (sets.select(F.col("key").alias(k), F.col("size").alias(f"{k}_size"), F.col("sketch").alias(f"{k}_sketch")) for k in ("leader", "member"))
 
@@ -251,12 +254,12 @@ def _promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for frame in frames:
             if len(frame):
                 one, other = (np.frombuffer(b"".join(frame[f"{k}_sketch"]), np.uint8).reshape(-1, SKETCH) for k in ("leader", "member"))
-                yield frame.loc[may_link(one, frame["leader_size"].to_numpy(), other, frame["member_size"].to_numpy()), ["leader", "member"]]
+                yield frame.loc[may_link(one, frame["leader_size"].to_numpy(), other, frame["member_size"].to_numpy(), near), ["leader", "member"]]
 
     return pairs.join(a, "leader").join(b, "member").mapInPandas(pick, "leader long, member long")
 
 
-def _searched(tasks: DataFrame, sets: DataFrame) -> DataFrame:
+def _searched(tasks: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     """Of the pairs (leader, member), those that are linked. Members of one leader are dealt out over searches of CHUNK."""
     counts = tasks.groupBy("leader").agg(F.count("*").alias("n"))
     packs = max(1, tasks.count() // PACK)
@@ -273,7 +276,7 @@ def _searched(tasks: DataFrame, sets: DataFrame) -> DataFrame:
             sets_.append(np.frombuffer(shingles, "<u8"))
         for leader, deal, shingles in zip(query["query"], query["part"], query["shingles"], strict=True):
             names, sets_ = own.get((leader, deal), ([], []))
-            out += [(leader, names[i]) for i in linked(np.frombuffer(shingles, "<u8"), sets_)]
+            out += [(leader, names[i]) for i in linked(np.frombuffer(shingles, "<u8"), sets_, near)]
         return pd.DataFrame(out, columns=["leader", "member"]).astype("int64")
 
     return queries.groupBy("of").cogroup(members.groupBy("pack")).applyInPandas(search, "leader long, member long")
@@ -282,22 +285,22 @@ def _searched(tasks: DataFrame, sets: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """key and the least start that its links lead to, for nodes (key, start) and links (leader, member).
 
-    Leaders take the least label of their members and members that of their leaders, then every label is followed
-    one step on, until nothing changes; labels are written to the shared folder each round.
+    A label is a start with its key. In each round a node takes the least label of its neighbours, then the label of
+    the node that its label names, so that long chains take few rounds; labels are written to the shared folder.
     """
-    labels = stored(nodes.select("key", F.col("start").alias("label")), "labels")
+    labels = stored(nodes.select("key", F.struct("start", "key").alias("label")), "labels")
     both = stored(links.union(links.select("member", "leader")).distinct(), "links").toDF("from", "to")
-    total = None
     while True:
         got = both.join(labels, F.col("from") == F.col("key")).groupBy("to").agg(F.min("label").alias("other"))
-        labels = stored(labels.join(got, F.col("key") == F.col("to"), "left").select("key", F.least("label", "other").alias("label")), "labels")
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("s")).first()["s"]
-        if now == total or now is None:
-            return labels
-        total = now
+        nearer = labels.join(got, F.col("key") == F.col("to"), "left").select("key", F.col("label").alias("was"), F.least("label", "other").alias("label"))
+        named = labels.select(F.col("key").alias("name"), F.col("label").alias("beyond"))
+        after = stored(nearer.join(named, F.col("label.key") == F.col("name")).select("key", "was", F.least("label", "beyond").alias("label")), "labels")
+        labels = after.select("key", "label")
+        if not after.where("label < was").count():
+            return labels.select("key", F.col("label.start").alias("label"))
 
 
-def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     """Pairs of sets that meet, lie in different components so far, and are not ruled out by sizes and sketches."""
     members = stored(groups.distinct().select(F.monotonically_increasing_id().alias("meeting"), F.explode("keys").alias("key")), "members")
     rows = members.join(labels, "key")
@@ -315,7 +318,7 @@ def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
                 place = np.argsort(np.argsort(count, kind="stable"), kind="stable")[rank]  # small components ask, larger ones answer
                 for i in np.flatnonzero(place < place.max()).tolist():
                     rest = np.flatnonzero(place > place[i])
-                    able = rest[may_link(sketch[i], sizes[i], sketch[rest], sizes[rest])]
+                    able = rest[may_link(sketch[i], sizes[i], sketch[rest], sizes[rest], near)]
                     found.append(np.stack([np.full(len(able), keys[i]), keys[able]], axis=1))
             got = np.unique(np.concatenate(found), axis=0)
             yield pd.DataFrame({"leader": got[:, 0], "member": got[:, 1]})
@@ -323,8 +326,9 @@ def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return meetings.mapInPandas(pairs, "leader long, member long").distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs (doc_id, text), by 3-word shingles and a similarity of 0.9.
+def near_groups(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs (doc_id, text): sets of shingles of so many words link when their
+    Jaccard similarity is near percent or more.
 
     component_id is the least doc_id that links lead to, itself included. Null texts and texts without words have no shingles and
     no links. A null doc_id counts as larger than all, and a component of only such has a null component_id. Rows that share
@@ -334,7 +338,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(_sent(docs, parts * 4).groupBy("bucket").applyInPandas(_met, _MET), "meetings")
+    found = stored(_sent(docs, parts * 4, words, near).groupBy("bucket").applyInPandas(_met, _MET), "meetings")
     nodes = found.where("kind = 0").select("key", F.col("doc_id").alias("start"), "size")
     groups = found.where("kind = 1").select("keys")
     tasks = stored(groups.mapInPandas(_led, "leader long, member long").distinct(), "tasks")
@@ -343,7 +347,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
-            values, ends = shingle_sets(frame["text"].tolist())
+            values, ends = shingle_sets(frame["text"].tolist(), words)
             same = set_keys(values, ends) == frame["key"].to_numpy()
             begins = np.concatenate([[0], ends[:-1]])
             sketch = sketches(values, ends)
@@ -352,15 +356,15 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(LAST))))
     sets = stored(named.join(wanted, "doc_id").mapInPandas(read, "key long, size long, sketch binary, shingles binary").dropDuplicates(["key"]), "sets")
-    links = stored(_searched(stored(_promising(tasks, sets), "tasks"), sets), "links")
+    links = stored(_searched(stored(_promising(tasks, sets, near), "tasks"), sets, near), "links")
     labels = components(nodes.join(keys, "key", "left_semi"), links)
-    more = stored(_apart(groups, labels, sets).join(tasks, ["leader", "member"], "left_anti"), "tasks")
-    links = links.union(stored(_searched(more, sets), "links"))
+    more = stored(_apart(groups, labels, sets, near).join(tasks, ["leader", "member"], "left_anti"), "tasks")
+    links = links.union(stored(_searched(more, sets, near), "links"))
     labels = components(nodes.join(keys, "key", "left_semi"), links)
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
-            values, ends = shingle_sets(frame["text"].tolist())
+            values, ends = shingle_sets(frame["text"].tolist(), words)
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": np.diff(np.concatenate([[0], ends])), "key": set_keys(values, ends)})
 
     counts = docs.mapInPandas(counted, "doc_id long, n_shingles long, key long")
@@ -369,11 +373,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return counts.join(heads, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """docs with one document of each component: that of the least doc_id, and of equal rows one. Null doc_ids go."""
-    stay = near_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    stay = near_groups(docs, words, near).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(stay, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents"), words=3, near=90)

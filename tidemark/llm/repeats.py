@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, new_path, stored, table
-from tidemark.llm.hashing import BYTE, STEP, U, mixed, prefix_sums, spans
+from tidemark.llm.hashing import BYTE, STEP, U, from_six, mixed, prefix_sums, six_bytes, spans
 
 LENGTH, NAME = 50, 24
 BATCH_BYTES, BATCH_DOCS = 2_000_000, 4096
@@ -37,6 +37,7 @@ MERGE_BYTES = 6_000_000
 #: Stands for a null doc_id: no document has a larger id.
 LAST = np.iinfo(np.int64).max
 
+
 def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last window start, name and content hash of each run of the documents that end at ends."""
     n = len(data)
@@ -179,15 +180,6 @@ class _Batch:
         self.edges = np.searchsorted(self.buckets, np.arange(buckets + 1))
 
 
-def _six(x: np.ndarray) -> bytes:
-    """The low 48 bits of each number: low halves first, then the rest."""
-    return (x & U(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> U(32)).astype("<u2").tobytes()
-
-
-def _from_six(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u4", n).astype(U) | np.frombuffer(data, "<u2", n, 4 * n).astype(U) << U(32)
-
-
 def _sent(batches: DataFrame, buckets: int) -> DataFrame:
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -196,7 +188,7 @@ def _sent(batches: DataFrame, buckets: int) -> DataFrame:
                 out = []
                 for k in np.flatnonzero(np.diff(b.edges)).tolist():
                     i, j = b.edges[k], b.edges[k + 1]
-                    out.append((k, x.batch, _six(b.names[i:j]), _six(b.contents[i:j]), b.least[i:j].astype("<i8").tobytes()))
+                    out.append((k, x.batch, six_bytes(b.names[i:j]), six_bytes(b.contents[i:j]), b.least[i:j].astype("<i8").tobytes()))
                 yield pd.DataFrame(out, columns=["bucket", "batch", "names", "contents", "least"])
 
     return batches.mapInPandas(send, "bucket int, batch long, names binary, contents binary, least binary")
@@ -210,8 +202,8 @@ def _compared(frame: pd.DataFrame) -> pd.DataFrame:
     those runs occur. run numbers a batch's distinct runs within the bucket, of numbers the bucket's."""
     bucket = int(frame["bucket"].iloc[0])
     sizes = np.array([len(x) // 8 for x in frame["least"]])
-    name = np.concatenate([_from_six(x, n) for x, n in zip(frame["names"], sizes, strict=True)])
-    content = np.concatenate([_from_six(x, n) for x, n in zip(frame["contents"], sizes, strict=True)])
+    name = np.concatenate([from_six(x, n) for x, n in zip(frame["names"], sizes, strict=True)])
+    content = np.concatenate([from_six(x, n) for x, n in zip(frame["contents"], sizes, strict=True)])
     least = np.concatenate([np.frombuffer(x, "<i8") for x in frame["least"]])
     batch = np.repeat(frame["batch"].to_numpy(), sizes)
     run = np.concatenate([np.arange(n) for n in sizes])
