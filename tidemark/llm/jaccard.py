@@ -33,8 +33,8 @@ WORDS, NEAR = 5, 80
 SPARE = 2
 #: Members that one search indexes, and pairs whose searches share a task's group.
 CHUNK, PACK = 256, 1000
-#: Bytes of a sketch: one for each of so many ranges of the hashes.
-SKETCH = 256
+#: Rows of two numbers that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -112,22 +112,41 @@ def set_keys(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.where(ends > begins, mixed(sums[ends] - sums[begins] + (ends - begins).astype(U) * STEP[10], 8), U(0)).astype(np.int64)
 
 
-def sketches(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """SKETCH bytes for each set, one of the sum of each hash range. Bytes that differ come from elements that differ, so that sets
-    with more unlike bytes than linked sets have unlike elements are not linked."""
-    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    slot = owner * SKETCH + (values >> U(56)).astype(np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(values, 9))])
-    out = np.zeros(len(ends) * SKETCH, np.uint8)
-    out[slot[edge]] = (mixed(sums[np.append(edge[1:], len(slot))[: len(edge)]] - sums[edge], 10) >> U(56)).astype(np.uint8)
-    return out.reshape(-1, SKETCH)
+def slots_of(sizes: np.ndarray) -> np.ndarray:
+    """Bytes of the sketch of a set: a power of two, from 0.4 of its size up."""
+    return 1 << np.ceil(np.log2(np.maximum(16, 0.4 * np.asarray(sizes)))).astype(np.int64)
 
 
-def may_link(a: np.ndarray, size: int, b: np.ndarray, sizes: np.ndarray, near: int = NEAR) -> np.ndarray:
-    """Which sets of sketches b and sizes could be linked with the one of sketch a."""
-    most = (size + sizes) * (100 - near) // (100 + near)
-    return (np.minimum(size, sizes) * 100 >= near * np.maximum(size, sizes)) & ((a != b).sum(axis=1) <= most)
+def sketches(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """For each set a byte for each of slots_of ranges of the hashes: the sum over the range's elements of a byte of each.
+
+    Bytes that differ come from elements that differ, so sets with more unlike bytes than linked sets have unlike elements
+    are not linked. Neighbouring bytes add up to those of a sketch of half as many ranges.
+    """
+    sizes = np.diff(np.concatenate([[0], ends]))
+    slots = slots_of(sizes)
+    until = np.cumsum(slots)
+    owner = np.repeat(np.arange(len(ends)), sizes)
+    shift = (64 - np.log2(slots).astype(np.int64)).astype(U)
+    at = (until - slots)[owner] + (values >> shift[owner]).astype(np.int64)
+    sums = np.bincount(at, (mixed(values, 9) >> U(56)).astype(float), int(slots.sum())).astype(np.int64).astype(np.uint8).tobytes()
+    return [sums[i:j] for i, j in zip((until - slots).tolist(), until.tolist(), strict=True)]
+
+
+def may_link(one: Sequence[bytes], sizes: np.ndarray, other: Sequence[bytes], others: np.ndarray, near: int = NEAR) -> np.ndarray:
+    """Which pairs of sets, given by sketches and sizes, could be linked."""
+    out = np.minimum(sizes, others) * 100 >= near * np.maximum(sizes, others)
+    most = (sizes + others) * (100 - near) // (100 + near)
+    a, b = slots_of(sizes), slots_of(others)
+    for x, y in set(zip(a[out].tolist(), b[out].tolist(), strict=True)):
+        at = np.flatnonzero(out & (a == x) & (b == y))
+        left, right = (np.frombuffer(b"".join([s[i] for i in at.tolist()]), np.uint8).reshape(-1, n) for s, n in ((one, x), (other, y)))
+        while left.shape[1] > y:
+            left = left[:, ::2] + left[:, 1::2]
+        while right.shape[1] > x:
+            right = right[:, ::2] + right[:, 1::2]
+        out[at] = (left != right).sum(axis=1) <= most[at]
+    return out
 
 
 def t_occurrence(lists: list[np.ndarray], least: int, mu: float = 0.01) -> dict[int, int]:
@@ -199,26 +218,30 @@ def _sent(docs: DataFrame, buckets: int, words: int, near: int) -> DataFrame:
             first[one] = True
             signs, of = signs[first[of]], of[first[of]]
             out = []
+            sketch = sketches(values, ends)
             home = (mixed(keys[one].astype(U)) % U(buckets)).astype(np.int64)
             place = (mixed(signs) % U(buckets)).astype(np.int64)
             at, to = np.argsort(home, kind="stable"), np.argsort(place, kind="stable")
             a, b = np.searchsorted(home[at], np.arange(buckets + 1)), np.searchsorted(place[to], np.arange(buckets + 1))
             for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
                 s, p = one[at[a[k] : a[k + 1]]], to[b[k] : b[k + 1]]
-                out.append((k, np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), six_bytes(signs[p]), keys[of[p]].astype("<i8").tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "sets", "signs", "keys"])
+                out.append((k, np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), b"".join([sketch[i] for i in s.tolist()]), six_bytes(signs[p]), keys[of[p]].astype("<i8").tobytes()))
+            yield pd.DataFrame(out, columns=["bucket", "sets", "sketches", "signs", "keys"])
 
-    return docs.mapInPandas(send, "bucket int, sets binary, signs binary, keys binary")
+    return docs.mapInPandas(send, "bucket int, sets binary, sketches binary, signs binary, keys binary")
 
 
-_MET = "kind int, key long, doc_id long, size long, keys array<long>"
+_MET = "kind int, key long, doc_id long, size long, sketch binary, keys array<long>"
 
 
 def _met(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket. Kind 0: each set with its least document and size; kind 1: the sets of each meeting of two or more."""
+    """Of one bucket. Kind 0: each set with its least document, size and sketch; kind 1: the sets of each meeting of two or more."""
     sets = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for x in frame["sets"]], axis=1)
-    sets = sets[:, np.lexsort((sets[1], sets[0]))]
-    sets = sets[:, np.concatenate([[True], np.diff(sets[0]) != 0])] if sets.shape[1] else sets
+    until = np.cumsum(slots_of(sets[2]))
+    sketch, begin = b"".join(frame["sketches"]), until - slots_of(sets[2])
+    order = np.lexsort((sets[1], sets[0]))
+    one = order[np.concatenate([[True], np.diff(sets[0][order]) != 0])] if len(order) else order
+    sets, sketch = sets[:, one], [sketch[i:j] for i, j in zip(begin[one].tolist(), until[one].tolist(), strict=True)]
     # 48 bits of a part and its bucket: parts that are taken for equal only bring sets together that are then told apart
     signs, keys = np.concatenate([from_six(x, len(x) // 6) for x in frame["signs"]]), np.concatenate([np.frombuffer(x, "<i8") for x in frame["keys"]])
     order = np.lexsort((keys, signs))
@@ -227,8 +250,8 @@ def _met(frame: pd.DataFrame) -> pd.DataFrame:
         new = np.concatenate([[True], (signs[1:] != signs[:-1]) | (keys[1:] != keys[:-1])])
         signs, keys = signs[new], keys[new]
     groups = {tuple(g.tolist()) for g in np.split(keys, np.flatnonzero(signs[1:] != signs[:-1]) + 1) if len(g) > 1}
-    a = pd.DataFrame({"kind": 0, "key": sets[0], "doc_id": sets[1], "size": sets[2], "keys": None})
-    b = pd.DataFrame({"kind": 1, "key": None, "doc_id": None, "size": None, "keys": [list(g) for g in groups]})
+    a = pd.DataFrame({"kind": 0, "key": sets[0], "doc_id": sets[1], "size": sets[2], "sketch": sketch, "keys": None})
+    b = pd.DataFrame({"kind": 1, "key": None, "doc_id": None, "size": None, "sketch": None, "keys": [list(g) for g in groups]})
     return pd.concat([a, b.astype({"key": "Int64", "doc_id": "Int64", "size": "Int64"})]).astype({"key": "Int64", "doc_id": "Int64", "size": "Int64"})
 
 
@@ -253,8 +276,8 @@ def _promising(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                one, other = (np.frombuffer(b"".join(frame[f"{k}_sketch"]), np.uint8).reshape(-1, SKETCH) for k in ("leader", "member"))
-                yield frame.loc[may_link(one, frame["leader_size"].to_numpy(), other, frame["member_size"].to_numpy(), near), ["leader", "member"]]
+                able = may_link(frame["leader_sketch"].tolist(), frame["leader_size"].to_numpy(), frame["member_sketch"].tolist(), frame["member_size"].to_numpy(), near)
+                yield frame.loc[able, ["leader", "member"]]
 
     return pairs.join(a, "leader").join(b, "member").mapInPandas(pick, "leader long, member long")
 
@@ -313,12 +336,11 @@ def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame, near: int) ->
             found = [np.zeros((0, 2), np.int64)]
             for x in frame.itertuples(index=False):
                 keys, sizes, labels_ = (np.asarray(c, np.int64) for c in (x.keys, x.sizes, x.labels))
-                sketch = np.frombuffer(b"".join(x.sketches), np.uint8).reshape(-1, SKETCH)
                 _, rank, count = np.unique(labels_, return_inverse=True, return_counts=True)
                 place = np.argsort(np.argsort(count, kind="stable"), kind="stable")[rank]  # small components ask, larger ones answer
                 for i in np.flatnonzero(place < place.max()).tolist():
                     rest = np.flatnonzero(place > place[i])
-                    able = rest[may_link(sketch[i], sizes[i], sketch[rest], sizes[rest], near)]
+                    able = rest[may_link([x.sketches[i]] * len(rest), np.full(len(rest), sizes[i]), [x.sketches[k] for k in rest.tolist()], sizes[rest], near)]
                     found.append(np.stack([np.full(len(able), keys[i]), keys[able]], axis=1))
             got = np.unique(np.concatenate(found), axis=0)
             yield pd.DataFrame({"leader": got[:, 0], "member": got[:, 1]})
@@ -326,6 +348,30 @@ def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame, near: int) ->
     return meetings.mapInPandas(pairs, "leader long, member long").distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("leader").alias("key")).union(pairs.select("member")).distinct()
+
+
+def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int, near: int) -> DataFrame:
+    """The linked ones of pairs, for which the texts of their sets' least documents are read again."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in _batches(frames):
+            values, ends = shingle_sets(frame["text"].tolist(), words)
+            same = set_keys(values, ends) == frame["key"].to_numpy()
+            begins = np.concatenate([[0], ends[:-1]])
+            out = [(k, values[i:j].astype("<u8").tobytes()) for k, i, j, s in zip(frame["key"], begins, ends, same, strict=True) if s]
+            yield pd.DataFrame(out, columns=["key", "shingles"])
+
+    wanted = nodes.select("key", F.col("start").alias("doc_id")).join(_ends(pairs), "key", "left_semi")
+    wanted = stored(wanted, "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(LAST))))
+    sets = stored(named.join(wanted, "doc_id").mapInPandas(read, "key long, shingles binary").dropDuplicates(["key"]), "sets")
+    return stored(_searched(pairs, sets, near), "links")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs (doc_id, text): sets of shingles of so many words link when their
     Jaccard similarity is near percent or more.
@@ -339,28 +385,15 @@ def near_groups(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stored(_sent(docs, parts * 4, words, near).groupBy("bucket").applyInPandas(_met, _MET), "meetings")
-    nodes = found.where("kind = 0").select("key", F.col("doc_id").alias("start"), "size")
+    nodes = found.where("kind = 0").select("key", F.col("doc_id").alias("start"), "size", "sketch")
     groups = found.where("kind = 1").select("keys")
     tasks = stored(groups.mapInPandas(_led, "leader long, member long").distinct(), "tasks")
-    keys = tasks.select(F.col("leader").alias("key")).union(tasks.select("member")).distinct()
-    wanted = nodes.join(keys, "key", "left_semi").select(F.col("start").alias("doc_id"), "key")
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _batches(frames):
-            values, ends = shingle_sets(frame["text"].tolist(), words)
-            same = set_keys(values, ends) == frame["key"].to_numpy()
-            begins = np.concatenate([[0], ends[:-1]])
-            sketch = sketches(values, ends)
-            out = [(k, j - i, sketch[n].tobytes(), values[i:j].astype("<u8").tobytes()) for n, (k, i, j, s) in enumerate(zip(frame["key"], begins, ends, same, strict=True)) if s]
-            yield pd.DataFrame(out, columns=["key", "size", "sketch", "shingles"])
-
-    named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(LAST))))
-    sets = stored(named.join(wanted, "doc_id").mapInPandas(read, "key long, size long, sketch binary, shingles binary").dropDuplicates(["key"]), "sets")
-    links = stored(_searched(stored(_promising(tasks, sets, near), "tasks"), sets, near), "links")
-    labels = components(nodes.join(keys, "key", "left_semi"), links)
-    more = stored(_apart(groups, labels, sets, near).join(tasks, ["leader", "member"], "left_anti"), "tasks")
-    links = links.union(stored(_searched(more, sets, near), "links"))
-    labels = components(nodes.join(keys, "key", "left_semi"), links)
+    met = nodes.select("key", "start").join(_ends(tasks), "key", "left_semi")
+    links = _links(docs, stored(_promising(tasks, nodes, near), "tasks"), nodes, words, near)
+    labels = components(met, links)
+    more = stored(_apart(groups, labels, nodes, near).join(tasks, ["leader", "member"], "left_anti"), "tasks")
+    if not more.isEmpty():
+        labels = components(met, links.union(_links(docs, more, nodes, words, near)))
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
