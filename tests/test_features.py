@@ -123,6 +123,48 @@ def test_places(spark):
     assert len(one) == 1 and one[0].proportion == pytest.approx(1.0) and one[0].duration == 7
 
 
+def test_dense_cells_in_a_long_chain(spark):
+    chain = [(10.0 + 0.5e-5 * (i + 0.5), 20.0 + 0.5e-5 * (i % 2 + 0.5)) for i in range(20)]
+    places = [p for p in chain for _ in range(5)] + [(11.00000025, 20.00000025)] * 5 + [(12.00000025, 20.00000025)] * 2
+    rows = [(who, i, i, *p) for who in ("a", None) for i, p in enumerate(places)]
+    found = got(intervals.dense_points(table(spark, GPS, *rows)))
+    middle = [sum(c) / 20 for c in zip(*chain, strict=True)]
+    expected = [(pytest.approx(middle[0], abs=1e-9), pytest.approx(middle[1], abs=1e-9), 100), (pytest.approx(11.00000025), pytest.approx(20.00000025), 5), (pytest.approx(12.00000025), pytest.approx(20.00000025), 2)]
+    assert [x[1:] for x in found if x[0] == "a"] == expected and [x[1:] for x in found if x[0] is None] == expected
+
+
+def plain_k_means(points, k_max=10, rounds=25):
+    apart = lambda a, b: (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2
+    best = last = None
+    for k in range(1, min(k_max, len(points)) + 1):
+        c = [max(points, key=lambda p: (p[2], -p[0], -p[1]))[:2]]
+        while len(c) < k:
+            c.append(max(points, key=lambda p: (min(apart(p, x) for x in c) * p[2], -p[0], -p[1]))[:2])
+        for _ in range(rounds):
+            own = [min(range(k), key=lambda i: apart(p, c[i])) for p in points]
+            n = [sum(p[2] for p, o in zip(points, own, strict=True) if o == i) for i in range(k)]
+            c = [tuple(sum(p[d] * p[2] for p, o in zip(points, own, strict=True) if o == i) / n[i] for d in (0, 1)) if n[i] else c[i] for i in range(k)]
+        own = [min(range(k), key=lambda i: apart(p, c[i])) for p in points]
+        cost = sum(apart(p, c[o]) * p[2] for p, o in zip(points, own, strict=True))
+        if last is not None and last - cost < 0.01 * max(last, 1e-300):
+            break
+        best, last = [(*c[i], sum(p[2] for p, o in zip(points, own, strict=True) if o == i) / sum(p[2] for p in points)) for i in range(k)], cost
+    return sorted(best, key=lambda x: -x[2])
+
+
+def test_k_means_like_a_loop(spark):
+    r, people = random.Random(5), {}
+    for who in "abc":
+        homes = [(r.uniform(40, 41), r.uniform(-71, -70)) for _ in range(4)]
+        people[who] = [(h[0] + r.gauss(0, 0.01), h[1] + r.gauss(0, 0.01), r.randint(1, 9)) for h in homes for _ in range(15)]
+    people["d"] = [(40.0, -71.0, 3)]
+    rows = [(who, *p) for who, points in people.items() for p in points]
+    found = intervals.k_means_centres(table(spark, "participant_id string, latitude double, longitude double, n long", *rows)).collect()
+    for who, points in people.items():
+        mine = [tuple(x)[2:] for x in sorted((x for x in found if x.participant_id == who), key=lambda x: x["rank"])]
+        assert mine == [pytest.approx(x, rel=1e-9) for x in plain_k_means(points)]
+
+
 def test_entropy_and_home(spark):
     rows = table(spark, GPS, *[("a", i, i, 40.0, -71.0) for i in range(5)], *[("a", 10 + i, 10 + i, 41.0, -71.0) for i in range(5)])
     people = table(spark, "participant_id string", ("a",), ("b",))

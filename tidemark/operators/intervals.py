@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geo import haversine_km, metres, planar_km
 from tidemark.plans.registry import PRIMARY, feature
+from tidemark.sources.store import stored
 
 
 def by_time(*keys: str):
@@ -167,59 +168,113 @@ def significant_locations(gps: DataFrame, method: str = "mode", k_max: int = 10,
     return locations_by_k_means(gps, k_max=k_max, eps=eps, max_dist=max_dist)
 
 
+def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str]) -> Column:
+    """Equal columns of two tables, nulls alike."""
+    condition = F.lit(True)
+    for x, y in pairs:
+        condition = condition & a[x].eqNullSafe(b[y])
+    return condition
+
+
+def touching(core: DataFrame) -> DataFrame:
+    """participant_id, i, j, label of each core cell (participant_id, i, j) that touches another: label is the least cell (struct of i
+    and j) that touching cells lead to.
+
+    In each round a cell takes the least label of its neighbours, then the label of the cell that its label names, until
+    no label changes; labels are written to the shared folder.
+    """
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
+    around = core.withColumn("d", F.explode(steps)).select(F.col("participant_id").alias("who"), F.col("i").alias("from_i"), F.col("j").alias("from_j"), (F.col("i") + F.col("d.a")).alias("to_i"), (F.col("j") + F.col("d.b")).alias("to_j"))
+    links = stored(around.join(core, _same(around, core, ("who", "participant_id")) & (F.col("to_i") == F.col("i")) & (F.col("to_j") == F.col("j")), "left_semi"), "links")
+    labels = links.select(F.col("who").alias("participant_id"), F.col("from_i").alias("i"), F.col("from_j").alias("j")).distinct().withColumn("label", F.struct("i", "j"))
+    if links.isEmpty():
+        return labels
+    labels = stored(labels, "labels")
+    while True:
+        met = links.join(labels, _same(links, labels, ("who", "participant_id"), ("from_i", "i"), ("from_j", "j"))).groupBy("who", "to_i", "to_j").agg(F.min("label").alias("other"))
+        nearer = labels.join(met, _same(labels, met, ("participant_id", "who"), ("i", "to_i"), ("j", "to_j")), "left").select("participant_id", "i", "j", F.col("label").alias("was"), F.least("label", "other").alias("label"))
+        named = labels.select(F.col("participant_id").alias("who"), F.col("i").alias("name_i"), F.col("j").alias("name_j"), F.col("label").alias("beyond"))
+        at = F.col("participant_id").eqNullSafe(F.col("who")) & (F.col("label.i") == F.col("name_i")) & (F.col("label.j") == F.col("name_j"))
+        after = stored(nearer.join(named, at).select("participant_id", "i", "j", "was", F.least("label", "beyond").alias("label")), "labels")
+        labels = after.select("participant_id", "i", "j", "label")
+        if after.where("label < was").isEmpty():
+            return labels
+
+
 def dense_points(gps: DataFrame, eps: float = 1e-5, min_samples: int = 5) -> DataFrame:
     """participant_id, latitude, longitude, n: readings reduced to one point for each density cluster, noise kept.
 
     Readings lie in cells as wide as eps / 2, so those of a cell are neighbours; cells with min_samples readings are
-    cores, which join when they touch, by repeated minima over the 8 cells around; other cells stay as they are.
+    cores, and all that a chain of touching ones (the 8 cells around) leads to are one cluster; other cells stay as they are.
     """
     cell = [F.floor(F.col(c) / (eps / 2)).cast("long").alias(k) for c, k in (("latitude", "i"), ("longitude", "j"))]
     cells = one_per_time(gps).select("participant_id", "latitude", "longitude", *cell).groupBy("participant_id", "i", "j").agg(F.sum("latitude").alias("lat"), F.sum("longitude").alias("lon"), F.count("*").alias("n"))
-    core = cells.where(F.col("n") >= min_samples).withColumn("label", F.struct("i", "j"))
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    for _ in range(4):
-        near = core.withColumn("d", F.explode(steps)).select("participant_id", (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j"), F.col("label").alias("other"))
-        best = near.groupBy("participant_id", "i", "j").agg(F.min("other").alias("other"))
-        core = core.join(best, ["participant_id", "i", "j"]).withColumn("label", F.least("label", "other")).drop("other")
-    both = core.select("participant_id", "label", "lat", "lon", "n").unionByName(cells.where(F.col("n") < min_samples).select("participant_id", F.struct("i", "j").alias("label"), "lat", "lon", "n"))
+    cells = stored(cells, "cells")
+    labels = touching(cells.where(F.col("n") >= min_samples).select("participant_id", "i", "j")).toDF("who", "at_i", "at_j", "label")
+    both = cells.join(labels, _same(cells, labels, ("participant_id", "who"), ("i", "at_i"), ("j", "at_j")), "left").withColumn("label", F.coalesce("label", F.struct("i", "j")))
     merged = both.groupBy("participant_id", "label").agg(F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.sum("n").alias("n"))
     return merged.select("participant_id", (F.col("lat") / F.col("n")).alias("latitude"), (F.col("lon") / F.col("n")).alias("longitude"), "n")
 
 
+#: Square of the distance in degrees from a point to each of centres, and the first nearest of these.
+_SQUARES = "transform(centres, c -> pow(latitude - c.latitude, 2) + pow(longitude - c.longitude, 2))"
+_NEAREST = f"cast(array_position({_SQUARES}, array_min({_SQUARES})) - 1 AS int)"
+
+
+def _starts(points: DataFrame, k_max: int) -> DataFrame:
+    """participant_id, k and centres of each k up to k_max and the number of points: the heaviest point, then always the one with the
+    largest product of weight and square of the distance to those before (of equals the least latitude, then longitude)."""
+    here, order = F.struct("latitude", "longitude"), lambda x: F.struct(x, -F.col("latitude"), -F.col("longitude"))
+    seeds = stored(points.groupBy("participant_id").agg(F.count("*").alias("many"), F.array(F.max_by(here, order(F.col("n").cast("double")))).alias("centres")), "seeds")
+    for k in range(2, k_max + 1):
+        open_ = seeds.where(F.col("many") >= k)
+        if open_.isEmpty():
+            break
+        far = F.expr(f"array_min({_SQUARES}) * n")
+        found = points.join(open_, "participant_id").groupBy("participant_id").agg(F.max_by(here, order(far)).alias("next"))
+        grown = F.when(F.col("next").isNotNull(), F.concat("centres", F.array("next"))).otherwise(F.col("centres"))
+        seeds = stored(seeds.join(found, "participant_id", "left").select("participant_id", "many", grown.alias("centres")), "seeds")
+    each = seeds.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("centres"))))
+    return each.select("participant_id", "k", F.expr("slice(centres, 1, k)").alias("centres"))
+
+
+def k_means_centres(points: DataFrame, k_max: int = 10, rounds: int = 25) -> DataFrame:
+    """participant_id, rank, latitude, longitude, proportion: weighted k-means of each participant's points (latitude, longitude, n),
+    with k from 1 up until the cost falls by less than a hundredth.
+
+    All k of all participants take a round at once, as sums over points joined to the at most k_max centres of each k, until no
+    centre moves or for so many rounds. Centres without points are left out.
+    """
+    points = stored(points, "points")
+    state = stored(_starts(points, k_max).withColumn("moved", F.lit(True)), "centres")
+    for _ in range(rounds):
+        active = state.where("moved")
+        if active.isEmpty():
+            break
+        own = points.join(active, "participant_id").select("participant_id", "k", "n", "latitude", "longitude", F.expr(_NEAREST).alias("own"))
+        means = own.groupBy("participant_id", "k", "own").agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("latitude", "longitude")))
+        maps = means.groupBy("participant_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("own", F.struct("latitude", "longitude")))).alias("means"))
+        new = F.expr("CASE WHEN means IS NULL THEN centres ELSE transform(centres, (c, i) -> coalesce(try_element_at(means, i), c)) END")
+        both = state.join(maps, ["participant_id", "k"], "left").select("participant_id", "k", "centres", new.alias("new"))
+        moved = F.expr("exists(zip_with(centres, new, (a, b) -> abs(a.latitude - b.latitude) > 1e-12 OR abs(a.longitude - b.longitude) > 1e-12), x -> x)")
+        state = stored(both.select("participant_id", "k", F.col("new").alias("centres"), moved.alias("moved")), "centres")
+    own = points.join(state, "participant_id").select("participant_id", "k", "n", F.expr(_NEAREST).alias("own"), F.expr(f"array_min({_SQUARES}) * n").alias("cost"))
+    sums = stored(own.groupBy("participant_id", "k", "own").agg(F.sum("n").alias("here"), F.sum("cost").alias("cost")), "sums")
+    costs = sums.groupBy("participant_id", "k").agg(F.sum("cost").alias("cost")).withColumn("last", F.lag("cost").over(W.partitionBy("participant_id").orderBy("k")))
+    flat = F.col("last") - F.col("cost") < 0.01 * F.greatest("last", F.lit(1e-300))
+    best = costs.groupBy("participant_id").agg(F.coalesce(F.min(F.when(flat, F.col("k"))) - 1, F.max("k")).alias("k"))
+    person = W.partitionBy("participant_id")
+    shares = sums.join(best, ["participant_id", "k"]).join(state, ["participant_id", "k"]).select("participant_id", "own", F.expr("centres[own]").alias("c"), (F.col("here") / F.sum("here").over(person)).alias("proportion"))
+    rank = (F.row_number().over(person.orderBy(F.desc("proportion"), "own")) - 1).cast("int")
+    return shares.select("participant_id", rank.alias("rank"), "c.latitude", "c.longitude", "proportion")
+
+
 def locations_by_k_means(gps: DataFrame, k_max: int = 10, eps: float = 1e-5, max_dist: float = 300, seed: int = 7, rounds: int = 25) -> DataFrame:
-    """Weighted k-means of each participant's reduced points, with k from 1 up until the cost falls by less than a hundredth.
+    """Weighted k-means of each participant's reduced points (k_means_centres), with radius and dwell of the readings nearest to a centre.
 
-    The start is fixed (farthest points first), so that results repeat. A participant's points are bounded by their
-    distinct dense cells; participants are independent groups.
+    The start is fixed (farthest points first), so that results repeat.
     """
-    import numpy as np
-
-    columns = "participant_id {kind}, rank int, latitude double, longitude double, proportion double"
-
-    def centres(frame: pd.DataFrame) -> pd.DataFrame:
-        points, weight = frame[["latitude", "longitude"]].to_numpy(), frame["n"].to_numpy(float)
-        best, last = None, None
-        for k in range(1, min(k_max, len(points)) + 1):
-            c = points[[int(np.argmax(weight))]]
-            while len(c) < k:
-                c = np.vstack([c, points[int(np.argmax(((points[:, None] - c[None]) ** 2).sum(2).min(1) * weight))]])
-            for _ in range(rounds):
-                own = ((points[:, None] - c[None]) ** 2).sum(2).argmin(1)
-                new = np.array([np.average(points[own == i], axis=0, weights=weight[own == i]) if (own == i).any() else c[i] for i in range(k)])
-                if np.allclose(new, c, atol=1e-12):
-                    break
-                c = new
-            cost = (((points - c[own]) ** 2).sum(1) * weight).sum()
-            if last is not None and last - cost < 0.01 * max(last, 1e-300):
-                break
-            best, last = (c, own), cost
-        c, own = best
-        share = np.array([weight[own == i].sum() for i in range(len(c))]) / weight.sum()
-        order = np.argsort(-share, kind="stable")
-        return pd.DataFrame({"participant_id": frame["participant_id"].iloc[0], "rank": range(len(c)), "latitude": c[order, 0], "longitude": c[order, 1], "proportion": share[order]})
-
-    kind = gps.schema["participant_id"].dataType.simpleString()
-    c = dense_points(gps, eps).groupBy("participant_id").applyInPandas(centres, columns.format(kind=kind))
+    c = stored(k_means_centres(dense_points(gps, eps), k_max, rounds), "means")
     near = F.row_number().over(W.partitionBy("participant_id", "seq").orderBy("d", "cluster"))
     to = c.select("participant_id", F.col("rank").alias("cluster"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
     d = F.pow(F.col("latitude") - F.col("lat"), 2) + F.pow(F.col("longitude") - F.col("lon"), 2)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +23,23 @@ def merged(saved: DataFrame, fresh: DataFrame) -> DataFrame:
     return settled.unionByName(fresh.select(*settled.columns)).dropDuplicates()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written once as a table under spark.checkpoint.dir and read again; its files go when the driver's JVM ends. Only a session
+    without that folder, as in tests, gets a temporary one."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and (at := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        base = at.get()
+    if base is None:
+        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """A folder of Parquet tables: one for each feature, and within it one for each kept range."""
 
