@@ -449,6 +449,17 @@ def test_no_mix(none):
 # co-trained classifier
 
 
+def test_whole_licenses_and_changed_words(spark):
+    whole = {name: max(texts, key=len) for name, texts in licenses.TEMPLATES.items()}
+    rows = [(i, f"{prose(i)}\n{text}\n{prose(i + 500)}") for i, text in enumerate(whole.values())]
+    rows += [(100, prose(7) + " Released under the old License. " + prose(8)), (101, "released beneath the MIT license"), (102, prose(9) + " Released under the new MIT License " + prose(10))]
+    found = {r.doc_id: r for r in licenses.found_notices(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("matched").collect()}
+    for i, (name, text) in enumerate(whole.items()):
+        assert (found[i].license, found[i].coverage) == (name, 1.0) and len(rows[i][1].encode()[found[i].start : found[i].stop]) >= len(text.encode()) - 2
+    assert (found[101].license, found[101].matched) == ("MIT", 4) and found[102].coverage == 1.0 and found[100].coverage >= 0.8
+    assert {"MPL-2.0", "LGPL-3.0", "AGPL-3.0", "ISC", "BSD-2-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense"} <= set(whole)
+
+
 def test_cotraining_on_held_out(spark):
     rows, labels = [], []
     for i in range(400):

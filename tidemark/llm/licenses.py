@@ -2,14 +2,16 @@
 
 Templates and texts are sequences of words. Of each run of WINDOW hashes of SHINGLE words a template keeps the least
 (winnowing), in an inverted index from hash to template and position. Texts look their own winnowed hashes up; hits
-with about the same shift are one candidate. An alignment in a band around that shift counts the template's words that the text
+with about the same shift are one candidate. Templates so short that a match may share no run of a window's words with them are
+looked for by each of their words instead. An alignment in a band around that shift counts the template's words that the text
 has in order, and gives the place. The index holds templates only, so every task has it whole.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -18,13 +20,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.hashing import STEP, U, hashed_words, mixed
+from tidemark.llm.license_texts import TEXTS
 
 SHINGLE, WINDOW, BAND = 3, 2, 6
 #: Words are letters and digits of ASCII and all bytes beyond.
 _GAP = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 
-#: Notices as they stand in documents, by SPDX identifier.
-TEMPLATES = {
+#: Short notices and beginnings of licences, by SPDX identifier; the whole texts and further notices of TEXTS come after them.
+_NOTICES = {
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -40,6 +43,18 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
 }
+TEMPLATES = {name: _NOTICES.get(name, []) + TEXTS.get(name, []) for name in sorted({*_NOTICES, *TEXTS})}
+
+
+def needed(m: int, coverage: float) -> int:
+    """The least number of matched words that is coverage of m."""
+    return max(1, ceil(coverage * m - 1e-9))
+
+
+def by_words(m: int, coverage: float) -> bool:
+    """Whether coverage of a template of m words can be matched without a run that shares a fingerprint for certain."""
+    gone = m - needed(m, coverage)
+    return ceil((m - gone) / (gone + 1)) < SHINGLE + WINDOW - 1
 
 
 def fingerprints(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +93,16 @@ def aligned(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAN
     score = np.full((m + 1, width + 2), low)
     score[0, 1 : width + 1] = 0  # the match may begin anywhere
     step = np.zeros((m + 1, width + 2), np.int8)
-    for i in range(1, m + 1):
-        for k in range(1, width + 1):
-            j = i - 1 + shift + k - 1 - band  # template word i - 1 lies at words j
-            both = score[i - 1, k] + (2 if 0 <= j < n and template[i - 1] == words[j] else -1)
-            gone = score[i - 1, k + 1] - 1  # left out of the text
-            more = score[i, k - 1] - 1  # a word more in the text
-            best = max(both, gone, more)
-            score[i, k] = best
-            step[i, k] = 0 if best == both else 1 if best == gone else 2
+    place, reach = np.arange(shift - band, shift - band + m + width - 1), np.arange(width)
+    inside = (place >= 0) & (place < n)
+    near = words[np.clip(place, 0, n - 1)]
+    for i in range(1, m + 1):  # column k has template word i - 1 at words i - 1 + shift + k - 1 - band
+        same = (near[i - 1 : i - 1 + width] == template[i - 1]) & inside[i - 1 : i - 1 + width]
+        both = score[i - 1, 1 : width + 1] + np.where(same, 2, -1)
+        gone = score[i - 1, 2:] - 1  # left out of the text
+        best = np.maximum.accumulate(np.maximum(both, gone) + reach) - reach  # with words more in the text
+        score[i, 1 : width + 1] = best
+        step[i, 1 : width + 1] = np.where(best == both, 0, np.where(best == gone, 1, 2))
     best = np.flatnonzero(score[m] == score[m, 1 : width + 1].max())
     i, k = m, int(best[np.argmin(np.abs(best - band - 1))])  # of equal ends the one nearest to shift
     count, first, last = 0, -1, -1
@@ -103,12 +119,24 @@ def aligned(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAN
     return count, first, last
 
 
+def reachable(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> int:
+    """Template words that words has anywhere within band of shift: no alignment there can match more."""
+    m, n = len(template), len(words)
+    hit = np.zeros(m, bool)
+    for by in range(shift - band, shift + band + 1):
+        a, b = max(0, -by), min(m, n - by)
+        if a < b:
+            hit[a:b] |= template[a:b] == words[a + by : b + by]
+    return int(hit.sum())
+
+
 def found_notices(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, coverage: float = 0.8) -> DataFrame:
     """doc_id, license, template, matched, coverage, start, stop of each notice found in docs (doc_id, text).
 
     matched is the number of template words aligned, coverage their share of the template, start and stop the byte range of
     the text from the first to the last of them. Of notices that overlap in a text the one with more matched words stays,
-    then the earlier, then by name. Null and empty texts have none. Rows that share a doc_id are texts of their own; a null
+    then the one with more coverage, the earlier, and by name. An alignment's shift may drift by BAND words, or a fiftieth of a
+    longer template. Null and empty texts have none. Rows that share a doc_id are texts of their own; a null
     doc_id stays null. Other columns are left out. No rows: no rows. Templates under three words are refused.
     """
     names = [(name, i, text) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
@@ -120,6 +148,11 @@ def found_notices(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     index = defaultdict(list)
     for value, at in zip(*(x.tolist() for x in fingerprints(words, of)), strict=True):
         index[value].append((int(of[at]), at - int(starts[of[at]])))
+    bands = [max(BAND, len(b) // 50) for b in bodies]
+    short = [k for k, b in enumerate(bodies) if by_words(len(b), coverage)]
+    seeds = np.unique(np.concatenate([words[:0], *(bodies[k] for k in short)]))
+    member = np.array([np.isin(seeds, bodies[k]) for k in short]).reshape(len(short), len(seeds))
+    bags = [Counter(b.tolist()) for b in bodies]
     known = np.array(sorted(index), U)
     postings = dict(index)
 
@@ -138,19 +171,37 @@ def found_notices(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
                     one = int(text[at[h]])
                     for number, position in postings[int(values[h])]:
                         shifts[one, number].add(int(at[h] - edges[one]) - position)
+                place = np.searchsorted(seeds, word)
+                seed = np.flatnonzero(seeds[np.minimum(place, len(seeds) - 1)] == word) if len(seeds) else np.zeros(0, np.int64)
+                for k, number in enumerate(short):
+                    body, spots = bodies[number], seed[member[k][place[seed]]]
+                    need, reach = needed(len(body), coverage), len(body) + 2 * bands[number]
+                    first, last = spots[: max(0, len(spots) - need + 1)], spots[need - 1 :]
+                    for i in first[(last - first < reach) & (text[last] == text[first])].tolist():
+                        stop_ = min(i + reach, int(edges[text[i] + 1]))
+                        if sum((Counter(word[i:stop_].tolist()) & bags[number]).values()) >= need:
+                            one = int(text[i])
+                            for j in range(i, stop_):
+                                shifts[one, number].update((j - int(edges[one]) - np.flatnonzero(body == word[j])).tolist())
                 found = defaultdict(list)
                 for (one, number), all_ in shifts.items():
                     own, seen = word[edges[one] : edges[one + 1]], (0, -1)
+                    most = len(own) if len(own) < needed(len(bodies[number]), coverage) else sum((Counter(own.tolist()) & bags[number]).values())
+                    if most < needed(len(bodies[number]), coverage):  # too few of its words in the whole text
+                        continue
                     for shift in sorted(all_):
                         if seen[0] <= shift <= seen[1]:  # another shift of the notice just found
                             continue
-                        count, i, j = aligned(bodies[number], own, shift)
-                        if count >= coverage * len(bodies[number]):
+                        need, m, band = needed(len(bodies[number]), coverage), len(bodies[number]), bands[number]
+                        if min(len(own), shift + m + band) - max(0, shift - band) < need or reachable(bodies[number], own, shift, band) < need:
+                            continue
+                        count, i, j = aligned(bodies[number], own, shift, bands[number])
+                        if count >= needed(len(bodies[number]), coverage):
                             seen = i, j
-                            found[one].append((-count, i, number, j))
+                            found[one].append((-count, len(bodies[number]), i, number, j))
                 for one, matches in found.items():
                     taken = []
-                    for count, i, number, j in sorted(matches):
+                    for count, _, i, number, j in sorted(set(matches)):
                         if all(j < a or i > b for a, b in taken):
                             taken.append((i, j))
                             doc_id, name, e = part["doc_id"].iloc[one], names[number], edges[one]
