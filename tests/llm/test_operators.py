@@ -7,8 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm import cotraining, jaccard, licenses, mixing, packing, repeats, rules, scoring, token_files, tokens, vectors
 
@@ -109,10 +111,24 @@ def test_nothing_to_pack(none):
 # tokens and token files
 
 
-@pytest.mark.parametrize("text", ["", " ", "  a", "a  b", " a\n b\t c ", "it's 've  ' s", "日本 語 a", "a b  c", "x\x1c y", "<|endoftext|> x", "🙂 🙂🙂", "12a b12 ½", "A.b, c!! d...", "é ñandú\r\n\r\n ü"])
+ODD = ["", " ", "  a", "a  b", " a\n b\t c ", "it's 've  ' s", "日本 語 a", "a b  c", "x\x1c y", "🙂 🙂🙂", "12a b12 ½", "A.b, c!! d...", "é ñandú\r\n\r\n ü", "one.\nTwo three,\nFour\n\nFive\n", "a\n", "ab \ncd", "x\n y", "ab\n\tcd e\u00a0f"]
+MARKS = ["<|endoftext|>", "<|endoftext|> x", "hello <|endoftext|> x", "x <|endoftext|>", "a<|endoftext|><|endoftext|>b c", "<|endoftext|", "a b <|endoftext|>\nc  d"]
+
+
+@pytest.mark.parametrize("text", ODD + MARKS)
 def test_chunks_give_the_library_ids(text):
+    """Against a tokenizer of its own, loaded and called as the library's users do."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    code = tokens.encoder()
+    for _ in range(2):  # new, then remembered
+        assert np.frombuffer(code.encode(text), code.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encoded_documents_end():
     code = tokens.encoder()
-    assert code.encode(text) == (code.whole(text) if text else b"")
+    ids, ends = code.encoded(["a b", None, ""], 7)
+    assert ids.tolist() == [*np.frombuffer(code.encode("a b"), code.dtype).tolist(), 7, 7, 7] and ends.tolist() == [len(ids) - 2, len(ids) - 1, len(ids)]
+    assert [len(x) for x in code.encoded([], 7)] == [0, 0]
 
 
 def test_elias_fano_round_trip():

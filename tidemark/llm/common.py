@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found is None and (at := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = at.get()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -48,3 +54,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sliced(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """batch in slices with about size bytes of column text each, or one longer text."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0), np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // size, prepend=0)) if len(sizes) else sizes
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)

@@ -12,12 +12,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import sliced, stored, table
 from tidemark.llm.tokens import VOCABULARY, encoder
 
 #: Pieces that are ranked together, on average.
@@ -86,22 +86,28 @@ def _slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int,
 def pieces(docs: DataFrame, capacity: int = 1024, vocabulary: str = VOCABULARY, end: int = 0, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (little-endian unsigned 32-bit) of each piece."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary)
-        last = np.array([end], code.dtype).tobytes()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"].astype(object).tolist(), batch["text"], strict=True):
-                ids = np.frombuffer(code.encode(text if isinstance(text, str) else None) + last, code.dtype).astype("<u4")
-                name = None if pd.isna(doc_id) else int(doc_id)
-                for at in range(0, len(ids), capacity):
-                    data = ids[at : at + capacity].tobytes()
-                    out.append((name, at, len(data) // 4, zlib.crc32(data), len(ids), data if keep_ids else None))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    return found if keep_ids else found.drop("ids")
+            for part in sliced(batch):
+                ids, ends = code.encoded(part["text"].to_pylist(), end)
+                sizes = np.diff(ends, prepend=0)
+                counts = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), counts)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)) * capacity
+                begin = (ends - sizes)[doc] + start
+                stop = np.minimum(begin + capacity, ends[doc])
+                view = memoryview(ids.astype("<u4")).cast("B")
+                bounds = [*zip((4 * begin).tolist(), (4 * stop).tolist(), strict=True)]
+                columns = [part["doc_id"].take(pa.array(doc)), start, stop - begin, np.array([zlib.crc32(view[a:b]) for a, b in bounds], np.int64), sizes[doc]]
+                if keep_ids:
+                    columns.append(pa.array([bytes(view[a:b]) for a, b in bounds], pa.binary()))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names + ["ids"] * keep_ids)
+
+    kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, kind + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, **options) -> DataFrame:

@@ -2,13 +2,15 @@
 
 A byte-level BPE vocabulary splits a text by a fixed pattern and merges inside each piece. Under that pattern a
 piece always begins at a space that a non-space follows, so texts may be cut there: equal chunks have
-equal ids, and only chunks not seen yet reach the library.
+equal ids, and only chunks not seen yet reach the library. Texts that hold the content of an added token, such as
+an end-of-text mark, go to the library whole, as it gives such content an id of its own.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -66,6 +68,10 @@ class _Pieces(_Memory):
         return array(self.kind, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
+class _Uneven(Exception):
+    """Cut at every space, a text has a chunk that is empty or begins with white space."""
+
+
 class _Chunks(_Memory):
     """Ids of a chunk and the space before it, as bytes. A word, and a word before a mark, need no pattern."""
 
@@ -74,10 +80,15 @@ class _Chunks(_Memory):
         self.encoder = encoder
 
     def found(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace():
+            raise _Uneven
         if not chunk.isascii() and max(chunk) >= SETTLED:
             return self.encoder.whole(" " + chunk)
         if chunk.isalpha():
             return self.encoder.pieces.found(" " + chunk)
+        first, line, rest = chunk.partition("\n")  # between two letters or marks a line feed is a piece of its own
+        if line and rest and not first[-1].isspace() and not rest[0].isspace():
+            return self[first] + self.encoder.pieces[line] + self.encoder.chunk(rest)
         if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
             return self[chunk[:-1]] + self.encoder.pieces[chunk[-1]]
         return self.encoder.chunk(" " + chunk)
@@ -88,7 +99,7 @@ class Encoder:
 
     def __init__(self, vocabulary: str = VOCABULARY):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.cuts = "ByteLevel" in type(self.tokenizer.pre_tokenizer).__name__ and self.tokenizer.normalizer is None and not self.tokenizer.pre_tokenizer.add_prefix_space
         self.pattern = regex.compile(public_tokenizers.PATTERN)
@@ -107,10 +118,20 @@ class Encoder:
         """Ids of a whole text; none for null and empty texts."""
         if not text:
             return b""
-        if not self.cuts:
+        if not self.cuts or any(a in text for a in self.added):
             return self.whole(text)
-        first, *rest = _CUT.split(text)
-        return (self.chunk(first) if first else b"") + b"".join(map(self.chunks.__getitem__, rest))
+        first, *rest = text.split(" ")
+        try:
+            return (self.chunk(first) if first else b"") + b"".join(map(self.chunks.__getitem__, rest))
+        except _Uneven:
+            first, *rest = _CUT.split(text)
+            return (self.chunk(first) if first else b"") + b"".join(map(self.chunks.__getitem__, rest))
+
+    def encoded(self, texts: Sequence[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts, each with the id end after it, one text after the other; and where each text's end."""
+        last = np.array([end], self.dtype).tobytes()
+        found = [self.encode(t) + last for t in texts]
+        return np.frombuffer(b"".join(found), self.dtype), np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize)
 
 
 @lru_cache(2)
