@@ -27,6 +27,8 @@ MAGIC = b"TIDEEF01"
 SAMPLE = 256
 #: A file is closed at so many ids or documents.
 FILE_IDS, FILE_DOCS = 16_000_000, 1_000_000
+#: Bytes of text in the range of doc ids that one task writes, on average.
+RANGE_BYTES = 64_000_000
 _FOOTER = struct.Struct("<QQQQqQB7x8s")  # ids, documents, bytes of ends, bytes of doc ids, least doc id, null doc ids, bytes an id
 
 
@@ -48,11 +50,12 @@ class EliasFano:
         values = np.asarray(values, np.int64)
         top = int(values[-1]) if n else 0
         bits = max(0, ((top + 1) // n).bit_length() - 1) if n else 0
-        low = np.packbits(((values[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little")
+        step = 1 << 13  # a multiple of 8 values fills whole bytes
+        low = b"".join(np.packbits(((values[i : i + step, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes() for i in range(0, n, step))
         ones = (values >> bits) + np.arange(n)
         high = np.zeros((n + (top >> bits) + 8) // 8 * 8, np.uint8)
         high[ones] = 1
-        return cls._HEAD.pack(n, top, bits) + low.tobytes() + np.packbits(high, bitorder="little").tobytes() + ones[::SAMPLE].astype("<u4").tobytes()
+        return cls._HEAD.pack(n, top, bits) + low + np.packbits(high, bitorder="little").tobytes() + ones[::SAMPLE].astype("<u4").tobytes()
 
     def __len__(self) -> int:
         return self.n
@@ -172,7 +175,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held // RANGE_BYTES)
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     files = rows.mapInPandas(write, "path string, part long, nth long, n_docs long, n_ids long").collect()
     before, out = 0, []
