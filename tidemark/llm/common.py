@@ -49,10 +49,13 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once as a table in the shared folder and read again: lost executors cost no recomputation."""
+def stored(df: DataFrame, what: str, rows: int = 0) -> DataFrame:
+    """df written once as a table in the shared folder and read again: lost executors cost no recomputation.
+
+    rows: how many a file holds at most (0: any number), for tables of large rows, as a reader holds many rows of a file at once.
+    """
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

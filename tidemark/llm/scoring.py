@@ -1,23 +1,28 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
-The last CONTEXT words' vectors, each scaled by its distance's weights, add up to a prediction; its product with a word's
-output vector, plus the word's bias, is the word's score. Outputs are the commonest words and GROUPS of all the others by
-their shape; within a group words share its probability by their counts. Training contrasts each token with noise
-from the unigram distribution, so it never normalises; scoring does, by one matrix product for a batch of tokens.
-
-Training runs in rounds over disjoint parts of the training documents: each task continues from the common model over all
-its tokens of the round, and the tasks' models are averaged by tokens. Counts of all words stay in a table: the
-bounded head of it goes to every task, the rest is joined by word.
+The last CONTEXT words' vectors, each scaled by its distance's weights, add up to a prediction. Its product with an output
+vector, plus a bias, is a score. Every word counted LEAST times or more has an input and an output vector of its own, so the
+model grows with the corpus. These words, by falling count, form classes: the commonest stand alone, and a class further down
+holds about as many words as the square root of its rank asks for. A word's probability is that of its class times that inside
+its class, each from one matrix product, so that it is normalised over all words. All rarer words are GROUPS of their own by
+shape; within a group words share its probability by their counts.
+
+Training contrasts each token with noise from the unigram distribution, at both levels, so it never normalises. It runs in
+rounds over disjoint parts of the training documents: each task continues from the common model over all its tokens of the
+round and sends the rows of the model that it changed; these are averaged row by row.
+
+Texts are split into words once: chunks of documents are kept as numbers with the words they stand for. Counts of all words
+stay in a table: the bounded head of it goes to every task, the rest is joined by word.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,15 +30,22 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored, table
 
 CONTEXT, WIDTH = 4, 16
-#: Words with a score of their own, words with a context vector of their own, and words whose counts each task holds.
-OUTPUTS, INPUTS, HEAD = 240, 2000, 200_000
-#: No longer word is in the head, so that its size is bounded.
-HEAD_BYTES = 64
+#: Occurrences from which on a word has vectors of its own; fewer say too little about as many numbers.
+LEAST = 100
+#: Words whose counts each task holds, and so words with vectors at most: some 30 MB of model. No word of more bytes is among them.
+HEAD, HEAD_BYTES = 200_000, 64
+#: Words that are classes of their own, and how much a class grows with the square root of its rank.
+SINGLE, SPREAD = 128, 4.0
 GROUPS = 16
-ROUNDS, STEP, NOISE, SHARED, BATCH = 3, 0.15, 20, 64, 2048
+ROUNDS, STEP, BATCH = 3, 0.15, 2048
+#: Noise words for each token among classes, of which a batch shares SHARED draws, and inside a class.
+NOISE, SHARED, INNER = 20, 64, 3
 #: Stands for the end of a text; no word is empty.
 END = b""
-_BLOCKS = 16
+#: Bytes of text and documents in a chunk.
+CHUNK_BYTES, CHUNK_DOCS = 6_000_000, 1 << 16
+#: Rows of the model that are averaged together.
+BLOCK = 4096
 
 
 def group(word: bytes) -> int:
@@ -43,156 +55,240 @@ def group(word: bytes) -> int:
     return kind + 4 * (not word.isascii()) + 8 * (len(word) > 6)
 
 
-def words(text: str | None) -> list[bytes]:
-    """Runs of other bytes than space and control white space, with A-Z in lower case."""
-    return text.encode().lower().split() if isinstance(text, str) else []
-
-
 class Vocabulary:
-    """The head of the counts: for each word its classes as output and as context, and log10(count + 1)."""
+    """The head of the counts. Symbols number the words with vectors, then the groups; classes number the outputs."""
 
     def __init__(self, head: list[tuple[bytes, int]], groups: np.ndarray, total: int, distinct: int):
-        head = [(END, dict(head).get(END, 0)), *((w, c) for w, c in head if w != END)]
+        head = [(END, dict(head).get(END, 0)), *sorted(((w, c) for w, c in head if w != END), key=lambda x: (-x[1], x[0]))]
         self.index = {w: i for i, (w, _) in enumerate(head)}
-        own = np.array([group(w) for w, _ in head])
-        n = np.arange(len(head))
-        self.output = np.where(n < OUTPUTS, n, OUTPUTS + own).astype(np.int32)
-        self.input = np.where(n < INPUTS, n, INPUTS + own).astype(np.int32)
-        self.counts = np.array([c for _, c in head])
+        self.counts = np.array([c for _, c in head], np.int64)
         self.log = np.log10(self.counts + 1.0)
         self.total, self.distinct = total, distinct
-        inside = n >= OUTPUTS
+        kind = np.array([group(w) for w, _ in head])
+        self.own = n = 1 + int((self.counts[1:] >= LEAST).sum())
+        self.symbol = np.where(np.arange(len(head)) < n, np.arange(len(head)), n + kind).astype(np.int32)
+        edges = list(range(min(n, SINGLE) + 1))
+        while edges[-1] < n:
+            edges.append(min(n, edges[-1] + max(8, int(SPREAD * math.sqrt(edges[-1])))))
+        self.edges = np.array(edges)  # symbols edges[c] to edges[c + 1] - 1 are class c
+        self.inside = len(edges) - 1
+        sizes = np.diff(self.edges)
+        self.classes = np.concatenate([np.repeat(np.arange(self.inside), sizes), self.inside + np.arange(GROUPS)]).astype(np.int32)
+        self.wide = np.concatenate([sizes > 1, np.zeros(GROUPS, bool)])
         mass = groups.astype(float)  # rows of (tokens, distinct words) of all words by group
-        np.subtract.at(mass, own[~inside], np.stack([self.counts, np.ones(len(head))], axis=1)[~inside])
-        self.group_total = mass.sum(axis=1) + 1
-        known = np.zeros(OUTPUTS + GROUPS)
-        known[: min(OUTPUTS, len(head))] = self.counts[:OUTPUTS]
-        known[OUTPUTS:] = mass[:, 0]
-        self.unigram = (known + 1) / (known + 1).sum()
-
-    def encode(self, found: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """Numbers of a text's tokens with its end, and the words not in the head, which get -1 less their group."""
-        get, rest = self.index.get, []
-        ids = [get(w, -1) for w in found]
-        ids.append(0)
-        out = np.array(ids, np.int64)
-        if -1 in ids:
-            at = np.flatnonzero(out == -1)
-            rest = [found[i] for i in at.tolist()]
-            out[at] = [-1 - group(w) for w in rest]
-        return out, rest
-
-    def classes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        unknown = -1 - ids
-        known = ids >= 0
-        return np.where(known, self.output[ids], OUTPUTS + unknown), np.where(known, self.input[ids], INPUTS + unknown)
-
-
-def contexts(inputs: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Classes of the CONTEXT tokens before each token, nearest first; ends of texts stand before a text."""
-    n = len(inputs)
-    age = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    out = np.zeros((CONTEXT, n), np.int32)
-    for k in range(CONTEXT):
-        out[k, k + 1 :] = inputs[: n - k - 1] if n > k + 1 else out[k, k + 1 :]
-        out[k][age <= k] = 0
-    return out
+        np.subtract.at(mass, kind[:n], np.stack([self.counts[:n], np.ones(n)], axis=1))
+        self.group_log = np.log10(mass.sum(axis=1) + 1)
+        word = self.counts[:n] + 1.0
+        self.up_to = np.concatenate([[0.0], np.cumsum(word)])
+        known = np.concatenate([self.up_to[self.edges[1:]] - self.up_to[self.edges[:-1]], mass[:, 0] + 1])
+        self.unigram = known / known.sum()
+        self.inner = np.log(word / known[self.classes[:n]])
+
+    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words: symbol, log10(count + 1), and 1 where counted, 0 where not, -1 where the word is not in the head."""
+        get = self.index.get
+        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        far = np.flatnonzero(at < 0)
+        symbol, log, known = self.symbol[at], self.log[at], (self.counts[at] > 0).astype(np.int8)
+        symbol[far] = [self.own + group(words[i]) for i in far.tolist()]
+        log[far], known[far] = 0, -1
+        return symbol, log, known
 
 
 class Model:
-    """Parameters in one flat array: context vectors, distance weights, output vectors, biases."""
-
-    shapes = ((INPUTS + GROUPS, WIDTH), (CONTEXT, WIDTH), (OUTPUTS + GROUPS, WIDTH), (OUTPUTS + GROUPS,))
+    """Parameters in one matrix of WIDTH + 1 columns: inputs, classes with biases, words inside classes with biases, distance weights."""
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, at = np.array(flat, np.float32), 0
-        parts = []
-        for shape in self.shapes:
-            n = math.prod(shape)
-            parts.append(self.flat[at : at + n].reshape(shape))
-            at += n
-        self.vectors, self.weights, self.outputs, self.bias = parts
+    def __init__(self, vocabulary: Vocabulary, matrix: np.ndarray):
+        v = self.vocabulary = vocabulary
+        self.matrix = np.array(matrix, np.float32)
+        self.at = np.cumsum([0, v.own + GROUPS, v.inside + GROUPS, v.own, CONTEXT])
+        self.inputs, self.outer, self.words, self.weights = (self.matrix[a:b] for a, b in zip(self.at, self.at[1:], strict=False))
 
     @classmethod
-    def start(cls, unigram: np.ndarray, seed: int = 5) -> Model:
-        out = cls(np.random.default_rng(seed).normal(0, 0.1, sum(math.prod(s) for s in cls.shapes)))
-        out.weights[:] = 1 / (1 + np.arange(CONTEXT))[:, None]
-        out.bias[:] = np.log(unigram)
+    def start(cls, v: Vocabulary, seed: int = 5) -> Model:
+        rows = 2 * v.own + v.inside + 2 * GROUPS + CONTEXT
+        out = cls(v, np.random.default_rng(seed).normal(0, 0.1, (rows, WIDTH + 1)))
+        out.words[:, :WIDTH] *= 0.3
+        out.inputs[:, WIDTH] = out.weights[:, WIDTH] = 0
+        out.weights[:, :WIDTH] = 1 / (1 + np.arange(CONTEXT))[:, None]
+        out.outer[:, WIDTH], out.words[:, WIDTH] = np.log(v.unigram), v.inner
         return out
 
-    def predicted(self, before: np.ndarray) -> np.ndarray:
-        return np.einsum("kbd,kd->bd", self.vectors[before], self.weights, optimize=False)
+    def predicted(self, symbols: np.ndarray, age: np.ndarray, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions, with a last column of ones, for tokens at to stop - 1, and the input rows from CONTEXT tokens before on.
+
+        age counts the tokens before a token in its text; before a text stand ends of texts.
+        """
+        before = symbols[max(0, at - CONTEXT) : stop]
+        rows = self.inputs[np.concatenate([np.zeros(max(0, CONTEXT - at), before.dtype), before])]
+        out = np.zeros((stop - at, WIDTH + 1), np.float32)
+        for k in range(CONTEXT):
+            near = rows[CONTEXT - 1 - k : CONTEXT - 1 - k + stop - at]
+            out += near * self.weights[k]
+            first = np.flatnonzero(age[at:stop] <= k)
+            if len(first):
+                out[first] += (self.inputs[0] - near[first]) * self.weights[k]
+        out[:, WIDTH] = 1
+        return out, rows
+
+    def log10(self, symbols: np.ndarray, starts: np.ndarray, size: int = 65536) -> np.ndarray:
+        """Normalised log10 probabilities of symbols after their contexts."""
+        v, age, out = self.vocabulary, ages(len(symbols), starts), np.empty(len(symbols))
+        for i in range(0, len(symbols), size):
+            own = symbols[i : i + size]
+            r, _ = self.predicted(symbols, age, i, i + len(own))
+            which = v.classes[own]
+            out[i : i + size] = _normalised(r, self.outer, which)
+            at = np.flatnonzero(v.wide[which])
+            at = at[np.argsort(which[at], kind="stable")]
+            cuts = np.flatnonzero(np.diff(which[at])) + 1
+            for same in np.split(at, cuts) if len(at) else ():
+                a, b = v.edges[which[same[0]]], v.edges[which[same[0]] + 1]
+                out[i + same] += _normalised(r[same], self.words[a:b], own[same] - a)
+        return out / math.log(10)
+
+
+def ages(n: int, starts: np.ndarray) -> np.ndarray:
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
 
-    def log10(self, outputs: np.ndarray, before: np.ndarray, size: int = 8192) -> np.ndarray:
-        """Normalised log10 probabilities of output classes after their contexts."""
-        out = np.empty(len(outputs))
-        for i in range(0, len(outputs), size):
-            scores = self.predicted(before[:, i : i + size]) @ self.outputs.T
-            scores += self.bias
-            own = scores[np.arange(len(scores)), outputs[i : i + size]]
+
+def _normalised(r: np.ndarray, outputs: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logs of the softmax of r times outputs at own; blocks of rows stay in a core's cache."""
+    out, step = np.empty(len(r), np.float32), max(16, 262_144 // len(outputs))
+    across, ones = np.ascontiguousarray(outputs.T), np.ones(len(outputs), np.float32)
+    safe = np.sqrt((r**2).sum(axis=1).max(initial=0) * (outputs**2).sum(axis=1).max()) < 80  # no exponential can overflow or all vanish
+    for i in range(0, len(r), step):
+        scores = r[i : i + step] @ across
+        if not safe:
             scores -= scores.max(axis=1, keepdims=True)
-            most = own - scores[np.arange(len(scores)), outputs[i : i + size]]
-            np.exp(scores, out=scores)
-            out[i : i + size] = own - most - np.log(scores.sum(axis=1, dtype=np.float64))
-        return out / math.log(10)
+        mine = scores[np.arange(len(scores)), own[i : i + step]]
+        np.exp(scores, out=scores)
+        out[i : i + step] = mine - np.log(scores @ ones)
+    return out
 
 
 class Trainer:
-    """Stochastic gradient steps (AdaGrad) on the contrast of data with noise shared by a batch."""
-
-    def __init__(self, model: Model, unigram: np.ndarray, seed: int):
-        self.model, self.unigram, self.random = model, unigram, np.random.default_rng(seed)
-        self.past = Model(np.full(len(model.flat), 1.0))
-        self.offset = np.log(NOISE * unigram).astype(np.float32)
-        self.cumulative = np.cumsum(unigram)
-
-    def _step(self, part: np.ndarray, past: np.ndarray, gradient: np.ndarray) -> None:
-        past += gradient**2
-        part -= STEP * gradient / np.sqrt(past)
-
-    def learn(self, outputs: np.ndarray, before: np.ndarray) -> None:
-        m, past = self.model, self.past
-        noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(SHARED)), len(self.unigram) - 1)
-        vectors = m.vectors[before]
-        r = np.einsum("kbd,kd->bd", vectors, m.weights)
-        own, other = m.outputs[outputs], m.outputs[noise]
-        true = (r * own).sum(axis=1) + m.bias[outputs] - self.offset[outputs]
-        false = r @ other.T + (m.bias[noise] - self.offset[noise])
-        g = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-        h = (NOISE / SHARED) / (1 + np.exp(np.clip(-false, -30, 30)))
-        dr = g[:, None] * own + h @ other
-        size = len(m.bias)
-        bias = np.bincount(outputs, g, size) + np.bincount(noise, h.sum(axis=0), size)
-        gr, hr = g[:, None] * r, h.T @ r
-        out = np.stack([np.bincount(outputs, gr[:, d], size) + np.bincount(noise, hr[:, d], size) for d in range(WIDTH)], axis=1)
-        weights = np.einsum("kbd,bd->kd", vectors, dr)
-        index = before.ravel()
-        pushed = dr[None] * m.weights[:, None, :]
-        ins = np.stack([np.bincount(index, pushed[:, :, d].ravel(), len(m.vectors)) for d in range(WIDTH)], axis=1)
-        for name, gradient in (("bias", bias), ("outputs", out), ("weights", weights / 100), ("vectors", ins)):
-            self._step(getattr(m, name), getattr(past, name), gradient.astype(np.float32))
-
-
-def _counts(docs: DataFrame) -> DataFrame:
-    """word, n of all tokens of the training documents."""
+    """Stochastic gradient steps (AdaGrad, by row) on the contrast of data with noise."""
+
+    def __init__(self, model: Model, seed: int):
+        self.model, self.random = model, np.random.default_rng(seed)
+        v = model.vocabulary
+        self.past, self.touched = np.ones(len(model.matrix), np.float32), np.zeros(len(model.matrix), np.float32)
+        self.outer_noise = np.log(NOISE * v.unigram).astype(np.float32)
+        self.inner_noise = (v.inner + math.log(INNER)).astype(np.float32)
+        self.up_to = np.cumsum(v.unigram)
+
+    def _step(self, part: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+        order = np.argsort(rows)
+        rows = rows[order]
+        at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        total, own = np.add.reduceat(gradient[order], at, axis=0), self.model.at[part] + rows[at]
+        self.past[own] += np.einsum("nd,nd->n", total, total) / (WIDTH + 1)
+        self.model.matrix[own] -= (STEP / np.sqrt(self.past[own]))[:, None] * total
+        self.touched[own] += 1
+
+    def learn(self, symbols: np.ndarray, age: np.ndarray, at: int, stop: int) -> None:
+        m, v, n = self.model, self.model.vocabulary, stop - at
+        own, (r, rows) = symbols[at:stop], m.predicted(symbols, age, at, stop)
+        which = v.classes[own]
+        noise = np.minimum(np.searchsorted(self.up_to, self.random.random(SHARED)), len(self.up_to) - 1)
+        mine, other = m.outer[which], m.outer[noise]
+        g = _sigmoid(np.einsum("nd,nd->n", r, mine) - self.outer_noise[which]) - 1
+        h = (NOISE / SHARED) * _sigmoid(r @ other.T - self.outer_noise[noise])
+        dr = g[:, None] * mine + h @ other
+        steps = [(1, np.concatenate([which, noise]), np.concatenate([g[:, None] * r, h.T @ r]))]
+        wide = np.flatnonzero(v.wide[which])
+        if len(wide):
+            a, b = v.edges[which[wide]], v.edges[which[wide] + 1]
+            low, high = v.up_to[a], v.up_to[b]
+            draws = np.searchsorted(v.up_to, low[:, None] + self.random.random((len(wide), INNER)) * (high - low)[:, None], side="right") - 1
+            words = np.concatenate([own[wide, None], np.minimum(draws, b[:, None] - 1)], axis=1)
+            vectors = m.words[words]
+            slope = _sigmoid(np.einsum("nkd,nd->nk", vectors, r[wide]) - self.inner_noise[words])
+            slope[:, 0] -= 1
+            dr[wide] += np.einsum("nk,nkd->nd", slope, vectors)
+            steps.append((2, words.ravel(), (slope[:, :, None] * r[wide, None]).reshape(-1, WIDTH + 1)))
+        dr[:, WIDTH] = 0
+        pushed, weights = np.zeros_like(rows), np.zeros((CONTEXT, WIDTH + 1), np.float32)
+        for k in range(CONTEXT):
+            place = slice(CONTEXT - 1 - k, CONTEXT - 1 - k + n)
+            back, near, first = dr * m.weights[k], rows[place], np.flatnonzero(age[at:stop] <= k)
+            weights[k] = np.einsum("nd,nd->d", near, dr)
+            if len(first):
+                weights[k] += ((m.inputs[0] - near[first]) * dr[first]).sum(axis=0)
+                steps.append((0, np.zeros(1, np.int64), back[first].sum(axis=0, keepdims=True)))
+                back[first] = 0
+            pushed[place] += back
+        skip = max(0, CONTEXT - at)
+        steps += [(0, symbols[at + skip - CONTEXT : stop], pushed[skip:]), (3, np.arange(CONTEXT), weights / 100)]
+        for part, at_, gradient in steps:
+            self._step(part, at_, gradient)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+_CHUNKS = "chunk long, doc_ids binary, nulls binary, held binary, sizes binary, ids binary, words binary, lengths binary, counts binary"
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Documents as numbers of words in rows of many documents, each with its words and how often training documents have them.
+
+    A word is a run of other bytes than space and control white space, with A-Z in lower case; 0 is the end of a text.
+    """
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        part, n = TaskContext.get().partitionId() << 24, 0
+        numbers, docs_, held_bytes = _Numbers({END: 0}), [], 0
 
-        def rows():
-            return pd.DataFrame({"word": list(found.keys()), "n": list(found.values())})
+        def row() -> pa.RecordBatch:
+            ids, held = np.concatenate([d[2] for d in docs_]), np.array([d[1] for d in docs_])
+            sizes, words = np.array([len(d[2]) for d in docs_]), list(numbers)
+            counts = np.bincount(ids[~np.repeat(held, sizes)], minlength=len(words))
+            names = np.array([d[0] or 0 for d in docs_], "<i8"), np.array([d[0] is None for d in docs_], np.uint8)
+            fields = [*(x.tobytes() for x in names), held.astype(np.uint8).tobytes(), sizes.astype("<i8").tobytes(), ids.astype("<u4").tobytes(), b"".join(words), np.array([len(w) for w in words], "<i4").tobytes(), counts.astype("<i8").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([part + n]), *(pa.array([x], pa.binary()) for x in fields)], [f.split()[0] for f in _CHUNKS.split(", ")])
 
-        for frame in frames:
-            for text in frame["text"]:
-                found.update(words(text))
-                found[END] += 1
-                if len(found) >= 500_000:
-                    yield rows()
-                    found.clear()
-        if found:
-            yield rows()
+        for batch in batches:
+            for doc_id, text, held in zip(*(batch[c] for c in ("doc_id", "text", "held_out")), strict=True):
+                words = (text.as_py() or "").encode().lower().split()
+                words.append(END)
+                docs_.append((doc_id.as_py(), held.as_py(), np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))))
+                held_bytes += text.as_buffer().size if text.is_valid else 0
+                if held_bytes >= CHUNK_BYTES or len(docs_) >= CHUNK_DOCS:
+                    yield row()
+                    numbers, docs_, held_bytes, n = _Numbers({END: 0}), [], 0, n + 1
+        if docs_:
+            yield row()
+
+    return docs.mapInArrow(split, _CHUNKS)
 
-    return docs.where("NOT held_out").select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+def _words(data: bytes, lengths: bytes) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<i4"))]).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _counts(chunks: DataFrame) -> DataFrame:
+    """word, n of all tokens of the training documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                n = np.frombuffer(x["counts"], "<i8")
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([_words(x["words"], x["lengths"]).take(pa.array(at)), pa.array(n[at])], ["word", "n"])
+
+    return chunks.select("words", "lengths", "counts").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _vocabulary(counts: DataFrame) -> Vocabulary:
@@ -216,52 +312,58 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
             break
         least = r["rank"]
     head = [] if least is None else short.where(F.col("rank") >= least).select("word", "n").collect()
-    return Vocabulary(sorted(((bytes(r["word"]), r["n"]) for r in head), key=lambda x: (-x[1], x[0])), groups, int(groups[:, 0].sum()), int(groups[:, 1].sum()))
+    return Vocabulary([(bytes(r["word"]), r["n"]) for r in head], groups, int(groups[:, 0].sum()), int(groups[:, 1].sum()))
 
 
-def _encoded(frame: pd.DataFrame, vocabulary: Vocabulary, size: int = 300_000) -> Iterator[tuple]:
-    """Slices of a frame of about size bytes: ids one text after the other, where texts start, and their unknown words."""
-    lengths = frame["text"].str.len().fillna(0).to_numpy(float)
-    for _, part in frame.groupby(np.cumsum(lengths) // size, sort=False):
-        both = [vocabulary.encode(words(t)) for t in part["text"]]
-        ids = np.concatenate([x for x, _ in both])
-        starts = np.concatenate([[0], np.cumsum([len(x) for x, _ in both])[:-1]])
-        yield part, ids, starts, [rest for _, rest in both]
+def _tokens(x, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Of a chunk: numbers of its tokens, sizes of its documents, and what vocabulary.numbers gives for its words."""
+    found = vocabulary.numbers(_words(x["words"], x["lengths"]).to_pylist())
+    return np.frombuffer(x["ids"], "<u4"), np.frombuffer(x["sizes"], "<i8"), found
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> Model:
-    """The model after ROUNDS rounds that together see every token of docs once."""
-    spark = docs.sparkSession
-    model, shared = Model.start(vocabulary.unigram), spark.sparkContext.broadcast(vocabulary)
-    size = -(-len(model.flat) // _BLOCKS)
+_ROWS = "block int, part int, rows binary, weight binary, change binary"
+
+
+def _mean(rows: pd.DataFrame) -> pd.DataFrame:
+    """The changes of a block's rows, averaged by how many steps changed them."""
+    total, weight = np.zeros((BLOCK, WIDTH + 1)), np.zeros(BLOCK)
+    for x in rows.itertuples(index=False):
+        at, w = np.frombuffer(x.rows, "<u2"), np.frombuffer(x.weight, "<f4").astype(float)
+        total[at] += w[:, None] * np.frombuffer(x.change, "<f2").reshape(-1, WIDTH + 1)
+        weight[at] += w
+    at = np.flatnonzero(weight)
+    return pd.DataFrame({"block": rows["block"].iloc[:1], "part": 0, "rows": [at.astype("<u2").tobytes()], "weight": [weight[at].astype("<f4").tobytes()], "change": [(total[at] / weight[at, None]).astype("<f2").tobytes()]})
+
+
+def train(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
+    """The model after ROUNDS rounds that together see every token of the training documents once."""
+    spark = chunks.sparkSession
+    model, shared = Model.start(vocabulary), spark.sparkContext.broadcast(vocabulary)
     for turn in range(ROUNDS):
-        now = spark.sparkContext.broadcast(model.flat)
-
-        def learn(frames: Iterator[pd.DataFrame], now=now, turn=turn) -> Iterator[pd.DataFrame]:
-            part, v, tokens = TaskContext.get().partitionId(), shared.value, 0
-            trainer = Trainer(Model(now.value), v.unigram, 1000 * turn + part)
-            for frame in frames:
-                for _, ids, starts, _ in _encoded(frame, v):
-                    outputs, inputs = v.classes(ids)
-                    before = contexts(inputs, starts)
-                    for i in range(0, len(ids), BATCH):
-                        trainer.learn(outputs[i : i + BATCH], before[:, i : i + BATCH])
-                    tokens += len(ids)
-            if tokens:
-                flat = np.resize(trainer.model.flat, size * _BLOCKS).reshape(_BLOCKS, size)
-                yield pd.DataFrame({"block": range(_BLOCKS), "part": part % 64, "weight": float(tokens), "flat": [b.astype("<f4").tobytes() for b in flat]})
-
-        def mean(rows: pd.DataFrame) -> pd.DataFrame:
-            weight = rows["weight"].sum()
-            flat = sum(w / weight * np.frombuffer(f, "<f4") for w, f in zip(rows["weight"], rows["flat"], strict=True))
-            return pd.DataFrame({"block": rows["block"].iloc[:1], "part": 0, "weight": weight, "flat": [flat.astype("<f4").tobytes()]})
-
-        kind = "block int, part int, weight double, flat binary"
-        own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == turn).select("text")
-        models = own.mapInPandas(learn, kind).groupBy("block", "part").applyInPandas(mean, kind).groupBy("block").applyInPandas(mean, kind)
-        blocks = sorted(models.collect(), key=lambda r: r["block"])
-        if blocks:
-            model = Model(np.concatenate([np.frombuffer(r["flat"], "<f4") for r in blocks])[: len(model.flat)])
+        now = spark.sparkContext.broadcast(model.matrix)
+
+        def learn(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pd.DataFrame]:
+            part, v, trainer = TaskContext.get().partitionId(), shared.value, None
+            for batch in batches:
+                for x in batch.to_pylist():
+                    if trainer is None:
+                        trainer = Trainer(Model(v, now.value), 1000 * turn + part)
+                    ids, sizes, (symbol, _, _) = _tokens(x, v)
+                    train_ = np.frombuffer(x["held"], np.uint8) == 0
+                    symbols, sizes = symbol[ids[np.repeat(train_, sizes)]], sizes[train_]
+                    age = ages(len(symbols), np.cumsum(sizes) - sizes)
+                    for i in range(0, len(symbols), BATCH):
+                        trainer.learn(symbols, age, i, min(len(symbols), i + BATCH))
+            if trainer is not None:
+                rows = np.flatnonzero(trainer.touched)
+                for own in np.split(rows, np.flatnonzero(np.diff(rows // BLOCK)) + 1):
+                    if len(own):
+                        change = np.clip(trainer.model.matrix[own] - now.value[own], -1000, 1000).astype("<f2").tobytes()
+                        yield pa.RecordBatch.from_pydict({"block": pa.array([own[0] // BLOCK], pa.int32()), "part": pa.array([part % 64], pa.int32()), "rows": [(own % BLOCK).astype("<u2").tobytes()], "weight": [trainer.touched[own].tobytes()], "change": [change]})
+
+        own = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)) == turn).select("held", "sizes", "ids", "words", "lengths")
+        for r in own.mapInArrow(learn, _ROWS).groupBy("block", "part").applyInPandas(_mean, _ROWS).groupBy("block").applyInPandas(_mean, _ROWS).collect():
+            model.matrix[r["block"] * BLOCK + np.frombuffer(r["rows"], "<u2").astype(np.int64)] += np.frombuffer(r["change"], "<f2").reshape(-1, WIDTH + 1)
     return model
 
 
@@ -274,33 +376,40 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))
-    counts = stored(_counts(docs), "counts")
+    chunks = stored(_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))), "chunks", rows=8)
+    counts = stored(_counts(chunks), "counts")
     vocabulary = _vocabulary(counts)
-    model = train(docs.where("NOT held_out"), vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, model.flat))
-
-    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, flat = shared.value
-        m, base = Model(flat), math.log10(v.total + v.distinct + 1)
-        part, n = TaskContext.get().partitionId() << 33, 0
-        for frame in frames:
-            for rows, ids, starts, rest in _encoded(frame, v):
-                outputs, inputs = v.classes(ids)
-                own = m.log10(outputs, contexts(inputs, starts))
-                grouped = outputs >= OUTPUTS
-                own[grouped] -= np.log10(v.group_total[outputs[grouped] - OUTPUTS])
-                logs = np.where(ids >= 0, v.log[ids], 0.0)
-                own[grouped] += logs[grouped]
-                known = (ids >= 0) & (v.counts[ids] > 0)
-                sizes = np.diff(np.append(starts, len(ids)))
-                tallies = [Counter(r) for r in rest]
-                out = pd.DataFrame({"row": part + n + np.arange(len(rows)), "doc_id": rows["doc_id"].astype("Int64").to_numpy(), "held_out": rows["held_out"].to_numpy(), "n_tokens": sizes, "n_known": np.add.reduceat(known.astype(np.int64), starts), "base_score": np.add.reduceat(logs, starts) - sizes * base, "score": np.add.reduceat(own, starts)})
-                n += len(rows)
-                yield out.assign(words=[list(t.keys()) for t in tallies], counts=[list(t.values()) for t in tallies])
+    model = train(chunks, vocabulary)
+    shared = spark.sparkContext.broadcast((vocabulary, model.matrix))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, matrix = shared.value
+        m, base = Model(v, matrix), math.log10(v.total + v.distinct + 1)
+        for batch in batches:
+            for x in batch.to_pylist():
+                ids, sizes, (symbol, log, known) = _tokens(x, v)
+                starts = np.cumsum(sizes) - sizes
+                own = m.log10(symbol[ids], starts)
+                rest = np.where(symbol < v.own, 0.0, log - v.group_log[np.maximum(symbol - v.own, 0)])
+                far = np.flatnonzero(known[ids] < 0)  # words of each document that the head does not have, and how often
+                pair, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[far] << 32 | ids[far], return_counts=True)
+                edges = pa.array(np.searchsorted(pair, np.arange(len(sizes) + 1) << 32), pa.int32())
+                words = _words(x["words"], x["lengths"]).take(pa.array(pair & 0xFFFFFFFF))
+                columns = {
+                    "row": (x["chunk"] << 20) + np.arange(len(sizes)),
+                    "doc_id": pa.array(np.frombuffer(x["doc_ids"], "<i8"), mask=np.frombuffer(x["nulls"], np.uint8) > 0),
+                    "held_out": np.frombuffer(x["held"], np.uint8) > 0,
+                    "n_tokens": sizes,
+                    "n_known": np.add.reduceat((known > 0).astype(np.int64)[ids], starts),
+                    "base_score": np.add.reduceat(log[ids], starts) - sizes * base,
+                    "score": np.add.reduceat(own + rest[ids], starts),
+                    "words": pa.ListArray.from_arrays(edges, words),
+                    "counts": pa.ListArray.from_arrays(edges, pa.array(times, pa.int64())),
+                }
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
     kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, counts array<long>"
-    first = stored(docs.mapInPandas(measure, kind), "scores")
+    first = stored(chunks.drop("counts").mapInArrow(measure, kind), "scores")
     rare = first.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("times"))
     rare = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("log"))
     out = first.drop("words", "counts").join(rare, "row", "left")
