@@ -304,21 +304,45 @@ def test_scores(docs, rows):
 
 
 def test_model_is_normalised_and_learns():
-    head = [(f"w{i}".encode(), 50) for i in range(30)] + [(b"", 10)]
-    v = scoring.Vocabulary(head, np.array([[2000, 100]] * scoring.GROUPS), 32000, 1600)
-    model = scoring.Model.start(v.unigram)
-    chain = np.tile(np.arange(1, 30), 300)  # each word is followed by one word
-    outputs, inputs = v.classes(chain)
-    before = scoring.contexts(inputs, np.array([0]))
-    untrained = model.log10(outputs, before).mean()
-    trainer = scoring.Trainer(model, v.unigram, 3)
+    """Over all words: those with vectors, those of the groups, and one unknown word for each group."""
+    counts = [(f"w{i}".encode(), 1000 - i) for i in range(400)] + [(b"", 60)] + [(f"rare{i}.".encode(), 1 + i % 40) for i in range(200)]
+    groups = np.zeros((scoring.GROUPS, 2), np.int64)
+    for w, n in counts:
+        groups[scoring.group(w)] += (n, 1)
+    v = scoring.Vocabulary(counts, groups, int(groups[:, 0].sum()), len(counts))
+    assert v.own == 401 and v.wide.any()
+    chain = np.concatenate([np.tile(np.arange(1, 30), 300), np.tile(np.arange(300, 330), 300), np.full(90, v.own + 3)])  # each word is followed by one word
+    model, starts = scoring.Model.start(v), np.array([0, 3, 4, 2000])
+    untrained = model.log10(chain, starts).mean()
+    trainer, age = scoring.Trainer(model, 3), scoring.ages(len(chain), starts)
     for _ in range(3):
         for i in range(0, len(chain), 256):
-            trainer.learn(outputs[i : i + 256], before[:, i : i + 256])
-    every = np.arange(scoring.OUTPUTS + scoring.GROUPS)
-    same = np.repeat(before[:, 50:51], len(every), axis=1)
-    assert abs((10 ** model.log10(every, same)).sum() - 1) < 1e-4
-    assert model.log10(outputs, before).mean() > untrained + 0.3
+            trainer.learn(chain, age, i, min(len(chain), i + 256))
+    assert model.log10(chain, starts).mean() > untrained + 0.3
+    symbol, log, _ = v.numbers([w for w, _ in counts])
+    inside = np.where(symbol < v.own, 0, log - v.group_log[np.maximum(symbol - v.own, 0)])
+    before = chain[50:54]
+    every = np.concatenate([np.concatenate([before, [s]]) for s in range(v.own + scoring.GROUPS)])
+    of_symbol = model.log10(every, np.arange(0, len(every), 5))[4::5]
+    assert abs((10**of_symbol).sum() - 1) < 1e-4
+    unknown = (10 ** (of_symbol[v.own :] - v.group_log)).sum()
+    assert abs((10 ** (of_symbol[symbol] + inside)).sum() + unknown - 1) < 1e-4
+
+
+def test_scores_beat_word_counts(spark):
+    """Held-out texts of two made-up languages: the words before a word tell which it is in."""
+    r = random.Random(12)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{min(r.randint(0, 60), r.randint(0, 60))}" for _ in range(120))) for i in range(1500)]
+    out = scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (out[0] - out[1]) / out[2] > 0.1
+
+
+@pytest.mark.parametrize("size", [1, 40])
+def test_scores_are_sums_over_tokens(spark, rows, size, monkeypatch):
+    """However texts are dealt to chunks, each gets one row with its own tokens."""
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", size)
+    df = spark.createDataFrame(rows, DOCS).repartition(2)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in scoring.score(df).collect()) == sorted((str(r[0]), len(split(r[1])) + 1) for r in rows)
 
 
 def test_no_scores(none):

@@ -1,11 +1,11 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
 The last CONTEXT words' vectors, each scaled by its distance's weights, add up to a prediction. Its product with an output
-vector, plus a bias, is a score. Every word counted LEAST times or more has an input and an output vector of its own, so the
-model grows with the corpus. These words, by falling count, form classes: the commonest stand alone, and a class further down
-holds about as many words as the square root of its rank asks for. A word's probability is that of its class times that inside
-its class, each from one matrix product, so that it is normalised over all words. All rarer words are GROUPS of their own by
-shape; within a group words share its probability by their counts.
+vector, plus a bias, is a score. Every word counted often enough (see least_count) has an input and an output vector of its
+own, so the model grows with the corpus. These words, by falling count, form classes: the commonest stand alone, and a class
+further down holds about as many words as the square root of its rank asks for. A word's probability is that of its class times
+that inside its class, each from one matrix product, so that it is normalised over all words. All rarer words are GROUPS of
+their own by shape and ending; within a group words share its probability by their counts.
 
 Training contrasts each token with noise from the unigram distribution, at both levels, so it never normalises. It runs in
 rounds over disjoint parts of the training documents: each task continues from the common model over all its tokens of the
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -29,15 +30,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
 
-CONTEXT, WIDTH = 4, 16
-#: Occurrences from which on a word has vectors of its own; fewer say too little about as many numbers.
-LEAST = 100
+CONTEXT, WIDTH = 4, 15
+#: A word has vectors of its own if its count is at least the larger of LEAST (fewer say too little about as many numbers) and
+#: the square root of all tokens divided by FEW: both the words with vectors and what each of them learns from grow with the corpus.
+LEAST, FEW = 50, 10
 #: Words whose counts each task holds, and so words with vectors at most: some 30 MB of model. No word of more bytes is among them.
 HEAD, HEAD_BYTES = 200_000, 64
 #: Words that are classes of their own, and how much a class grows with the square root of its rank.
 SINGLE, SPREAD = 128, 4.0
-GROUPS = 16
-ROUNDS, STEP, BATCH = 3, 0.15, 2048
+ENDINGS = 8
+GROUPS = 16 * ENDINGS
+ROUNDS, STEP, BATCH = 3, 0.2, 4096
 #: Noise words for each token among classes, of which a batch shares SHARED draws, and inside a class.
 NOISE, SHARED, INNER = 20, 64, 3
 #: Stands for the end of a text; no word is empty.
@@ -49,10 +52,15 @@ BLOCK = 4096
 
 
 def group(word: bytes) -> int:
-    """Shape of a word: last character, plain letters or not, short or long."""
+    """Shape of a word: last character, plain letters or not, short or long, and a hash of its last letters."""
     last = word[-1:]
     kind = 1 if last == b"." else 2 if last == b"," else 0 if last.isalnum() or last >= b"\x80" else 3
-    return kind + 4 * (not word.isascii()) + 8 * (len(word) > 6)
+    ending = word[-3:-1] if kind else word[-2:]
+    return ENDINGS * (kind + 4 * (not word.isascii()) + 8 * (len(word) > 6)) + crc32(ending) % ENDINGS
+
+
+def least_count(total: int) -> int:
+    return max(LEAST, math.isqrt(total) // FEW)
 
 
 class Vocabulary:
@@ -65,7 +73,7 @@ class Vocabulary:
         self.log = np.log10(self.counts + 1.0)
         self.total, self.distinct = total, distinct
         kind = np.array([group(w) for w, _ in head])
-        self.own = n = 1 + int((self.counts[1:] >= LEAST).sum())
+        self.own = n = 1 + int((self.counts[1:] >= least_count(total)).sum())
         self.symbol = np.where(np.arange(len(head)) < n, np.arange(len(head)), n + kind).astype(np.int32)
         edges = list(range(min(n, SINGLE) + 1))
         while edges[-1] < n:
@@ -131,7 +139,7 @@ class Model:
         out[:, WIDTH] = 1
         return out, rows
 
-    def log10(self, symbols: np.ndarray, starts: np.ndarray, size: int = 65536) -> np.ndarray:
+    def log10(self, symbols: np.ndarray, starts: np.ndarray, size: int = 262_144) -> np.ndarray:
         """Normalised log10 probabilities of symbols after their contexts."""
         v, age, out = self.vocabulary, ages(len(symbols), starts), np.empty(len(symbols))
         for i in range(0, len(symbols), size):
@@ -209,6 +217,7 @@ class Trainer:
             dr[wide] += np.einsum("nk,nkd->nd", slope, vectors)
             steps.append((2, words.ravel(), (slope[:, :, None] * r[wide, None]).reshape(-1, WIDTH + 1)))
         dr[:, WIDTH] = 0
+        ends = np.zeros(WIDTH + 1, np.float32)
         pushed, weights = np.zeros_like(rows), np.zeros((CONTEXT, WIDTH + 1), np.float32)
         for k in range(CONTEXT):
             place = slice(CONTEXT - 1 - k, CONTEXT - 1 - k + n)
@@ -216,17 +225,18 @@ class Trainer:
             weights[k] = np.einsum("nd,nd->d", near, dr)
             if len(first):
                 weights[k] += ((m.inputs[0] - near[first]) * dr[first]).sum(axis=0)
-                steps.append((0, np.zeros(1, np.int64), back[first].sum(axis=0, keepdims=True)))
+                ends += back[first].sum(axis=0)
                 back[first] = 0
             pushed[place] += back
         skip = max(0, CONTEXT - at)
-        steps += [(0, symbols[at + skip - CONTEXT : stop], pushed[skip:]), (3, np.arange(CONTEXT), weights / 100)]
-        for part, at_, gradient in steps:
+        steps.append((0, np.append(symbols[at + skip - CONTEXT : stop], 0), np.concatenate([pushed[skip:], ends[None]])))
+        for part, at_, gradient in [*steps, (3, np.arange(CONTEXT), weights / 100)]:
             self._step(part, at_, gradient)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    with np.errstate(over="ignore"):  # then it is 0
+        return 1 / (1 + np.exp(-x))
 
 
 class _Numbers(dict):
