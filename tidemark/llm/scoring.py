@@ -42,11 +42,11 @@ ENDINGS = 8
 GROUPS = 16 * ENDINGS
 ROUNDS, STEP, BATCH = 3, 0.2, 4096
 #: Noise words for each token among classes, of which a batch shares SHARED draws, and inside a class.
-NOISE, SHARED, INNER = 20, 64, 3
+NOISE, SHARED, INNER = 20, 32, 2
 #: Stands for the end of a text; no word is empty.
 END = b""
 #: Bytes of text and documents in a chunk.
-CHUNK_BYTES, CHUNK_DOCS = 6_000_000, 1 << 16
+CHUNK_BYTES, CHUNK_DOCS = 3_000_000, 1 << 16
 #: Rows of the model that are averaged together.
 BLOCK = 4096
 
@@ -127,19 +127,19 @@ class Model:
 
         age counts the tokens before a token in its text; before a text stand ends of texts.
         """
-        before = symbols[max(0, at - CONTEXT) : stop]
-        rows = self.inputs[np.concatenate([np.zeros(max(0, CONTEXT - at), before.dtype), before])]
-        out = np.zeros((stop - at, WIDTH + 1), np.float32)
-        for k in range(CONTEXT):
-            near = rows[CONTEXT - 1 - k : CONTEXT - 1 - k + stop - at]
-            out += near * self.weights[k]
-            first = np.flatnonzero(age[at:stop] <= k)
-            if len(first):
-                out[first] += (self.inputs[0] - near[first]) * self.weights[k]
+        before, n = symbols[max(0, at - CONTEXT) : stop], stop - at
+        rows = self.inputs.take(np.concatenate([np.zeros(max(0, CONTEXT - at), before.dtype), before]), axis=0)
+        out, one = rows[CONTEXT - 1 : CONTEXT - 1 + n] * self.weights[0], np.empty((n, WIDTH + 1), np.float32)
+        for k in range(1, CONTEXT):
+            out += np.multiply(rows[CONTEXT - 1 - k : CONTEXT - 1 - k + n], self.weights[k], out=one)
+        early = np.flatnonzero(age[at:stop] < CONTEXT)
+        for k in range(CONTEXT if len(early) else 0):
+            first = early[age[at + early] <= k]
+            out[first] += (self.inputs[0] - rows[CONTEXT - 1 - k + first]) * self.weights[k]
         out[:, WIDTH] = 1
         return out, rows
 
-    def log10(self, symbols: np.ndarray, starts: np.ndarray, size: int = 262_144) -> np.ndarray:
+    def log10(self, symbols: np.ndarray, starts: np.ndarray, size: int = 131_072) -> np.ndarray:
         """Normalised log10 probabilities of symbols after their contexts."""
         v, age, out = self.vocabulary, ages(len(symbols), starts), np.empty(len(symbols))
         for i in range(0, len(symbols), size):
@@ -185,58 +185,78 @@ class Trainer:
         self.outer_noise = np.log(NOISE * v.unigram).astype(np.float32)
         self.inner_noise = (v.inner + math.log(INNER)).astype(np.float32)
         self.up_to = np.cumsum(v.unigram)
+        # Inside a class noise is drawn from a pool that has each word about as often as its count asks for.
+        self.many = 8 * np.diff(v.edges)
+        self.pool_at = np.cumsum(self.many) - self.many
+        nth = (np.arange(self.many.sum()) - np.repeat(self.pool_at, self.many) + 0.5) / np.repeat(self.many, self.many)
+        low, high = (np.repeat(v.up_to[x], self.many) for x in (v.edges[:-1], v.edges[1:]))
+        self.pool = np.minimum(np.searchsorted(v.up_to, low + nth * (high - low), side="right") - 1, v.own - 1)
 
     def _step(self, part: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         order = np.argsort(rows)
-        rows = rows[order]
+        rows = rows.take(order)
         at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total, own = np.add.reduceat(gradient[order], at, axis=0), self.model.at[part] + rows[at]
-        self.past[own] += np.einsum("nd,nd->n", total, total) / (WIDTH + 1)
-        self.model.matrix[own] -= (STEP / np.sqrt(self.past[own]))[:, None] * total
+        total, own = np.add.reduceat(gradient.take(order, axis=0), at, axis=0), self.model.at[part] + rows.take(at)
+        past = self.past.take(own) + np.einsum("nd,nd->n", total, total) / (WIDTH + 1)
+        self.past[own] = past
+        total *= (STEP / np.sqrt(past))[:, None]
+        self.model.matrix[own] = self.model.matrix.take(own, axis=0) - total
         self.touched[own] += 1
 
     def learn(self, symbols: np.ndarray, age: np.ndarray, at: int, stop: int) -> None:
         m, v, n = self.model, self.model.vocabulary, stop - at
         own, (r, rows) = symbols[at:stop], m.predicted(symbols, age, at, stop)
-        which = v.classes[own]
+        which = v.classes.take(own)
         noise = np.minimum(np.searchsorted(self.up_to, self.random.random(SHARED)), len(self.up_to) - 1)
-        mine, other = m.outer[which], m.outer[noise]
-        g = _sigmoid(np.einsum("nd,nd->n", r, mine) - self.outer_noise[which]) - 1
-        h = (NOISE / SHARED) * _sigmoid(r @ other.T - self.outer_noise[noise])
-        dr = g[:, None] * mine + h @ other
-        steps = [(1, np.concatenate([which, noise]), np.concatenate([g[:, None] * r, h.T @ r]))]
-        wide = np.flatnonzero(v.wide[which])
+        mine, other = m.outer.take(which, axis=0), m.outer[noise]
+        g = _sigmoid(np.einsum("nd,nd->n", r, mine) - self.outer_noise.take(which)) - 1
+        h = r @ other.T
+        h -= self.outer_noise[noise]
+        h = _sigmoid(h)
+        h *= NOISE / SHARED
+        dr = h @ other
+        mine *= g[:, None]
+        dr += mine
+        gradient = np.empty((n + SHARED, WIDTH + 1), np.float32)
+        np.multiply(g[:, None], r, out=gradient[:n])
+        np.matmul(h.T, r, out=gradient[n:])
+        steps = [(1, np.concatenate([which, noise]), gradient)]
+        wide = np.flatnonzero(v.wide.take(which))
         if len(wide):
-            a, b = v.edges[which[wide]], v.edges[which[wide] + 1]
-            low, high = v.up_to[a], v.up_to[b]
-            draws = np.searchsorted(v.up_to, low[:, None] + self.random.random((len(wide), INNER)) * (high - low)[:, None], side="right") - 1
-            words = np.concatenate([own[wide, None], np.minimum(draws, b[:, None] - 1)], axis=1)
-            vectors = m.words[words]
-            slope = _sigmoid(np.einsum("nkd,nd->nk", vectors, r[wide]) - self.inner_noise[words])
+            of, near = which.take(wide), r.take(wide, axis=0)
+            draws = self.pool.take(self.pool_at.take(of)[:, None] + (self.random.random((len(wide), INNER)) * self.many.take(of)[:, None]).astype(np.int64))
+            words = np.concatenate([own.take(wide)[:, None], draws], axis=1)
+            vectors = m.words.take(words, axis=0)
+            slope = _sigmoid(np.einsum("nkd,nd->nk", vectors, near) - self.inner_noise.take(words))
             slope[:, 0] -= 1
             dr[wide] += np.einsum("nk,nkd->nd", slope, vectors)
-            steps.append((2, words.ravel(), (slope[:, :, None] * r[wide, None]).reshape(-1, WIDTH + 1)))
+            np.multiply(slope[:, :, None], near[:, None], out=vectors)
+            steps.append((2, words.ravel(), vectors.reshape(-1, WIDTH + 1)))
         dr[:, WIDTH] = 0
-        ends = np.zeros(WIDTH + 1, np.float32)
-        pushed, weights = np.zeros_like(rows), np.zeros((CONTEXT, WIDTH + 1), np.float32)
+        pushed, ends, back = np.zeros_like(rows), np.zeros(WIDTH + 1, np.float32), np.empty_like(dr)
+        weights, some = np.zeros((CONTEXT, WIDTH + 1), np.float32), min(n, 512)  # so few weights learn enough from a part
+        early = np.flatnonzero(age[at:stop] < CONTEXT)
         for k in range(CONTEXT):
-            place = slice(CONTEXT - 1 - k, CONTEXT - 1 - k + n)
-            back, near, first = dr * m.weights[k], rows[place], np.flatnonzero(age[at:stop] <= k)
-            weights[k] = np.einsum("nd,nd->d", near, dr)
+            place, first = CONTEXT - 1 - k, early[age[at + early] <= k]
+            np.multiply(dr, m.weights[k], out=back)
+            weights[k] = (rows[place : place + some] * dr[:some]).sum(axis=0)
             if len(first):
-                weights[k] += ((m.inputs[0] - near[first]) * dr[first]).sum(axis=0)
+                weights[k] += ((m.inputs[0] - rows[place + first[first < some]]) * dr[first[first < some]]).sum(axis=0)
                 ends += back[first].sum(axis=0)
                 back[first] = 0
-            pushed[place] += back
+            pushed[place : place + n] += back
         skip = max(0, CONTEXT - at)
         steps.append((0, np.append(symbols[at + skip - CONTEXT : stop], 0), np.concatenate([pushed[skip:], ends[None]])))
-        for part, at_, gradient in [*steps, (3, np.arange(CONTEXT), weights / 100)]:
+        for part, at_, gradient in [*steps, (3, np.arange(CONTEXT), weights * (n / some / 100))]:
             self._step(part, at_, gradient)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    out = np.negative(x)
     with np.errstate(over="ignore"):  # then it is 0
-        return 1 / (1 + np.exp(-x))
+        np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 class _Numbers(dict):
@@ -288,12 +308,18 @@ def _words(data: bytes, lengths: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, as each is large."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+
+
 def _counts(chunks: DataFrame) -> DataFrame:
     """word, n of all tokens of the training documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in _each(batch):
                 n = np.frombuffer(x["counts"], "<i8")
                 at = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([_words(x["words"], x["lengths"]).take(pa.array(at)), pa.array(n[at])], ["word", "n"])
@@ -355,7 +381,7 @@ def train(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
         def learn(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pd.DataFrame]:
             part, v, trainer = TaskContext.get().partitionId(), shared.value, None
             for batch in batches:
-                for x in batch.to_pylist():
+                for x in _each(batch):
                     if trainer is None:
                         trainer = Trainer(Model(v, now.value), 1000 * turn + part)
                     ids, sizes, (symbol, _, _) = _tokens(x, v)
@@ -396,7 +422,7 @@ def score(docs: DataFrame) -> DataFrame:
         v, matrix = shared.value
         m, base = Model(v, matrix), math.log10(v.total + v.distinct + 1)
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in _each(batch):
                 ids, sizes, (symbol, log, known) = _tokens(x, v)
                 starts = np.cumsum(sizes) - sizes
                 own = m.log10(symbol[ids], starts)
