@@ -308,7 +308,7 @@ def test_model_is_normalised_and_learns():
     counts = [(f"w{i}".encode(), 1000 - i) for i in range(400)] + [(b"", 60)] + [(f"rare{i}.".encode(), 1 + i % 40) for i in range(200)]
     groups = np.zeros((scoring.GROUPS, 2), np.int64)
     for w, n in counts:
-        groups[scoring.group(w)] += (n, 1)
+        groups[scoring.groups_of(w, [len(w)])[0]] += (n, 1)
     v = scoring.Vocabulary(counts, groups, int(groups[:, 0].sum()), len(counts))
     assert v.own == 401 and v.wide.any()
     chain = np.concatenate([np.tile(np.arange(1, 30), 300), np.tile(np.arange(300, 330), 300), np.full(90, v.own + 3)])  # each word is followed by one word
@@ -319,7 +319,7 @@ def test_model_is_normalised_and_learns():
         for i in range(0, len(chain), 256):
             trainer.learn(chain, age, i, min(len(chain), i + 256))
     assert model.log10(chain, starts).mean() > untrained + 0.3
-    symbol, log, _ = v.numbers([w for w, _ in counts])
+    symbol, log, _ = v.numbers(b"".join(w for w, _ in counts), np.array([len(w) for w, _ in counts]))
     inside = np.where(symbol < v.own, 0, log - v.group_log[np.maximum(symbol - v.own, 0)])
     before = chain[50:54]
     every = np.concatenate([np.concatenate([before, [s]]) for s in range(v.own + scoring.GROUPS)])

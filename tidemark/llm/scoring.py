@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from zlib import crc32
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +37,12 @@ LEAST, FEW = 50, 10
 #: Words whose counts each task holds, and so words with vectors at most: some 30 MB of model. No word of more bytes is among them.
 HEAD, HEAD_BYTES = 200_000, 64
 #: Words that are classes of their own, and how much a class grows with the square root of its rank.
-SINGLE, SPREAD = 128, 4.0
-ENDINGS = 8
+SINGLE, SPREAD = 64, 4.0
+ENDINGS = 4
 GROUPS = 16 * ENDINGS
 ROUNDS, STEP, BATCH = 3, 0.2, 4096
 #: Noise words for each token among classes, of which a batch shares SHARED draws, and inside a class.
-NOISE, SHARED, INNER = 20, 32, 2
+NOISE, SHARED, INNER = 20, 64, 2
 #: Stands for the end of a text; no word is empty.
 END = b""
 #: Bytes of text and documents in a chunk.
@@ -51,12 +51,18 @@ CHUNK_BYTES, CHUNK_DOCS = 3_000_000, 1 << 16
 BLOCK = 4096
 
 
-def group(word: bytes) -> int:
-    """Shape of a word: last character, plain letters or not, short or long, and a hash of its last letters."""
-    last = word[-1:]
-    kind = 1 if last == b"." else 2 if last == b"," else 0 if last.isalnum() or last >= b"\x80" else 3
-    ending = word[-3:-1] if kind else word[-2:]
-    return ENDINGS * (kind + 4 * (not word.isascii()) + 8 * (len(word) > 6)) + crc32(ending) % ENDINGS
+def groups_of(data: bytes, lengths: np.ndarray) -> np.ndarray:
+    """Groups of words that follow each other in data: last character, plain letters or not, short or long, and a hash of the last letters."""
+    n, ends = np.asarray(lengths, np.int64), np.cumsum(lengths, dtype=np.int64)
+    raw = np.concatenate([np.zeros(3, np.uint8), np.frombuffer(data, np.uint8)]).astype(np.int64)
+    last = raw[ends + 2] * (n > 0)
+    letter = (last >= 128) | ((last >= 97) & (last <= 122)) | ((last >= 65) & (last <= 90)) | ((last >= 48) & (last <= 57))
+    kind = np.where(last == ord("."), 1, np.where(last == ord(","), 2, np.where(letter, 0, 3)))
+    high = np.concatenate([[0], np.cumsum(raw[3:] >= 128)])
+    foreign = high[ends] > high[ends - n]
+    at = ends + 2 - (kind > 0)  # the last letter, and the one before it
+    pair = raw[at] * (n > (kind > 0)) * 256 + raw[at - 1] * (n > 1 + (kind > 0))
+    return ENDINGS * (kind + 4 * foreign + 8 * (n > 6)) + ((pair * 0x9E3779B1 & 0xFFFFFFFF) >> 16) % ENDINGS
 
 
 def least_count(total: int) -> int:
@@ -72,7 +78,7 @@ class Vocabulary:
         self.counts = np.array([c for _, c in head], np.int64)
         self.log = np.log10(self.counts + 1.0)
         self.total, self.distinct = total, distinct
-        kind = np.array([group(w) for w, _ in head])
+        kind = groups_of(b"".join(w for w, _ in head), [len(w) for w, _ in head])
         self.own = n = 1 + int((self.counts[1:] >= least_count(total)).sum())
         self.symbol = np.where(np.arange(len(head)) < n, np.arange(len(head)), n + kind).astype(np.int32)
         edges = list(range(min(n, SINGLE) + 1))
@@ -92,15 +98,12 @@ class Vocabulary:
         self.unigram = known / known.sum()
         self.inner = np.log(word / known[self.classes[:n]])
 
-    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words: symbol, log10(count + 1), and 1 where counted, 0 where not, -1 where the word is not in the head."""
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        far = np.flatnonzero(at < 0)
-        symbol, log, known = self.symbol[at], self.log[at], (self.counts[at] > 0).astype(np.int8)
-        symbol[far] = [self.own + group(words[i]) for i in far.tolist()]
-        log[far], known[far] = 0, -1
-        return symbol, log, known
+    def numbers(self, data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words that follow each other in data: symbol, log10(count + 1), and 1 where counted, 0 where not, -1 where not in the head."""
+        at = np.fromiter(map(self.index.get, _words(data, lengths).to_pylist(), repeat(-1)), np.int64, len(lengths))
+        far = at < 0
+        symbol = np.where(far, self.own + groups_of(data, lengths), self.symbol[at]).astype(np.int32)
+        return symbol, np.where(far, 0.0, self.log[at]), np.where(far, -1, self.counts[at] > 0).astype(np.int8)
 
 
 class Model:
@@ -303,8 +306,8 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(split, _CHUNKS)
 
 
-def _words(data: bytes, lengths: bytes) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<i4"))]).astype("<i4")
+def _words(data: bytes, lengths: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype("<i4")
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
@@ -322,7 +325,7 @@ def _counts(chunks: DataFrame) -> DataFrame:
             for x in _each(batch):
                 n = np.frombuffer(x["counts"], "<i8")
                 at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([_words(x["words"], x["lengths"]).take(pa.array(at)), pa.array(n[at])], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([_words(x["words"], np.frombuffer(x["lengths"], "<i4")).take(pa.array(at)), pa.array(n[at])], ["word", "n"])
 
     return chunks.select("words", "lengths", "counts").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -331,7 +334,7 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
     def by_group(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = np.zeros((GROUPS, 2), np.int64)
         for frame in frames:
-            own = np.array([group(w) for w in frame["word"]], np.int64)
+            own = groups_of(b"".join(frame["word"]), frame["word"].str.len().to_numpy(np.int64))
             out[:, 0] += np.bincount(own, frame["n"], GROUPS).astype(np.int64)
             out[:, 1] += np.bincount(own, minlength=GROUPS)
         yield pd.DataFrame({"kind": range(GROUPS), "tokens": out[:, 0], "words": out[:, 1]})
@@ -353,7 +356,7 @@ def _vocabulary(counts: DataFrame) -> Vocabulary:
 
 def _tokens(x, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     """Of a chunk: numbers of its tokens, sizes of its documents, and what vocabulary.numbers gives for its words."""
-    found = vocabulary.numbers(_words(x["words"], x["lengths"]).to_pylist())
+    found = vocabulary.numbers(x["words"], np.frombuffer(x["lengths"], "<i4"))
     return np.frombuffer(x["ids"], "<u4"), np.frombuffer(x["sizes"], "<i8"), found
 
 
@@ -371,10 +374,9 @@ def _mean(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"].iloc[:1], "part": 0, "rows": [at.astype("<u2").tobytes()], "weight": [weight[at].astype("<f4").tobytes()], "change": [(total[at] / weight[at, None]).astype("<f2").tobytes()]})
 
 
-def train(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
-    """The model after ROUNDS rounds that together see every token of the training documents once."""
-    spark = chunks.sparkSession
-    model, shared = Model.start(vocabulary), spark.sparkContext.broadcast(vocabulary)
+def train(chunks: DataFrame, shared: Broadcast) -> Model:
+    """The model after ROUNDS rounds that together see every token of the training documents once; shared holds the vocabulary."""
+    spark, model = chunks.sparkSession, Model.start(shared.value)
     for turn in range(ROUNDS):
         now = spark.sparkContext.broadcast(model.matrix)
 
@@ -400,6 +402,7 @@ def train(chunks: DataFrame, vocabulary: Vocabulary) -> Model:
         own = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)) == turn).select("held", "sizes", "ids", "words", "lengths")
         for r in own.mapInArrow(learn, _ROWS).groupBy("block", "part").applyInPandas(_mean, _ROWS).groupBy("block").applyInPandas(_mean, _ROWS).collect():
             model.matrix[r["block"] * BLOCK + np.frombuffer(r["rows"], "<u2").astype(np.int64)] += np.frombuffer(r["change"], "<f2").reshape(-1, WIDTH + 1)
+        now.unpersist()
     return model
 
 
@@ -415,12 +418,12 @@ def score(docs: DataFrame) -> DataFrame:
     chunks = stored(_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out"))), "chunks", rows=8)
     counts = stored(_counts(chunks), "counts")
     vocabulary = _vocabulary(counts)
-    model = train(chunks, vocabulary)
-    shared = spark.sparkContext.broadcast((vocabulary, model.matrix))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    trained = spark.sparkContext.broadcast(train(chunks, shared).matrix)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, matrix = shared.value
-        m, base = Model(v, matrix), math.log10(v.total + v.distinct + 1)
+        v = shared.value
+        m, base = Model(v, trained.value), math.log10(v.total + v.distinct + 1)
         for batch in batches:
             for x in _each(batch):
                 ids, sizes, (symbol, log, known) = _tokens(x, v)
@@ -430,7 +433,7 @@ def score(docs: DataFrame) -> DataFrame:
                 far = np.flatnonzero(known[ids] < 0)  # words of each document that the head does not have, and how often
                 pair, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[far] << 32 | ids[far], return_counts=True)
                 edges = pa.array(np.searchsorted(pair, np.arange(len(sizes) + 1) << 32), pa.int32())
-                words = _words(x["words"], x["lengths"]).take(pa.array(pair & 0xFFFFFFFF))
+                words = _words(x["words"], np.frombuffer(x["lengths"], "<i4")).take(pa.array(pair & 0xFFFFFFFF))
                 columns = {
                     "row": (x["chunk"] << 20) + np.arange(len(sizes)),
                     "doc_id": pa.array(np.frombuffer(x["doc_ids"], "<i8"), mask=np.frombuffer(x["nulls"], np.uint8) > 0),
