@@ -2,14 +2,14 @@
 
 1. Texts are held in batches. Each 50-byte window is named by the least hash of its 24-byte strings; neighbouring windows
    of one name form a run (50 bytes and more), so equal windows always lie in runs of the same name. A batch sends each
-   distinct run once, as two hashes and its least document.
+   distinct run once, as hashes of its name (48 bits) and its bytes (64 bits) and its least document.
 2. The runs of a name meet. Where all of them are equal, their least document holds for all their windows.
    Where they differ, one copy of each is asked for, and these few texts are matched window by window:
 3. The runs from different batches form shards, each with a Burrows-Wheeler transform. The transforms are merged by iterative
    interleave refinement: the interleave is a sequence of shard numbers; one pass places each of them by the symbols that
-   precede its rotation, which extends the common prefix by two bytes. Breaks between unequal prefixes are carried
-   along, so after 25 passes the unbroken intervals are the rotations with 50 bytes in common. No suffix is compared
-   or sorted across shards.
+   precede its rotation, which extends the common prefix by as many bytes as a symbol has. Breaks between unequal prefixes
+   are carried along, so after 10 passes (25 in large merges) the unbroken intervals are the rotations with 50 bytes in
+   common. No suffix is compared or sorted across shards.
 4. What was found goes back to the batches, which cut the texts.
 """
 
@@ -32,8 +32,8 @@ LENGTH, NAME = 50, 24
 BATCH_BYTES, BATCH_DOCS = 2_000_000, 4096
 #: Bytes of text for each bucket of names.
 BUCKET_BYTES = 16_000_000
-#: Bytes of runs that are merged at once, if they have more than one name.
-MERGE_BYTES = 6_000_000
+#: Bytes of runs that are merged at once, if they have more than one name: their strings can be numbered in 16 bits.
+MERGE_BYTES = 60_000
 #: Stands for a null doc_id: no document has a larger id.
 LAST = np.iinfo(np.int64).max
 
@@ -75,7 +75,7 @@ def rotations(text: np.ndarray) -> np.ndarray:
         key = (key[:-by] << U(8 * by)) | key[by:]
     key, by = key[:n], 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
@@ -84,18 +84,39 @@ def rotations(text: np.ndarray) -> np.ndarray:
         key, by = rank * (n + 1) + np.take(rank, np.arange(by, by + n), mode="wrap"), by * 2
 
 
+def _symbols(shards: list[np.ndarray], orders: list[np.ndarray]) -> tuple[np.ndarray, int]:
+    """For each rotation in order a number for the bytes before it, ascending with them, and how many bytes these are:
+    5 where so many strings fit 16 bits, else 2."""
+    for size in (5, 2):
+        keys = []
+        for s, order in zip(shards, orders, strict=True):
+            key = np.zeros(len(s), U)
+            for k in range(size, 0, -1):
+                key = key << U(8) | np.roll(s, k).astype(U)
+            keys.append(key[order])
+        every = np.concatenate(keys)
+        if size == 2:
+            return every.astype(np.uint16), size
+        by = np.argsort(every)
+        rank = np.concatenate([[0], np.cumsum(np.diff(every[by]) != 0)]) if len(by) else by
+        if not len(by) or rank[-1] < 1 << 16:
+            out = np.empty(len(by), np.uint16)
+            out[by] = rank
+            return out, size
+
+
 def common_intervals(shards: list[np.ndarray], depth: int = LENGTH) -> list[np.ndarray]:
-    """For each position of each shard the number of its interval: rotations with depth bytes in common (depth is even).
+    """For each position of each shard the number of its interval: rotations with depth bytes in common (depth in tens).
 
-    Of a shard the merge sees its transform only: for each rotation in order, the two bytes before it.
+    Of a shard the merge sees its transform only: for each rotation in order, the bytes before it.
     """
     orders = [rotations(s) for s in shards]
-    before = np.concatenate([(s[o - 2].astype(np.uint16) << 8) | s[o - 1] for s, o in zip(shards, orders, strict=True)])
+    before, size = _symbols(shards, orders)
     kind = np.uint8 if len(shards) < 256 else np.uint16
     interleave = np.repeat(np.arange(len(shards), dtype=kind), [len(s) for s in shards])
     interval = np.zeros(len(before), np.int32)
     symbol = np.empty_like(before)
-    for _ in range(depth // 2):
+    for _ in range(depth // size):
         symbol[np.argsort(interleave, kind="stable")] = before
         place = np.argsort(symbol, kind="stable")
         interleave, interval, now = interleave[place], interval[place], symbol[place]
@@ -157,7 +178,7 @@ def _batched(docs: DataFrame) -> DataFrame:
 
 
 class _Batch:
-    """A batch and its distinct runs, which are numbered in the order of bucket, name and content."""
+    """A batch and its distinct runs, which are numbered bucket by bucket."""
 
     def __init__(self, ids: bytes, sizes: bytes, data: bytes, buckets: int):
         self.ids, self.sizes = np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8")
@@ -168,7 +189,8 @@ class _Batch:
         self.doc = np.searchsorted(self.ends, self.first, side="right")
         # names are least hashes, of which small ones are common
         bucket = (mixed(name) % U(buckets)).astype(np.int64)
-        order = np.lexsort((self.ids[self.doc], content, name, bucket))
+        order = np.argsort(mixed(name * STEP[5] + content, 5))
+        order = order[np.argsort(bucket[order].astype(np.uint16) if buckets <= 65536 else bucket[order], kind="stable")]
         name, content, bucket = name[order], content[order], bucket[order]
         new = np.ones(len(order), bool)
         new[1:] = (name[1:] != name[:-1]) | (content[1:] != content[:-1])
@@ -176,7 +198,7 @@ class _Batch:
         self.run = np.empty(len(order), np.int64)  # of each run, the number of its distinct one
         self.run[order] = np.cumsum(new) - 1
         self.names, self.contents, self.buckets, self.one = name[at], content[at], bucket[at], order[at]
-        self.least = self.ids[self.doc[self.one]]
+        self.least = np.minimum.reduceat(self.ids[self.doc[order]], at) if len(at) else self.ids[:0]
         self.edges = np.searchsorted(self.buckets, np.arange(buckets + 1))
 
 
@@ -188,7 +210,7 @@ def _sent(batches: DataFrame, buckets: int) -> DataFrame:
                 out = []
                 for k in np.flatnonzero(np.diff(b.edges)).tolist():
                     i, j = b.edges[k], b.edges[k + 1]
-                    out.append((k, x.batch, six_bytes(b.names[i:j]), six_bytes(b.contents[i:j]), b.least[i:j].astype("<i8").tobytes()))
+                    out.append((k, x.batch, six_bytes(b.names[i:j]), b.contents[i:j].astype("<u8").tobytes(), b.least[i:j].astype("<i8").tobytes()))
                 yield pd.DataFrame(out, columns=["bucket", "batch", "names", "contents", "least"])
 
     return batches.mapInPandas(send, "bucket int, batch long, names binary, contents binary, least binary")
@@ -203,7 +225,7 @@ def _compared(frame: pd.DataFrame) -> pd.DataFrame:
     bucket = int(frame["bucket"].iloc[0])
     sizes = np.array([len(x) // 8 for x in frame["least"]])
     name = np.concatenate([from_six(x, n) for x, n in zip(frame["names"], sizes, strict=True)])
-    content = np.concatenate([from_six(x, n) for x, n in zip(frame["contents"], sizes, strict=True)])
+    content = np.concatenate([np.frombuffer(x, "<u8") for x in frame["contents"]])
     least = np.concatenate([np.frombuffer(x, "<i8") for x in frame["least"]])
     batch = np.repeat(frame["batch"].to_numpy(), sizes)
     run = np.concatenate([np.arange(n) for n in sizes])
@@ -251,9 +273,11 @@ def _matched(key: tuple, texts: pd.DataFrame, places: pd.DataFrame) -> pd.DataFr
         return empty
     number, group, least, shard = map(np.concatenate, (number, group, least, shard))
     order = np.argsort(group, kind="stable")
-    size = np.array([len(t) for t in text])[order]
-    part = np.cumsum(size) // MERGE_BYTES
-    ends = np.flatnonzero((np.diff(part) != 0) & (np.diff(group[order]) != 0)) + 1  # a name stays whole
+    new = np.concatenate([[True], np.diff(group[order]) != 0])
+    ends = np.cumsum(np.array([len(t) for t in text])[order])
+    name = np.cumsum(new) - 1
+    until = ends[np.append(np.flatnonzero(new)[1:], len(new)) - 1]  # bytes up to the end of each name, which stays whole
+    ends = np.flatnonzero(np.diff((until // MERGE_BYTES)[name])) + 1
     better: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for own in np.split(order, ends):
         found = earliest([text[i] for i in own.tolist()], least[own], shard[own])

@@ -90,7 +90,7 @@ class Vocabulary:
         self.classes = np.concatenate([np.repeat(np.arange(self.inside), sizes), self.inside + np.arange(GROUPS)]).astype(np.int32)
         self.wide = np.concatenate([sizes > 1, np.zeros(GROUPS, bool)])
         mass = groups.astype(float)  # rows of (tokens, distinct words) of all words by group
-        np.subtract.at(mass, kind[:n], np.stack([self.counts[:n], np.ones(n)], axis=1))
+        np.subtract.at(mass, kind[:n], np.stack([self.counts[:n], self.counts[:n] > 0], axis=1))
         self.group_log = np.log10(mass.sum(axis=1) + 1)
         word = self.counts[:n] + 1.0
         self.up_to = np.concatenate([[0.0], np.cumsum(word)])
