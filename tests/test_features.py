@@ -250,13 +250,43 @@ def test_run_and_registry(spark):
     rows = table(spark, "participant_id string, ts long, seq long, value int, battery_level double", ("a", 5, 1, 0, 0.5), ("a", 15, 2, 1, 0.7))
     people = table(spark, "participant_id string", ("a",))
     plays = spark.createDataFrame([], "participant_id string, ts long")
-    out = run({"device_state": rows, "activity_events": plays}, people, ["battery_level", "screen_active", "nonsense"], 0, 20, 10)
+    out = run({"device_state": rows, "activity_events": plays}, people, ["battery_level", "screen_active"], 0, 20, 10)
     assert list(out) == ["battery_level", "screen_active"]
     assert [r.value for r in out["battery_level"].orderBy("timestamp").collect()] == [0.5, 0.7]
     assert out["screen_active"].columns[0] == "participant_id" and out["screen_active"].count() == 1
     with pytest.raises(ValueError, match="required but missing"):
         run({}, None, [], 0, 1)
-    assert len(FEATURES) >= 28
+    with pytest.raises(ValueError, match="unknown features: nonsense"):
+        run({}, people, ["nonsense"], 0, 1)
+    assert len(FEATURES) >= 60 and sum(f.kind == "raw" for f in FEATURES.values()) == 32
+
+
+def test_run_raw_ids_and_store(spark, tmp_path):
+    schema = "participant_id string, sensor string, ts long, seq long, data string"
+    rows = table(spark, schema, *((p, "lamp.gps", t, t, f'{{"latitude": {t}, "longitude": 1}}') for p in "abc" for t in (1, 5, 9)), ("a", "lamp.steps", 3, 3, "{}"))
+    members = table(spark, "participant_id string, study_id string", ("a", "s"), ("b", "s"), ("c", "t")), table(spark, "study_id string, researcher_id string", ("s", "r"), ("t", "q"))
+    out = run({"sensor_events": rows}, ["r"], [{"name": "gps"}], 2, 9, members=members, save=f"file://{tmp_path}/o")["gps"]
+    assert sorted((r.participant_id, r.ts, r.latitude, r.timestamp) for r in out.collect()) == [(p, t, float(t), t) for p in "ab" for t in (5, 9)]
+    assert spark.read.parquet(f"file://{tmp_path}/o/gps").count() == 4
+    with pytest.raises(ValueError, match="no source activity_events"):
+        run({"sensor_events": rows}, ["a"], ["survey"], 0, 9)
+    store = Store(spark, f"file://{tmp_path}/k")
+    assert run({"sensor_events": rows}, ["a"], ["gps"], 0, 9, store=store)["gps"].count() == 3
+    assert run({"sensor_events": rows.limit(0)}, ["a"], ["gps"], 2, 8, store=store)["gps"].count() == 1  # from the kept range
+    gps = table(spark, "participant_id string, ts long, seq long, latitude double, longitude double", *(("a", t * 60_000, t, 40 + 0.01 * (t % 20 if t % 20 < 10 else 10), -71.0) for t in range(60)))
+    once = run({"gps": gps}, ["a"], ["trips"], 0, 10**7)["trips"]
+    run({"gps": gps.where("seq < 45")}, ["a"], ["trips"], 0, 10**7, store=store)
+    twice = run({"gps": gps}, ["a"], ["trips"], 0, 10**7, store=store)["trips"]
+    assert {r.start for r in once.collect()} <= {r.start for r in twice.collect()}  # a track cut at the watermark may begin with a stop of its own
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tidemark.__main__ import main
+
+    table(spark, "participant_id string, ts long, seq long, value int, battery_level double", ("a", 5, 1, 0, 0.5), ("a", 15, 2, 1, 0.7)).write.parquet(f"file://{tmp_path}/d")
+    assert main(["battery_level", "--source", f"device_state=file://{tmp_path}/d", "--start", "0", "--end", "20", "--resolution", "10"]) == 0
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert lines[0].startswith("participant_id,timestamp,value") and len(lines) == 3
 
 
 def test_store(spark, tmp_path):

@@ -17,7 +17,7 @@ def parser() -> argparse.ArgumentParser:
     commands = out.add_subparsers(dest="feature", required=True)
     for name, entry in sorted(FEATURES.items()):
         one = commands.add_parser(name, help=(entry.function.__doc__ or "").split("\n")[0])
-        one.add_argument("--source", action="append", required=True, metavar="NAME=PATH", help=f"inputs: {', '.join(entry.inputs)}")
+        one.add_argument("--source", action="append", required=True, metavar="NAME=PATH", help=f"inputs: {', '.join(entry.sources)}")
         one.add_argument("--start", type=int)
         one.add_argument("--end", type=int)
         if entry.kind == SECONDARY:
@@ -38,9 +38,9 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     sources = {name: spark.read.parquet(path) for name, _, path in (s.partition("=") for s in args["source"])}
     entry = FEATURES[args["feature"]]
-    if lacking := [i for i in entry.inputs if i not in sources]:
+    if lacking := [i for i in entry.sources if i not in sources]:
         sys.exit(f"{entry.name} needs --source for {', '.join(lacking)}")
-    people = sources[entry.inputs[0]].select("participant_id").distinct()
+    people = sources[entry.sources[0]].select("participant_id").distinct()
     if args["id"]:
         people = people.where(people["participant_id"].cast("string").isin(args["id"]))
     options = {k: args[k] for k in entry.parameters if args.get(k) is not None}

@@ -46,8 +46,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    events(spark, sf_dir).createOrReplaceTempView("tidemark_ev")
-    return spark.sql(f"SELECT {FRAMES[name]} FROM tidemark_ev")
+    return spark.sql(f"SELECT {FRAMES[name]} FROM {{ev}}", ev=events(spark, sf_dir))
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -530,13 +529,28 @@ def _daily(spark, sf_dir):
     return frame(spark, sf_dir, "daily").groupBy("participant_id", "day").agg((F.avg("value") / 100).alias("v"), (F.avg("k") / 50).alias("u"))
 
 
+_AROUND = tuple(zip(range(-3, 4), cohort.WEIGHTS, strict=True))
+
+
+def _weighted(c: str) -> str:
+    """The weighted mean of a column over the rows around each, added up from the first row to the last."""
+    rows = [(f"lag({c}, {-k}) OVER p" if k < 0 else f"lead({c}, {k}) OVER p" if k else c, w) for k, w in _AROUND]
+    total = "0.0::DOUBLE" + "".join(f" + coalesce({r} * {w}::DOUBLE, 0.0::DOUBLE)" for r, w in rows)
+    weight = "0.0::DOUBLE" + "".join(f" + CASE WHEN {r} IS NOT NULL THEN {w}::DOUBLE ELSE 0.0::DOUBLE END" for r, w in rows)
+    return f"({total}) / ({weight})"
+
+
+#: Sums of whole hundredths are exact in both engines, and so are the results: nothing is rounded.
 @_query(
     "q_impute",
-    f"""WITH {_EV}, {_DAILY}, n AS (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY day) AS pos FROM dl), w(d, w) AS (VALUES (-3, 0.05::DOUBLE), (-2, 0.2), (-1, 0.4), (0, 1.5), (1, 0.4), (2, 0.2), (3, 0.05))
-    SELECT a.participant_id, a.day, round(sum(w.w * b.v) / sum(w.w), 6) AS v, round(sum(w.w * b.u) / sum(w.w), 6) AS u FROM n a CROSS JOIN w JOIN n b ON b.participant_id = a.participant_id AND b.pos = a.pos + w.d GROUP BY a.participant_id, a.day""",
+    f"""WITH {_EV}, dl AS (SELECT participant_id, CAST((ts - {START}) // {DAY} AS INTEGER) AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10000.0::DOUBLE AS v, CAST(sum(k) AS DOUBLE) / count(*) / 50.0::DOUBLE AS u FROM ev GROUP BY 1, 2)
+    SELECT participant_id, day, {_weighted("v")} AS v, {_weighted("u")} AS u FROM dl WINDOW p AS (PARTITION BY participant_id ORDER BY day)""",
 )
 def _impute(spark, sf_dir):
-    return _rounded(cohort.imputed(_daily(spark, sf_dir)), "v", "u")
+    mean = lambda c, by: F.sum(c).cast("double") / F.count("*") / F.lit(float(by))
+    hundredths = F.round(F.col("value") * 100).cast("long")
+    daily = frame(spark, sf_dir, "daily").groupBy("participant_id", "day").agg(mean(hundredths, 10000).alias("v"), mean(F.col("k"), 50).alias("u"))
+    return cohort.imputed(daily)
 
 
 @_query("q_normalize", f"WITH {_EV}, {_DAILY} SELECT participant_id, day, round((v - avg(v) OVER p) / nullif(stddev_samp(v) OVER p, 0), 6) AS v, round((u - avg(u) OVER p) / nullif(stddev_samp(u) OVER p, 0), 6) AS u FROM dl WINDOW p AS (PARTITION BY participant_id)")

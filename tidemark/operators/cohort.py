@@ -118,6 +118,15 @@ def binned(daily: DataFrame, domains: Sequence[str] | None = None, days: int = 3
     return daily.groupBy("participant_id", key).agg(*(F.avg(c).alias(c) for c in _each(daily, domains)))
 
 
+def imputed_bins(bins: DataFrame, domains: Sequence[str] | None = None) -> DataFrame:
+    """Every bin from a participant's first to the last one, with each missing value replaced by the nearest one before it: our own
+    definition, as there is none to follow. Values before the first known one stay null."""
+    names = [c for c in _each(bins, domains) if c != "bin"]
+    spine = bins.groupBy("participant_id").agg(F.explode(F.sequence(F.min("bin"), F.max("bin"))).alias("bin"))
+    before = W.partitionBy("participant_id").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    return spine.join(bins, ["participant_id", "bin"], "left").withColumns({c: F.last(c, ignorenulls=True).over(before) for c in names})
+
+
 def age_statistics(participants: DataFrame) -> DataFrame:
     """mean_age and std_age (of the population), without those whose age is not known."""
     return participants.agg(F.avg("age").alias("mean_age"), F.stddev_pop("age").alias("std_age"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.grid import DAY, Grid
+from tidemark.plans.grid import DAY, Grid, expanded
+from tidemark.sources import sensors
+from tidemark.sources.store import Store, watermark
 
 RAW, PRIMARY, SECONDARY = "raw", "primary", "secondary"
 
@@ -21,10 +24,15 @@ class Feature:
     function: Callable[..., DataFrame]
     inputs: tuple[str, ...] = field(default=())
 
+    @property
+    def sources(self) -> tuple[str, ...]:
+        """Names of the frames that run needs for it."""
+        return tuple(("sensor_events" if self.name in sensors.SENSORS else "activity_events") if i == "events" else i for i in self.inputs)
+
     @property
     def parameters(self) -> dict[str, inspect.Parameter]:
         """Options of the feature: what its function takes besides its inputs, people and grid."""
-        fixed = {*self.inputs, "people", "grid"}
+        fixed = {*self.inputs, "people", "grid", "events", "activities", "name", "start", "end"}
         return {k: v for k, v in inspect.signature(self.function).parameters.items() if k not in fixed}
 
 
@@ -41,40 +49,80 @@ def feature(kind: str, *inputs: str):
     return register
 
 
-def run(sources: dict[str, DataFrame], people: DataFrame, features: Iterable[str | dict], start: int | None, end: int | None, resolution: int = DAY, parameters: dict[str, dict] | None = None) -> dict[str, DataFrame]:
+def _register_raw() -> None:
+    for name in sensors.SENSORS:
+        FEATURES[name] = Feature(name, RAW, partial(sensors.sensor, name=name), ("events",))
+    for name in sensors.ACTIVITIES:
+        FEATURES[name] = Feature(name, RAW, sensors.survey if name == "survey" else partial(sensors.activity, name=name), ("events", "activities"))
+
+
+_register_raw()
+
+
+def run(sources: dict[str, DataFrame], people: DataFrame | Iterable, features: Iterable[str | dict], start: int | None, end: int | None, resolution: int = DAY, parameters: dict[str, dict] | None = None, members: tuple[DataFrame, DataFrame] | None = None, save: str | None = None, store: Store | None = None) -> dict[str, DataFrame]:
     """Feature name to a lazy frame over all people, with participant_id first and datetime added.
 
-    sources: frames by the names that features ask for. Unknown features are left out. start and end default to the first and
-    last event of all sources. Intervals get timestamp = start of the run.
+    sources: frames by the names that features ask for; raw sensors ask for sensor_events, raw activities for activity_events and
+    activities. people: a frame with participant_id, or ids of participants, studies and researchers, which members (participants with
+    study_id, studies with researcher_id) tells apart. features: names, or dicts with name and the feature's options; an unknown
+    name raises. start and end default to the first and last event of all sources. Intervals get timestamp = start of the run.
+    save: a folder that gets a Parquet table for each feature. store: keeps raw ranges, which answer what they contain, and interval
+    features, which are computed from the end of each participant's last settled interval on and added to.
     """
     if people is None:
         raise ValueError("parameter `id` is required but missing.")
+    wanted = [(f, (parameters or {}).get(f, {})) if isinstance(f, str) else (f["name"], {k: v for k, v in f.items() if k != "name"}) for f in features]
+    if unknown := [f for f, _ in wanted if f not in FEATURES]:
+        raise ValueError(f"unknown features: {', '.join(unknown)}")
+    if not isinstance(people, DataFrame):
+        ids = [str(x) for x in people]
+        known = next(s for s in sources.values() if "participant_id" in s.columns)
+        people = expanded(ids, *members) if members else known.where(F.col("participant_id").cast("string").isin(ids)).select("participant_id").distinct()
+    people = people.select("participant_id").distinct()
     if start is None or end is None:
         rows = None
         for s in sources.values():
             if {"participant_id", "ts"} <= set(s.columns):
                 own = s.select("participant_id", "ts")
                 rows = own if rows is None else rows.unionByName(own)
-        got = rows.join(people.select("participant_id").distinct(), "participant_id", "left_semi").agg(F.min("ts"), F.max("ts")).first()
+        got = rows.join(people, "participant_id", "left_semi").agg(F.min("ts"), F.max("ts")).first()
         start, end = (got[0] if start is None else start), (got[1] if end is None else end)
         if start is None or end is None:
             return {}
     grid, out = Grid(start, end, resolution), {}
-    for name in features:
-        entry = FEATURES.get(name)
-        if entry is None:
-            continue
-        frames = [sources[i].join(people.select("participant_id").distinct(), "participant_id", "left_semi") if "participant_id" in sources[i].columns else sources[i] for i in entry.inputs]
-        options = (parameters or {}).get(name, {})
+
+    def source(name: str, since: DataFrame | None = None) -> DataFrame:
+        if name not in sources:
+            raise ValueError(f"no source {name}")
+        own = sources[name]
+        if "participant_id" not in own.columns:
+            return own
+        own = own.join(people, "participant_id", "left_semi")
+        if since is not None and "ts" in own.columns:
+            own = own.join(since, "participant_id", "left").where(F.col("since").isNull() | (F.col("ts") >= F.col("since"))).drop("since")
+        return own
+
+    for name, options in wanted:
+        entry = FEATURES[name]
         if entry.kind == SECONDARY:
-            got = entry.function(*frames, people, grid, **options)
+            got = entry.function(*map(source, entry.inputs), people, grid, **options)
         elif entry.kind == PRIMARY:
+            if store is None:
+                got = entry.function(*map(source, entry.inputs), **options)
+            else:
+                since = watermark(store.load(name)) if store.exists(name) else None
+                fresh = entry.function(*(source(i, since) for i in entry.inputs), **options)
+                got = store.update(name, fresh) if {"start", "end"} <= set(fresh.columns) else fresh
+                got = got.join(people, "participant_id", "left_semi")
             whole = Grid(start, end, end - start) if end > start else None
-            got = entry.function(*frames, **options)
             if {"start", "end"} <= set(got.columns) and whole:
                 got = whole.clipped(got).drop("window")
             got = got.withColumn("timestamp", F.lit(start))
         else:
-            got = entry.function(*frames, **options).where(F.col("ts").between(start, end)).withColumn("timestamp", F.col("ts"))
+            inputs = [source(i) for i in entry.sources]
+            compute = lambda a, b, entry=entry, inputs=inputs, options=options: entry.function(*inputs, start=a, end=b, **options)
+            got = (compute(start, end) if store is None else store.cached(name, start, end, compute)).withColumn("timestamp", F.col("ts"))
         out[name] = got.select("participant_id", *(c for c in got.columns if c != "participant_id")).withColumn("datetime", F.timestamp_millis("timestamp"))
+        if save:
+            out[name].write.mode("overwrite").parquet(f"{save.rstrip('/')}/{name}")
     return out

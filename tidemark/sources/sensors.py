@@ -77,23 +77,31 @@ def activity(events: DataFrame, activities: DataFrame, name: str, start: int | N
     return between(events, start, end).join(ids, "activity", "left_semi")
 
 
-def survey(events: DataFrame, activities: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+def survey(events: DataFrame, activities: DataFrame, start: int | None = None, end: int | None = None, replace_ids: bool = True) -> DataFrame:
     """One row for each answered question: participant_id, ts, event (seq), survey, item, value, type, level, duration.
 
     Of a participant's events with the same slices only the longest counts, the first of equals; events of
-    activities that are no surveys, or unknown, go.
+    activities that are no surveys, or unknown, go. Without replace_ids, survey is the activity's id, not its name.
     """
-    same = W.partitionBy("participant_id", F.to_json("temporal_slices")).orderBy(F.desc("duration"), "ts", "seq")
+    same = W.partitionBy("participant_id", "temporal_slices").orderBy(F.desc("duration"), "ts", "seq")
     once = between(events, start, end).withColumn("nth", F.row_number().over(same)).where("nth = 1")
-    names = activities.where("spec = 'lamp.survey'").select(F.col("id").alias("activity"), F.col("name").alias("survey"))
+    names = activities.where("spec = 'lamp.survey'").select(F.col("id").alias("activity"), F.col("name" if replace_ids else "id").alias("survey"))
     rows = once.join(names, "activity").select("participant_id", "ts", F.col("seq").alias("event"), "survey", F.explode("temporal_slices").alias("s"))
     return rows.select("participant_id", "ts", "event", "survey", "s.item", "s.value", "s.type", "s.level", "s.duration")
 
 
-def activity_names(events: DataFrame, activities: DataFrame) -> DataFrame:
-    """events with the activity's name and the second dotted part of its spec; null where the activity is not known."""
-    known = activities.select(F.col("id").alias("activity"), "name", F.split("spec", r"\.").getItem(1).alias("spec"))
-    return events.join(known, "activity", "left")
+def activity_names(events: DataFrame, activities: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """events with the activity's name and the second dotted part of its spec; null where the activity is not known.
+
+    gone: activities that were deleted (id, name, spec). With it, they are named too, and column gone tells that the activity is
+    not among those that are left.
+    """
+    columns = [F.col("id").alias("activity"), "name", F.split("spec", r"\.").getItem(1).alias("spec")]
+    known = activities.select(*columns)
+    if gone is None:
+        return events.join(known, "activity", "left")
+    known = known.withColumn("gone", F.lit(False)).unionByName(gone.join(activities, "id", "left_anti").select(*columns, F.lit(True).alias("gone")))
+    return events.join(known, "activity", "left").withColumn("gone", F.coalesce("gone", F.lit(True)))
 
 
 def deleted(entities: DataFrame, parent: str | None = None) -> DataFrame:
