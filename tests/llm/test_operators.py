@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import __spark_entry__
 from tidemark.llm import cotraining, jaccard, licenses, mixing, packing, repeats, rules, scoring, token_files, tokens, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,6 +56,10 @@ def split(text):
     return (text or "").encode().lower().split()
 
 
+def test_ten_queries():
+    assert sum(n.startswith("op") for n in __spark_entry__.queries()) == 10
+
+
 # packing
 
 
