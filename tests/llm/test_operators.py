@@ -224,6 +224,30 @@ def test_groups_query(spark, tmp_path):
     assert got(jaccard.op2_jaccard(spark, str(tmp_path))) == brute_groups(rows, 3, 90)
 
 
+def test_unlike_texts_do_not_meet():
+    """Long texts with nothing in common share no part, neither one with shingles nor an empty one."""
+    for words, near in ((3, 90), (5, 80)):
+        r = np.random.default_rng(words)
+        texts = [" ".join(f"u{i}x{x}" for x in r.integers(0, 10**9, n)) for i in range(30) for n in (150, 1000, 3000)]
+        values, ends = jaccard.shingle_sets(texts, words)
+        signs, _ = jaccard.signatures(values, ends, near)
+        assert len(np.unique(signs)) == len(signs)
+
+
+def test_linked_sets_share_a_part():
+    r = np.random.default_rng(3)
+    for near in (80, 90):
+        for n in (5, 40, 300, 2500):
+            base = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+            for _ in range(40):
+                cut = r.permutation(base)[int(len(base) * (100 - near) / 100) :]
+                more = np.unique(np.concatenate([r.permutation(base)[int(len(base) * (100 - near) / 200) :], r.integers(0, 2**63, int(len(base) * (100 - near) / 250)).astype(np.uint64)]))
+                for other in (np.sort(cut), more):
+                    if 100 * len(np.intersect1d(base, other)) >= near * len(np.union1d(base, other)):
+                        signs, of = jaccard.signatures(np.concatenate([base, other]), np.array([len(base), len(base) + len(other)]), near)
+                        assert set(signs[of == 0].tolist()) & set(signs[of == 1].tolist())
+
+
 def test_no_groups(none):
     assert jaccard.near_groups(none).collect() == []
 

@@ -1,7 +1,7 @@
 """Near-duplicate groups by an exact Jaccard join over word shingles.
 
 1. Each text becomes a set of shingle hashes. The hash range is cut into more parts than two linked sets of that size can
-   differ in, so linked sets agree in at least one part that is not empty: sets with an equal part meet. Sets of one or
+   differ in, with an allowance for empty parts, so linked sets agree in a part that is not empty: sets with an equal part meet. Sets of one or
    the next size class share a way of cutting. Equal sets are one set from the start.
 2. Where sets meet, each is compared with leaders of its meeting. A T-occurrence search (DivideSkip) takes the leader as
    query over inverted lists of up to 256 members: short lists are merged by a heap, long ones probed by bisection,
@@ -29,8 +29,10 @@ from tidemark.llm.hashing import STEP, U, from_six, hashed_words, mixed, six_byt
 
 #: Words of a shingle, and percent of similarity from which sets link.
 WORDS, NEAR = 5, 80
-#: Parts that may be empty in a set before its empty parts count as parts to meet in.
-SPARE = 2
+#: Bytes of text for each bucket of sets and parts, whose rows come together in one task.
+BUCKET_BYTES = 4_000_000
+#: Copies of the labels that many nodes share, in the join that follows them.
+SALT = 16
 #: Members that one search indexes, and pairs whose searches share a task's group.
 CHUNK, PACK = 256, 1000
 #: Rows of two numbers that are broadcast at most; more are joined by a shuffle.
@@ -68,13 +70,18 @@ def size_class(n: np.ndarray, near: int = NEAR) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / near) + 1e-9).astype(np.int64)
 
 
-def parts_of(level: np.ndarray, near: int = NEAR) -> np.ndarray:
-    """Parts to cut sets of class level and the one below into: linked ones differ in fewer, less SPARE + 1.
+def parts_of(level: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Parts to cut sets of class level and the one below into, and how many of them may be empty: linked sets differ in fewer
+    than the rest.
 
-    Linked sets of a and b have at most (a + b) * (100 - near) / (100 + near) elements in one of them only.
+    Linked sets of a and b have at most (a + b) * (100 - near) / (100 + near) elements in one of them only. The
+    allowance is four deviations above what the smallest sets of these classes have empty on average.
     """
     largest = np.ceil((100 / near) ** (level + 1) + 1e-6)
-    return np.floor(2 * largest * (100 - near) / (100 + near)).astype(np.int64) + 1 + SPARE
+    differ = np.floor(2 * largest * (100 - near) / (100 + near)).astype(np.int64) + 1
+    empty = np.exp(-((near / 100) ** 2) * largest / differ) * differ * 1.5
+    spare = 2 + np.ceil(empty + 4 * np.sqrt(empty)).astype(np.int64)
+    return differ + spare, spare
 
 
 def signatures(values: np.ndarray, ends: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +92,7 @@ def signatures(values: np.ndarray, ends: np.ndarray, near: int = NEAR) -> tuple[
     out, of = [], []
     for up in (0, 1):
         level = size_class(sizes, near) + up
-        count = parts_of(level, near)
+        count, spare = parts_of(level, near)
         base = np.concatenate([[0], np.cumsum(count)])
         # 32 bits of the hash times the number of parts: ascending hashes lie in ascending parts.
         part = ((values >> U(32)) * count[owner].astype(U) >> U(32)).astype(np.int64) + base[owner]
@@ -98,7 +105,7 @@ def signatures(values: np.ndarray, ends: np.ndarray, near: int = NEAR) -> tuple[
         out.append(mixed(sums[until] - sums[edge] + tag, 6))
         of.append(own)
         empty = count - np.bincount(own, minlength=len(ends))
-        for i in np.flatnonzero((empty > SPARE) & (sizes > 0)).tolist():
+        for i in np.flatnonzero((empty > spare) & (sizes > 0)).tolist():  # hardly ever: then empty parts are parts to meet in
             no = np.setdiff1d(np.arange(count[i]), part[edge][own == i] - base[i])
             out.append(mixed(mixed(np.full(len(no), level[i], np.int64).astype(U) * STEP[8] + no.astype(U) * STEP[9], 5), 6))
             of.append(np.full(len(no), i))
@@ -182,11 +189,12 @@ def linked(query: np.ndarray, members: list[np.ndarray], near: int = NEAR) -> li
     able = [i for i, m in enumerate(members) if need[i] <= min(len(query), len(m))]
     if not able:
         return []
-    shared = np.concatenate([np.searchsorted(query, members[i][np.isin(members[i], query, assume_unique=True)]) for i in able])
-    owner = np.repeat(able, [int(np.isin(members[i], query, assume_unique=True).sum()) for i in able])
-    order = np.lexsort((owner, shared))
-    lists = np.split(owner[order], np.flatnonzero(np.diff(shared[order])) + 1) if len(order) else []
-    found = t_occurrence(lists, max(1, min(need[i] for i in able)))
+    # The inverted lists: for each shingle hash, the members that have it, ascending.
+    values, owner = np.concatenate([members[i] for i in able]), np.repeat(able, [len(members[i]) for i in able])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    a, b = np.searchsorted(values, query), np.searchsorted(values, query, side="right")
+    found = t_occurrence([owner[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True) if i < j], max(1, min(need[i] for i in able)))
     return [i for i, n in found.items() if n >= need[i]]
 
 
@@ -316,8 +324,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         got = both.join(labels, F.col("from") == F.col("key")).groupBy("to").agg(F.min("label").alias("other"))
         nearer = labels.join(got, F.col("key") == F.col("to"), "left").select("key", F.col("label").alias("was"), F.least("label", "other").alias("label"))
-        named = labels.select(F.col("key").alias("name"), F.col("label").alias("beyond"))
-        after = stored(nearer.join(named, F.col("label.key") == F.col("name")).select("key", "was", F.least("label", "beyond").alias("label")), "labels")
+        # Nodes of a large component name one node: they are dealt out over copies of its row.
+        nearer = nearer.withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(SALT)))
+        roots = nearer.select(F.col("label.key").alias("key")).distinct()
+        named = labels.join(roots, "key", "left_semi").select(F.col("key").alias("name"), F.col("label").alias("beyond"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")).alias("of"))
+        after = stored(nearer.join(named, (F.col("label.key") == F.col("name")) & (F.col("deal") == F.col("of"))).select("key", "was", F.least("label", "beyond").alias("label")), "labels")
         labels = after.select("key", "label")
         if not after.where("label < was").count():
             return labels.select("key", F.col("label.start").alias("label"))
@@ -384,7 +395,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFr
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(_sent(docs, parts * 4, words, near).groupBy("bucket").applyInPandas(_met, _MET), "meetings")
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = stored(_sent(docs, max(parts * 4, held // BUCKET_BYTES), words, near).groupBy("bucket").applyInPandas(_met, _MET), "meetings")
     nodes = found.where("kind = 0").select("key", F.col("doc_id").alias("start"), "size", "sketch")
     groups = found.where("kind = 1").select("keys")
     tasks = stored(groups.mapInPandas(_led, "leader long, member long").distinct(), "tasks")
