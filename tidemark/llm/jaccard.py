@@ -413,7 +413,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFr
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": np.diff(np.concatenate([[0], ends])), "key": set_keys(values, ends)})
 
     counts = docs.mapInPandas(counted, "doc_id long, n_shingles long, key long")
-    heads = nodes.select("key", "start").join(labels, "key", "left").select("key", F.coalesce("label", "start").alias("component"))
+    # Written, so that the last join has a shuffle on each side: Spark then splits the rows of many equal texts.
+    heads = stored(nodes.select("key", "start").join(labels, "key", "left").select("key", F.coalesce("label", "start").alias("component")), "heads")
     component = F.nullif(F.coalesce("component", "doc_id"), F.lit(int(LAST)))
     return counts.join(heads, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"))
 
