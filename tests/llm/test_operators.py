@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -546,6 +547,24 @@ def test_cotraining_on_held_out(spark):
     assert right >= 0.97 * len(held)
 
 
+def test_exchange_sees_every_document(spark, docs, rows):
+    """Sums over all rows but the labelled ones, beside a loop over documents; a label for one goal only says nothing on the other."""
+    r = np.random.default_rng(4)
+    learned = {"quality": ([r.normal(size=w) for w in cotraining.WIDTHS], [(2.0, 0.1), (5.0, -0.2)], 0.5, True), "toxic": ([np.zeros(w) for w in cotraining.WIDTHS], [(0.0, 0.0)] * 2, 0.5, False)}
+    found = cotraining.exchanged(docs, learned, np.array([3, 50]))
+    for view in (0, 1):
+        expected, n = np.zeros((2, cotraining.WIDTHS[view])), 0
+        for row in rows:
+            both = cotraining.features(pd.DataFrame([row[1:4]], columns=["text", "lang", "source"]))
+            a, b = learned["quality"][1][1 - view]
+            p = 1 / (1 + math.exp(-np.clip(a * (both[1 - view][2] * learned["quality"][0][1 - view][both[1 - view][1]]).sum() + b, -30, 30)))
+            if row[0] not in (3, 50) and max(p, 1 - p) >= cotraining.SURE:
+                np.add.at(expected[int(p > 0.5)], both[view][1], np.abs(both[view][2]))
+                n += 1
+        assert n and np.allclose(found["quality", view], expected)
+    assert not found["toxic", 0].any() and not cotraining.hint(found["toxic", 0]).any()
+
+
 def test_classifier_without_labels(spark, docs, none):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert cotraining.classified(docs, empty).count() == docs.count()

@@ -1,12 +1,14 @@
 """Quality and toxicity by co-training two views of a document.
 
 The content view sees hashed words and character shares of the text; the metadata view sees the page's source, language,
-length and layout. Each view is a logistic regression fitted to the labelled sample; in each round each view labels the pool
-documents it is surest of, and the other view learns from them. At the end each view is calibrated on labelled documents it
-never learned from, and all documents are scored by the sum of the calibrated log odds.
-
-Only the fit uses samples: FIT labelled documents and POOL unlabelled ones at most, those with the least hashes of
-their ids. Scoring reads every text whole.
+length and layout. Each view is a logistic regression fitted to the labelled sample. In each round both views score every
+document without a label; those that a view is sure of are pseudo-labels for the other view, which learns from all of them
+by what their features add up to in each class: the log ratios of these sums are one more feature of its regression, so that
+labels say how far to trust them. At the end each view is calibrated on labelled documents it never learned from, and all
+documents are scored by the sum of the calibrated log odds.
+
+Only the labelled side is a sample: FIT labelled documents at most, those with the least hashes of their ids. The exchange
+and the scoring read every text whole.
 """
 
 from __future__ import annotations
@@ -15,15 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
 from tidemark.llm.hashing import U, hashed_words, mixed
 
-FIT, POOL = 12_000, 6_000
+FIT = 12_000
 CONTENT, META = 1 << 15, 1 << 10
-ROUNDS, SURE = 3, 0.02
+WIDTHS = (CONTENT, META)
+#: Rounds of exchange, and the calibrated probability from which on a view is sure.
+ROUNDS, SURE = 2, 0.95
+#: Features whose sums are added up together.
+BLOCK = 4096
 _DENSE = 8
 
 
@@ -66,26 +73,34 @@ def _column(said: tuple) -> int:
 
 
 class View:
-    """A logistic regression on sparse rows."""
+    """A logistic regression on sparse rows. hint holds weights from pseudo-labels, whose scores are one more feature."""
 
     def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, width: int):
         self.rows, self.columns, self.values, self.n, self.width = rows, columns, values, n, width
-        self.weights = np.zeros(width)
+        self.weights, self.hint = np.zeros(width), np.zeros(width)
 
     def scores(self) -> np.ndarray:
         return np.bincount(self.rows, self.values * self.weights[self.columns], self.n)
 
     def fit(self, target: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.5, keep: float = 1e-4) -> None:
-        """Full-batch AdaGrad on the rows with weight, with a small pull to zero."""
+        """Full-batch AdaGrad on the rows with weight, with a small pull to zero; weights then include the hint's share."""
         used = weight[self.rows] > 0
         rows, columns, values = self.rows[used], self.columns[used], self.values[used]
         weight = weight / weight.sum()
-        self.weights, past = np.zeros(self.width), np.full(self.width, 1e-8)
+        hinted = np.bincount(rows, values * self.hint[columns], self.n)
+        scale = max(1e-9, np.sqrt((weight * (hinted - (weight * hinted).sum()) ** 2).sum()))
+        hinted, share, shares = hinted / scale if hinted.any() else hinted, 0.0, 1e-8
+        weights, past = np.zeros(self.width), np.full(self.width, 1e-8)
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * self.weights[columns], self.n), -30, 30)))
-            slope = np.bincount(columns, values * (weight * (p - target))[rows], self.width) + keep * self.weights
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * weights[columns], self.n) + share * hinted, -30, 30)))
+            error = weight * (p - target)
+            slope = np.bincount(columns, values * error[rows], self.width) + keep * weights
             past += slope**2
-            self.weights -= rate * slope / np.sqrt(past)
+            weights -= rate * slope / np.sqrt(past)
+            slope = (error * hinted).sum() + keep * share
+            shares += slope**2
+            share -= rate * slope / np.sqrt(shares)
+        self.weights = weights + self.hint * (share / scale if hinted.any() else 0.0)
 
 
 def _balanced(target: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -109,61 +124,116 @@ def _platt(scores: np.ndarray, target: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (0.0, float(np.log((target.mean() + 1e-6) / (1 - target.mean() + 1e-6))))
 
 
-def cotrain(views: list[View], target: np.ndarray, rounds: int = ROUNDS, sure: float = SURE) -> tuple[list[np.ndarray], list[tuple[float, float]], float]:
-    """Weights and calibration of the views and the labelled share of ones. target is -1 where unknown; every fourth labelled
-    row is only for calibration. In a round each view hands the other up to `sure` of the pool for each class, if at
-    least 0.9 sure by its calibrated probability; such labels count half."""
-    known = np.flatnonzero(target >= 0)
-    aside = known[::4]
-    train = np.setdiff1d(known, aside)
-    share = float(np.clip(target[known].mean() if len(known) else 0.5, 1e-3, 1 - 1e-3))
-    if len(train) < 10 or len(set(target[train].tolist())) < 2 or len(set(target[aside].tolist())) < 2:
-        return [v.weights for v in views], [(0.0, float(np.log(share / (1 - share))))] * 2, share
-    labels, weight = [np.where(target >= 0, target, 0).astype(float) for _ in views], []
-    for _ in views:
-        w = np.zeros(len(target))
-        w[train] = 1
-        weight.append(w)
-    pool = np.flatnonzero(target < 0)
-    for turn in range(rounds + 1):
-        for v, y, w in zip(views, labels, weight, strict=True):
-            v.fit(y, _balanced(y, w))
-        lines = [_platt(v.scores()[aside], target[aside]) for v in views]
-        if turn == rounds or not len(pool):
-            break
-        for me, other in ((0, 1), (1, 0)):
-            a, b = lines[me]
-            p = 1 / (1 + np.exp(-np.clip(a * views[me].scores()[pool] + b, -30, 30)))
-            order = np.argsort(p, kind="stable")
-            n = max(1, int(sure * len(pool)))
-            for value, best, certain in ((0, order[:n], 1 - p), (1, order[-n:], p)):
-                own = pool[best[certain[best] >= 0.9]]
-                fresh = own[weight[other][own] == 0]
-                labels[other][fresh], weight[other][fresh] = value, 0.5
-    return [v.weights for v in views], lines, share
-
-
-def _sampled(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """The rows to fit on: bounded by FIT and POOL, whatever the tables' sizes."""
-    order = F.xxhash64("doc_id")
-    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    fit = labels.orderBy(order, "doc_id").limit(FIT)
-    rest = docs.where("doc_id IS NOT NULL").select("doc_id").join(labels, "doc_id", "left_anti").orderBy(order, "doc_id").limit(POOL)
-    chosen = fit.unionByName(rest.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic")))
-    return docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text")
+def _probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+class Goal:
+    """What is fitted for one goal: views, calibration and the labelled share of ones. target is -1 where unknown; every fourth
+    labelled row is only for calibration. Without enough labels of both classes nothing is learned."""
+
+    def __init__(self, views: list[View], target: np.ndarray):
+        self.views, self.target = views, target
+        known = np.flatnonzero(target >= 0)
+        self.aside = known[::4]
+        train = np.setdiff1d(known, self.aside)
+        self.share = float(np.clip(target[known].mean() if len(known) else 0.5, 1e-3, 1 - 1e-3))
+        self.able = len(train) >= 10 and len(set(target[train].tolist())) == 2 and len(set(target[self.aside].tolist())) == 2
+        self.weight = np.zeros(len(target))
+        self.weight[train] = 1
+        self.lines = [(0.0, float(np.log(self.share / (1 - self.share))))] * 2
+
+    def fit(self) -> None:
+        if self.able:
+            for v in self.views:
+                v.fit(self.target, _balanced(self.target, self.weight))
+            self.lines = [_platt(v.scores()[self.aside], self.target[self.aside]) for v in self.views]
+
+    def learned(self) -> tuple[list[np.ndarray], list[tuple[float, float]], float, bool]:
+        return [v.weights for v in self.views], self.lines, self.share, self.able
+
+
+def hint(sums: np.ndarray) -> np.ndarray:
+    """Weights from the sums of features of pseudo-labelled documents in class 0 and 1: log ratios of smoothed shares."""
+    if not sums.any(axis=1).all():
+        return np.zeros(sums.shape[1])
+    shares = (sums + 0.5) / (sums.sum(axis=1, keepdims=True) + 0.5 * sums.shape[1])
+    return np.log(shares[1] / shares[0])
+
+
+def sure_sums(frame: pd.DataFrame, learned: dict, labelled: np.ndarray) -> dict[tuple[str, int], np.ndarray]:
+    """For each goal and view the sums of its features over the documents of frame that the other view is sure of, by class.
+    Labelled documents give no pseudo-labels; a feature counts by its size."""
+    both, out = features(frame), {}
+    fresh = ~np.isin(_numbers(frame["doc_id"]), labelled)
+    for goal, (weights, lines, _, able) in learned.items():
+        for me in (0, 1) if able else ():
+            (rows, columns, values), (a, b) = both[me], lines[me]
+            p = _probability(a * np.bincount(rows, values * weights[me][columns], len(frame)) + b)
+            rows, columns, values = both[1 - me]
+            sums = [np.bincount(columns, np.abs(values) * (fresh & (q >= SURE))[rows], WIDTHS[1 - me]) for q in (1 - p, p)]
+            out[goal, 1 - me] = np.stack(sums)
+    return out
+
+
+def _numbers(ids: pd.Series) -> np.ndarray:
+    return np.array([-1 if pd.isna(x) else int(x) for x in ids.astype(object)], np.int64)
+
+
+def _slices(frames: Iterator[pd.DataFrame], size: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        if len(frame):
+            lengths = frame["text"].str.len().fillna(0).to_numpy(float)
+            for _, part in frame.groupby(np.cumsum(lengths) // size, sort=False):
+                yield part
+
+
+_SUMS = "goal string, view int, block int, part int, sums binary"
+
+
+def exchanged(docs: DataFrame, learned: dict, labelled: np.ndarray) -> dict[tuple[str, int], np.ndarray]:
+    """sure_sums over all docs: added up in tasks, then by block of features in two steps."""
+    shared = docs.sparkSession.sparkContext.broadcast((learned, labelled))
+
+    def collect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for part in _slices(frames):
+            for key, sums in sure_sums(part, *shared.value).items():
+                total[key] = total[key] + sums if key in total else sums
+        own = TaskContext.get().partitionId() % 64
+        out = [(goal, view, at // BLOCK, own, sums[:, at : at + BLOCK].astype("<f8").tobytes()) for (goal, view), sums in total.items() for at in range(0, sums.shape[1], BLOCK)]
+        yield pd.DataFrame(out, columns=["goal", "view", "block", "part", "sums"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, "<f8") for x in rows["sums"])
+        return rows.iloc[:1].assign(part=0, sums=[total.tobytes()])
+
+    keys = ["goal", "view", "block"]
+    found = docs.mapInPandas(collect, _SUMS).groupBy(*keys, "part").applyInPandas(add, _SUMS).groupBy(*keys).applyInPandas(add, _SUMS).collect()
+    out = {(goal, view): np.zeros((2, WIDTHS[view])) for goal in learned for view in (0, 1)}
+    for r in found:
+        sums = np.frombuffer(r["sums"], "<f8").reshape(2, -1)
+        out[r["goal"], r["view"]][:, r["block"] * BLOCK : r["block"] * BLOCK + sums.shape[1]] = sums
+    return out
+
+
+def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows to fit on: bounded by FIT, whatever the tables' sizes."""
+    labels = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return docs.join(F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT)), "doc_id")
 
 
 def classified(docs: DataFrame, labels: DataFrame, keep: float = 0.5) -> DataFrame:
     """doc_id, quality, toxic (probabilities) and kept for each row of docs (doc_id, text, source, lang).
 
     kept: quality of at least keep and toxic below a half. labels has doc_id, quality and toxic (0 or 1); labels that contradict
-    each other count as 1, those with nulls not at all. With too few labels of one class the labelled share stands for every
+    each other count as 1; a null says nothing on its goal. With too few labels of one class the labelled share stands for every
     document. Null texts count as empty and null sources or languages as a value of their own. Rows that share a doc_id are
     scored one by one; a null doc_id stays null. Other columns are left out. No rows: no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic"))
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -178,29 +248,33 @@ def classified(docs: DataFrame, labels: DataFrame, keep: float = 0.5) -> DataFra
 
     kind = "doc_id long, quality int, toxic int, content_at binary, content_value binary, meta_at binary, meta_value binary"
     sample = stored(_sampled(docs, labels).mapInPandas(extract, kind), "sample").orderBy("doc_id", "content_at").toPandas()
-    fitted = {}
+    goals = {}
     for goal in ("quality", "toxic"):
-        target = sample[goal].fillna(-1).to_numpy(int)
         views = []
-        for name, width in (("content", CONTENT), ("meta", META)):
+        for name, width in zip(("content", "meta"), WIDTHS, strict=True):
             sizes = [len(x) // 4 for x in sample[f"{name}_at"]]
-            rows = np.repeat(np.arange(len(sample)), sizes)
             columns = np.frombuffer(b"".join(sample[f"{name}_at"]), "<i4").astype(np.int64)
-            views.append(View(rows, columns, np.frombuffer(b"".join(sample[f"{name}_value"]), "<f4").astype(float), len(sample), width))
-        fitted[goal] = cotrain(views, target)
-    shared = spark.sparkContext.broadcast(fitted)
+            values = np.frombuffer(b"".join(sample[f"{name}_value"]), "<f4").astype(float)
+            views.append(View(np.repeat(np.arange(len(sample)), sizes), columns, values, len(sample), width))
+        goals[goal] = Goal(views, sample[goal].fillna(-1).to_numpy(int))
+        goals[goal].fit()
+    labelled = np.unique(sample["doc_id"].to_numpy(np.int64))
+    for _ in range(ROUNDS if any(g.able for g in goals.values()) else 0):
+        for (goal, view), sums in exchanged(docs, {k: g.learned() for k, g in goals.items()}, labelled).items():
+            goals[goal].views[view].hint = hint(sums)
+        for g in goals.values():
+            g.fit()
+    shared = spark.sparkContext.broadcast({k: g.learned() for k, g in goals.items()})
 
     def classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lengths = frame["text"].str.len().fillna(0).to_numpy(float)
-            for _, part in frame.groupby(np.cumsum(lengths) // 2_000_000, sort=False):
-                both, out = features(part), {"doc_id": part["doc_id"].astype("Int64").to_numpy()}
-                for goal, (weights, lines, share) in shared.value.items():
-                    odds = np.full(len(part), -np.log(share / (1 - share)))  # each view counts the prior once
-                    for (rows, columns, values), w, (a, b) in zip(both, weights, lines, strict=True):
-                        odds += a * np.bincount(rows, values * w[columns], len(part)) + b
-                    out[goal] = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-                yield pd.DataFrame(out)
+        for part in _slices(frames):
+            both, out = features(part), {"doc_id": part["doc_id"].astype("Int64").to_numpy()}
+            for goal, (weights, lines, share, _) in shared.value.items():
+                odds = np.full(len(part), -np.log(share / (1 - share)))  # each view counts the prior once
+                for (rows, columns, values), w, (a, b) in zip(both, weights, lines, strict=True):
+                    odds += a * np.bincount(rows, values * w[columns], len(part)) + b
+                out[goal] = _probability(odds)
+            yield pd.DataFrame(out)
 
     scored = docs.mapInPandas(classify, "doc_id long, quality double, toxic double")
     return scored.withColumn("kept", (F.col("quality") >= keep) & (F.col("toxic") < 0.5))
