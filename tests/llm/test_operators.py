@@ -225,16 +225,6 @@ def test_groups_query(spark, tmp_path):
     assert got(jaccard.op2_jaccard(spark, str(tmp_path))) == brute_groups(rows, 3, 90)
 
 
-def test_unlike_texts_do_not_meet():
-    """Long texts with nothing in common share no part, neither one with shingles nor an empty one."""
-    for words, near in ((3, 90), (5, 80)):
-        r = np.random.default_rng(words)
-        texts = [" ".join(f"u{i}x{x}" for x in r.integers(0, 10**9, n)) for i in range(30) for n in (150, 1000, 3000)]
-        values, ends = jaccard.shingle_sets(texts, words)
-        signs, _ = jaccard.signatures(values, ends, near)
-        assert len(np.unique(signs)) == len(signs)
-
-
 def test_linked_sets_share_a_part():
     r = np.random.default_rng(3)
     for near in (80, 90):
