@@ -494,6 +494,7 @@ def test_mix(docs, rows):
 
 
 def test_mixed_documents(docs):
+    docs = docs.selectExpr("*", "7 AS taken", "8 AS source_rank", "9 AS target")
     plan = mixing.plan_mix(docs)
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns

@@ -83,9 +83,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     keyed = keyed.withColumn("__nth", F.row_number().over(nth))
     plan = plan_mix(docs, **options)
     plan = plan.withColumn("__nth", F.row_number().over(W.partitionBy("doc_id", "source_rank", "size").orderBy(F.desc("taken"))))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__of"), F.col("__nth").alias("__at"), "taken", F.col("source_rank"))
-    both = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of")) & (F.col("__nth") == F.col("__at"))).where("taken > 0")
-    copies = F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("__size")).cast("int")), lambda i: F.least(F.col("__size"), F.col("taken") - i * F.col("__size")))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__of"), F.col("__nth").alias("__at"), F.col("taken").alias("__taken"))
+    both = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of")) & (F.col("__nth") == F.col("__at"))).where("__taken > 0")
+    copies = F.transform(F.sequence(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("int")), lambda i: F.least(F.col("__size"), F.col("__taken") - i * F.col("__size")))
     both = both.withColumn("__words", F.explode(copies))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
     text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(cut)
