@@ -257,6 +257,14 @@ def test_one_of_each(docs, rows):
     assert left == {r[0] for r, g in zip(sorted(rows, key=lambda r: str((r[0], 0))), [None] * len(rows), strict=True) if r[0] is not None and (r[0],) in {(a,) for a, _, c in brute_groups(rows) if a == c}}
 
 
+def test_one_row_of_null_and_repeated_ids(spark):
+    rows = [(None, prose(1)), (None, prose(1)), (None, prose(2)), (5, prose(3)), (5, prose(4)), (6, prose(4) + " end"), (None, None), (None, ""), (7, prose(2).upper()), (7, prose(2) + " "), (8, "\n")]
+    left = got(jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    twins = [r for r in left if r[0] == 7]
+    assert len(twins) == 1 and tuple(twins[0]) in rows
+    assert [r for r in left if r[0] != 7] == sorted([(None, prose(1)), (5, prose(3)), (5, prose(4)), (None, None), (None, ""), (8, "\n")], key=str)
+
+
 # licences
 
 
@@ -404,6 +412,15 @@ def test_rules_tell_junk(spark):
     assert all(r.kept == (r.doc_id < 100) for r in out)
 
 
+def test_rules_judge_rows_of_null_and_repeated_ids(spark):
+    good = [(None if i < 40 else i, prose(i, 80)) for i in range(80)]
+    bad = [(40 + i if i < 3 else None, " ".join(w + "%%%" for w in prose(i, 60).split())) for i in range(6)] + [(50, "!! ".join(prose(i, 60).upper().split())) for i in range(6)]
+    docs = spark.createDataFrame(good + good[:2] + bad, "doc_id long, text string").selectExpr("*", "1 AS text_hash", "2 AS kept")
+    kept = rules.kept_documents(docs)
+    assert kept.columns == docs.columns
+    assert got(kept.select("doc_id", "text")) == sorted(good + good[:2], key=str)
+
+
 def test_rules_on_nothing(none):
     assert rules.judged(none).collect() == []
     assert rules.kept_documents(none).collect() == []
@@ -473,6 +490,12 @@ def test_texts_and_documents_without_repeats(docs, none):
     assert repeats.without_repeats(none).collect() == []
 
 
+def test_cut_rows_of_null_and_repeated_ids(spark):
+    rows = [(1, prose(1)), (None, prose(1) + "\n" + prose(2)), (None, prose(1) + "\n" + prose(2)), (3, prose(3)), (3, prose(3) + "\n" + prose(4)), (4, prose(4)), (None, None), (5, " ")]
+    left = got(repeats.deduplicated_documents(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert left == sorted([(1, prose(1)), (None, "\n" + prose(2)), (None, "\n" + prose(2)), (3, prose(3)), (3, prose(3) + "\n" + prose(4))], key=str)
+
+
 # mixing
 
 

@@ -311,7 +311,7 @@ def _searched(tasks: DataFrame, sets: DataFrame, near: int) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """key and the least start that its links lead to, for nodes (key, start) and links (leader, member).
+    """key, label and root for nodes (key, start) and links (leader, member): the least start that links lead to, and its key.
 
     A label is a start with its key. In each round a node takes the least label of its neighbours, then the label of
     the node that its label names, so that long chains take few rounds; labels are written to the shared folder.
@@ -328,13 +328,13 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         after = stored(nearer.join(named, (F.col("label.key") == F.col("name")) & (F.col("deal") == F.col("of"))).select("key", "was", F.least("label", "beyond").alias("label")), "labels")
         labels = after.select("key", "label")
         if not after.where("label < was").count():
-            return labels.select("key", F.col("label.start").alias("label"))
+            return labels.select("key", F.col("label.start").alias("label"), F.col("label.key").alias("root"))
 
 
 def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     """Pairs of sets that meet, lie in different components so far, and are not ruled out by sizes and sketches."""
     members = stored(groups.distinct().select(F.monotonically_increasing_id().alias("meeting"), F.explode("keys").alias("key")), "members")
-    rows = members.join(labels, "key")
+    rows = members.join(labels.select("key", "label"), "key")
     open_ = rows.groupBy("meeting").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("meeting")
     rows = rows.join(open_, "meeting", "left_semi").join(sets.select("key", "size", "sketch"), "key")
     meetings = rows.groupBy("meeting").agg(F.collect_list("key").alias("keys"), F.collect_list("size").alias("sizes"), F.collect_list("label").alias("labels"), F.collect_list("sketch").alias("sketches"))
@@ -389,6 +389,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFr
     a doc_id are documents of their own. Other columns are left out. No rows: no rows.
     Sets are told apart by 64-bit hashes of their shingles, and shingles by theirs.
     """
+    return _grouped(docs, words, near).select("doc_id", "n_shingles", F.nullif(F.coalesce("component", "doc_id"), F.lit(int(LAST))).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, words: int, near: int) -> DataFrame:
+    """doc_id, n_shingles, the text's hash, and its component's least doc_id (LAST for null) and root; null without shingles."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -407,19 +412,25 @@ def near_groups(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFr
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
             values, ends = shingle_sets(frame["text"].tolist(), words)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": np.diff(np.concatenate([[0], ends])), "key": set_keys(values, ends)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_shingles": np.diff(np.concatenate([[0], ends])), "key": set_keys(values, ends), "text_hash": frame["text_hash"]})
 
-    counts = docs.mapInPandas(counted, "doc_id long, n_shingles long, key long")
+    counts = docs.withColumn("text_hash", F.xxhash64("text")).mapInPandas(counted, "doc_id long, n_shingles long, key long, text_hash long")
     # Written, so that the last join has a shuffle on each side: Spark then splits the rows of many equal texts.
-    heads = stored(nodes.select("key", "start").join(labels, "key", "left").select("key", F.coalesce("label", "start").alias("component")), "heads")
-    component = F.nullif(F.coalesce("component", "doc_id"), F.lit(int(LAST)))
-    return counts.join(heads, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    heads = stored(nodes.select("key", "start").join(labels, "key", "left").select("key", F.coalesce("label", "start").alias("component"), F.coalesce("root", "key").alias("root")), "heads")
+    return counts.join(heads, "key", "left").select("doc_id", "n_shingles", "text_hash", "component", "root")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
-    """docs with one document of each component: that of the least doc_id, and of equal rows one. Null doc_ids go."""
-    stay = near_groups(docs, words, near).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    """docs with one document of each component: that of the least doc_id (null is larger than all), of those that share it the one
+    with the least hash of its text, and of rows with equal doc_id and text one. Texts without words stay.
+
+    Rows are named by doc_id and a 64-bit hash of the text, so rows with null or repeated doc_ids are judged one by one.
+    """
+    rows = _grouped(docs, words, near).select(F.coalesce("doc_id", F.lit(int(LAST))).alias("__id"), F.col("text_hash").alias("__hash"), "root")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("__id", "__hash")).alias("first")).select("first.*")
+    stay = first.unionByName(rows.where("root IS NULL").select("__id", "__hash").distinct())
+    here = (F.coalesce(docs["doc_id"].cast("long"), F.lit(int(LAST))) == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    return docs.join(stay, here, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -382,6 +382,7 @@ def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     # Written in buckets by batch: what is found for a batch comes to it, and no text is shuffled.
     _batched(docs).write.bucketBy(parts, "batch").option("path", path).saveAsTable(name)
     batches = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay until the driver's JVM ends, as new_path has it
     total = batches.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = max(parts, 2 * total // BUCKET_BYTES)
     found = stored(_sent(batches, buckets).groupBy("bucket").applyInPandas(_compared, _FOUND), "runs")
@@ -391,14 +392,15 @@ def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut out of their texts; documents left with white space only go, and so do null doc_ids.
+    """docs with repeated passages cut out of their texts; documents left with white space only go.
 
+    What is cut follows from doc_id and text, so rows are named by these, null doc_ids too, which count as larger than all.
     n_chars, where docs has it, follows the text; other columns stay.
     """
-    named = docs.where("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit("")))
+    named = docs.withColumn("text", F.coalesce("text", F.lit("")))
     kept = without_repeats(named).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__was"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__was"])
     rest = named.withColumn("__text", F.sha2("text", 256)).drop("text")
-    out = rest.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__was"))).withColumn("text", F.col("__kept"))
+    out = rest.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__was"))).withColumn("text", F.col("__kept"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.where(F.col("text").rlike(WORD)).select(*docs.columns)

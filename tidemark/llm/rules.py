@@ -21,12 +21,13 @@ RULES = ("length", "symbols", "bare_words", "letters", "capitals", "exclaimed",
 def _measured(docs: DataFrame) -> DataFrame:
     """Counts per document. Each step uses an array of the step before at least twice, so that Spark computes it once."""
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", text.alias("text"), F.array_remove(F.split(text, GAP), "").alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("text"), F.array_remove(F.split(text, GAP), "").alias("w"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("w")
     d = d.select("*", F.transform("w", lambda w: F.xxhash64(w)).alias("x"))
     hashes = F.expr("CASE WHEN size(x) >= 5 THEN transform(sequence(0, size(x) - 5), i -> xxhash64(x[i], x[i+1], x[i+2], x[i+3], x[i+4])) ELSE array() END")
     d = d.select(
         "doc_id",
+        "text_hash",
         "w",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -133,10 +134,10 @@ def judged(docs: DataFrame, keep: float = 0.5) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, keep: float = 0.5) -> DataFrame:
-    """The rows of docs that judged() keeps, with all their columns. Rows with a null doc_id are out, as nothing names them;
-    of rows that share a doc_id, each needs a verdict of its own, so they stay together only if all are kept."""
-    verdict = judged(docs, keep).groupBy("doc_id").agg(F.min("kept").alias("__kept")).where("__kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(verdict, docs["doc_id"] == F.col("__id"), "left_semi")
+    """The rows of docs that judged() keeps, with all their columns. A verdict follows from the text alone, so rows with a null or
+    repeated doc_id each have their own: they are named by doc_id and a 64-bit hash of the text."""
+    verdict = judged(docs, keep).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), "left_semi")
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
