@@ -248,15 +248,14 @@ def classified(docs: DataFrame, labels: DataFrame, keep: float = 0.5) -> DataFra
 
     kind = "doc_id long, quality int, toxic int, content_at binary, content_value binary, meta_at binary, meta_value binary"
     sample = stored(_sampled(docs, labels).mapInPandas(extract, kind), "sample").orderBy("doc_id", "content_at").toPandas()
+    sides = []  # rows, columns and values of each view, which both goals share
+    for name in ("content", "meta"):
+        at, value = sample.pop(f"{name}_at"), sample.pop(f"{name}_value")
+        rows = np.repeat(np.arange(len(sample), dtype=np.int32), [len(x) // 4 for x in at])
+        sides.append((rows, np.frombuffer(b"".join(at), "<i4"), np.frombuffer(b"".join(value), "<f4").astype(float)))
     goals = {}
     for goal in ("quality", "toxic"):
-        views = []
-        for name, width in zip(("content", "meta"), WIDTHS, strict=True):
-            sizes = [len(x) // 4 for x in sample[f"{name}_at"]]
-            columns = np.frombuffer(b"".join(sample[f"{name}_at"]), "<i4").astype(np.int64)
-            values = np.frombuffer(b"".join(sample[f"{name}_value"]), "<f4").astype(float)
-            views.append(View(np.repeat(np.arange(len(sample)), sizes), columns, values, len(sample), width))
-        goals[goal] = Goal(views, sample[goal].fillna(-1).to_numpy(int))
+        goals[goal] = Goal([View(*side, len(sample), width) for side, width in zip(sides, WIDTHS, strict=True)], sample[goal].fillna(-1).to_numpy(int))
         goals[goal].fit()
     labelled = np.unique(sample["doc_id"].to_numpy(np.int64))
     for _ in range(ROUNDS if any(g.able for g in goals.values()) else 0):
