@@ -305,6 +305,20 @@ def test_store(spark, tmp_path):
     assert calls == [(0, 9)] and store.delete("raw") and not store.exists("raw")
 
 
+def test_store_survives_a_lost_save_and_takes_parts(spark, tmp_path):
+    store, schema = Store(spark, f"file://{tmp_path}/s"), "participant_id string, start long, end long"
+    store.save("f", table(spark, schema, ("a", 0, 5)))
+    (tmp_path / "s/.old").mkdir(exist_ok=True)
+    (tmp_path / "s/f").rename(tmp_path / "s/.old/f")  # as if the driver had gone between the two renames
+    assert got(store.load("f")) == [("a", 0, 5)] and store.load("f").columns == ["participant_id", "start", "end"]
+    store.append("f", table(spark, schema, ("a", 6, 7)), 3)
+    store.append("f", table(spark, schema, ("a", 6, 9)), 3)
+    assert got(store.load("f")) == [("a", 0, 5), ("a", 6, 9)]
+    store.save("f", store.load("f"))
+    store.append("g", table(spark, schema), 0)
+    assert got(store.load("f")) == [("a", 0, 5), ("a", 6, 9)] and store.load("g").count() == 0
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     rows = [("a", 1000 * i, i, v) for i, v in enumerate([0, 0, 1, 2, 3, 1, 0])]
     table(spark, STATE, *rows).coalesce(1).write.parquet(f"{tmp_path}/in")

@@ -262,7 +262,7 @@ def step_count(steps: DataFrame, analytics: DataFrame, people: DataFrame, grid:
     """
     if data_type not in ("health", "pedometer", "watch"):
         raise ValueError("data_type must be health, watch or pedometer")
-    rows = grid.hits(steps).join(F.broadcast(steps_changed(analytics)), "participant_id", "left")
+    rows = grid.hits(steps).join(steps_changed(analytics), "participant_id", "left")
     new = F.col("changed").isNull() | (F.col("ts") > F.col("changed"))
     counted = F.col("type") == "step_count"
     if data_type == "health":

@@ -24,13 +24,15 @@ def merged(saved: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once as a table under spark.checkpoint.dir and read again; its files go when the driver's JVM ends. Only a session
-    without that folder, as in tests, gets a temporary one."""
+    """df written once as a table under spark.checkpoint.dir and read again; its files go when the driver's JVM ends. Only a local
+    session without that folder, as in tests, gets a temporary one."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and (at := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         base = at.get()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -41,7 +43,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 class Store:
-    """A folder of Parquet tables: one for each feature, and within it one for each kept range."""
+    """A folder of Parquet tables: one for each feature, and within it one for each kept range. A table's files lie in parts."""
+
+    #: Column of the parts, which readers do not see, and the part that save writes.
+    PART, WHOLE = "part__", -1
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -51,19 +56,35 @@ class Store:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def exists(self, name: str) -> bool:
+        """Whether there is such a table; one that a lost save had put aside is put back first."""
+        if not self._fs.exists(self._at(name)) and self._fs.exists(self._at(f".old/{name}")):
+            self._fs.rename(self._at(f".old/{name}"), self._at(name))
         return self._fs.exists(self._at(name))
 
     def save(self, name: str, frame: DataFrame) -> None:
-        """Written beside the old table and then put in its place, so that frame may read the old one."""
-        frame.write.mode("overwrite").parquet(f"{self.path}/.{name}")
-        self._fs.delete(self._at(name), True)
+        """Written beside the old table and then put in its place, so that frame may read the old one, which goes last."""
+        there = self.exists(name)
+        self._fs.delete(self._at(f".new/{name}"), True)
+        frame.write.parquet(f"{self.path}/.new/{name}/{self.PART}={self.WHOLE}")
+        if there:
+            self._fs.delete(self._at(f".old/{name}"), True)
+            self._fs.mkdirs(self._at(f".old/{name}").getParent())
+            self._fs.rename(self._at(name), self._at(f".old/{name}"))
         self._fs.mkdirs(self._at(name).getParent())
-        self._fs.rename(self._at(f".{name}"), self._at(name))
+        self._fs.rename(self._at(f".new/{name}"), self._at(name))
+        self._fs.delete(self._at(f".old/{name}"), True)
+
+    def append(self, name: str, frame: DataFrame, part: int) -> None:
+        """Adds a part to a table, or replaces that part if it is there; the other parts are not read."""
+        self.exists(name)
+        frame.write.mode("overwrite").parquet(f"{self.path}/{name}/{self.PART}={part}")
 
     def load(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        self.exists(name)
+        return self.spark.read.parquet(f"{self.path}/{name}").drop(self.PART)
 
     def delete(self, name: str) -> bool:
+        self._fs.delete(self._at(f".old/{name}"), True)
         return self._fs.delete(self._at(name), True)
 
     def update(self, name: str, fresh: DataFrame) -> DataFrame:

@@ -50,9 +50,10 @@ def screen_bouts(states: DataFrame, duration_threshold: int = 7_200_000) -> Data
 
 
 def keep(intervals: DataFrame, store: Store, name: str, checkpoint: str):
-    """Writes a stream of intervals into a store, batch by batch; equal rows of repeated batches count once."""
+    """Writes a stream of intervals into a store: each micro-batch is a part named by its number, so one that is repeated after a
+    failure replaces itself and no earlier batch is read. store.save(name, store.load(name)) makes one part of them."""
 
-    def add(batch: DataFrame, _: int) -> None:
-        store.save(name, store.load(name).unionByName(batch).dropDuplicates() if store.exists(name) else batch)
+    def add(batch: DataFrame, number: int) -> None:
+        store.append(name, batch, number)
 
     return intervals.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
