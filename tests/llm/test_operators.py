@@ -212,6 +212,29 @@ def test_groups_of_chains_and_hubs(spark, n, near):
     assert got(jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n, near)) == brute_groups(rows, n, near)
 
 
+def test_blocks_of_a_meeting_find_all_pairs(spark, monkeypatch):
+    """Blocks of few members give the pairs that comparing whole meetings gives: each across components that the sketches leave."""
+    r = np.random.default_rng(4)
+    base = np.unique(r.integers(0, 2**63, 120).astype(np.uint64))
+    values = [np.unique(np.concatenate([r.permutation(base)[r.integers(0, 30) :], r.integers(0, 2**63, 5).astype(np.uint64)])) for _ in range(60)]
+    sizes, sketch = np.array([len(v) for v in values]), jaccard.sketches(np.concatenate(values), np.cumsum([len(v) for v in values]))
+    labels = [0 if k < 25 else k % 7 for k in range(60)]
+    meetings = [list(range(50)), list(range(40, 60)), [1, 2, 3], [58, 59]]
+    want = set()
+    for keys in meetings:
+        for a in keys:
+            for b in keys:
+                if a < b and labels[a] != labels[b] and jaccard.may_link([sketch[a]], sizes[[a]], [sketch[b]], sizes[[b]])[0]:
+                    want.add((a, b))
+    groups = spark.createDataFrame([(k,) for k in meetings], "keys array<long>")
+    sets = spark.createDataFrame([(k, int(sizes[k]), bytearray(sketch[k])) for k in range(60)], "key long, size long, sketch binary")
+    named = spark.createDataFrame(list(enumerate(labels)), "key long, label long")
+    for block in (1000, 7):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        pairs = {tuple(sorted(p)) for p in got(jaccard._apart(groups, named, sets, jaccard.NEAR))}
+        assert pairs == want and 0 < len(want)
+
+
 def test_groups_query(spark, tmp_path):
     """The query on a table of its own: copies on both sides of its similarity, and rows without words."""
     r = random.Random(8)

@@ -22,6 +22,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
@@ -37,6 +38,8 @@ BUCKET_BYTES = 4_000_000
 SALT = 16
 #: Members that one search indexes, and pairs whose searches share a task's group.
 CHUNK, PACK = 256, 1000
+#: Members of a meeting in one block, where all pairs across its components are compared.
+BLOCK = 1000
 #: Rows of two numbers that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 LAST = np.iinfo(np.int64).max
@@ -332,28 +335,42 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame, near: int) -> DataFrame:
-    """Pairs of sets that meet, lie in different components so far, and are not ruled out by sizes and sketches."""
-    members = stored(groups.distinct().select(F.monotonically_increasing_id().alias("meeting"), F.explode("keys").alias("key")), "members")
-    rows = members.join(labels.select("key", "label"), "key")
-    open_ = rows.groupBy("meeting").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("meeting")
-    rows = rows.join(open_, "meeting", "left_semi").join(sets.select("key", "size", "sketch"), "key")
-    meetings = rows.groupBy("meeting").agg(F.collect_list("key").alias("keys"), F.collect_list("size").alias("sizes"), F.collect_list("label").alias("labels"), F.collect_list("sketch").alias("sketches"))
+    """Pairs of sets that meet, lie in different components so far, and are not ruled out by sizes and sketches.
 
-    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [np.zeros((0, 2), np.int64)]
-            for x in frame.itertuples(index=False):
-                keys, sizes, labels_ = (np.asarray(c, np.int64) for c in (x.keys, x.sizes, x.labels))
-                _, rank, count = np.unique(labels_, return_inverse=True, return_counts=True)
-                place = np.argsort(np.argsort(count, kind="stable"), kind="stable")[rank]  # small components ask, larger ones answer
-                for i in np.flatnonzero(place < place.max()).tolist():
-                    rest = np.flatnonzero(place > place[i])
-                    able = rest[may_link([x.sketches[i]] * len(rest), np.full(len(rest), sizes[i]), [x.sketches[k] for k in rest.tolist()], sizes[rest], near)]
-                    found.append(np.stack([np.full(len(able), keys[i]), keys[able]], axis=1))
-            got = np.unique(np.concatenate(found), axis=0)
-            yield pd.DataFrame({"leader": got[:, 0], "member": got[:, 1]})
-
-    return meetings.mapInPandas(pairs, "leader long, member long").distinct()
+    The members of a meeting are dealt out over blocks of about BLOCK, and each two of its blocks (and each block with itself) are
+    compared in a task's group of their own, so that no task holds a whole meeting.
+    """
+    # Numbered before they are exploded: in one select, Spark would number the exploded rows.
+    numbered = groups.distinct().withColumn("meeting", F.monotonically_increasing_id())
+    members = stored(numbered.select("meeting", F.explode("keys").alias("key")), "members")
+    rows = members.join(labels.select("key", "label"), "key")
+    all_ = W.partitionBy("meeting")
+    counts = rows.groupBy("meeting", "label").agg(F.count("*").alias("n"))
+    counts = counts.select("*", F.count("*").over(all_).alias("components"), F.ceil(F.sum("n").over(all_) / BLOCK).alias("blocks"))
+    open_ = stored(counts.where("components > 1").drop("components"), "open")
+    packs = max(1, (open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // PACK)
+    rows = rows.join(open_, ["meeting", "label"]).join(sets.select("key", "size", "sketch"), "key")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("meeting", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "n", "label", "key", "size", "sketch")
+
+    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros((0, 2), np.int64)]
+        for (_, low, high), own in frame.groupby(["meeting", "low", "high"], sort=False):
+            keys, sizes, block, sketch = own["key"].to_numpy(), own["size"].to_numpy(), own["block"].to_numpy(), own["sketch"].tolist()
+            order = np.lexsort((own["label"], own["n"]))  # small components ask, larger ones answer
+            label = own["label"].to_numpy()[order]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(np.concatenate([[0], label[1:] != label[:-1]]))
+            for i in np.flatnonzero(place < place.max()).tolist():
+                rest = np.flatnonzero((place > place[i]) & ((low == high) | (block != block[i])))
+                able = rest[may_link([sketch[i]] * len(rest), np.full(len(rest), sizes[i]), [sketch[k] for k in rest.tolist()], sizes[rest], near)]
+                found.append(np.stack([np.full(len(able), keys[i]), keys[able]], axis=1))
+        got = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"leader": got[:, 0], "member": got[:, 1]})
+
+    dealt = rows.groupBy(F.pmod(F.xxhash64("meeting", "low", "high"), F.lit(packs)).alias("pack"))
+    return dealt.applyInPandas(pairs, "leader long, member long").distinct()
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
