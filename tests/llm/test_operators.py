@@ -539,6 +539,12 @@ def test_mix(docs, rows):
     assert all(0 <= r[3] <= 2 * r[1] for r in a)
 
 
+def test_null_ids_mix_by_text(spark):
+    out = mixing.plan_mix(spark.createDataFrame([(None, prose(i), "s") for i in range(40)] + [(None, None, "s"), (3, "a b", "s")], "doc_id long, text string, source string")).collect()
+    assert len({r["key"] for r in out}) == 42
+    assert sum(r["taken"] for r in out) == int(out[0]["target"])
+
+
 def test_mixed_documents(docs):
     docs = docs.selectExpr("*", "7 AS taken", "8 AS source_rank", "9 AS target")
     plan = mixing.plan_mix(docs)

@@ -48,11 +48,11 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
     weights repeat over the sources in code-point order, the null source last. taken counts words, repeats included;
     the sum over a source is its target rounded down. Null text: size 0, taken 0. Rows with the same doc_id are
-    documents of their own; equal keys are ordered by doc_id and size. A null doc_id has the key of an empty string.
-    No rows: no rows. Other columns are left out. Reruns agree, as keys depend on doc_id and seed only.
+    documents of their own; equal keys are ordered by doc_id and size. A null doc_id has the key of its text, so that many of
+    them spread over the ranges. No rows: no rows. Other columns are left out. Reruns agree, as keys depend on rows and seed only.
     The driver sees one row per source.
     """
-    base = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("key")), "mix")
+    base = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))).alias("key")), "mix")
     found = sorted(base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     if not found:
         none = F.lit(None)
@@ -101,7 +101,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                  md5('17' || coalesce(':' || CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+                  md5('17' || coalesce(':' || coalesce(CAST(doc_id AS VARCHAR), md5(text)), '')) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
 o AS (SELECT *, 2.0::DOUBLE * source_size AS top, 2.0::DOUBLE * source_size / weight AS ratio, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM w),
