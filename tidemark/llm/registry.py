@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import cotraining, jaccard, licenses, mixing, packing, repeats, rules, scoring, token_files, vectors
+from tidemark.llm import conversations, cotraining, jaccard, languages, licenses, mixing, packing, repeats, resampling, rules, scoring, token_files, vectors
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_cotraining": cotraining.op9_cotraining,
     "op10_token_files": token_files.op10_token_files,
+    "op11_languages": languages.op11_languages,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_resampling": resampling.op13_resampling,
 }
 ORACLES = {
     "op4_nearest": vectors.OP4_SQL,
