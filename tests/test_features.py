@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import stats
 from tidemark.operators import cohort, intervals, reports, series
 from tidemark.plans.grid import DAY, Grid, nine_am
-from tidemark.plans.registry import FEATURES, run
+from tidemark.plans.registry import all_features, run
 from tidemark.sources import sensors
-from tidemark.sources.store import Store, merged, watermark
+from tidemark.sources.store import Store
 from tidemark.streaming import bouts as streaming
 
 H = 3_600_000
@@ -258,10 +258,11 @@ def test_run_and_registry(spark):
         run({}, None, [], 0, 1)
     with pytest.raises(ValueError, match="unknown features: nonsense"):
         run({}, people, ["nonsense"], 0, 1)
-    assert len(FEATURES) >= 60 and sum(f.kind == "raw" for f in FEATURES.values()) == 32
+    found = all_features().values()
+    assert len(found) >= 60 and sum(f.kind == "raw" for f in found) == 32
 
 
-def test_run_raw_ids_and_store(spark, tmp_path):
+def test_run_raw_and_ids(spark, tmp_path):
     schema = "participant_id string, sensor string, ts long, seq long, data string"
     rows = table(spark, schema, *((p, "lamp.gps", t, t, f'{{"latitude": {t}, "longitude": 1}}') for p in "abc" for t in (1, 5, 9)), ("a", "lamp.steps", 3, 3, "{}"))
     members = table(spark, "participant_id string, study_id string", ("a", "s"), ("b", "s"), ("c", "t")), table(spark, "study_id string, researcher_id string", ("s", "r"), ("t", "q"))
@@ -270,14 +271,6 @@ def test_run_raw_ids_and_store(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/o/gps").count() == 4
     with pytest.raises(ValueError, match="no source activity_events"):
         run({"sensor_events": rows}, ["a"], ["survey"], 0, 9)
-    store = Store(spark, f"file://{tmp_path}/k")
-    assert run({"sensor_events": rows}, ["a"], ["gps"], 0, 9, store=store)["gps"].count() == 3
-    assert run({"sensor_events": rows.limit(0)}, ["a"], ["gps"], 2, 8, store=store)["gps"].count() == 1  # from the kept range
-    gps = table(spark, "participant_id string, ts long, seq long, latitude double, longitude double", *(("a", t * 60_000, t, 40 + 0.01 * (t % 20 if t % 20 < 10 else 10), -71.0) for t in range(60)))
-    once = run({"gps": gps}, ["a"], ["trips"], 0, 10**7)["trips"]
-    run({"gps": gps.where("seq < 45")}, ["a"], ["trips"], 0, 10**7, store=store)
-    twice = run({"gps": gps}, ["a"], ["trips"], 0, 10**7, store=store)["trips"]
-    assert {r.start for r in once.collect()} <= {r.start for r in twice.collect()}  # a track cut at the watermark may begin with a stop of its own
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -289,22 +282,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert lines[0].startswith("participant_id,timestamp,value") and len(lines) == 3
 
 
-def test_store(spark, tmp_path):
-    store, schema = Store(spark, f"file://{tmp_path}/s"), "participant_id string, start long, end long"
-    store.save("f", table(spark, schema, ("a", 0, 5), ("a", 6, 9)))
-    assert got(watermark(store.load("f"))) == [("a", 5)]
-    assert got(store.update("f", table(spark, schema, ("a", 6, 12), ("a", 0, 5)))) == [("a", 0, 5), ("a", 6, 12)]
-    assert got(merged(store.load("f"), store.load("f").limit(0))) == [("a", 0, 5)]
-    calls = []
-
-    def compute(a, b):
-        calls.append((a, b))
-        return table(spark, "participant_id string, ts long", *[("a", t) for t in range(a, b + 1)])
-
-    assert store.cached("raw", 0, 9, compute).count() == 10 and store.cached("raw", 3, 5, compute).count() == 3
-    assert calls == [(0, 9)] and store.delete("raw") and not store.exists("raw")
-
-
 def test_store_survives_a_lost_save_and_takes_parts(spark, tmp_path):
     store, schema = Store(spark, f"file://{tmp_path}/s"), "participant_id string, start long, end long"
     store.save("f", table(spark, schema, ("a", 0, 5)))

@@ -7,15 +7,14 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from tidemark.operators import intervals, series  # noqa: F401  (they register the features)
 from tidemark.plans.grid import DAY
-from tidemark.plans.registry import FEATURES, SECONDARY, run
+from tidemark.plans.registry import SECONDARY, all_features, run
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="tidemark", description="Compute a feature from Parquet tables.")
     commands = out.add_subparsers(dest="feature", required=True)
-    for name, entry in sorted(FEATURES.items()):
+    for name, entry in sorted(all_features().items()):
         one = commands.add_parser(name, help=(entry.function.__doc__ or "").split("\n")[0])
         one.add_argument("--source", action="append", required=True, metavar="NAME=PATH", help=f"inputs: {', '.join(entry.sources)}")
         one.add_argument("--start", type=int)
@@ -37,7 +36,7 @@ def main(arguments: list[str] | None = None) -> int:
     args = vars(parser().parse_args(arguments))
     spark = SparkSession.builder.getOrCreate()
     sources = {name: spark.read.parquet(path) for name, _, path in (s.partition("=") for s in args["source"])}
-    entry = FEATURES[args["feature"]]
+    entry = all_features()[args["feature"]]
     if lacking := [i for i in entry.sources if i not in sources]:
         sys.exit(f"{entry.name} needs --source for {', '.join(lacking)}")
     people = sources[entry.sources[0]].select("participant_id").distinct()

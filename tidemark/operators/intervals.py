@@ -59,19 +59,31 @@ def screen_bouts(device_state: DataFrame, duration_threshold: int = 7_200_000, f
     return bouts.where((F.col("duration") <= duration_threshold) | F.col("final")).select("participant_id", "start", "end", "duration")
 
 
-@feature(PRIMARY, "device_state", "activity_events")
-def screen_active(device_state: DataFrame, activity_events: DataFrame, duration_threshold: int = 7_200_000) -> DataFrame:
-    """Screen-on bouts, in the encoding under which the newest activity event falls into exactly one of them.
-
-    Without activity events the usual encoding holds; it is turned round where the newest event is not in exactly one bout.
-    """
+def bouts_in_both(device_state: DataFrame, duration_threshold: int = 7_200_000) -> DataFrame:
+    """Screen-on bouts in the usual encoding and, with flipped true, in the other one."""
     usual, turned = screen_bouts(device_state, duration_threshold), screen_bouts(device_state, duration_threshold, flipped=True)
+    return usual.withColumn("flipped", F.lit(False)).unionByName(turned.withColumn("flipped", F.lit(True)))
+
+
+def in_encoding(both: DataFrame, activity_events: DataFrame) -> DataFrame:
+    """Of bouts in both encodings those of the one under which a person's newest activity event falls into exactly one bout."""
     newest = activity_events.groupBy("participant_id").agg(F.max("ts").alias("newest"))
+    usual = both.where("NOT flipped").drop("flipped")
     hits = newest.join(usual, "participant_id", "left").groupBy("participant_id").agg(F.sum(F.when(F.col("newest").between(F.col("start"), F.col("end")), 1).otherwise(0)).alias("n"))
     wrong = hits.where("n <> 1").select("participant_id")
+    turned = both.where("flipped").drop("flipped")
     return usual.join(wrong, "participant_id", "left_anti").unionByName(turned.join(wrong, "participant_id", "left_semi"))
 
 
+@feature(PRIMARY, "device_state", "activity_events", base=(bouts_in_both, "flipped", ("device_state",), in_encoding))
+def screen_active(device_state: DataFrame, activity_events: DataFrame, duration_threshold: int = 7_200_000) -> DataFrame:
+    """Screen-on bouts, in the encoding under which the newest activity event falls into exactly one of them.
+
+    Without activity events the usual encoding holds; it is turned round where the newest event is not in exactly one bout.
+    """
+    return in_encoding(bouts_in_both(device_state, duration_threshold), activity_events)
+
+
 @feature(PRIMARY, "gps")
 def trips(gps: DataFrame, geo: str = "swapped") -> DataFrame:
     """Runs of moving readings: participant_id, start, end, latitude, longitude, distance (km).

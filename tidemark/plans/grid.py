@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -76,16 +77,25 @@ class Grid:
         return rows.drop("up", "down").withColumn("duration", F.col("end") - F.col("start"))
 
 
-def nine_am(start: Column, end: Column, zone: str = "UTC") -> tuple[Column, Column]:
-    """start moved back and end moved on to 9 in the morning of the zone; both stay if they are."""
-    nine = F.expr("INTERVAL 9 HOURS")
+def nine_am(start: Column, end: Column, zone: str | Column = "UTC") -> tuple[Column, Column]:
+    """start moved back and end moved on to 9 in the morning of the zone; both stay if they are. A column of zones gives each row its own.
+
+    Days are counted on the clock of the zone, so the steps are 23 or 25 hours where clocks change. The session's zone does not matter.
+    """
+    nine = 32_400_000
+
+    def local(ms: Column) -> Column:
+        return F.unix_millis(F.from_utc_timestamp(F.timestamp_millis(ms), zone)) - nine
+
+    def instant(day: Column) -> Column:
+        return F.unix_millis(F.to_utc_timestamp(F.timestamp_millis(day.cast("long") * DAY + nine), zone))
+
+    return instant(F.floor(local(start) / DAY)), instant(F.ceil(local(end) / DAY))
 
-    def back(ms: Column) -> Column:
-        local = F.from_utc_timestamp(F.timestamp_millis(ms), zone)
-        return F.unix_millis(F.to_utc_timestamp(F.date_trunc("day", local - nine) + nine, zone))
 
-    earlier = back(end)
-    return back(start), F.when(earlier == end, end).otherwise(earlier + DAY)
+def now(clock: float | None = None) -> int:
+    """The whole second that it is, in ms; clock (seconds) stands in for the time in tests and reruns."""
+    return int(time.time() if clock is None else clock) * 1000
 
 
 def expanded(ids: list[str], participants: DataFrame, studies: DataFrame) -> DataFrame:
