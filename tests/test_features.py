@@ -136,7 +136,9 @@ def test_dense_cells_in_a_long_chain(spark):
 def plain_k_means(points, k_max=10, rounds=25):
     apart = lambda a, b: (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2
     best = last = None
-    for k in range(1, min(k_max, len(points)) + 1):
+    for k in range(1, max(2, min(k_max, sum(p[2] for p in points)))):
+        if k > len(points):
+            break
         c = [max(points, key=lambda p: (p[2], -p[0], -p[1]))[:2]]
         while len(c) < k:
             c.append(max(points, key=lambda p: (min(apart(p, x) for x in c) * p[2], -p[0], -p[1]))[:2])
@@ -146,7 +148,7 @@ def plain_k_means(points, k_max=10, rounds=25):
             c = [tuple(sum(p[d] * p[2] for p, o in zip(points, own, strict=True) if o == i) / n[i] for d in (0, 1)) if n[i] else c[i] for i in range(k)]
         own = [min(range(k), key=lambda i: apart(p, c[i])) for p in points]
         cost = sum(apart(p, c[o]) * p[2] for p, o in zip(points, own, strict=True))
-        if last is not None and last - cost < 0.01 * max(last, 1e-300):
+        if last is not None and last - cost < 0.01:
             break
         best, last = [(*c[i], sum(p[2] for p, o in zip(points, own, strict=True) if o == i) / sum(p[2] for p in points)) for i in range(k)], cost
     return sorted(best, key=lambda x: -x[2])

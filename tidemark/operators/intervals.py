@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import haversine_km, metres, planar_km
+from tidemark.functions.geo import haversine_km, planar_km
+from tidemark.operators.density import reduced
 from tidemark.plans.registry import PRIMARY, feature
 from tidemark.sources.store import stored
 
@@ -124,31 +122,31 @@ def clustered(gps: DataFrame, *keys: str, max_clusters: int = -1, min_cluster_si
     return rows.join(places, ["participant_id", *keys, "lat", "lon"])
 
 
-def _absorbed(max_dist: float, schema: str, keys: list[str]):
-    """Folds a participant's ranked clusters: a surviving one takes in later ones within max_dist metres. Only its first survivor gets an
-    absorbed cluster's share, every later survivor in reach its time too. Clusters are a hundred at most by their least share."""
-    from math import asin, cos, radians, sin, sqrt
+def _metres_sql(a: str, b: str) -> str:
+    half = f"pow(sin((radians({b}.latitude) - radians({a}.latitude)) / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin((radians({b}.longitude) - radians({a}.longitude)) / 2), 2)"
+    return f"2 * 6378137.0D * asin(sqrt(least(1.0D, {half})))"
 
-    def apart(a, b) -> float:
-        la, lb = radians(a["latitude"]), radians(b["latitude"])
-        h = sin((lb - la) / 2) ** 2 + cos(la) * cos(lb) * sin(radians(b["longitude"] - a["longitude"]) / 2) ** 2
-        return 2 * 6378137 * asin(sqrt(min(1.0, h)))
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("rank").to_dict("records")
-        for i, big in enumerate(rows):
-            if big["proportion"] > 0:
-                for small in rows[i + 1 :]:
-                    if apart(big, small) < max_dist:
-                        big["proportion"] += small["proportion"]
-                        small["proportion"] = 0
-                        big["duration"] += small["duration"]
-        kept = [r for r in rows if r["proportion"] > 0]
-        for i, r in enumerate(kept):
-            r["rank"] = i
-        return pd.DataFrame(kept, columns=frame.columns)
+def absorbed(places: DataFrame, max_dist: float, *keys: str) -> DataFrame:
+    """Ranked places (participant_id, keys, rank, latitude, longitude, radius, proportion, duration) with the near ones taken in.
 
-    return fold
+    In order of rank, a place that still has a share takes in the later ones within max_dist metres: it gets their shares, which are then
+    zero, and their times, which later places in reach get as well. Places without a share go, the others are ranked anew. It is a
+    fold over the array of a history's places, of which there are about a hundred at most by their least share.
+    """
+    inner = [c for c in places.columns if c not in ("participant_id", *keys)]
+    one = places.groupBy("participant_id", *keys).agg(F.array_sort(F.collect_list(F.struct("rank", *(c for c in inner if c != "rank")))).alias("all"))
+    near = f"{_metres_sql('element_at(a, i)', 'y')} < {float(max_dist)!r}D"
+    later = f"filter(slice(a, i + 1, size(a)), y -> {near})"
+    fields = {
+        "proportion": f"CASE WHEN k + 1 = i THEN aggregate({later}, x.proportion, (s, y) -> s + y.proportion) WHEN k + 1 > i AND {near.replace('y.', 'x.')} THEN 0.0D ELSE x.proportion END",
+        "duration": f"CASE WHEN k + 1 = i THEN aggregate({later}, x.duration, (s, y) -> s + y.duration) ELSE x.duration END",
+    }
+    changed = ", ".join(f"{fields.get(c, f'x.{c}')} AS {c}" for c in ["rank", *(c for c in inner if c != "rank")])
+    step = f"CASE WHEN element_at(a, i).proportion > 0 THEN transform(a, (x, k) -> struct({changed})) ELSE a END"
+    folded = one.withColumn("all", F.expr(f"filter(aggregate(sequence(1, size(all)), all, (a, i) -> {step}), x -> x.proportion > 0)"))
+    out = folded.select("participant_id", *keys, F.posexplode("all").alias("at", "x"))
+    return out.select("participant_id", *keys, *(F.col("at").cast("int").alias("rank") if c == "rank" else F.col(f"x.{c}").alias(c) for c in inner)).select(*places.columns)
 
 
 def locations_by_mode(gps: DataFrame, *keys: str, max_clusters: int = -1, min_cluster_size: float = 0.01, max_dist: float = 300) -> DataFrame:
@@ -167,65 +165,22 @@ def locations_by_mode(gps: DataFrame, *keys: str, max_clusters: int = -1, min_cl
     found = found.withColumn("rank", F.col("cluster").cast("int")).withColumn("duration", F.col("duration").cast("long")).select(*columns)
     if max_dist <= 0:
         return found
-    return found.groupBy("participant_id", *keys).applyInPandas(_absorbed(max_dist, "", list(keys)), found.schema)
+    return absorbed(found, max_dist, *keys)
 
 
 @feature(PRIMARY, "gps")
 def significant_locations(gps: DataFrame, method: str = "mode", k_max: int = 10, eps: float = 1e-5, max_clusters: int = -1, min_cluster_size: float = 0.01, max_dist: float = 300) -> DataFrame:
-    """Places by mode (rounded places) or k_means (centres of dense cells)."""
+    """Places by mode (rounded places, near ones merged) or k_means (centres of density clusters)."""
     if method == "mode":
         return locations_by_mode(gps, max_clusters=max_clusters, min_cluster_size=min_cluster_size, max_dist=max_dist)
     if method != "k_means":
         raise ValueError("method must be mode or k_means")
-    return locations_by_k_means(gps, k_max=k_max, eps=eps, max_dist=max_dist)
-
-
-def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str]) -> Column:
-    """Equal columns of two tables, nulls alike."""
-    condition = F.lit(True)
-    for x, y in pairs:
-        condition = condition & a[x].eqNullSafe(b[y])
-    return condition
-
-
-def touching(core: DataFrame) -> DataFrame:
-    """participant_id, i, j, label of each core cell (participant_id, i, j) that touches another: label is the least cell (struct of i
-    and j) that touching cells lead to.
-
-    In each round a cell takes the least label of its neighbours, then the label of the cell that its label names, until
-    no label changes; labels are written to the shared folder.
-    """
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))
-    around = core.withColumn("d", F.explode(steps)).select(F.col("participant_id").alias("who"), F.col("i").alias("from_i"), F.col("j").alias("from_j"), (F.col("i") + F.col("d.a")).alias("to_i"), (F.col("j") + F.col("d.b")).alias("to_j"))
-    links = stored(around.join(core, _same(around, core, ("who", "participant_id")) & (F.col("to_i") == F.col("i")) & (F.col("to_j") == F.col("j")), "left_semi"), "links")
-    labels = links.select(F.col("who").alias("participant_id"), F.col("from_i").alias("i"), F.col("from_j").alias("j")).distinct().withColumn("label", F.struct("i", "j"))
-    if links.isEmpty():
-        return labels
-    labels = stored(labels, "labels")
-    while True:
-        met = links.join(labels, _same(links, labels, ("who", "participant_id"), ("from_i", "i"), ("from_j", "j"))).groupBy("who", "to_i", "to_j").agg(F.min("label").alias("other"))
-        nearer = labels.join(met, _same(labels, met, ("participant_id", "who"), ("i", "to_i"), ("j", "to_j")), "left").select("participant_id", "i", "j", F.col("label").alias("was"), F.least("label", "other").alias("label"))
-        named = labels.select(F.col("participant_id").alias("who"), F.col("i").alias("name_i"), F.col("j").alias("name_j"), F.col("label").alias("beyond"))
-        at = F.col("participant_id").eqNullSafe(F.col("who")) & (F.col("label.i") == F.col("name_i")) & (F.col("label.j") == F.col("name_j"))
-        after = stored(nearer.join(named, at).select("participant_id", "i", "j", "was", F.least("label", "beyond").alias("label")), "labels")
-        labels = after.select("participant_id", "i", "j", "label")
-        if after.where("label < was").isEmpty():
-            return labels
+    return locations_by_k_means(gps, k_max=k_max, eps=eps)
 
 
 def dense_points(gps: DataFrame, eps: float = 1e-5, min_samples: int = 5) -> DataFrame:
-    """participant_id, latitude, longitude, n: readings reduced to one point for each density cluster, noise kept.
-
-    Readings lie in cells as wide as eps / 2, so those of a cell are neighbours; cells with min_samples readings are
-    cores, and all that a chain of touching ones (the 8 cells around) leads to are one cluster; other cells stay as they are.
-    """
-    cell = [F.floor(F.col(c) / (eps / 2)).cast("long").alias(k) for c, k in (("latitude", "i"), ("longitude", "j"))]
-    cells = one_per_time(gps).select("participant_id", "latitude", "longitude", *cell).groupBy("participant_id", "i", "j").agg(F.sum("latitude").alias("lat"), F.sum("longitude").alias("lon"), F.count("*").alias("n"))
-    cells = stored(cells, "cells")
-    labels = touching(cells.where(F.col("n") >= min_samples).select("participant_id", "i", "j")).toDF("who", "at_i", "at_j", "label")
-    both = cells.join(labels, _same(cells, labels, ("participant_id", "who"), ("i", "at_i"), ("j", "at_j")), "left").withColumn("label", F.coalesce("label", F.struct("i", "j")))
-    merged = both.groupBy("participant_id", "label").agg(F.sum("lat").alias("lat"), F.sum("lon").alias("lon"), F.sum("n").alias("n"))
-    return merged.select("participant_id", (F.col("lat") / F.col("n")).alias("latitude"), (F.col("lon") / F.col("n")).alias("longitude"), "n")
+    """participant_id, latitude, longitude, n: readings (one for each ts) reduced to one point for each density cluster, noise kept."""
+    return reduced(one_per_time(gps), eps, min_samples)
 
 
 #: Square of the distance in degrees from a point to each of centres, and the first nearest of these.
@@ -234,31 +189,32 @@ _NEAREST = f"cast(array_position({_SQUARES}, array_min({_SQUARES})) - 1 AS int)"
 
 
 def _starts(points: DataFrame, k_max: int) -> DataFrame:
-    """participant_id, k and centres of each k up to k_max and the number of points: the heaviest point, then always the one with the
+    """participant_id, k and centres of each k up to k_max, the number of points and that of readings less one: the heaviest point, then always the one with the
     largest product of weight and square of the distance to those before (of equals the least latitude, then longitude)."""
     here, order = F.struct("latitude", "longitude"), lambda x: F.struct(x, -F.col("latitude"), -F.col("longitude"))
-    seeds = stored(points.groupBy("participant_id").agg(F.count("*").alias("many"), F.array(F.max_by(here, order(F.col("n").cast("double")))).alias("centres")), "seeds")
+    seeds = stored(points.groupBy("participant_id").agg(F.count("*").alias("many"), F.sum("n").alias("readings"), F.array(F.max_by(here, order(F.col("n").cast("double")))).alias("centres")), "seeds")
     for k in range(2, k_max + 1):
-        open_ = seeds.where(F.col("many") >= k)
+        open_ = seeds.where((F.col("many") >= k) & (F.col("readings") > k))
         if open_.isEmpty():
             break
         far = F.expr(f"array_min({_SQUARES}) * n")
         found = points.join(open_, "participant_id").groupBy("participant_id").agg(F.max_by(here, order(far)).alias("next"))
         grown = F.when(F.col("next").isNotNull(), F.concat("centres", F.array("next"))).otherwise(F.col("centres"))
-        seeds = stored(seeds.join(found, "participant_id", "left").select("participant_id", "many", grown.alias("centres")), "seeds")
+        seeds = stored(seeds.join(found, "participant_id", "left").select("participant_id", "many", "readings", grown.alias("centres")), "seeds")
     each = seeds.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("centres"))))
     return each.select("participant_id", "k", F.expr("slice(centres, 1, k)").alias("centres"))
 
 
 def k_means_centres(points: DataFrame, k_max: int = 10, rounds: int = 25) -> DataFrame:
     """participant_id, rank, latitude, longitude, proportion: weighted k-means of each participant's points (latitude, longitude, n),
-    with k from 1 up until the cost falls by less than a hundredth.
+    with the first k below k_max, and below the number of readings, at which one more centre lowers the cost (sum of squared
+    degrees) by less than a hundredth; the last such k where none does, and at least one.
 
     All k of all participants take a round at once, as sums over points joined to the at most k_max centres of each k, until no
     centre moves or for so many rounds. Centres without points are left out.
     """
     points = stored(points, "points")
-    state = stored(_starts(points, k_max).withColumn("moved", F.lit(True)), "centres")
+    state = stored(_starts(points, k_max - 1).withColumn("moved", F.lit(True)), "centres")
     for _ in range(rounds):
         active = state.where("moved")
         if active.isEmpty():
@@ -272,29 +228,31 @@ def k_means_centres(points: DataFrame, k_max: int = 10, rounds: int = 25) -> Dat
         state = stored(both.select("participant_id", "k", F.col("new").alias("centres"), moved.alias("moved")), "centres")
     own = points.join(state, "participant_id").select("participant_id", "k", "n", F.expr(_NEAREST).alias("own"), F.expr(f"array_min({_SQUARES}) * n").alias("cost"))
     sums = stored(own.groupBy("participant_id", "k", "own").agg(F.sum("n").alias("here"), F.sum("cost").alias("cost")), "sums")
-    costs = sums.groupBy("participant_id", "k").agg(F.sum("cost").alias("cost")).withColumn("last", F.lag("cost").over(W.partitionBy("participant_id").orderBy("k")))
-    flat = F.col("last") - F.col("cost") < 0.01 * F.greatest("last", F.lit(1e-300))
-    best = costs.groupBy("participant_id").agg(F.coalesce(F.min(F.when(flat, F.col("k"))) - 1, F.max("k")).alias("k"))
+    costs = sums.groupBy("participant_id", "k").agg(F.sum("cost").alias("cost")).withColumn("next", F.lead("cost").over(W.partitionBy("participant_id").orderBy("k")))
+    best = costs.groupBy("participant_id").agg(F.coalesce(F.min(F.when(F.col("cost") - F.col("next") < 0.01, F.col("k"))), F.max("k")).alias("k"))
     person = W.partitionBy("participant_id")
     shares = sums.join(best, ["participant_id", "k"]).join(state, ["participant_id", "k"]).select("participant_id", "own", F.expr("centres[own]").alias("c"), (F.col("here") / F.sum("here").over(person)).alias("proportion"))
     rank = (F.row_number().over(person.orderBy(F.desc("proportion"), "own")) - 1).cast("int")
     return shares.select("participant_id", rank.alias("rank"), "c.latitude", "c.longitude", "proportion")
 
 
-def locations_by_k_means(gps: DataFrame, k_max: int = 10, eps: float = 1e-5, max_dist: float = 300, seed: int = 7, rounds: int = 25) -> DataFrame:
-    """Weighted k-means of each participant's reduced points (k_means_centres), with radius and dwell of the readings nearest to a centre.
+def locations_by_k_means(gps: DataFrame, k_max: int = 10, eps: float = 1e-5, rounds: int = 25) -> DataFrame:
+    """participant_id, rank, latitude, longitude, radius, proportion, duration: weighted k-means of each participant's reduced points
+    (k_means_centres), and of all its readings those nearest to each centre: their mean planar distance to it in metres, their share
+    and their dwell. Ranked by share; centres without readings are left out, near ones are not merged.
 
     The start is fixed (farthest points first), so that results repeat.
     """
     c = stored(k_means_centres(dense_points(gps, eps), k_max, rounds), "means")
-    near = F.row_number().over(W.partitionBy("participant_id", "seq").orderBy("d", "cluster"))
-    to = c.select("participant_id", F.col("rank").alias("cluster"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    d = F.pow(F.col("latitude") - F.col("lat"), 2) + F.pow(F.col("longitude") - F.col("lon"), 2)
-    rows = one_per_time(gps).join(to, "participant_id").withColumn("d", d).withColumn("near", near).where("near = 1")
-    sums = rows.groupBy("participant_id", "cluster").agg(F.avg(metres(F.col("lat"), F.col("lon"), F.col("latitude"), F.col("longitude"))).alias("radius"))
-    found = c.withColumn("cluster", F.col("rank")).join(sums, ["participant_id", "cluster"]).join(dwell(rows), ["participant_id", "cluster"])
-    found = found.select("participant_id", "rank", "latitude", "longitude", "radius", "proportion", F.col("duration").cast("long").alias("duration"))
-    return found.groupBy("participant_id").applyInPandas(_absorbed(max_dist, "", []), found.schema) if max_dist > 0 else found
+    centres = c.groupBy("participant_id").agg(F.array_sort(F.collect_list(F.struct("rank", "latitude", "longitude"))).alias("centres"))  # k_max at most
+    known = gps.where("latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)")
+    rows = known.select("participant_id", "ts", "seq", "latitude", "longitude").join(centres, "participant_id").withColumn("cluster", F.expr(_NEAREST)).withColumn("c", F.expr("centres[cluster]")).drop("centres")
+    off = planar_km(F.col("c.latitude"), F.col("c.longitude"), F.col("latitude"), F.col("longitude")) * 1000
+    sums = rows.groupBy("participant_id", "cluster").agg(F.first("c").alias("c"), F.avg(off).alias("radius"), F.count("*").alias("here"))
+    person = W.partitionBy("participant_id")
+    found = sums.withColumn("proportion", F.col("here") / F.sum("here").over(person)).withColumn("rank", (F.row_number().over(person.orderBy(F.desc("here"), "cluster")) - 1).cast("int"))
+    found = found.join(dwell(rows.drop("c")), ["participant_id", "cluster"])
+    return found.select("participant_id", "rank", "c.latitude", "c.longitude", "radius", "proportion", F.col("duration").cast("long").alias("duration"))
 
 
 @feature(PRIMARY, "survey", "questions", "value_maps")
