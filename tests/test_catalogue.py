@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from tidemark.more_queries import ORACLES, QUERIES
+from tidemark.run_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

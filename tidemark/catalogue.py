@@ -330,11 +330,6 @@ def _merged(spark, sf_dir):
     return intervals.locations_by_mode(_places(spark, sf_dir), max_dist=60_000)
 
 
-@_query("q_kmeans")
-def _kmeans(spark, sf_dir):
-    return intervals.significant_locations(_places(spark, sf_dir), method="k_means", max_dist=0)
-
-
 @_query("q_dbscan", f"WITH {_EV}, r AS (SELECT {FRAMES['places']} FROM ev WHERE ts BETWEEN {MONTH.start} AND {MONTH.end}) SELECT participant_id, latitude, longitude, count(*) AS n FROM r GROUP BY 1, 2, 3")
 def _dbscan(spark, sf_dir):
     return intervals.dense_points(_places(spark, sf_dir))
@@ -369,13 +364,13 @@ def _survey(spark, sf_dir):
 
 @_query("q_survey_dedupe", f"WITH {_SURVEY} SELECT participant_id, ts, event, 'Mood' AS survey, item, value, level, duration FROM su")
 def _dedupe(spark, sf_dir):
-    return _survey(spark, sf_dir).drop("type")
+    return _survey(spark, sf_dir).drop("type", "position")
 
 
-def _scores(spark, sf_dir):
+def _scores(spark, sf_dir, **options):
     questions = spark.createDataFrame([("A", "first", "signs", None), ("N", "second", "raw", "A"), ("R", "second", "signs", None)], "item string, category string, scoring string, map_to string")
     maps = spark.createDataFrame([("signs", "go", 2.0), ("signs", "no-go", 1.0)], "map string, answer string, points double")
-    return intervals.survey_scores(_survey(spark, sf_dir), questions, maps)
+    return intervals.survey_scores(_survey(spark, sf_dir), questions, maps, **options)
 
 
 _SCORES = f"""{_SURVEY}, sc AS (SELECT participant_id, event, ts, CASE item WHEN 'A' THEN 'first' ELSE 'second' END AS category, sum(CASE value WHEN 'go' THEN 2.0 ELSE 1.0 END) AS score FROM su WHERE item IN ('A', 'N', 'R') GROUP BY 1, 2, 3, 4),

@@ -239,7 +239,7 @@ def k_means_centres(points: DataFrame, k_max: int = 10, rounds: int = 25) -> Dat
 def locations_by_k_means(gps: DataFrame, k_max: int = 10, eps: float = 1e-5, rounds: int = 25) -> DataFrame:
     """participant_id, rank, latitude, longitude, radius, proportion, duration: weighted k-means of each participant's reduced points
     (k_means_centres), and of all its readings those nearest to each centre: their mean planar distance to it in metres, their share
-    and their dwell. Ranked by share; centres without readings are left out, near ones are not merged.
+    and their dwell. Ranked by share, then latitude and longitude; centres without readings are left out, near ones are not merged.
 
     The start is fixed (farthest points first), so that results repeat.
     """
@@ -250,7 +250,7 @@ def locations_by_k_means(gps: DataFrame, k_max: int = 10, eps: float = 1e-5, rou
     off = planar_km(F.col("c.latitude"), F.col("c.longitude"), F.col("latitude"), F.col("longitude")) * 1000
     sums = rows.groupBy("participant_id", "cluster").agg(F.first("c").alias("c"), F.avg(off).alias("radius"), F.count("*").alias("here"))
     person = W.partitionBy("participant_id")
-    found = sums.withColumn("proportion", F.col("here") / F.sum("here").over(person)).withColumn("rank", (F.row_number().over(person.orderBy(F.desc("here"), "cluster")) - 1).cast("int"))
+    found = sums.withColumn("proportion", F.col("here") / F.sum("here").over(person)).withColumn("rank", (F.row_number().over(person.orderBy(F.desc("here"), "c.latitude", "c.longitude")) - 1).cast("int"))
     found = found.join(dwell(rows.drop("c")), ["participant_id", "cluster"])
     return found.select("participant_id", "rank", "c.latitude", "c.longitude", "radius", "proportion", F.col("duration").cast("long").alias("duration"))
 
@@ -275,7 +275,7 @@ def survey_scores(survey: DataFrame, questions: DataFrame, value_maps: DataFrame
     keys = ["participant_id", "event", "ts", "survey"]
     total = rows.groupBy(*keys, "category").agg(F.sum("score").alias("score")).withColumn("question", F.col("category"))
     if return_ind_ques:
-        each = rows.groupBy(*keys, "category", F.col("item").alias("question")).agg(F.last("score").alias("score"))
+        each = rows.groupBy(*keys, "category", F.col("item").alias("question")).agg(F.max_by("score", "position").alias("score"))
         total = total.unionByName(each)
     return total.join(ends, keys).select("participant_id", F.col("ts").alias("start"), "end", "category", "question", "score")
 

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -205,23 +206,93 @@ def group_test(table: DataFrame, value: str, group: str) -> dict:
     return {"t": t, "p": p}
 
 
-def improvement_model(table: DataFrame, features: Sequence[str], label: str, folds: int = 3, seed: int = 7):
+def person_fold(folds: int, person: str = "participant_id", seed: int = 7) -> Column:
+    """A fold from 0 for each person, by a hash of the id: all rows of a person are in one fold."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(person).cast("string")), F.lit(folds)).cast("int")
+
+
+def improvement_model(table: DataFrame, features: Sequence[str], label: str, folds: int = 3, seed: int = 7, penalties: Sequence[float] = (0.01, 0.1, 1.0), ratio: float = 0.5, person: str | None = None):
     """Elastic-net logistic regression on standardised features, its strength chosen by cross-validated area under the curve;
-    both classes weigh the same."""
+    both classes weigh the same. person: a column whose rows stay in one fold."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    rows = table.select(*features, F.col(label).cast("double").alias("label")).dropna()
+    rows = table.select(*features, F.col(label).cast("double").alias("label"), *([person_fold(folds, person, seed).alias("fold")] if person else [])).dropna()
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     total = sum(counts.values())
     rows = rows.withColumn("weight", F.when(F.col("label") == 1, total / (2 * counts.get(1.0, 1))).otherwise(total / (2 * counts.get(0.0, 1))))
-    model = LogisticRegression(elasticNetParam=0.5, weightCol="weight", featuresCol="scaled")
+    model = LogisticRegression(elasticNetParam=ratio, weightCol="weight", featuresCol="scaled")
     steps = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), model])
-    grid = ParamGridBuilder().addGrid(model.regParam, [0.01, 0.1, 1.0]).build()
-    return CrossValidator(estimator=steps, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"), numFolds=folds, seed=seed).fit(rows)
+    grid = ParamGridBuilder().addGrid(model.regParam, list(penalties)).build()
+    own = {"foldCol": "fold"} if person else {}
+    return CrossValidator(estimator=steps, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"), numFolds=folds, seed=seed, **own).fit(rows)
+
+
+def _descent(gram: np.ndarray, moment: np.ndarray, penalty: float, ratio: float, begin: np.ndarray) -> np.ndarray:
+    """Elastic-net coefficients for correlations gram of the features and moment with the label, by coordinate descent."""
+    b = begin.copy()
+    for _ in range(10_000):
+        before = b.copy()
+        for i in range(len(b)):
+            left = moment[i] - gram[i] @ b + gram[i, i] * b[i]
+            b[i] = np.sign(left) * max(0.0, abs(left) - penalty * ratio) / (gram[i, i] + penalty * (1 - ratio))
+        if np.abs(b - before).max() < 1e-13:
+            break
+    return b
+
+
+def elastic_net_path(table: DataFrame, features: Sequence[str], label: str, penalties: Sequence[float], ratio: float = 0.5, folds: int = 3, person: str = "participant_id", seed: int = 7) -> list[dict]:
+    """penalty, r2 (of rows left out, all folds together) and coefficients by feature for each penalty, of a linear model of a numeric or
+    boolean label; features and label are standardised over all rows, so coefficients compare. Persons' rows stay in one fold.
+
+    One pass over the rows adds up products by fold, a square of the number of features for each; every model is fitted to sums.
+    Rows with a null or NaN are left out. A constant feature has coefficient 0; with a constant label, or less than two rows, there is no path.
+    """
+    names = [*features, "y__"]
+    clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in features] + [F.nanvl(F.col(label).cast("double"), F.lit(None).cast("double"))]
+    rows = table.select(person_fold(folds, person, seed).alias("fold__"), *(c.alias(n) for c, n in zip(clean, names, strict=True))).dropna(subset=names)
+    middle = rows.agg(*(F.avg(c).alias(c) for c in names)).first()  # sums of differences from the means keep their digits
+    if middle[0] is None:
+        return []
+    off = [F.col(c) - middle[c] for c in names]
+    k = len(names)
+    sums = [F.sum(off[i] * off[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
+    each = rows.groupBy("fold__").agg(F.count("*").alias("n"), *(F.sum(off[i]).alias(f"m{i}") for i in range(k)), *sums).collect()  # a row for each fold
+
+    def whole(parts: list) -> tuple[float, np.ndarray, np.ndarray]:
+        n = sum(r["n"] for r in parts)
+        m = np.array([sum(r[f"m{i}"] for r in parts) for i in range(k)])
+        s = np.array([[sum(r[f"s{min(i, j)}_{max(i, j)}"] for r in parts) for j in range(k)] for i in range(k)])
+        return n, m, s
+
+    n, m, s = whole(each)
+    scale = np.sqrt(np.maximum(np.diag(s) / n - (m / n) ** 2, 0))
+    if n < 2 or scale[-1] == 0:
+        return []
+    scale[scale == 0] = 1.0
+
+    def standard(n: float, m: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return (s / n - np.outer(m, m) / n**2) / np.outer(scale, scale)
+
+    out, begin = [], np.zeros(k - 1)
+    for penalty in sorted(penalties, reverse=True):
+        c = standard(n, m, s)
+        begin = _descent(c[:-1, :-1], c[:-1, -1], penalty, ratio, begin)
+        missed = total = 0.0
+        for left in each if len(each) > 1 else []:
+            n1, m1, s1 = whole([r for r in each if r["fold__"] != left["fold__"]])
+            c1 = standard(n1, m1, s1)
+            b = np.append(_descent(c1[:-1, :-1], c1[:-1, -1], penalty, ratio, begin), -1.0)
+            n2, m2, s2 = whole([left])
+            centre = m1 / n1
+            around = (s2 - np.outer(m2, centre) - np.outer(centre, m2) + n2 * np.outer(centre, centre)) / np.outer(scale, scale)
+            missed += float(b @ around @ b)
+            total += float(around[-1, -1])
+        out.append({"penalty": penalty, "r2": 1 - missed / total if total else None, "coefficients": dict(zip(features, begin.tolist(), strict=True))})
+    return out[::-1]
 
 
 def os_version(analytics: DataFrame) -> DataFrame:

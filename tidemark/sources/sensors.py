@@ -3,7 +3,8 @@
 sensor_events: participant_id, sensor, ts (epoch ms), seq (arrival order), data (JSON object).
 activity_events: participant_id, ts, seq, duration, activity (id), static_data, temporal_slices.
 activities: id, name, spec.
-Write sensor_events partitioned by sensor (and day), so that a view reads its own files only.
+write_events lays either table out by day, and sensor_events by sensor too; views of such tables read the files of their sensor and
+range only.
 """
 
 from __future__ import annotations
@@ -46,11 +47,31 @@ SLICES = "array<struct<duration:long,item:string,level:string,status:boolean,typ
 NEWEST = ("participant_id", "seq")
 
 
+#: Column of the days by which written events are parted, counted from 1970 in UTC.
+DAY_PART = "event_day"
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Writes sensor_events or activity_events as Parquet, parted by sensor, where there is one, and by day.
+
+    Large days are dealt to several tasks and files, small ones share a task. Files are ordered by participant and time, so
+    that their row groups can be left out by person.
+    """
+    parts = [c for c in ("sensor",) if c in events.columns] + [DAY_PART]
+    rows = events.withColumn(DAY_PART, F.floor(F.col("ts") / 86_400_000).cast("int")).hint("rebalance", *parts)
+    rows.sortWithinPartitions(*parts, "participant_id", "ts").write.partitionBy(*parts).parquet(path)
+
+
 def between(events: DataFrame, start: int | Column | None = None, end: int | Column | None = None) -> DataFrame:
-    """Rows with start <= ts <= end, both ends included."""
-    if start is not None:
-        events = events.where(F.col("ts") >= start)
-    return events if end is None else events.where(F.col("ts") <= end)
+    """Rows with start <= ts <= end, both ends included. Of events that are parted by day only the days of the range are read."""
+    by_day = DAY_PART in events.columns
+    for bound, above in ((start, True), (end, False)):
+        if bound is not None:
+            events = events.where(F.col("ts") >= bound if above else F.col("ts") <= bound)
+            if by_day:
+                day = F.floor(bound / 86_400_000).cast("int") if isinstance(bound, Column) else F.lit(bound // 86_400_000)
+                events = events.where(F.col(DAY_PART) >= day if above else F.col(DAY_PART) <= day)
+    return events.drop(DAY_PART)
 
 
 def sensor(events: DataFrame, name: str, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -78,7 +99,8 @@ def activity(events: DataFrame, activities: DataFrame, name: str, start: int | N
 
 
 def survey(events: DataFrame, activities: DataFrame, start: int | None = None, end: int | None = None, replace_ids: bool = True) -> DataFrame:
-    """One row for each answered question: participant_id, ts, event (seq), survey, item, value, type, level, duration.
+    """One row for each answered question: participant_id, ts, event (seq), survey, item, value, type, level, duration,
+    position (of the answer in its event).
 
     Of a participant's events with the same slices only the longest counts, the first of equals; events of
     activities that are no surveys, or unknown, go. Without replace_ids, survey is the activity's id, not its name.
@@ -86,8 +108,8 @@ def survey(events: DataFrame, activities: DataFrame, start: int | None = None, e
     same = W.partitionBy("participant_id", "temporal_slices").orderBy(F.desc("duration"), "ts", "seq")
     once = between(events, start, end).withColumn("nth", F.row_number().over(same)).where("nth = 1")
     names = activities.where("spec = 'lamp.survey'").select(F.col("id").alias("activity"), F.col("name" if replace_ids else "id").alias("survey"))
-    rows = once.join(names, "activity").select("participant_id", "ts", F.col("seq").alias("event"), "survey", F.explode("temporal_slices").alias("s"))
-    return rows.select("participant_id", "ts", "event", "survey", "s.item", "s.value", "s.type", "s.level", "s.duration")
+    rows = once.join(names, "activity").select("participant_id", "ts", F.col("seq").alias("event"), "survey", F.posexplode("temporal_slices").alias("position", "s"))
+    return rows.select("participant_id", "ts", "event", "survey", "s.item", "s.value", "s.type", "s.level", "s.duration", "position")
 
 
 def activity_names(events: DataFrame, activities: DataFrame, gone: DataFrame | None = None) -> DataFrame:

@@ -19,10 +19,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written once as a table under spark.checkpoint.dir and read again; its files go when the driver's JVM ends. Only a local
-    session without that folder, as in tests, gets a temporary one."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path under spark.checkpoint.dir, whose files go when the driver's JVM ends. Only a local session without that folder, as in
+    tests, gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None and (at := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         base = at.get()
@@ -34,8 +33,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written once as a table in the shared folder and read again: lost executors cost no recomputation."""
+    path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Store:
