@@ -212,27 +212,54 @@ def test_groups_of_chains_and_hubs(spark, n, near):
     assert got(jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n, near)) == brute_groups(rows, n, near)
 
 
-def test_blocks_of_a_meeting_find_all_pairs(spark, monkeypatch):
-    """Blocks of few members give the pairs that comparing whole meetings gives: each across components that the sketches leave."""
-    r = np.random.default_rng(4)
-    base = np.unique(r.integers(0, 2**63, 120).astype(np.uint64))
-    values = [np.unique(np.concatenate([r.permutation(base)[r.integers(0, 30) :], r.integers(0, 2**63, 5).astype(np.uint64)])) for _ in range(60)]
-    sizes, sketch = np.array([len(v) for v in values]), jaccard.sketches(np.concatenate(values), np.cumsum([len(v) for v in values]))
-    labels = [0 if k < 25 else k % 7 for k in range(60)]
-    meetings = [list(range(50)), list(range(40, 60)), [1, 2, 3], [58, 59]]
-    want = set()
-    for keys in meetings:
-        for a in keys:
-            for b in keys:
-                if a < b and labels[a] != labels[b] and jaccard.may_link([sketch[a]], sizes[[a]], [sketch[b]], sizes[[b]])[0]:
-                    want.add((a, b))
-    groups = spark.createDataFrame([(k,) for k in meetings], "keys array<long>")
-    sets = spark.createDataFrame([(k, int(sizes[k]), bytearray(sketch[k])) for k in range(60)], "key long, size long, sketch binary")
-    named = spark.createDataFrame(list(enumerate(labels)), "key long, label long")
-    for block in (1000, 7):
-        monkeypatch.setattr(jaccard, "BLOCK", block)
-        pairs = {tuple(sorted(p)) for p in got(jaccard._apart(groups, named, sets, jaccard.NEAR))}
-        assert pairs == want and 0 < len(want)
+@ALIKE
+def test_groups_of_random_edits(spark, n, near):
+    """Pages of one template, groups of near copies that share passages, and texts of few common words, about both sides of the similarity."""
+    r, rows = random.Random(n), []
+    template, passage = [f"t{k}" for k in range(150)], [f"p{k}" for k in range(60)]
+    for i in range(60):
+        words = list(template)
+        for _ in range(r.choice([1, 2, 3, 6, 12])):
+            words[r.randrange(150)] = f"own{i}_{r.randrange(9)}"
+        rows.append((i, " ".join(words)))
+    for g in range(8):
+        body = [f"g{g}_{k}" for k in range(r.randint(20, 90))] + passage
+        for i in range(6):
+            words = [w for w in body if r.random() > 0.015]
+            rows.append((1000 + 10 * g + i, " ".join(words)))
+    rows += [(2000 + i, " ".join(r.choice("abc") for _ in range(r.randint(1, 40)))) for i in range(60)]
+    assert got(jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n, near)) == brute_groups(rows, n, near)
+
+
+def test_links_across_components_are_found(spark):
+    """Linked sets of different components meet among the pairs that are searched last, and none of one component do."""
+    r, rows = random.Random(4), []
+    base = [f"w{k}" for k in range(200)]
+    for i in range(40):
+        words = list(base)
+        for _ in range(r.randint(0, 9)):
+            words[r.randrange(200)] = f"x{i}_{r.randrange(5)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    nodes, lists = jaccard._index(docs, 5, 80)
+    keys = {k.start: k.key for k in nodes.collect()}
+    labels = spark.createDataFrame([(k, i % 3) for i, k in keys.items()], "key long, root long")
+    pairs = {tuple(p) for p in got(jaccard._apart(lists, labels, 80))}
+    root = {k: i % 3 for i, k in keys.items()}
+    linked = {tuple(sorted((keys[a], keys[b]))) for a in keys for b in keys if a < b and len({x[2] for x in brute_groups([rows[a], rows[b]], 5, 80)}) == 1}
+    assert {p for p in linked if root[p[0]] != root[p[1]]} <= pairs and len(linked) > 10
+    assert all(root[a] != root[b] for a, b in pairs)
+
+
+def test_pages_of_a_template_never_meet(spark):
+    r, rows = random.Random(9), []
+    for i in range(300):
+        words = [f"t{k}" for k in range(300)]
+        for k in r.sample(range(300), 12):
+            words[k] = f"own{i}_{k}"
+        rows.append((i, " ".join(words)))
+    _, lists = jaccard._index(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 90)
+    assert jaccard._led(lists).count() == 0
 
 
 def test_groups_query(spark, tmp_path):
@@ -248,20 +275,6 @@ def test_groups_query(spark, tmp_path):
     assert got(jaccard.op2_jaccard(spark, str(tmp_path))) == brute_groups(rows, 3, 90)
 
 
-def test_linked_sets_share_a_part():
-    r = np.random.default_rng(3)
-    for near in (80, 90):
-        for n in (5, 40, 300, 2500):
-            base = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-            for _ in range(40):
-                cut = r.permutation(base)[int(len(base) * (100 - near) / 100) :]
-                more = np.unique(np.concatenate([r.permutation(base)[int(len(base) * (100 - near) / 200) :], r.integers(0, 2**63, int(len(base) * (100 - near) / 250)).astype(np.uint64)]))
-                for other in (np.sort(cut), more):
-                    if 100 * len(np.intersect1d(base, other)) >= near * len(np.union1d(base, other)):
-                        signs, of = jaccard.signatures(np.concatenate([base, other]), np.array([len(base), len(base) + len(other)]), near)
-                        assert set(signs[of == 0].tolist()) & set(signs[of == 1].tolist())
-
-
 def test_no_groups(none):
     assert jaccard.near_groups(none).collect() == []
 

@@ -1,13 +1,15 @@
 """Near-duplicate groups by an exact Jaccard join over word shingles.
 
-1. Each text becomes a set of shingle hashes. The hash range is cut into more parts than two linked sets of that size can
-   differ in, so linked sets agree in at least one part that is not empty: sets with an equal part meet. Sets of one or
-   the next size class share a way of cutting. Equal sets are one set from the start.
-2. Where sets meet, each is compared with leaders of its meeting. A T-occurrence search (DivideSkip) takes the leader as
-   query over inverted lists of up to 256 members: short lists are merged by a heap, long ones probed by bisection,
-   and members with the overlap that their size needs are linked.
-3. Links join sets into components. Where members of one meeting are still apart, all pairs across those components are
-   searched too, so no link is lost; within a component further links change nothing.
+1. Each text becomes a set of shingle hashes; equal sets are one set from the start. All sets share one inverted index, dealt out by
+   ranges of the hash, which tells how often each shingle occurs. A set of which too few shingles occur elsewhere is linked with nothing.
+2. Of the other sets the rarest shingles, in one order for all sets, are looked up in their short inverted lists: linked sets overlap so
+   much that they share one among these. Lists of common shingles are never read for candidates.
+3. Where sets meet in a list, each is compared with leaders of its list. A T-occurrence search (DivideSkip) takes the leader as query over
+   inverted lists of up to 256 members: short lists are merged by a heap, long ones probed by bisection, and members
+   with the overlap that their size needs are linked.
+4. Links join sets into components. Where members of one list are still apart, those of other components than its largest are paired with
+   all of the list whose sizes and places in the order still allow the overlap, and searched too, so no link is lost; within
+   a component further links change nothing.
 """
 
 from __future__ import annotations
@@ -22,24 +24,19 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored, table
-from tidemark.llm.hashing import STEP, U, from_six, hashed_words, mixed, six_bytes
+from tidemark.llm.hashing import STEP, U, hashed_words, mixed
 
 #: Words of a shingle, and percent of similarity from which sets link.
 WORDS, NEAR = 5, 80
-#: Parts that may be empty in a set before its empty parts count as parts to meet in.
-SPARE = 2
-#: Bytes of text for each bucket of sets and parts, whose rows come together in one task.
+#: Bytes of text for each bucket of sets and shingles, whose rows come together in one task.
 BUCKET_BYTES = 4_000_000
 #: Copies of the labels that many nodes share, in the join that follows them.
 SALT = 16
 #: Members that one search indexes, and pairs whose searches share a task's group.
 CHUNK, PACK = 256, 1000
-#: Members of a meeting in one block, where all pairs across its components are compared.
-BLOCK = 1000
 #: Rows of two numbers that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 LAST = np.iinfo(np.int64).max
@@ -70,48 +67,6 @@ def shingle_sets(texts: Sequence[str | None], words: int = WORDS) -> tuple[np.nd
     return value, np.cumsum(np.bincount(owner, minlength=len(texts)))
 
 
-def size_class(n: np.ndarray, near: int = NEAR) -> np.ndarray:
-    """Sets whose sizes may be linked lie in one class or in two that follow each other."""
-    return np.floor(np.log(np.maximum(n, 1)) / math.log(100 / near) + 1e-9).astype(np.int64)
-
-
-def parts_of(level: np.ndarray, near: int = NEAR) -> np.ndarray:
-    """Parts to cut sets of class level and the one below into: linked ones differ in fewer, less SPARE + 1.
-
-    Linked sets of a and b have at most (a + b) * (100 - near) / (100 + near) elements in one of them only.
-    """
-    largest = np.ceil((100 / near) ** (level + 1) + 1e-6)
-    return np.floor(2 * largest * (100 - near) / (100 + near)).astype(np.int64) + 1 + SPARE
-
-
-def signatures(values: np.ndarray, ends: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts of each set, and the set's number for each."""
-    sizes = np.diff(np.concatenate([[0], ends]))
-    owner = np.repeat(np.arange(len(ends)), sizes)
-    sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(values, 3))])
-    out, of = [], []
-    for up in (0, 1):
-        level = size_class(sizes, near) + up
-        count = parts_of(level, near)
-        base = np.concatenate([[0], np.cumsum(count)])
-        # 32 bits of the hash times the number of parts: ascending hashes lie in ascending parts.
-        part = ((values >> U(32)) * count[owner].astype(U) >> U(32)).astype(np.int64) + base[owner]
-        if not len(part):
-            continue
-        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        until = np.concatenate([edge[1:], [len(part)]])
-        own = owner[edge]
-        tag = mixed(level[own].astype(U) * STEP[8] + (part[edge] - base[own]).astype(U) * STEP[9], 5)
-        out.append(mixed(sums[until] - sums[edge] + tag, 6))
-        of.append(own)
-        empty = count - np.bincount(own, minlength=len(ends))
-        for i in np.flatnonzero((empty > SPARE) & (sizes > 0)).tolist():
-            no = np.setdiff1d(np.arange(count[i]), part[edge][own == i] - base[i])
-            out.append(mixed(mixed(np.full(len(no), level[i], np.int64).astype(U) * STEP[8] + no.astype(U) * STEP[9], 5), 6))
-            of.append(np.full(len(no), i))
-    return (np.concatenate(out), np.concatenate(of)) if out else (values[:0], owner[:0])
-
-
 def set_keys(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64 bits that stand for a set: 0 for the empty one."""
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(values, 7))])
@@ -211,8 +166,24 @@ def _ids(column: pd.Series) -> np.ndarray:
     return np.array([LAST if pd.isna(x) else int(x) for x in column.astype(object)], np.int64)
 
 
-def _sent(docs: DataFrame, buckets: int, words: int, near: int) -> DataFrame:
-    """For each bucket: distinct sets with their least document, and (part, set) pairs, packed by batch."""
+#: Bytes of a posting's hash; with its bucket it stands for the shingle.
+LOW = 5
+
+
+def _low(values: np.ndarray) -> bytes:
+    """The low LOW bytes of each number."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :LOW].tobytes()
+
+
+def _from_low(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // LOW, 8), np.uint8)
+    out[:, :LOW] = np.frombuffer(data, np.uint8).reshape(-1, LOW)
+    return out.view("<u8").ravel()
+
+
+def _sent(docs: DataFrame, buckets: int, words: int) -> DataFrame:
+    """For each bucket: distinct sets with their least document, names of batches, and the postings of a batch, ascending: shingles
+    and the set's number in the batch."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
@@ -221,60 +192,103 @@ def _sent(docs: DataFrame, buckets: int, words: int, near: int) -> DataFrame:
             order = np.lexsort((ids, keys))
             one = order[np.concatenate([[True], np.diff(keys[order]) != 0])]
             one = one[sizes[one] > 0]
-            signs, of = signatures(values, ends, near)
-            first = np.zeros(len(keys), bool)
-            first[one] = True
-            signs, of = signs[first[of]], of[first[of]]
-            out = []
+            number = np.full(len(keys), -1)
+            number[one] = np.arange(len(one))
+            owner = number[np.repeat(np.arange(len(ends)), sizes)]
+            value, owner = values[owner >= 0], owner[owner >= 0]
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            batch = int(mixed(np.array([np.sum(mixed(keys.astype(U), 2) + mixed(ids.astype(U), 10))], U))[0].astype(np.int64))
             sketch = sketches(values, ends)
             home = (mixed(keys[one].astype(U)) % U(buckets)).astype(np.int64)
-            place = (mixed(signs) % U(buckets)).astype(np.int64)
-            at, to = np.argsort(home, kind="stable"), np.argsort(place, kind="stable")
-            a, b = np.searchsorted(home[at], np.arange(buckets + 1)), np.searchsorted(place[to], np.arange(buckets + 1))
-            for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist():
-                s, p = one[at[a[k] : a[k + 1]]], to[b[k] : b[k + 1]]
-                out.append((k, np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), b"".join([sketch[i] for i in s.tolist()]), six_bytes(signs[p]), keys[of[p]].astype("<i8").tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "sets", "sketches", "signs", "keys"])
+            at = np.argsort(home, kind="stable")
+            a = np.searchsorted(home[at], np.arange(buckets + 1))
+            b = np.searchsorted(((value >> U(32)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
+            low, numbers, own, out = _low(value), owner.astype("<u4").tobytes(), batch % buckets, []
+            names = np.stack([keys[one], sizes[one]]).astype("<i8").tobytes()
+            for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0) | (np.arange(buckets) == own)).tolist():
+                s, i, j = one[at[a[k] : a[k + 1]]], int(b[k]), int(b[k + 1])
+                out.append((k, batch, names if k == own else b"", np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), b"".join([sketch[x] for x in s.tolist()]), low[LOW * i : LOW * j], numbers[4 * i : 4 * j]))
+            yield pd.DataFrame(out, columns=["bucket", "batch", "names", "sets", "sketches", "low", "numbers"])
 
-    return docs.mapInPandas(send, "bucket int, sets binary, sketches binary, signs binary, keys binary")
+    return docs.mapInPandas(send, "bucket int, batch long, names binary, sets binary, sketches binary, low binary, numbers binary")
 
 
-_MET = "kind int, key long, doc_id long, size long, sketch binary, keys array<long>"
+_COUNTED = "kind int, key long, doc_id long, size long, sketch binary, batch long, names binary, bucket int, low binary, numbers binary, often binary"
 
 
-def _met(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket. Kind 0: each set with its least document, size and sketch; kind 1: the sets of each meeting of two or more."""
+def _counted(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket. Kind 0: each set with its least document, size and sketch. Kind 1: a batch's names and its postings of shingles
+    that occur more than once, with an ascending step of how often."""
+    (bucket,) = key
     sets = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for x in frame["sets"]], axis=1)
     until = np.cumsum(slots_of(sets[2]))
     sketch, begin = b"".join(frame["sketches"]), until - slots_of(sets[2])
     order = np.lexsort((sets[1], sets[0]))
     one = order[np.concatenate([[True], np.diff(sets[0][order]) != 0])] if len(order) else order
-    sets, sketch = sets[:, one], [sketch[i:j] for i, j in zip(begin[one].tolist(), until[one].tolist(), strict=True)]
-    # 48 bits of a part and its bucket: parts that are taken for equal only bring sets together that are then told apart
-    signs, keys = np.concatenate([from_six(x, len(x) // 6) for x in frame["signs"]]), np.concatenate([np.frombuffer(x, "<i8") for x in frame["keys"]])
-    order = np.lexsort((keys, signs))
-    signs, keys = signs[order], keys[order]
-    if len(signs):
-        new = np.concatenate([[True], (signs[1:] != signs[:-1]) | (keys[1:] != keys[:-1])])
-        signs, keys = signs[new], keys[new]
-    groups = {tuple(g.tolist()) for g in np.split(keys, np.flatnonzero(signs[1:] != signs[:-1]) + 1) if len(g) > 1}
-    a = pd.DataFrame({"kind": 0, "key": sets[0], "doc_id": sets[1], "size": sets[2], "sketch": sketch, "keys": None})
-    b = pd.DataFrame({"kind": 1, "key": None, "doc_id": None, "size": None, "sketch": None, "keys": [list(g) for g in groups]})
-    return pd.concat([a, b.astype({"key": "Int64", "doc_id": "Int64", "size": "Int64"})]).astype({"key": "Int64", "doc_id": "Int64", "size": "Int64"})
-
-
-def _led(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each member of a meeting with its two leaders: the sets that come first in two fixed random orders."""
-    for frame in frames:
-        out = []
-        for keys in frame["keys"]:
-            own = np.asarray(keys, np.int64)
-            for k in (0, 2):
-                lead = own[np.argmin(mixed(own.astype(U), k))]
-                rest = own[own != lead]
-                out.append(np.stack([np.full(len(rest), lead), rest], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        yield pd.DataFrame({"leader": pairs[:, 0], "member": pairs[:, 1]})
+    frame = frame.drop_duplicates("batch")  # batches of one number have the same rows
+    low, counts = _from_low(b"".join(frame["low"])), [len(x) // LOW for x in frame["low"]]
+    order = np.argsort(low, kind="stable")
+    run = np.cumsum(np.concatenate([[True], np.diff(low[order]) != 0])[: len(order)]) - 1
+    often = np.empty(len(low), np.int64)
+    often[order] = np.bincount(run)[run] if len(run) else run
+    step = np.floor(np.log2(np.maximum(often, 1)) * 1024).astype("<u2")
+    numbers, ends = np.frombuffer(b"".join(frame["numbers"]), "<u4"), np.cumsum(counts).tolist()
+    out = []
+    for batch, names, i, j in zip(frame["batch"], frame["names"], [0, *ends[:-1]], ends, strict=True):
+        at = np.flatnonzero(often[i:j] > 1) + i
+        if len(at) or names:
+            out.append((batch, names, int(bucket), _low(low[at]), numbers[at].tobytes(), step[at].tobytes()))
+    a = pd.DataFrame({"kind": 0, "key": sets[0][one], "doc_id": sets[1][one], "size": sets[2][one], "sketch": [sketch[i:j] for i, j in zip(begin[one].tolist(), until[one].tolist(), strict=True)], **dict.fromkeys(("batch", "names", "bucket", "low", "numbers", "often"))})
+    b = pd.DataFrame(out, columns=["batch", "names", "bucket", "low", "numbers", "often"]).assign(kind=1, key=None, doc_id=None, size=None, sketch=None)
+    whole = dict.fromkeys(("key", "doc_id", "size", "batch", "bucket"), "Int64")
+    return pd.concat([a.astype(whole), b.astype(whole)])[[c.split()[0] for c in _COUNTED.split(", ")]]
+
+
+def _rarest(near: int):
+    """Of one batch: for each set that may be linked, the shingles among its rarest that others have, with their place in the order of the
+    whole set, and whether sets of its size or larger would meet it there."""
+
+    def rarest(frame: pd.DataFrame) -> pd.DataFrame:
+        names = next(x for x in frame["names"] if x)
+        keys, sizes = np.frombuffer(names, "<i8").reshape(2, -1)
+        low, number = _from_low(b"".join(frame["low"])), np.frombuffer(b"".join(frame["numbers"]), "<u4").astype(np.int64)
+        often = np.frombuffer(b"".join(frame["often"]), "<u2").astype(np.int64)
+        bucket = np.repeat(frame["bucket"].to_numpy(np.int64), [len(x) // LOW for x in frame["low"]])
+        shared = np.bincount(number, minlength=len(keys))
+        able = shared >= (near * sizes + 99) // 100  # a linked set has so many of its shingles
+        kept = able[number]
+        low, number, often, bucket = low[kept], number[kept], often[kept], bucket[kept]
+        shingle = mixed(low ^ (bucket.astype(U) << U(40)), 5)
+        order = np.lexsort((shingle, often, number))
+        number, shingle = number[order], shingle[order]
+        first = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(keys)))])
+        place = np.arange(len(number)) - first[number] + (sizes - shared)[number]  # those that none else has come first
+        size = sizes[number]
+        inside = place <= size - (near * size + 99) // 100
+        small = place <= size - (2 * near * size + 99 + near) // (100 + near)
+        return pd.DataFrame({"shingle": shingle.astype(np.int64), "key": keys[number], "size": size, "place": place, "small": small})[inside]
+
+    return rarest
+
+
+def _index(docs: DataFrame, words: int, near: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets (key, start, size, sketch), and the inverted lists of rare shingles (shingle, key, size, place, small)."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = stored(_sent(docs, max(parts * 4, held // BUCKET_BYTES), words).groupBy("bucket").applyInPandas(_counted, _COUNTED), "counted")
+    nodes = found.where("kind = 0").select("key", F.col("doc_id").alias("start"), "size", "sketch")
+    rows = found.where("kind = 1").select("batch", "names", "bucket", "low", "numbers", "often")
+    lists = rows.groupBy("batch").applyInPandas(_rarest(near), "shingle long, key long, size long, place long, small boolean")
+    return nodes, stored(lists.dropDuplicates(["shingle", "key"]), "lists")
+
+
+def _led(lists: DataFrame) -> DataFrame:
+    """Each member of a list with its two leaders: the sets that come first in two fixed random orders. In a list in which no set is small
+    nothing has to meet."""
+    first = lists.groupBy("shingle").agg(*(F.min_by("key", F.xxhash64("key", F.lit(k))).alias(f"l{k}") for k in (0, 1)), F.count("*").alias("n"), F.bool_or("small").alias("small")).where("n > 1 AND small").drop("small")
+    pairs = lists.select("shingle", F.col("key").alias("member")).join(first, "shingle").select(F.explode(F.array("l0", "l1")).alias("leader"), "member")
+    return pairs.where("leader <> member").distinct()
 
 
 def _promising(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
@@ -334,43 +348,26 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels.select("key", F.col("label.start").alias("label"), F.col("label.key").alias("root"))
 
 
-def _apart(groups: DataFrame, labels: DataFrame, sets: DataFrame, near: int) -> DataFrame:
-    """Pairs of sets that meet, lie in different components so far, and are not ruled out by sizes and sketches.
+def _apart(lists: DataFrame, labels: DataFrame, near: int) -> DataFrame:
+    """Pairs of sets that meet in a list, lie in different components so far, and may be linked by their sizes and places.
 
-    The members of a meeting are dealt out over blocks of about BLOCK, and each two of its blocks (and each block with itself) are
-    compared in a task's group of their own, so that no task holds a whole meeting.
+    In each list the sets that are small there are paired with those of their size or larger, but not those of the list's largest component
+    with each other: copies and near copies of one component make no pairs.
     """
-    # Numbered before they are exploded: in one select, Spark would number the exploded rows.
-    numbered = groups.distinct().withColumn("meeting", F.monotonically_increasing_id())
-    members = stored(numbered.select("meeting", F.explode("keys").alias("key")), "members")
-    rows = members.join(labels.select("key", "label"), "key")
-    all_ = W.partitionBy("meeting")
-    counts = rows.groupBy("meeting", "label").agg(F.count("*").alias("n"))
-    counts = counts.select("*", F.count("*").over(all_).alias("components"), F.ceil(F.sum("n").over(all_) / BLOCK).alias("blocks"))
-    open_ = stored(counts.where("components > 1").drop("components"), "open")
-    packs = max(1, (open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0) // PACK)
-    rows = rows.join(open_, ["meeting", "label"]).join(sets.select("key", "size", "sketch"), "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("meeting", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "n", "label", "key", "size", "sketch")
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros((0, 2), np.int64)]
-        for (_, low, high), own in frame.groupby(["meeting", "low", "high"], sort=False):
-            keys, sizes, block, sketch = own["key"].to_numpy(), own["size"].to_numpy(), own["block"].to_numpy(), own["sketch"].tolist()
-            order = np.lexsort((own["label"], own["n"]))  # small components ask, larger ones answer
-            label = own["label"].to_numpy()[order]
-            place = np.empty(len(order), np.int64)
-            place[order] = np.cumsum(np.concatenate([[0], label[1:] != label[:-1]]))
-            for i in np.flatnonzero(place < place.max()).tolist():
-                rest = np.flatnonzero((place > place[i]) & ((low == high) | (block != block[i])))
-                able = rest[may_link([sketch[i]] * len(rest), np.full(len(rest), sizes[i]), [sketch[k] for k in rest.tolist()], sizes[rest], near)]
-                found.append(np.stack([np.full(len(able), keys[i]), keys[able]], axis=1))
-        got = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"leader": got[:, 0], "member": got[:, 1]})
-
-    dealt = rows.groupBy(F.pmod(F.xxhash64("meeting", "low", "high"), F.lit(packs)).alias("pack"))
-    return dealt.applyInPandas(pairs, "leader long, member long").distinct()
+    rows = lists.join(labels.select("key", "root"), "key")
+    counts = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.bool_or("small").alias("small"))
+    counts = counts.groupBy("shingle").agg(F.count("*").alias("components"), F.bool_or("small").alias("any"), F.max_by("root", F.struct("n", "root")).alias("most"))
+    rows = stored(rows.join(counts.where("components > 1 AND any").drop("components", "any"), "shingle"), "open")
+
+    def named(frame: DataFrame, x: str) -> DataFrame:
+        return frame.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "size", "place", "root")))
+
+    small, beside = rows.where("small"), rows.where("root <> most")
+    pairs = named(small.where("root <> most"), "a").join(named(rows, "b"), "shingle").unionByName(named(small.where("root = most"), "a").join(named(beside, "b"), "shingle"))
+    fits = (F.col("size_a") <= F.col("size_b")) & (F.col("size_a") * 100 >= F.col("size_b") * near)
+    room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= F.ceil((F.col("size_a") + F.col("size_b")) * near / (100 + near))
+    pairs = pairs.where((F.col("root_a") != F.col("root_b")) & fits & room)
+    return pairs.select(F.least("key_a", "key_b").alias("leader"), F.greatest("key_a", "key_b").alias("member")).distinct()
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -411,18 +408,15 @@ def near_groups(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFr
 
 def _grouped(docs: DataFrame, words: int, near: int) -> DataFrame:
     """doc_id, n_shingles, the text's hash, and its component's least doc_id (LAST for null) and root; null without shingles."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = stored(_sent(docs, max(parts * 4, held // BUCKET_BYTES), words, near).groupBy("bucket").applyInPandas(_met, _MET), "meetings")
-    nodes = found.where("kind = 0").select("key", F.col("doc_id").alias("start"), "size", "sketch")
-    groups = found.where("kind = 1").select("keys")
-    tasks = stored(groups.mapInPandas(_led, "leader long, member long").distinct(), "tasks")
+    nodes, lists = _index(docs, words, near)
+    tasks = stored(_led(lists), "tasks")
     met = nodes.select("key", "start").join(_ends(tasks), "key", "left_semi")
     links = _links(docs, stored(_promising(tasks, nodes, near), "tasks"), nodes, words, near)
     labels = components(met, links)
-    more = stored(_apart(groups, labels, nodes, near).join(tasks, ["leader", "member"], "left_anti"), "tasks")
+    more = _apart(lists, labels, near)
+    more = more.join(tasks, ["leader", "member"], "left_anti").join(tasks.toDF("member", "leader"), ["leader", "member"], "left_anti")
+    more = stored(_promising(more, nodes, near), "tasks")
     if not more.isEmpty():
         labels = components(met, links.union(_links(docs, more, nodes, words, near)))
 
