@@ -247,3 +247,24 @@ def test_odd_rows_of_languages(spark):
     assert [tuple(r) for r in blind] == [("und", 0.0)]
     one = languages.identified(docs.withColumn("lang", F.lit("xx"))).where("doc_id = 103").first()
     assert one.lang_pred == "xx" and one.score == 1.0
+
+
+# Mixing stage
+
+
+def test_mixed_rows_follow_the_plan_whatever_their_ids(spark):
+    """Null and repeated ids of equal sizes in several sources, and columns named like those of the plan."""
+    from tidemark.llm import mixing
+
+    rows = [(None, "a b c", "x"), (None, "d e f", "y"), (None, "d e f", "y"), (3, "g h i", "x"), (3, "g h i", "y"), (3, "j k l", None), (3, "j k l", None), (4, "m n o", None), (5, None, "x"), (6, " ", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "'q' AS key", "2 AS taken", "3 AS row", "4 AS __id", "5 AS `a.b`").repartition(3)
+    plan = Counter()
+    for r in mixing.plan_mix(docs).collect():
+        plan[r.source_rank] += r.taken
+    words = Counter()
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    for r in out.collect():
+        words[{"x": 0, "y": 1, None: 2}[r.source]] += len(r.text.split())
+    assert words == Counter({k: v for k, v in plan.items() if v})
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,56 +43,60 @@ def budgets(sizes: Sequence[int], weights: Sequence[float], share: float, epochs
     return targets
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source_rank and key for each row of docs (doc_id, text, source).
+def _keyed(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, size, key and tie of each row of docs, and more."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"))))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("tie"), *more)
 
-    weights repeat over the sources in code-point order, the null source last. taken counts words, repeats included;
-    the sum over a source is its target rounded down. Null text: size 0, taken 0. Rows with the same doc_id are
-    documents of their own; equal keys are ordered by doc_id and size. A null doc_id has the key of its text, so that many of
-    them spread over the ranges. No rows: no rows. Other columns are left out. Reruns agree, as keys depend on rows and seed only.
-    The driver sees one row per source.
-    """
-    base = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))).alias("key")), "mix")
+
+def _taken(base: DataFrame, weights: Sequence[float], share: float, epochs: float) -> DataFrame:
+    """base (_keyed) with source_rank, source_size, target and taken, but without source. Rows are dealt out once, by source and range."""
     found = sorted(base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["source"] is None, [ord(c) for c in r["source"] or ""]))
     if not found:
         none = F.lit(None)
-        return base.select("doc_id", "size", none.cast("long").alias("source_size"), none.cast("double").alias("target"), none.cast("long").alias("taken"), none.cast("int").alias("source_rank"), "key")
+        return base.drop("source").withColumns({"source_rank": none.cast("int"), "source_size": none.cast("long"), "target": none.cast("double"), "taken": none.cast("long")})
     weight = [float(weights[i % len(weights)]) for i in range(len(found))]
     targets = budgets([r["size"] for r in found], weight, share, epochs)
     digits = max(2, math.ceil(math.log(max(1, max(r["n"] for r in found) / RANGE_ROWS), 16)))
-    sources = docs.sparkSession.createDataFrame([(i, r["source"], r["size"], t) for i, (r, t) in enumerate(zip(found, targets, strict=True))], "source_rank int, source string, source_size long, target double")
+    sources = base.sparkSession.createDataFrame([(i, r["source"], r["size"], t) for i, (r, t) in enumerate(zip(found, targets, strict=True))], "source_rank int, source string, source_size long, target double")
     placed = base.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("source", "of").withColumn("range", F.substring("key", 1, digits))
     before = placed.groupBy("source_rank", "range").agg(F.sum("size").alias("words"))
     before = before.select("source_rank", "range", (F.sum("words").over(W.partitionBy("source_rank").orderBy("range")) - F.col("words")).alias("before"))
     placed = placed.join(before, ["source_rank", "range"])
-    end = F.col("before") + F.sum("size").over(W.partitionBy("source_rank", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
+    end = F.col("before") + F.sum("size").over(W.partitionBy("source_rank", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor("target") - whole * F.col("source_size")
     once = F.greatest(F.lit(0), F.least(F.col("size"), rest - (F.col("end") - F.col("size"))))
-    return placed.withColumn("end", end).select("doc_id", "size", "source_size", "target", (whole * F.col("size") + once).cast("long").alias("taken"), "source_rank", "key")
+    return placed.withColumn("end", end).withColumn("taken", (whole * F.col("size") + once).cast("long")).drop("end", "before", "range")
+
+
+def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source_rank and key for each row of docs (doc_id, text, source).
+
+    weights repeat over the sources in code-point order, the null source last. taken counts words, repeats included;
+    the sum over a source is its target rounded down. Null text: size 0, taken 0. Rows with the same doc_id are
+    documents of their own; equal keys are ordered by doc_id, size and a hash of the text. A null doc_id has the key of its text, so that
+    many of them spread over the ranges. No rows: no rows. Other columns are left out. Reruns agree, as keys depend on rows and seed only.
+    The driver sees one row per source.
+    """
+    base = stored(_keyed(docs, seed), "mix")
+    return _taken(base, weights, share, epochs).select("doc_id", "size", "source_size", "target", "taken", "source_rank", "key")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The mix itself, with the columns of docs: a row per epoch of a document, and its first words where the budget cuts it.
 
-    Documents of which no word is taken are left out; n_chars, where docs has it, follows the text.
-    docs is keyed by doc_id here; rows that repeat a doc_id are told apart by their order of size and text.
+    Each row carries its own document through the plan of plan_mix, so rows that share a doc_id, or have none, are told apart whatever
+    their source and size. Documents of which no word is taken are left out; n_chars, where docs has it, follows the text.
     """
-    keyed = docs.withColumn("__size", word_count(F.col("text")))
-    nth = W.partitionBy("doc_id", "source", "__size").orderBy("text")
-    keyed = keyed.withColumn("__nth", F.row_number().over(nth))
-    plan = plan_mix(docs, **options)
-    plan = plan.withColumn("__nth", F.row_number().over(W.partitionBy("doc_id", "source_rank", "size").orderBy(F.desc("taken"))))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("size").alias("__of"), F.col("__nth").alias("__at"), F.col("taken").alias("__taken"))
-    both = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__of")) & (F.col("__nth") == F.col("__at"))).where("__taken > 0")
-    copies = F.transform(F.sequence(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__size")).cast("int")), lambda i: F.least(F.col("__size"), F.col("__taken") - i * F.col("__size")))
-    both = both.withColumn("__words", F.explode(copies))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
-    text = F.when(F.col("__words") == F.col("__size"), F.col("text")).otherwise(cut)
-    both = both.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    plan = _taken(_keyed(docs, seed, whole), weights, share, epochs).where("taken > 0").select("row", "size", "taken")
+    copies = F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int")), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))
+    rows = plan.withColumn("words", F.explode(copies))
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(cut))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
