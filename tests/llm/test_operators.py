@@ -244,7 +244,7 @@ def test_links_across_components_are_found(spark):
     nodes, lists = jaccard._index(docs, 5, 80)
     keys = {k.start: k.key for k in nodes.collect()}
     labels = spark.createDataFrame([(k, i % 3) for i, k in keys.items()], "key long, root long")
-    pairs = {tuple(p) for p in got(jaccard._apart(lists, labels, 80))}
+    pairs = {tuple(p) for p in got(jaccard._apart(jaccard._open(lists, labels), nodes, 80))}
     root = {k: i % 3 for i, k in keys.items()}
     linked = {tuple(sorted((keys[a], keys[b]))) for a in keys for b in keys if a < b and len({x[2] for x in brute_groups([rows[a], rows[b]], 5, 80)}) == 1}
     assert {p for p in linked if root[p[0]] != root[p[1]]} <= pairs and len(linked) > 10

@@ -7,9 +7,9 @@
 3. Where sets meet in a list, each is compared with leaders of its list. A T-occurrence search (DivideSkip) takes the leader as query over
    inverted lists of up to 256 members: short lists are merged by a heap, long ones probed by bisection, and members
    with the overlap that their size needs are linked.
-4. Links join sets into components. Where members of one list are still apart, those of other components than its largest are paired with
-   all of the list whose sizes and places in the order still allow the overlap, and searched too, so no link is lost; within
-   a component further links change nothing.
+4. Links join sets into components. Where members of one list are still apart, they are compared with a leader of the largest component and
+   one of another; and at last those outside the largest component are paired with all of the list whose sizes and places in the
+   order still allow the overlap, and searched too, so no link is lost; within a component further links change nothing.
 """
 
 from __future__ import annotations
@@ -95,6 +95,15 @@ def sketches(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
     return [sums[i:j] for i, j in zip((until - slots).tolist(), until.tolist(), strict=True)]
 
 
+def parities(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each set WORDS_OF_BITS words of 64 bits: the parity of its elements at each of the bits. Bits that differ come from elements that
+    differ, so two sets have at least as many unlike elements as unlike bits."""
+    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    n = 64 * WORDS_OF_BITS
+    odd = np.bincount(owner * n + (mixed(values, 4) % U(n)).astype(np.int64), minlength=len(ends) * n) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(-1, WORDS_OF_BITS)
+
+
 def may_link(one: Sequence[bytes], sizes: np.ndarray, other: Sequence[bytes], others: np.ndarray, near: int = NEAR) -> np.ndarray:
     """Which pairs of sets, given by sketches and sizes, could be linked."""
     out = np.minimum(sizes, others) * 100 >= near * np.maximum(sizes, others)
@@ -166,6 +175,8 @@ def _ids(column: pd.Series) -> np.ndarray:
     return np.array([LAST if pd.isna(x) else int(x) for x in column.astype(object)], np.int64)
 
 
+#: Words of 64 parity bits that a set is compared by where pairs are made.
+WORDS_OF_BITS = 16
 #: Bytes of a posting's hash; with its bucket it stands for the shingle.
 LOW = 5
 
@@ -204,17 +215,18 @@ def _sent(docs: DataFrame, buckets: int, words: int) -> DataFrame:
             at = np.argsort(home, kind="stable")
             a = np.searchsorted(home[at], np.arange(buckets + 1))
             b = np.searchsorted(((value >> U(32)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
+            bits = parities(values, ends)
             low, numbers, own, out = _low(value), owner.astype("<u4").tobytes(), batch % buckets, []
             names = np.stack([keys[one], sizes[one]]).astype("<i8").tobytes()
             for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0) | (np.arange(buckets) == own)).tolist():
                 s, i, j = one[at[a[k] : a[k + 1]]], int(b[k]), int(b[k + 1])
-                out.append((k, batch, names if k == own else b"", np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), b"".join([sketch[x] for x in s.tolist()]), low[LOW * i : LOW * j], numbers[4 * i : 4 * j]))
-            yield pd.DataFrame(out, columns=["bucket", "batch", "names", "sets", "sketches", "low", "numbers"])
+                out.append((k, batch, names if k == own else b"", np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), b"".join([sketch[x] for x in s.tolist()]), bits[s].tobytes(), low[LOW * i : LOW * j], numbers[4 * i : 4 * j]))
+            yield pd.DataFrame(out, columns=["bucket", "batch", "names", "sets", "sketches", "bits", "low", "numbers"])
 
-    return docs.mapInPandas(send, "bucket int, batch long, names binary, sets binary, sketches binary, low binary, numbers binary")
+    return docs.mapInPandas(send, "bucket int, batch long, names binary, sets binary, sketches binary, bits binary, low binary, numbers binary")
 
 
-_COUNTED = "kind int, key long, doc_id long, size long, sketch binary, batch long, names binary, bucket int, low binary, numbers binary, often binary"
+_COUNTED = "kind int, key long, doc_id long, size long, sketch binary, bits array<long>, batch long, names binary, bucket int, low binary, numbers binary, often binary"
 
 
 def _counted(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -222,6 +234,7 @@ def _counted(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     that occur more than once, with an ascending step of how often."""
     (bucket,) = key
     sets = np.concatenate([np.frombuffer(x, "<i8").reshape(3, -1) for x in frame["sets"]], axis=1)
+    bits = np.frombuffer(b"".join(frame["bits"]), "<i8").reshape(-1, WORDS_OF_BITS)
     until = np.cumsum(slots_of(sets[2]))
     sketch, begin = b"".join(frame["sketches"]), until - slots_of(sets[2])
     order = np.lexsort((sets[1], sets[0]))
@@ -239,8 +252,8 @@ def _counted(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         at = np.flatnonzero(often[i:j] > 1) + i
         if len(at) or names:
             out.append((batch, names, int(bucket), _low(low[at]), numbers[at].tobytes(), step[at].tobytes()))
-    a = pd.DataFrame({"kind": 0, "key": sets[0][one], "doc_id": sets[1][one], "size": sets[2][one], "sketch": [sketch[i:j] for i, j in zip(begin[one].tolist(), until[one].tolist(), strict=True)], **dict.fromkeys(("batch", "names", "bucket", "low", "numbers", "often"))})
-    b = pd.DataFrame(out, columns=["batch", "names", "bucket", "low", "numbers", "often"]).assign(kind=1, key=None, doc_id=None, size=None, sketch=None)
+    a = pd.DataFrame({"kind": 0, "key": sets[0][one], "doc_id": sets[1][one], "size": sets[2][one], "sketch": [sketch[i:j] for i, j in zip(begin[one].tolist(), until[one].tolist(), strict=True)], "bits": list(bits[one]), **dict.fromkeys(("batch", "names", "bucket", "low", "numbers", "often"))})
+    b = pd.DataFrame(out, columns=["batch", "names", "bucket", "low", "numbers", "often"]).assign(kind=1, key=None, doc_id=None, size=None, sketch=None, bits=None)
     whole = dict.fromkeys(("key", "doc_id", "size", "batch", "bucket"), "Int64")
     return pd.concat([a.astype(whole), b.astype(whole)])[[c.split()[0] for c in _COUNTED.split(", ")]]
 
@@ -273,11 +286,11 @@ def _rarest(near: int):
 
 
 def _index(docs: DataFrame, words: int, near: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct sets (key, start, size, sketch), and the inverted lists of rare shingles (shingle, key, size, place, small)."""
+    """Distinct sets (key, start, size, sketch, bits), and the inverted lists of rare shingles (shingle, key, size, place, small)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     found = stored(_sent(docs, max(parts * 4, held // BUCKET_BYTES), words).groupBy("bucket").applyInPandas(_counted, _COUNTED), "counted")
-    nodes = found.where("kind = 0").select("key", F.col("doc_id").alias("start"), "size", "sketch")
+    nodes = found.where("kind = 0").select("key", F.col("doc_id").alias("start"), "size", "sketch", "bits")
     rows = found.where("kind = 1").select("batch", "names", "bucket", "low", "numbers", "often")
     lists = rows.groupBy("batch").applyInPandas(_rarest(near), "shingle long, key long, size long, place long, small boolean")
     return nodes, stored(lists.dropDuplicates(["shingle", "key"]), "lists")
@@ -348,25 +361,42 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels.select("key", F.col("label.start").alias("label"), F.col("label.key").alias("root"))
 
 
-def _apart(lists: DataFrame, labels: DataFrame, near: int) -> DataFrame:
-    """Pairs of sets that meet in a list, lie in different components so far, and may be linked by their sizes and places.
-
-    In each list the sets that are small there are paired with those of their size or larger, but not those of the list's largest component
-    with each other: copies and near copies of one component make no pairs.
-    """
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of lists whose sets lie in different components, with root and most, the list's largest component."""
     rows = lists.join(labels.select("key", "root"), "key")
     counts = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"), F.bool_or("small").alias("small"))
     counts = counts.groupBy("shingle").agg(F.count("*").alias("components"), F.bool_or("small").alias("any"), F.max_by("root", F.struct("n", "root")).alias("most"))
-    rows = stored(rows.join(counts.where("components > 1 AND any").drop("components", "any"), "shingle"), "open")
+    return stored(rows.join(counts.where("components > 1 AND any").drop("components", "any"), "shingle"), "open")
+
 
+def _closer(rows: DataFrame) -> DataFrame:
+    """Members of open lists with a leader of their list's largest component and with one of another, which each list chooses by itself: a
+    set in many lists meets many of a group of near copies, which so comes together before pairs are made in it."""
+    some, beside = F.xxhash64("key", "shingle"), rows.where("root <> most")
+    main = rows.where("root = most").groupBy("shingle").agg(F.min_by("key", some).alias("leader"))
+    other = beside.groupBy("shingle").agg(F.min_by(F.struct("key", "root"), some).alias("of"))
+    pairs = beside.join(main, "shingle").select("leader", F.col("key").alias("member"))
+    pairs = pairs.unionByName(rows.join(other, "shingle").where(F.col("root") != F.col("of.root")).select(F.col("of.key").alias("leader"), F.col("key").alias("member")))
+    return pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member")).distinct()
+
+
+def _apart(rows: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """Pairs of sets of open lists that lie in different components and may be linked by their sizes, places and parity bits.
+
+    In each list the sets that are small there are paired with those of their size or larger, but not those of the list's largest component
+    with each other: copies and near copies of one component make no pairs.
+    """
     def named(frame: DataFrame, x: str) -> DataFrame:
-        return frame.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "size", "place", "root")))
+        return frame.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "size", "place", "root", "bits")))
 
+    rows = rows.join(sets.select("key", "bits"), "key")
     small, beside = rows.where("small"), rows.where("root <> most")
     pairs = named(small.where("root <> most"), "a").join(named(rows, "b"), "shingle").unionByName(named(small.where("root = most"), "a").join(named(beside, "b"), "shingle"))
     fits = (F.col("size_a") <= F.col("size_b")) & (F.col("size_a") * 100 >= F.col("size_b") * near)
     room = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= F.ceil((F.col("size_a") + F.col("size_b")) * near / (100 + near))
-    pairs = pairs.where((F.col("root_a") != F.col("root_b")) & fits & room)
+    unlike = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    alike = unlike <= F.floor((F.col("size_a") + F.col("size_b")) * (100 - near) / (100 + near))
+    pairs = pairs.where((F.col("root_a") != F.col("root_b")) & fits & room & alike)
     return pairs.select(F.least("key_a", "key_b").alias("leader"), F.greatest("key_a", "key_b").alias("member")).distinct()
 
 
@@ -414,11 +444,16 @@ def _grouped(docs: DataFrame, words: int, near: int) -> DataFrame:
     met = nodes.select("key", "start").join(_ends(tasks), "key", "left_semi")
     links = _links(docs, stored(_promising(tasks, nodes, near), "tasks"), nodes, words, near)
     labels = components(met, links)
-    more = _apart(lists, labels, near)
-    more = more.join(tasks, ["leader", "member"], "left_anti").join(tasks.toDF("member", "leader"), ["leader", "member"], "left_anti")
-    more = stored(_promising(more, nodes, near), "tasks")
-    if not more.isEmpty():
-        labels = components(met, links.union(_links(docs, more, nodes, words, near)))
+    for search in (_closer, lambda rows: _apart(rows, nodes, near)):
+        more = search(_open(lists, labels))
+        for known in (tasks, tasks.toDF("member", "leader")):
+            more = more.join(known, ["leader", "member"], "left_anti")
+        more = stored(more, "tasks")
+        able = stored(_promising(more, nodes, near), "tasks")
+        if not able.isEmpty():
+            links = links.union(_links(docs, able, nodes, words, near))
+            labels = components(met, links)
+        tasks = tasks.union(more)
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _batches(frames):
