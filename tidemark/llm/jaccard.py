@@ -163,11 +163,12 @@ def linked(query: np.ndarray, members: list[np.ndarray], near: int = NEAR) -> li
 
 
 def _batches(frames: Iterator[pd.DataFrame], size: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    """Frames of texts cut so that none is much longer than size, unless one text is."""
+    """Frames of texts cut so that none is much longer than size, unless one text is, and none has more than ROWS rows."""
     for frame in frames:
         if len(frame):
             lengths = frame["text"].str.len().fillna(0).to_numpy()
-            for _, part in frame.groupby(np.cumsum(lengths) // size, sort=False):
+            cut = np.cumsum(lengths) // size * (len(frame) // ROWS + 1) + np.arange(len(frame)) // ROWS
+            for _, part in frame.groupby(cut, sort=False):
                 yield part
 
 
@@ -175,6 +176,8 @@ def _ids(column: pd.Series) -> np.ndarray:
     return np.array([LAST if pd.isna(x) else int(x) for x in column.astype(object)], np.int64)
 
 
+#: Texts of a batch at most: the numbers of its sets take two bytes.
+ROWS = 60_000
 #: Words of 64 parity bits that a set is compared by where pairs are made.
 WORDS_OF_BITS = 16
 #: Bytes of a posting's hash; with its bucket it stands for the shingle.
@@ -216,11 +219,11 @@ def _sent(docs: DataFrame, buckets: int, words: int) -> DataFrame:
             a = np.searchsorted(home[at], np.arange(buckets + 1))
             b = np.searchsorted(((value >> U(32)) * U(buckets) >> U(32)).astype(np.int64), np.arange(buckets + 1))
             bits = parities(values, ends)
-            low, numbers, own, out = _low(value), owner.astype("<u4").tobytes(), batch % buckets, []
+            low, numbers, own, out = _low(value), owner.astype("<u2").tobytes(), batch % buckets, []
             names = np.stack([keys[one], sizes[one]]).astype("<i8").tobytes()
             for k in np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0) | (np.arange(buckets) == own)).tolist():
                 s, i, j = one[at[a[k] : a[k + 1]]], int(b[k]), int(b[k + 1])
-                out.append((k, batch, names if k == own else b"", np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), b"".join([sketch[x] for x in s.tolist()]), bits[s].tobytes(), low[LOW * i : LOW * j], numbers[4 * i : 4 * j]))
+                out.append((k, batch, names if k == own else b"", np.stack([keys[s], ids[s], sizes[s]]).astype("<i8").tobytes(), b"".join([sketch[x] for x in s.tolist()]), bits[s].tobytes(), low[LOW * i : LOW * j], numbers[2 * i : 2 * j]))
             yield pd.DataFrame(out, columns=["bucket", "batch", "names", "sets", "sketches", "bits", "low", "numbers"])
 
     return docs.mapInPandas(send, "bucket int, batch long, names binary, sets binary, sketches binary, bits binary, low binary, numbers binary")
@@ -246,7 +249,7 @@ def _counted(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     often = np.empty(len(low), np.int64)
     often[order] = np.bincount(run)[run] if len(run) else run
     step = np.floor(np.log2(np.maximum(often, 1)) * 1024).astype("<u2")
-    numbers, ends = np.frombuffer(b"".join(frame["numbers"]), "<u4"), np.cumsum(counts).tolist()
+    numbers, ends = np.frombuffer(b"".join(frame["numbers"]), "<u2"), np.cumsum(counts).tolist()
     out = []
     for batch, names, i, j in zip(frame["batch"], frame["names"], [0, *ends[:-1]], ends, strict=True):
         at = np.flatnonzero(often[i:j] > 1) + i
@@ -265,7 +268,7 @@ def _rarest(near: int):
     def rarest(frame: pd.DataFrame) -> pd.DataFrame:
         names = next(x for x in frame["names"] if x)
         keys, sizes = np.frombuffer(names, "<i8").reshape(2, -1)
-        low, number = _from_low(b"".join(frame["low"])), np.frombuffer(b"".join(frame["numbers"]), "<u4").astype(np.int64)
+        low, number = _from_low(b"".join(frame["low"])), np.frombuffer(b"".join(frame["numbers"]), "<u2").astype(np.int64)
         often = np.frombuffer(b"".join(frame["often"]), "<u2").astype(np.int64)
         bucket = np.repeat(frame["bucket"].to_numpy(np.int64), [len(x) // LOW for x in frame["low"]])
         shared = np.bincount(number, minlength=len(keys))
