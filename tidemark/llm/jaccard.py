@@ -98,10 +98,14 @@ def sketches(values: np.ndarray, ends: np.ndarray) -> list[bytes]:
 def parities(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each set WORDS_OF_BITS words of 64 bits: the parity of its elements at each of the bits. Bits that differ come from elements that
     differ, so two sets have at least as many unlike elements as unlike bits."""
-    owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    n = 64 * WORDS_OF_BITS
-    odd = np.bincount(owner * n + (mixed(values, 4) % U(n)).astype(np.int64), minlength=len(ends) * n) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(-1, WORDS_OF_BITS)
+    n, begins = 64 * WORDS_OF_BITS, np.concatenate([[0], ends])
+    bit, out = (mixed(values, 4) % U(n)).astype(np.int64), np.empty((len(ends), n // 8), np.uint8)
+    for a in range(0, len(ends), 1000):  # a thousand sets at a time, as each takes a counter for each bit
+        own = begins[a : a + 1001]
+        owner = np.repeat(np.arange(len(own) - 1), np.diff(own))
+        odd = np.bincount(owner * n + bit[own[0] : own[-1]], minlength=(len(own) - 1) * n) & 1
+        out[a : a + 1000] = np.packbits(odd.astype(np.uint8)).reshape(-1, n // 8)
+    return out.view("<i8")
 
 
 def may_link(one: Sequence[bytes], sizes: np.ndarray, other: Sequence[bytes], others: np.ndarray, near: int = NEAR) -> np.ndarray:
