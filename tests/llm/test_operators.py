@@ -448,6 +448,40 @@ def test_rules_tell_junk(spark):
     assert all(r.kept == (r.doc_id < 100) for r in out)
 
 
+def test_posterior_is_that_of_plain_expectation_maximisation(spark, rows):
+    """Over documents with votes of -1 (none), 0 and 1 instead of patterns, with probabilities instead of log odds."""
+    junk = [(100 + i, " ".join(random.Random(i).choice(["###", "$$", "1234", "BUY NOW!!!", "word"]) for _ in range(20 + i)), "en", "s0", 1) for i in range(15)]
+    got = rules.judged(spark.createDataFrame(rows + junk, DOCS), keep=0.6).collect()
+    votes = np.array([[at % 3 - 1 for at in r.votes[:-1]] for r in got])
+    start = np.array(rules.START)  # by vote, then class
+    prior, bad, good = 0.8, np.tile(start[:, 0], (votes.shape[1], 1)), np.tile(start[:, 1], (votes.shape[1], 1))
+
+    def posterior():
+        of = np.array([1 - prior, prior]) * np.ones((len(votes), 2))
+        for rule in range(votes.shape[1]):
+            for vote in (0, 1):
+                of[votes[:, rule] == vote] *= [bad[rule, vote], good[rule, vote]]
+        return of[:, 1] / of.sum(axis=1)
+
+    def odds():
+        return np.append(np.log(good / bad).ravel(), np.log(prior / (1 - prior)))
+
+    for _ in range(25):
+        q, before = posterior(), odds()
+        for rule in range(votes.shape[1]):
+            for vote in (0, 1):
+                own = votes[:, rule] == vote
+                b = ((1 - q[own]).sum() + 20 * rules.START[vote][0]) / ((1 - q).sum() + 20)
+                g = (q[own].sum() + 20 * rules.START[vote][1]) / (q.sum() + 20)
+                bad[rule, vote], good[rule, vote] = (b, min(g, b / 2)) if vote == 0 else (min(b, g), g)
+        prior = min(0.99, max(0.01, (q.sum() + 8) / (len(q) + 10)))
+        if np.abs(odds() - before).max() < 1e-3:
+            break
+    q = posterior()
+    assert np.abs(q - [r.posterior for r in got]).max() < 1e-9 and 0.1 < q.mean() < 0.9
+    assert [r.kept for r in got] == [not r.base_failed and bool(x >= 0.6) for r, x in zip(got, q, strict=True)]
+
+
 def test_rules_judge_rows_of_null_and_repeated_ids(spark):
     good = [(None if i < 40 else i, prose(i, 80)) for i in range(80)]
     bad = [(40 + i if i < 3 else None, " ".join(w + "%%%" for w in prose(i, 60).split())) for i in range(6)] + [(50, "!! ".join(prose(i, 60).upper().split())) for i in range(6)]

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, stored, table
+from tidemark.llm.common import GAP, spread, stored, table
 
 RULES = ("length", "symbols", "bare_words", "letters", "capitals", "exclaimed", "lines", "repeats", "variety", "word_size")
 
@@ -94,26 +94,28 @@ def _posterior(weights: list[float]) -> Column:
 def learned(voted: DataFrame, rounds: int = 25) -> list[float]:
     """The log odds of good that each vote adds, the prior's last; an abstention adds nothing.
 
-    Expectation-maximisation from START over vote patterns (3 ** 10 at most), not documents; the driver gets a row of
-    sums for each vote a round. A bad vote stays at least twice as likely for a bad document, and a good vote no
+    Expectation-maximisation from START over vote patterns (3 ** 10 at most, whatever the table), not documents: Spark counts
+    them, and the driver goes over the counts. A bad vote stays at least twice as likely for a bad document, and a good vote no
     likelier, so that the classes keep their meaning; 20 pseudo-votes at START smooth the rates.
     """
-    patterns = stored(voted.groupBy("votes").agg(F.count("*").alias("n")), "patterns").coalesce(1)
+    patterns = [(r["votes"], r["n"]) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()]
 
     def weights(rates: list[tuple[float, float]], prior: float) -> list[float]:
         return [0.0 if at % 3 == 0 else math.log(good / bad) for at, (bad, good) in enumerate(rates)] + [math.log(prior / (1 - prior))]
 
     rates = [(1.0, 1.0), *START] * len(RULES)
     now = weights(rates, 0.8)
-    for _ in range(rounds):
-        p = patterns.withColumn("q", _posterior(now)).select(F.explode("votes").alias("vote"), (F.col("n") * F.col("q")).alias("good"), (F.col("n") * (1 - F.col("q"))).alias("bad"))
-        sums = {r["vote"]: (r["bad"], r["good"]) for r in p.groupBy("vote").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).collect()}
-        if not sums:
-            break
+    for _ in range(rounds if patterns else 0):
+        sums = [[0.0, 0.0] for _ in now]
+        for votes, n in patterns:
+            q = 1 / (1 + math.exp(-sum(now[at] for at in votes)))
+            for at in votes:
+                sums[at][0] += n * (1 - q)
+                sums[at][1] += n * q
         bad, good = sums[PRIOR]
         for at in range(PRIOR):
             if at % 3:
-                b, g = ((n + 20 * s) / (of + 20) for n, s, of in zip(sums.get(at, (0.0, 0.0)), START[at % 3 - 1], (bad, good), strict=True))
+                b, g = ((n + 20 * s) / (of + 20) for n, s, of in zip(sums[at], START[at % 3 - 1], (bad, good), strict=True))
                 rates[at] = (b, min(g, b / 2)) if at % 3 == 1 else (min(b, g), g)
         before, now = now, weights(rates, min(0.99, max(0.01, (good + 8) / (good + bad + 10))))
         if max(abs(x - y) for x, y in zip(before, now, strict=True)) < 1e-3:
@@ -127,7 +129,7 @@ def judged(docs: DataFrame, keep: float = 0.5) -> DataFrame:
     Null and empty texts have no words, so they fail the base rules. Rows that repeat a doc_id are judged one by one.
     A null doc_id stays null. No rows: no rows. Very long texts are judged whole. Other columns are left out.
     """
-    counts = stored(_voted(_measured(docs)), "rules")
+    counts = stored(_voted(_measured(spread(docs.select("doc_id", "text")))), "rules")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = counts.withColumn("posterior", _posterior(learned(counts))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep))
