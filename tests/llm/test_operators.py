@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from tidemark.llm import cotraining, jaccard, licenses, mixing, packing, repeats, rules, scoring, token_files, tokens, vectors
+from tidemark.llm import cotraining, hashing, jaccard, licenses, mixing, packing, repeats, rules, scoring, token_files, tokens, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and river stone walks under bright morning glass table seven quiet horses run over green hill because nobody asked them why".split()
@@ -315,6 +315,62 @@ def test_notices(spark):
     assert first.coverage == 1 and first.matched == 5
 
 
+def test_notices_are_those_of_aligning_every_shift(spark):
+    """Without index, chains or bounds: each template at each shift of each text, the best of what overlaps."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(150)]
+    templates = {f"L{k}": [" ".join(r.choice(words) for _ in range(n))] for k, n in enumerate((5, 9, 14, 30, 60, 120))}
+    rows = []
+    for i in range(25):
+        text = []
+        for _ in range(r.randint(0, 3)):
+            body = r.choice(sorted(templates.values()))[0].split()
+            for _ in range(len(body) // r.choice([4, 8, 1000])):
+                at = r.randrange(len(body))
+                body[at : at + 1] = r.choice([[], ["other"], [body[at], "more"]])
+            text += [r.choice(words) for _ in range(r.randint(0, 40))] + body
+        rows.append((i, " ".join(text)))
+    rows += [(100, " ".join(templates["L3"] * 3)), (101, " ".join(templates["L5"] + ["gap"] * 3 + templates["L5"])), (102, templates["L5"][0] + " " + prose(8, 4000) + " " + templates["L2"][0])]
+    found = {}
+    for x in licenses.found_notices(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect():
+        found.setdefault(x.doc_id, set()).add((x.license, x.matched, x.start, x.stop))
+    for doc_id, text in rows:
+        own, _, begin, stop = hashing.hashed_words([text], licenses._GAP)
+        matches, taken, expected = set(), [], set()
+        for name, (template,) in templates.items():
+            body, _, _, _ = hashing.hashed_words([template], licenses._GAP)
+            near = range(-len(body), len(own)) if doc_id < 102 else {*range(-9, 9), *range(len(own) - len(body) - 9, len(own) - len(body) + 9)}
+            for shift in near if len(own) else ():
+                count, i, j = licenses.aligned(body, own, shift)
+                if count >= licenses.needed(len(body), 0.8):
+                    matches.add((-count, len(body), i, name, j))
+        for count, _, i, name, j in sorted(matches):
+            if all(j < a or i > b for a, b in taken):
+                taken.append((i, j))
+                expected.add((name, -count, int(begin[i]), int(stop[j])))
+        assert found.get(doc_id, set()) == expected, doc_id
+    assert sum(map(len, found.values())) > 20
+
+
+def test_common_words_by_bits():
+    r = random.Random(5)
+    for _ in range(200):
+        a, b = ([r.randrange(6) for _ in range(r.randint(1, 90))] for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+        assert licenses.common(licenses.places(np.array(a)), len(a), b) == table[-1, -1]
+
+
+def test_whole_long_licences_nulls_and_repeats(spark):
+    gpl = max(licenses.TEMPLATES["GPL-3.0"], key=len)
+    half = " ".join(gpl.split()[:2600])
+    rows = [(1, gpl), (1, gpl), (2, gpl + " " + gpl), (3, half), (None, gpl), (4, None), (5, prose(1, 20_000) + " " + gpl)]
+    found = Counter((r.doc_id, r.license, r.coverage) for r in licenses.found_notices(spark.createDataFrame(rows, "doc_id long, text string")).where("matched > 1000").collect())
+    assert found == {(1, "GPL-3.0", 1.0): 2, (2, "GPL-3.0", 1.0): 2, (None, "GPL-3.0", 1.0): 1, (5, "GPL-3.0", 1.0): 1}
+
+
 def test_no_notices(none):
     assert licenses.found_notices(none).collect() == []
 

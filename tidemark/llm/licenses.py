@@ -2,7 +2,8 @@
 
 Templates and texts are sequences of words. Of each run of WINDOW hashes of SHINGLE words a template keeps the least
 (winnowing), in an inverted index from hash to template and position. Texts look their own winnowed hashes up; hits
-with about the same shift are one candidate. Templates so short that a match may share no run of a window's words with them are
+with about the same shift are a chain, which is aligned once, and only where the text around it has enough in common with the
+template. Templates so short that a match may share no run of a window's words with them are
 looked for by each of their words instead. An alignment in a band around that shift counts the template's words that the text
 has in order, and gives the place. The index holds templates only, so every task has it whole.
 """
@@ -119,15 +120,55 @@ def aligned(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAN
     return count, first, last
 
 
-def reachable(template: np.ndarray, words: np.ndarray, shift: int, band: int = BAND) -> int:
-    """Template words that words has anywhere within band of shift: no alignment there can match more."""
-    m, n = len(template), len(words)
-    hit = np.zeros(m, bool)
-    for by in range(shift - band, shift + band + 1):
-        a, b = max(0, -by), min(m, n - by)
-        if a < b:
-            hit[a:b] |= template[a:b] == words[a + by : b + by]
-    return int(hit.sum())
+def places(template: np.ndarray) -> dict[int, int]:
+    """The places of each word in template, as bits."""
+    out: dict[int, int] = {}
+    for i, word in enumerate(template.tolist()):
+        out[word] = out.get(word, 0) | 1 << i
+    return out
+
+
+def common(at: Mapping[int, int], m: int, words: list[int]) -> int:
+    """Words of the longest common subsequence of words and a template of m words (at: its places), a row of the table at a time
+    as bits of one number: no alignment matches more."""
+    whole = (1 << m) - 1
+    apart = whole
+    for here in filter(None, map(at.get, words)):
+        hit = apart & here
+        apart = (apart + hit | apart - hit) & whole
+    return m - apart.bit_count()
+
+
+def chains(shifts: Mapping[int, int], words: list[int], at: Mapping[int, int], m: int, need: int, band: int) -> list[list[int]]:
+    """Groups of hits by shift whose alignments may match need words, each no wider than band, with the best supported shift first.
+
+    shifts: hits by shift. A stretch of shifts goes as a whole where all the text it reaches has too little in common with the template,
+    and else is halved.
+    """
+    s = sorted(shifts)
+    near = np.concatenate([[0], np.cumsum([shifts[x] for x in s])])
+    low, high = np.searchsorted(s, np.array(s) - band), np.searchsorted(s, np.array(s) + band, "right")
+    support = dict(zip(s, (near[high] - near[low]).tolist(), strict=True))
+    edges = [0, *(i for i in range(1, len(s)) if (s[i] - s[0]) // (m + band) != (s[i - 1] - s[0]) // (m + band)), len(s)]
+    stack, out = [(a, b) for a, b in zip(edges, edges[1:], strict=False)], []
+    while stack:
+        a, b = stack.pop()
+        if common(at, m, words[max(0, s[a] - band) : max(0, s[b - 1] + m + band)]) < need:
+            continue
+        if s[b - 1] - s[a] <= band:
+            out.append(sorted(s[a:b], key=lambda x: (-support[x], x)))
+        else:
+            middle = next(i for i in range(a + 1, b) if 2 * s[i] > s[a] + s[b - 1])
+            stack += [(a, middle), (middle, b)]
+    return sorted(out, key=lambda group: (-support[group[0]], group[0]))
+
+
+def room(start: int, stop: int, taken: list[tuple[int, int]]) -> int:
+    """Words in the longest stretch from start to stop outside the spans of taken."""
+    best = 0
+    for i, j in sorted(taken):
+        best, start = max(best, min(i, stop) - start), max(start, j + 1)
+    return max(best, stop - start)
 
 
 def found_notices(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, coverage: float = 0.8) -> DataFrame:
@@ -136,7 +177,7 @@ def found_notices(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     matched is the number of template words aligned, coverage their share of the template, start and stop the byte range of
     the text from the first to the last of them. Of notices that overlap in a text the one with more matched words stays,
     then the one with more coverage, the earlier, and by name. An alignment's shift may drift by BAND words, or a fiftieth of a
-    longer template. Null and empty texts have none. Rows that share a doc_id are texts of their own; a null
+    longer template, for certain, and by twice as much where its chain has no nearer one. Null and empty texts have none. Rows that share a doc_id are texts of their own; a null
     doc_id stays null. Other columns are left out. No rows: no rows. Templates under three words are refused.
     """
     names = [(name, i, text) for name, texts in sorted(templates.items()) for i, text in enumerate(texts)]
@@ -156,6 +197,8 @@ def found_notices(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
     known = np.array(sorted(index), U)
     postings = dict(index)
 
+    where: dict[int, dict[int, int]] = {}  # of the templates that a task meets
+
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             lengths = frame["text"].str.len().fillna(0).to_numpy(float)
@@ -166,11 +209,11 @@ def found_notices(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
                 place = np.searchsorted(known, values)
                 hit = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == values) if len(known) else []
                 edges = np.searchsorted(text, np.arange(len(part) + 1))
-                shifts = defaultdict(set)
+                shifts = defaultdict(Counter)
                 for h in hit:
                     one = int(text[at[h]])
                     for number, position in postings[int(values[h])]:
-                        shifts[one, number].add(int(at[h] - edges[one]) - position)
+                        shifts[one, number][int(at[h] - edges[one]) - position] += 1
                 place = np.searchsorted(seeds, word)
                 seed = np.flatnonzero(seeds[np.minimum(place, len(seeds) - 1)] == word) if len(seeds) else np.zeros(0, np.int64)
                 for k, number in enumerate(short):
@@ -184,21 +227,29 @@ def found_notices(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATE
                             for j in range(i, stop_):
                                 shifts[one, number].update((j - int(edges[one]) - np.flatnonzero(body == word[j])).tolist())
                 found = defaultdict(list)
-                for (one, number), all_ in shifts.items():
-                    own, seen = word[edges[one] : edges[one + 1]], (0, -1)
-                    most = len(own) if len(own) < needed(len(bodies[number]), coverage) else sum((Counter(own.tolist()) & bags[number]).values())
-                    if most < needed(len(bodies[number]), coverage):  # too few of its words in the whole text
+                owns: dict[int, list[int]] = {}
+                for one, number in sorted(shifts):
+                    if one not in owns:
+                        owns = {one: word[edges[one] : edges[one + 1]].tolist()}
+                        bag = Counter(owns[one])
+                    body, own, m, band = bodies[number], owns[one], len(bodies[number]), bands[number]
+                    need, spans_ = needed(m, coverage), []
+                    if sum(min(n, bag[w]) for w, n in bags[number].items()) < need:  # too few of its words in the whole text
                         continue
-                    for shift in sorted(all_):
-                        if seen[0] <= shift <= seen[1]:  # another shift of the notice just found
-                            continue
-                        need, m, band = needed(len(bodies[number]), coverage), len(bodies[number]), bands[number]
-                        if min(len(own), shift + m + band) - max(0, shift - band) < need or reachable(bodies[number], own, shift, band) < need:
-                            continue
-                        count, i, j = aligned(bodies[number], own, shift, bands[number])
-                        if count >= needed(len(bodies[number]), coverage):
-                            seen = i, j
-                            found[one].append((-count, len(bodies[number]), i, number, j))
+                    if number not in where:
+                        where[number] = places(body)
+                    for group in chains(shifts[one, number], own, where[number], m, need, band):
+                        for k, shift in enumerate(group):
+                            if room(max(0, shift - band), min(len(own), shift + m + band), spans_) < need:
+                                continue
+                            count, i, j = aligned(body, word[edges[one] : edges[one + 1]], shift, band)
+                            if count < need and k == 0:  # once for all of the group
+                                count, i, j = aligned(body, word[edges[one] : edges[one + 1]], shift, 2 * band)
+                                if count < need:
+                                    break
+                            if count >= need:
+                                spans_.append((i, j))
+                                found[one].append((-count, m, i, number, j))
                 for one, matches in found.items():
                     taken = []
                     for count, _, i, number, j in sorted(set(matches)):
