@@ -59,14 +59,6 @@ def stored(df: DataFrame, what: str, rows: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, a_core: int = 32_000_000) -> DataFrame:
-    """df dealt out anew where its files hold under a_core bytes a core, as a file of one row group is read by one core alone; larger
-    inputs are read as they lie. The rows are the same."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    held = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(4 * cores) if held < a_core * cores else df
-
-
 def sliced(batch: pa.RecordBatch, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """batch in slices with about size bytes of column text each, or one longer text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0), np.int64)
