@@ -694,21 +694,88 @@ def test_cotraining_on_held_out(spark):
 
 
 def test_exchange_sees_every_document(spark, docs, rows):
-    """Sums over all rows but the labelled ones, beside a loop over documents; a label for one goal only says nothing on the other."""
+    """Slopes and bends over all rows but the labelled ones, beside a loop over documents; a goal without labels says nothing."""
     r = np.random.default_rng(4)
-    learned = {"quality": ([r.normal(size=w) for w in cotraining.WIDTHS], [(2.0, 0.1), (5.0, -0.2)], 0.5, True), "toxic": ([np.zeros(w) for w in cotraining.WIDTHS], [(0.0, 0.0)] * 2, 0.5, False)}
+    learned = {"quality": ([r.normal(size=w) for w in cotraining.WIDTHS], [(2.0, 0.1), (5.0, -0.2)], 0.7, True), "toxic": ([np.zeros(w) for w in cotraining.WIDTHS], [(0.0, 0.0)] * 2, 0.5, False)}
     found = cotraining.exchanged(docs, learned, np.array([3, 50]))
+    chance = lambda x: 1 / (1 + math.exp(-np.clip(x, -30, 30)))
     for view in (0, 1):
-        expected, n = np.zeros((2, cotraining.WIDTHS[view])), 0
+        expected, n = np.zeros((2, 2, cotraining.WIDTHS[view] + 1)), 0
         for row in rows:
             both = cotraining.features(pd.DataFrame([row[1:4]], columns=["text", "lang", "source"]))
+            own, other = ((side[2] * w[side[1]]).sum() for side, w in zip((both[view], both[1 - view]), (learned["quality"][0][view], learned["quality"][0][1 - view]), strict=True))
             a, b = learned["quality"][1][1 - view]
-            p = 1 / (1 + math.exp(-np.clip(a * (both[1 - view][2] * learned["quality"][0][1 - view][both[1 - view][1]]).sum() + b, -30, 30)))
-            if row[0] not in (3, 50) and max(p, 1 - p) >= cotraining.SURE:
-                np.add.at(expected[int(p > 0.5)], both[view][1], np.abs(both[view][2]))
+            told, p = chance(a * other + b - math.log(0.7 / 0.3)), chance(own)
+            if row[0] not in (3, 50) and max(told, 1 - told) >= cotraining.SURE:
+                for column, value in zip(both[view][1], both[view][2], strict=True):
+                    expected[int(told > 0.5), 0, column] += value * (p - int(told > 0.5))
+                    expected[int(told > 0.5), 1, column] += value**2 * max(p * (1 - p), 0.02)
+                expected[int(told > 0.5), :, -1] += 1
                 n += 1
         assert n and np.allclose(found["quality", view], expected)
-    assert not found["toxic", 0].any() and not cotraining.hint(found["toxic", 0]).any()
+    assert not found["toxic", 0].any() and cotraining.pull(found["toxic", 0]) is None
+
+
+def test_pull_is_the_slope_of_the_rows_it_stands_for():
+    """One document of each class as pseudo-labelled rows: the pull is the numeric derivative of their loss."""
+    frame = pd.DataFrame({"doc_id": [1, 2], "text": ["stone river walks", "junk *** junk"], "source": ["a", "b"], "lang": ["en", "en"]})
+    both, r = cotraining.features(frame), np.random.default_rng(1)
+    weights = [r.normal(size=w) / 10 for w in cotraining.WIDTHS]
+    weights[1][both[1][1]] = np.where(both[1][0] == 0, 3.0, -3.0)
+    weights[1][np.intersect1d(both[1][1][both[1][0] == 0], both[1][1][both[1][0] == 1])] = 0
+    sums = cotraining.sure_sums(frame, {"g": (weights, [(1.0, 0.0)] * 2, 0.5, True)}, np.array([], np.int64))["g", 0]
+    slope, _ = cotraining.pull(sums)
+    rows, columns, values = both[0]
+
+    def loss(w):
+        x = np.bincount(rows, values * w[columns], 2)
+        return cotraining.TRUST * 0.5 * (np.logaddexp(0, -x[0]) + np.logaddexp(0, x[1]))
+
+    for column in set(columns.tolist()):
+        step = np.zeros(cotraining.CONTENT)
+        step[column] = 1e-5
+        assert abs((loss(weights[0] + step) - loss(weights[0] - step)) / 2e-5 - slope[column]) < 1e-8
+
+
+@pytest.fixture(scope="module")
+def few_labels(spark):
+    """Sources tell the class; each class has 300 words of its own, of which 48 labelled documents show some. Later ones have no source."""
+    r, rows = random.Random(8), []
+    for i in range(1000):
+        kind = i % 2
+        words = [f"w{kind}x{r.randrange(300)}" for _ in range(6)] + [f"c{r.randrange(200)}" for _ in range(24)]
+        r.shuffle(words)
+        rows.append((i, " ".join(words), "en", None if i >= 800 else "site" if kind ^ (r.random() < 0.03) else "junk"))
+    labels = [(i, i % 2, 0) for i in range(48)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_exchange_helps_where_labels_are_few(few_labels):
+    rows, docs, labels = few_labels
+    right = []
+    for rounds in (0, 2):
+        weights, lines, _, able = cotraining.learn(docs, labels, rounds)["quality"]
+        side = cotraining.features(pd.DataFrame(rows[800:], columns=["doc_id", "text", "lang", "source"]))[0]
+        odds = lines[0][0] * np.bincount(side[0], side[2] * weights[0][side[1]], 200) + lines[0][1]
+        right.append(np.mean((odds > 0) == (np.arange(800, 1000) % 2 == 1)))
+        assert able
+    assert right[1] >= right[0] + 0.05, right
+
+
+def test_scores_beside_a_loop(few_labels):
+    """Each document's score from the learned weights, one feature at a time."""
+    rows, docs, labels = few_labels
+    learned = cotraining.learn(docs, labels)
+    found = {r.doc_id: r for r in cotraining.classified(docs, labels).collect()}
+    assert len(found) == len(rows)
+    for row in rows[::25]:
+        both = cotraining.features(pd.DataFrame([row], columns=["doc_id", "text", "lang", "source"]))
+        for goal, (weights, lines, share, _) in learned.items():
+            odds = -math.log(share / (1 - share))
+            for (_, columns, values), w, (a, b) in zip(both, weights, lines, strict=True):
+                odds += a * sum(v * w[c] for c, v in zip(columns, values, strict=True)) + b
+            assert abs(1 / (1 + math.exp(-odds)) - getattr(found[row[0]], goal)) < 1e-6
+        assert found[row[0]].kept == (found[row[0]].quality >= 0.5 and found[row[0]].toxic < 0.5)
 
 
 def test_classifier_without_labels(spark, docs, none):

@@ -2,10 +2,11 @@
 
 The content view sees hashed words and character shares of the text; the metadata view sees the page's source, language,
 length and layout. Each view is a logistic regression fitted to the labelled sample. In each round both views score every
-document without a label; those that a view is sure of are pseudo-labels for the other view, which learns from all of them
-by what their features add up to in each class: the log ratios of these sums are one more feature of its regression, so that
-labels say how far to trust them. At the end each view is calibrated on labelled documents it never learned from, and all
-documents are scored by the sum of the calibrated log odds.
+document without a label; those that a view is sure of are training rows of the other view, with its verdict as their label.
+They are too many to hold, so they enter by the slope and bend of their loss at the other view's weights, added up over all
+documents; the view then goes on from there on its labelled rows and these sums. A view is sure by its own evidence, the odds
+beyond the class's share, so that a view that knows nothing labels nothing. What a view learned in a round stays only if its
+log loss on set-aside labels falls; at the end all documents are scored by the sum of the calibrated log odds.
 
 Only the labelled side is a sample: FIT labelled documents at most, those with the least hashes of their ids. The exchange
 and the scoring read every text whole.
@@ -27,8 +28,10 @@ from tidemark.llm.hashing import U, hashed_words, mixed
 FIT = 12_000
 CONTENT, META = 1 << 15, 1 << 10
 WIDTHS = (CONTENT, META)
-#: Rounds of exchange, and the calibrated probability from which on a view is sure.
+#: Rounds of exchange, and the probability, by a view's own evidence, from which on it is sure.
 ROUNDS, SURE = 2, 0.95
+#: What all pseudo-labelled rows weigh beside all labelled ones, and how much steeper than its diagonal their bend is taken.
+TRUST, DAMPING = 0.3, 20.0
 #: Features whose sums are added up together.
 BLOCK = 4096
 _DENSE = 8
@@ -73,34 +76,31 @@ def _column(said: tuple) -> int:
 
 
 class View:
-    """A logistic regression on sparse rows. hint holds weights from pseudo-labels, whose scores are one more feature."""
+    """A logistic regression on sparse rows."""
 
     def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, width: int):
         self.rows, self.columns, self.values, self.n, self.width = rows, columns, values, n, width
-        self.weights, self.hint = np.zeros(width), np.zeros(width)
+        self.weights = np.zeros(width)
 
     def scores(self) -> np.ndarray:
         return np.bincount(self.rows, self.values * self.weights[self.columns], self.n)
 
-    def fit(self, target: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 0.5, keep: float = 1e-4) -> None:
-        """Full-batch AdaGrad on the rows with weight, with a small pull to zero; weights then include the hint's share."""
+    def fit(self, target: np.ndarray, weight: np.ndarray, pull: tuple[np.ndarray, np.ndarray] | None = None, steps: int = 150, rate: float = 0.5, keep: float = 1e-4) -> None:
+        """Full-batch AdaGrad on the rows with weight, with a small pull to zero. pull is the slope and bend, at the present
+        weights, of the loss over rows that are not here; with it fitting goes on from these weights."""
         used = weight[self.rows] > 0
         rows, columns, values = self.rows[used], self.columns[used], self.values[used]
         weight = weight / weight.sum()
-        hinted = np.bincount(rows, values * self.hint[columns], self.n)
-        scale = max(1e-9, np.sqrt((weight * (hinted - (weight * hinted).sum()) ** 2).sum()))
-        hinted, share, shares = hinted / scale if hinted.any() else hinted, 0.0, 1e-8
-        weights, past = np.zeros(self.width), np.full(self.width, 1e-8)
+        before = self.weights if pull else np.zeros(self.width)
+        weights, past = before.copy(), np.full(self.width, 1e-8)
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * weights[columns], self.n) + share * hinted, -30, 30)))
-            error = weight * (p - target)
-            slope = np.bincount(columns, values * error[rows], self.width) + keep * weights
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * weights[columns], self.n), -30, 30)))
+            slope = np.bincount(columns, values * (weight * (p - target))[rows], self.width) + keep * weights
+            if pull:
+                slope += pull[0] + pull[1] * (weights - before)
             past += slope**2
             weights -= rate * slope / np.sqrt(past)
-            slope = (error * hinted).sum() + keep * share
-            shares += slope**2
-            share -= rate * slope / np.sqrt(shares)
-        self.weights = weights + self.hint * (share / scale if hinted.any() else 0.0)
+        self.weights = weights
 
 
 def _balanced(target: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -130,12 +130,12 @@ def _probability(odds: np.ndarray) -> np.ndarray:
 
 class Goal:
     """What is fitted for one goal: views, calibration and the labelled share of ones. target is -1 where unknown; every fourth
-    labelled row is only for calibration. Without enough labels of both classes nothing is learned."""
+    labelled row of a class is only for calibration. Without enough labels of both classes nothing is learned."""
 
     def __init__(self, views: list[View], target: np.ndarray):
         self.views, self.target = views, target
         known = np.flatnonzero(target >= 0)
-        self.aside = known[::4]
+        self.aside = np.sort(np.concatenate([np.flatnonzero(target == value)[::4] for value in (0, 1)]))
         train = np.setdiff1d(known, self.aside)
         self.share = float(np.clip(target[known].mean() if len(known) else 0.5, 1e-3, 1 - 1e-3))
         self.able = len(train) >= 10 and len(set(target[train].tolist())) == 2 and len(set(target[self.aside].tolist())) == 2
@@ -144,35 +144,65 @@ class Goal:
         self.lines = [(0.0, float(np.log(self.share / (1 - self.share))))] * 2
 
     def fit(self) -> None:
+        """Both views on the labelled rows alone."""
         if self.able:
-            for v in self.views:
+            for i, v in enumerate(self.views):
                 v.fit(self.target, _balanced(self.target, self.weight))
-            self.lines = [_platt(v.scores()[self.aside], self.target[self.aside]) for v in self.views]
+                self.lines[i] = self._line(v)
+
+    def go_on(self, view: int, sums: np.ndarray) -> bool:
+        """A round of one view with the pseudo-labelled rows that sums stand for; undone where it does not help. True if it stays."""
+        told = pull(sums)
+        if not self.able or told is None:
+            return False
+        v, before = self.views[view], (self.views[view].weights, self.lines[view], self._loss(view))
+        v.fit(self.target, _balanced(self.target, self.weight), told)
+        self.lines[view] = self._line(v)
+        if self._loss(view) < before[2]:
+            return True
+        v.weights, self.lines[view] = before[:2]
+        return False
+
+    def _line(self, view: View) -> tuple[float, float]:
+        return _platt(view.scores()[self.aside], self.target[self.aside])
+
+    def _loss(self, view: int) -> float:
+        (a, b), known = self.lines[view], self.target[self.aside]
+        return float(np.mean(np.logaddexp(0, (1 - 2 * known) * (a * self.views[view].scores()[self.aside] + b))))
 
     def learned(self) -> tuple[list[np.ndarray], list[tuple[float, float]], float, bool]:
         return [v.weights for v in self.views], self.lines, self.share, self.able
 
 
-def hint(sums: np.ndarray) -> np.ndarray:
-    """Weights from the sums of features of pseudo-labelled documents in class 0 and 1: log ratios of smoothed shares."""
-    if not sums.any(axis=1).all():
-        return np.zeros(sums.shape[1])
-    shares = (sums + 0.5) / (sums.sum(axis=1, keepdims=True) + 0.5 * sums.shape[1])
-    return np.log(shares[1] / shares[0])
+def pull(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Slope and bend of the loss over pseudo-labelled rows, both classes counting the same, from exchanged sums; None without rows of both."""
+    n = sums[:, 0, -1]
+    if not n.all():
+        return None
+    slope, bend = TRUST * np.mean(sums[:, :, :-1] / n[:, None, None], axis=0)
+    return slope, DAMPING * bend
 
 
 def sure_sums(frame: pd.DataFrame, learned: dict, labelled: np.ndarray) -> dict[tuple[str, int], np.ndarray]:
-    """For each goal and view the sums of its features over the documents of frame that the other view is sure of, by class.
-    Labelled documents give no pseudo-labels; a feature counts by its size."""
+    """For each goal and view, over the documents of frame that the other view is sure of: by class, the slope and the bend of
+    this view's logistic loss at its weights, with the number of documents at the end of both. Labelled documents give none."""
     both, out = features(frame), {}
     fresh = ~np.isin(_numbers(frame["doc_id"]), labelled)
-    for goal, (weights, lines, _, able) in learned.items():
-        for me in (0, 1) if able else ():
-            (rows, columns, values), (a, b) = both[me], lines[me]
-            p = _probability(a * np.bincount(rows, values * weights[me][columns], len(frame)) + b)
-            rows, columns, values = both[1 - me]
-            sums = [np.bincount(columns, np.abs(values) * (fresh & (q >= SURE))[rows], WIDTHS[1 - me]) for q in (1 - p, p)]
-            out[goal, 1 - me] = np.stack(sums)
+    for goal, (weights, lines, share, able) in learned.items():
+        if not able:
+            continue
+        scores = [np.bincount(rows, values * w[columns], len(frame)) for (rows, columns, values), w in zip(both, weights, strict=True)]
+        for me in (0, 1):
+            (rows, columns, values), width = both[me], WIDTHS[me]
+            a, b = lines[1 - me]
+            told, p = _probability(a * scores[1 - me] + b - np.log(share / (1 - share))), _probability(scores[me])
+            sums = np.zeros((2, 2, width + 1))
+            for value, sure in enumerate((1 - told >= SURE, told >= SURE)):
+                on = (fresh & sure).astype(float)
+                sums[value, 0, :-1] = np.bincount(columns, values * (on * (p - value))[rows], width)
+                sums[value, 1, :-1] = np.bincount(columns, values**2 * (on * np.maximum(p * (1 - p), 0.02))[rows], width)
+                sums[value, :, -1] = on.sum()
+            out[goal, me] = sums
     return out
 
 
@@ -201,7 +231,7 @@ def exchanged(docs: DataFrame, learned: dict, labelled: np.ndarray) -> dict[tupl
             for key, sums in sure_sums(part, *shared.value).items():
                 total[key] = total[key] + sums if key in total else sums
         own = TaskContext.get().partitionId() % 64
-        out = [(goal, view, at // BLOCK, own, sums[:, at : at + BLOCK].astype("<f8").tobytes()) for (goal, view), sums in total.items() for at in range(0, sums.shape[1], BLOCK)]
+        out = [(goal, view, at // BLOCK, own, sums[:, :, at : at + BLOCK].astype("<f8").tobytes()) for (goal, view), sums in total.items() for at in range(0, sums.shape[2], BLOCK)]
         yield pd.DataFrame(out, columns=["goal", "view", "block", "part", "sums"])
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
@@ -210,10 +240,10 @@ def exchanged(docs: DataFrame, learned: dict, labelled: np.ndarray) -> dict[tupl
 
     keys = ["goal", "view", "block"]
     found = docs.mapInPandas(collect, _SUMS).groupBy(*keys, "part").applyInPandas(add, _SUMS).groupBy(*keys).applyInPandas(add, _SUMS).collect()
-    out = {(goal, view): np.zeros((2, WIDTHS[view])) for goal in learned for view in (0, 1)}
+    out = {(goal, view): np.zeros((2, 2, WIDTHS[view] + 1)) for goal in learned for view in (0, 1)}
     for r in found:
-        sums = np.frombuffer(r["sums"], "<f8").reshape(2, -1)
-        out[r["goal"], r["view"]][:, r["block"] * BLOCK : r["block"] * BLOCK + sums.shape[1]] = sums
+        sums = np.frombuffer(r["sums"], "<f8").reshape(2, 2, -1)
+        out[r["goal"], r["view"]][:, :, r["block"] * BLOCK : r["block"] * BLOCK + sums.shape[2]] = sums
     return out
 
 
@@ -223,17 +253,17 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT)), "doc_id")
 
 
-def classified(docs: DataFrame, labels: DataFrame, keep: float = 0.5) -> DataFrame:
-    """doc_id, quality, toxic (probabilities) and kept for each row of docs (doc_id, text, source, lang).
-
-    kept: quality of at least keep and toxic below a half. labels has doc_id, quality and toxic (0 or 1); labels that contradict
-    each other count as 1; a null says nothing on its goal. With too few labels of one class the labelled share stands for every
-    document. Null texts count as empty and null sources or languages as a value of their own. Rows that share a doc_id are
-    scored one by one; a null doc_id stays null. Other columns are left out. No rows: no rows.
-    """
-    spark = docs.sparkSession
+def _plain(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The columns that count, in one type each."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    return docs, labels
+
+
+def learn(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> dict:
+    """What each goal's views have learned, by goal: weights, calibration, share of ones, and whether there were labels enough.
+    Without rounds the labels alone count."""
+    docs, labels = _plain(docs, labels)
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -258,12 +288,23 @@ def classified(docs: DataFrame, labels: DataFrame, keep: float = 0.5) -> DataFra
         goals[goal] = Goal([View(*side, len(sample), width) for side, width in zip(sides, WIDTHS, strict=True)], sample[goal].fillna(-1).to_numpy(int))
         goals[goal].fit()
     labelled = np.unique(sample["doc_id"].to_numpy(np.int64))
-    for _ in range(ROUNDS if any(g.able for g in goals.values()) else 0):
-        for (goal, view), sums in exchanged(docs, {k: g.learned() for k, g in goals.items()}, labelled).items():
-            goals[goal].views[view].hint = hint(sums)
-        for g in goals.values():
-            g.fit()
-    shared = spark.sparkContext.broadcast({k: g.learned() for k, g in goals.items()})
+    for _ in range(rounds if any(g.able for g in goals.values()) else 0):
+        found = exchanged(docs, {k: g.learned() for k, g in goals.items()}, labelled)
+        if not sum(goals[goal].go_on(view, sums) for (goal, view), sums in found.items()):
+            break  # the next round would be the same
+    return {k: g.learned() for k, g in goals.items()}
+
+
+def classified(docs: DataFrame, labels: DataFrame, keep: float = 0.5) -> DataFrame:
+    """doc_id, quality, toxic (probabilities) and kept for each row of docs (doc_id, text, source, lang).
+
+    kept: quality of at least keep and toxic below a half. labels has doc_id, quality and toxic (0 or 1); labels that contradict
+    each other count as 1; a null says nothing on its goal. With too few labels of one class the labelled share stands for every
+    document. Null texts count as empty and null sources or languages as a value of their own. Rows that share a doc_id are
+    scored one by one; a null doc_id stays null. Other columns are left out. No rows: no rows.
+    """
+    docs, labels = _plain(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _slices(frames):
