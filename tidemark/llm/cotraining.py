@@ -85,7 +85,7 @@ class View:
     def scores(self) -> np.ndarray:
         return np.bincount(self.rows, self.values * self.weights[self.columns], self.n)
 
-    def fit(self, target: np.ndarray, weight: np.ndarray, pull: tuple[np.ndarray, np.ndarray] | None = None, steps: int = 150, rate: float = 0.5, keep: float = 1e-4) -> None:
+    def fit(self, target: np.ndarray, weight: np.ndarray, pull: tuple[np.ndarray, np.ndarray] | None = None, steps: int = 300, rate: float = 1.0, keep: float = 1e-4) -> None:
         """Full-batch AdaGrad on the rows with weight, with a small pull to zero. pull is the slope and bend, at the present
         weights, of the loss over rows that are not here; with it fitting goes on from these weights."""
         used = weight[self.rows] > 0
@@ -156,7 +156,7 @@ class Goal:
         if not self.able or told is None:
             return False
         v, before = self.views[view], (self.views[view].weights, self.lines[view], self._loss(view))
-        v.fit(self.target, _balanced(self.target, self.weight), told)
+        v.fit(self.target, _balanced(self.target, self.weight), told, 150, 0.5)
         self.lines[view] = self._line(v)
         if self._loss(view) < before[2]:
             return True
