@@ -82,16 +82,31 @@ for _name in PAYLOADS:
     _raw_sensor(_name)
 
 
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+#: A measure over an activity's slices, in Spark and in SQL; games take turns.
+_OVER_SLICES = (
+    (lambda s: F.size(F.filter(s, lambda x: x["level"] == "1")), "count(*) FILTER (WHERE level = '1')"),
+    (lambda s: F.aggregate(F.filter(s, lambda x: x["status"]), F.lit(0).cast("long"), lambda t, x: t + x["duration"]), "coalesce(sum(sl.duration) FILTER (WHERE status), 0)"),
+    (lambda s: F.size(F.array_distinct(F.transform(s, lambda x: x["item"]))), "count(DISTINCT item)"),
+    (lambda s: F.size(F.filter(s, lambda x: (x["type"] == "true") & (x["value"] == "go"))), "count(*) FILTER (WHERE type AND value = 'go')"),
+)
+
+
 def _raw_activity(name: str) -> None:
-    sql = f"""WITH {_PL}, {_SL} SELECT participant_id, pl.ts, pl.seq, min(pl.duration) AS duration, count(*) AS slices, CAST(sum(sl.duration) AS BIGINT) AS slice_ms, count(*) FILTER (WHERE status) AS right_
-    FROM pl JOIN sl ON sl.seq = pl.seq WHERE activity IN ('2-HIGH', '5-LOW') AND ts >= 788918400000 GROUP BY participant_id, pl.ts, pl.seq"""
+    """Each game with activities, a range and a measure of its own."""
+    at = sensors.ACTIVITIES.index(name)
+    own = _PRIORITIES[at % 5], _PRIORITIES[(at + 1 + at // 5) % 5]
+    low, high = 788918400000 + at % 4 * 180 * DAY, 788918400000 + (at % 3 + 1) * 365 * DAY
+    measure, sql_measure = _OVER_SLICES[at % 4]
+    sql = f"""WITH {_PL}, {_SL} SELECT participant_id, pl.ts, pl.seq, min(pl.duration) AS duration, count(*) AS slices, CAST(sum(sl.duration) AS BIGINT) AS slice_ms, count(*) FILTER (WHERE status) AS right_, CAST({sql_measure} AS BIGINT) AS measure
+    FROM pl JOIN sl ON sl.seq = pl.seq WHERE activity IN {own} AND ts >= {low} AND ts <= {high} GROUP BY participant_id, pl.ts, pl.seq"""
 
     def run(spark, sf_dir):
-        known = spark.createDataFrame([("2-HIGH", "a", f"lamp.{name}"), ("5-LOW", "b", f"lamp.{name}"), ("1-URGENT", "c", "lamp.other"), ("3-MEDIUM", "d", f"{name}")], "id string, name string, spec string")
-        rows = sensors.activity(plays(spark, sf_dir), known, name, 788918400000)
+        known = spark.createDataFrame([(p, p, f"lamp.{name}" if p in own else ("lamp.other", name)[i % 2]) for i, p in enumerate(_PRIORITIES)], "id string, name string, spec string")
+        rows = sensors.activity(plays(spark, sf_dir), known, name, low, high)
         right = F.size(F.filter("temporal_slices", lambda s: s["status"]))
         total = F.aggregate("temporal_slices", F.lit(0).cast("long"), lambda t, s: t + s["duration"])
-        return rows.select("participant_id", "ts", "seq", "duration", F.size("temporal_slices").cast("long").alias("slices"), total.alias("slice_ms"), right.cast("long").alias("right_"))
+        return rows.select("participant_id", "ts", "seq", "duration", F.size("temporal_slices").cast("long").alias("slices"), total.alias("slice_ms"), right.cast("long").alias("right_"), measure(F.col("temporal_slices")).cast("long").alias("measure"))
 
     _query(f"q_raw_{name}", sql)(run)
 

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidemark.catalogue import _BOUTS, _CLIP, _DAILY, _EV, _PEOPLE, _PL, _PLACES, _SCORES, _SURVEY, FRAMES, GRID, MONTH, ORACLES, QUERIES, START, TWO_DAYS, _daily, _places, _query, _rounded, _scores, activities, events, frame, people, plays
+from tidemark.catalogue import _BOUTS, _CLIP, _DAILY, _EV, _PEOPLE, _PL, _PLACES, _SCORES, _SL, _SURVEY, _WIN, FRAMES, GRID, MONTH, ORACLES, QUERIES, START, TWO_DAYS, _daily, _games, _places, _query, _rounded, _scores, activities, events, frame, people, plays
 from tidemark.more_queries import sensor_events
 from tidemark.operators import density, intervals, reports, series
 from tidemark.operators.study import Study
@@ -164,15 +164,30 @@ for _old in ("st", "s1", "s2", "s3", "s4", "s5", "bouts"):
     _TURNED = _TURNED.replace(f"{_old} AS (", f"t_{_old} AS (").replace(f"FROM {_old} ", f"FROM t_{_old} ").replace(f"FROM {_old})", f"FROM t_{_old})")
 
 
+#: Bouts in the encoding that each person's newest activity tells.
+_ENCODED = f"""{_BOUTS}, {_TURNED}, nw AS (SELECT participant_id, max(ts) AS newest FROM ev WHERE k % 7 = 3 AND participant_id % 4 > 0 GROUP BY 1),
+    ht AS (SELECT nw.participant_id, count(b."start") AS n FROM nw LEFT JOIN bouts b ON b.participant_id = nw.participant_id AND newest BETWEEN b."start" AND b."end" GROUP BY 1), wr AS (SELECT participant_id FROM ht WHERE n <> 1),
+enc AS (SELECT participant_id, "start", "end", duration FROM bouts WHERE participant_id NOT IN (SELECT participant_id FROM wr) UNION ALL SELECT participant_id, "start", "end", duration FROM t_bouts WHERE participant_id IN (SELECT participant_id FROM wr))"""
+
+
+def _used(spark, sf_dir):
+    return events(spark, sf_dir).where("k % 7 = 3 AND participant_id % 4 > 0")
+
+
+@_query("q_screen_encoded", f'WITH {_EV}, {_ENCODED} SELECT participant_id, "start", "end", duration FROM enc')
+def _encoded(spark, sf_dir):
+    return intervals.screen_active(frame(spark, sf_dir, "state"), _used(spark, sf_dir), TWO_DAYS)
+
+
 @_query(
-    "q_screen_encoded",
-    f"""WITH {_EV}, {_BOUTS}, {_TURNED}, nw AS (SELECT participant_id, max(ts) AS newest FROM ev WHERE k % 7 = 3 AND participant_id % 4 > 0 GROUP BY 1),
-    ht AS (SELECT nw.participant_id, count(b."start") AS n FROM nw LEFT JOIN bouts b ON b.participant_id = nw.participant_id AND newest BETWEEN b."start" AND b."end" GROUP BY 1), wr AS (SELECT participant_id FROM ht WHERE n <> 1)
-    SELECT participant_id, "start", "end", duration FROM bouts WHERE participant_id NOT IN (SELECT participant_id FROM wr) UNION ALL SELECT participant_id, "start", "end", duration FROM t_bouts WHERE participant_id IN (SELECT participant_id FROM wr)""",
+    "q_screen_duration_plays",
+    f"""WITH {_EV}, {_WIN}, {_ENCODED}, {_CLIP.replace("FROM bouts b", "FROM enc b")}, spent AS (SELECT participant_id, w, sum("end" - "start") AS v FROM clip GROUP BY 1, 2),
+    seen AS (SELECT DISTINCT s.participant_id, s.w FROM spine s JOIN ev e ON e.participant_id = s.participant_id AND e.ts BETWEEN s.low AND s.low + {DAY})
+    SELECT s.participant_id, s.low AS timestamp, CAST(CASE WHEN seen.w IS NOT NULL THEN coalesce(v, 0) END AS BIGINT) AS value FROM spine s LEFT JOIN seen ON seen.participant_id = s.participant_id AND seen.w = s.w LEFT JOIN spent ON spent.participant_id = s.participant_id AND spent.w = s.w""",
 )
-def _encoded(spark, sf_dir):
-    used = events(spark, sf_dir).where("k % 7 = 3 AND participant_id % 4 > 0")
-    return intervals.screen_active(frame(spark, sf_dir, "state"), used, TWO_DAYS)
+def _duration_plays(spark, sf_dir):
+    """Screen time where activities tell the encoding of each person's states."""
+    return series.screen_duration(frame(spark, sf_dir, "state"), _used(spark, sf_dir), people(spark, sf_dir), GRID, TWO_DAYS)
 
 
 @_query("q_survey_ids", f"WITH {_SURVEY} SELECT participant_id, ts, event, '1-URGENT' AS survey, item, value, level, duration FROM su")
@@ -193,6 +208,12 @@ def _question_scores(spark, sf_dir):
 _YEARS = f"pp AS (SELECT DISTINCT participant_id FROM pl), z AS (SELECT min(epoch_us(o_orderdate) // 1000) // {365 * DAY} * {365 * DAY} AS s FROM orders), sp AS (SELECT participant_id, CAST(s + range * {365 * DAY} AS BIGINT) AS low FROM pp, z, range(10))"
 
 
+
+def _years(rows) -> Grid:
+    first = rows.agg(F.min("ts")).first()[0] // (365 * DAY) * (365 * DAY)
+    return Grid(first, first + 3650 * DAY, 365 * DAY)
+
+
 @_query(
     "q_survey_windows",
     f"""WITH {_SCORES}, {_YEARS} SELECT sp.participant_id, low AS timestamp, avg(CASE WHEN category = 'first' THEN score END) AS value, count(sc.ts) > 0 AND count(CASE WHEN category = 'first' THEN 1 END) = 0 AS unanswered
@@ -201,11 +222,27 @@ _YEARS = f"pp AS (SELECT DISTINCT participant_id FROM pl), z AS (SELECT min(epoc
 def _survey_windows(spark, sf_dir):
     """Every window: null without surveys, and where surveys have no answer of the category."""
     rows = plays(spark, sf_dir)
-    first = rows.agg(F.min("ts")).first()[0] // (365 * DAY) * (365 * DAY)
-    out = series.survey_results(_scores(spark, sf_dir), rows.select("participant_id"), Grid(first, first + 3650 * DAY, 365 * DAY), "first")
+    out = series.survey_results(_scores(spark, sf_dir), rows.select("participant_id"), _years(rows), "first")
     return out.select("participant_id", "timestamp", F.nanvl("value", F.lit(None).cast("double")).alias("value"), F.coalesce(F.isnan("value"), F.lit(False)).alias("unanswered"))
 
 
+_MEASURES = {"jewels_a": ("2-HIGH", "avg(CASE WHEN sl.duration > 0 THEN sl.duration END)"), "balloon_risk": ("4-NOT SPECIFIED", "CASE WHEN bool_or(NOT type OR NOT status) THEN 0 ELSE count(*) END"), "pop_the_bubbles": ("3-MEDIUM", "avg(CASE WHEN value = 'no-go' THEN CASE WHEN type THEN 1.0 ELSE 0.0 END END)")}
+_LEVELS = " UNION ALL ".join(f"SELECT '{g}' AS game, participant_id, ts, CAST({m} AS DOUBLE) AS v FROM pl JOIN sl ON sl.seq = pl.seq WHERE activity = '{a}' GROUP BY participant_id, ts, pl.seq, sl.level" for g, (a, m) in _MEASURES.items())
+
+
+@_query(
+    "q_game_windows",
+    f"""WITH {_PL}, {_SL}, {_YEARS}, lv AS ({_LEVELS}), g AS (SELECT DISTINCT game FROM lv)
+    SELECT g.game, sp.participant_id, low AS timestamp, round(avg(v), 6) AS value FROM sp CROSS JOIN g LEFT JOIN lv ON lv.game = g.game AND lv.participant_id = sp.participant_id AND lv.ts >= low AND lv.ts <= low + {365 * DAY} GROUP BY 1, 2, 3""",
+)
+def _game_windows(spark, sf_dir):
+    """Every window of three games by each one's measure; null where the game was not played."""
+    rows = plays(spark, sf_dir)
+    who, grid = rows.select("participant_id"), _years(rows)
+    of = [series.game_results(_games(spark, sf_dir, g), who, grid, name_of_game=g).select(F.lit(g).alias("game"), "participant_id", "timestamp", F.round(F.col("value").cast("double"), 6).alias("value")) for g in _MEASURES]
+    return of[0].unionByName(of[1]).unionByName(of[2])
+
+
 # Studies and models
 
 
@@ -236,9 +273,6 @@ def _tail(t: str, df: str) -> str:
     return f"greatest(0.0, 1 - 2 * abs({t}) / 6000.0 * (SELECT sum({density_} * CASE WHEN s IN (0, 2000) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END) FROM steps))"
 
 
-
-
-
 @_query(
     "q_corr_p",
     f"""WITH {_EV}, steps AS (SELECT CAST(range AS DOUBLE) AS s FROM range(2001)), d AS (SELECT participant_id, avg(value) AS a, avg(k) AS b, avg(seq % 1000) AS c FROM ev GROUP BY 1),
