@@ -96,7 +96,8 @@ def _raw_activity(name: str) -> None:
     """Each game with activities, a range and a measure of its own."""
     at = sensors.ACTIVITIES.index(name)
     own = _PRIORITIES[at % 5], _PRIORITIES[(at + 1 + at // 5) % 5]
-    low, high = 788918400000 + at % 4 * 180 * DAY, 788918400000 + (at % 3 + 1) * 365 * DAY
+    low = 788918400000 + at % 4 * 180 * DAY
+    high = low + (at % 3 + 2) * 180 * DAY
     measure, sql_measure = _OVER_SLICES[at % 4]
     sql = f"""WITH {_PL}, {_SL} SELECT participant_id, pl.ts, pl.seq, min(pl.duration) AS duration, count(*) AS slices, CAST(sum(sl.duration) AS BIGINT) AS slice_ms, count(*) FILTER (WHERE status) AS right_, CAST({sql_measure} AS BIGINT) AS measure
     FROM pl JOIN sl ON sl.seq = pl.seq WHERE activity IN {own} AND ts >= {low} AND ts <= {high} GROUP BY participant_id, pl.ts, pl.seq"""
