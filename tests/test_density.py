@@ -66,6 +66,19 @@ def test_crowded_cells_make_no_pairs(spark):
     assert found.select("cluster").distinct().count() == 1 and found.count() == 2 * n
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Any broadcast of a row fails, as large ones do on the driver."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_stored_tables_are_not_broadcast(spark, no_broadcast):
+    rows = [(who, 100 + i, i, *p) for who in ("a", "b") for i, p in enumerate(shapes(1))]
+    assert density.dbscan(table(spark, GPS, *rows), 1.0).count() == len(rows)
+
+
 def plain_absorbed(rows, most):
     def apart(a, b):
         la, lb = math.radians(a["latitude"]), math.radians(b["latitude"])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.sources.store import stored
+from tidemark.sources.store import merged, stored
 
 #: Cells are so many eps wide: their diagonal is less than eps, and what is within eps is two cells away at most.
 WIDTH = 0.7
@@ -32,10 +32,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         return labels
     labels = stored(labels, "labels")
     while True:
-        met = links.join(labels.withColumnRenamed("node", "a"), ["who", "a"]).groupBy("who", F.col("b").alias("node")).agg(F.min("label").alias("other"))
-        nearer = labels.join(met, ["who", "node"], "left").select("who", "node", F.col("label").alias("was"), F.least("label", "other").alias("label"))
+        met = merged(links, labels.withColumnRenamed("node", "a"), ["who", "a"]).groupBy("who", F.col("b").alias("node")).agg(F.min("label").alias("other"))
+        nearer = merged(labels, met, ["who", "node"], "left").select("who", "node", F.col("label").alias("was"), F.least("label", "other").alias("label"))
         named = labels.select("who", F.col("node").alias("label"), F.col("label").alias("beyond"))
-        after = stored(nearer.join(named, ["who", "label"]).select("who", "node", "was", F.least("label", "beyond").alias("label")), "labels")
+        after = stored(merged(nearer, named, ["who", "label"]).select("who", "node", "was", F.least("label", "beyond").alias("label")), "labels")
         labels = after.select("who", "node", "label")
         if after.where("label < was").isEmpty():
             return labels
@@ -67,17 +67,17 @@ def positions(gps: DataFrame, eps: float, min_samples: int) -> DataFrame:
     rows = known.groupBy(F.struct("participant_id").alias("who"), F.struct("latitude", "longitude").alias("at"), cell.alias("cell")).agg(F.count("*").alias("n"), F.max(_order()).alias("newest"))
     rows = stored(rows, "positions")
     full = rows.groupBy("who", "cell").agg((F.sum("n") >= min_samples).alias("full"))
-    rows = stored(rows.join(full, ["who", "cell"]), "positions")
+    rows = stored(merged(rows, full, ["who", "cell"]), "positions")
     few, near = rows.where("NOT full"), f"{_square('mine', 'at')} <= {eps * eps!r}"
-    met = _around(few.withColumnRenamed("at", "mine"), ["mine"]).join(rows.select("who", "cell", "at", "n"), ["who", "cell"]).where(near)
+    met = merged(_around(few.withColumnRenamed("at", "mine"), ["mine"]), rows.select("who", "cell", "at", "n"), ["who", "cell"]).where(near)
     counts = met.groupBy("who", F.col("mine").alias("at")).agg((F.sum("n") >= min_samples).alias("many"))
-    rows = stored(rows.join(counts, ["who", "at"], "left").withColumn("core", F.col("full") | F.coalesce("many", F.lit(False))).drop("full", "many"), "positions")
+    rows = stored(merged(rows, counts, ["who", "at"], "left").withColumn("core", F.col("full") | F.coalesce("many", F.lit(False))).drop("full", "many"), "positions")
     cores = rows.where("core")
 
     outer = [f"{f}(at, {x})" for x in ("at.latitude", "at.longitude", "at.latitude + at.longitude", "at.latitude - at.longitude") for f in ("max_by", "min_by")]
     cells = stored(cores.groupBy("who", "cell").agg(F.array_distinct(F.array(*map(F.expr, outer))).alias("rim")), "cells")
     ahead = [s for s in _STEPS if s > (0, 0)]
-    pairs = _around(cells.withColumn("a", F.col("cell")).withColumnRenamed("rim", "mine"), ["a", "mine"], ahead).join(cells, ["who", "cell"])
+    pairs = merged(_around(cells.withColumn("a", F.col("cell")).withColumnRenamed("rim", "mine"), ["a", "mine"], ahead), cells, ["who", "cell"])
     touch = F.expr(f"exists(mine, x -> exists(rim, y -> {_square('x', 'y')} <= {eps * eps!r}))")
     box = lambda c: f"struct(array_min({c}.latitude) AS s, array_max({c}.latitude) AS n, array_min({c}.longitude) AS w, array_max({c}.longitude) AS e)"
     pairs = stored(pairs.select("who", "a", F.col("cell").alias("b"), touch.alias("touch"), F.expr(box("mine")).alias("box_a"), F.expr(box("rim")).alias("box_b")), "pairs")
@@ -85,30 +85,30 @@ def positions(gps: DataFrame, eps: float, min_samples: int) -> DataFrame:
     labels = stored(components(nodes, pairs.where("touch")), "labels")
 
     def labelled(frame: DataFrame, cell: str) -> DataFrame:
-        return frame.join(labels.select("who", F.col("node").alias(cell), F.col("label").alias(f"label_{cell}")), ["who", cell])
+        return merged(frame, labels.select("who", F.col("node").alias(cell), F.col("label").alias(f"label_{cell}")), ["who", cell])
 
     def beside(cell: str, box: str, name: str) -> DataFrame:
         """Cores of a cell within eps of the other one's box."""
         off = lambda c, low, high: f"pow(greatest({box}.{low} - {c}, {c} - {box}.{high}, 0), 2)"
-        rows = apart.join(cores.select("who", F.col("cell").alias(cell), F.col("at").alias(name)), ["who", cell])
+        rows = merged(apart, cores.select("who", F.col("cell").alias(cell), F.col("at").alias(name)), ["who", cell])
         return rows.where(f"{off(f'{name}.latitude', 's', 'n')} + {off(f'{name}.longitude', 'w', 'e')} <= {eps * eps * (1 + 1e-9)!r}").select("who", "a", "b", "label_a", "label_b", name)
 
     apart = labelled(labelled(pairs.where("NOT touch"), "a"), "b").where("label_a <> label_b")
     by = ["who", "a", "b", "label_a", "label_b"]
-    more = beside("a", "box_b", "x").join(beside("b", "box_a", "y"), by).where(f"{_square('x', 'y')} <= {eps * eps!r}")
+    more = merged(beside("a", "box_b", "x"), beside("b", "box_a", "y"), by).where(f"{_square('x', 'y')} <= {eps * eps!r}")
     more = stored(more.select("who", F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
     if not more.isEmpty():
         joined = components(labels.select("who", F.col("label").alias("node")).distinct(), more)
-        labels = labels.join(joined.select("who", F.col("node").alias("label"), F.col("label").alias("final")), ["who", "label"]).select("who", "node", F.col("final").alias("label"))
+        labels = merged(labels, joined.select("who", F.col("node").alias("label"), F.col("label").alias("final")), ["who", "label"]).select("who", "node", F.col("final").alias("label"))
         labels = stored(labels, "labels")
 
     of_cells = labels.withColumnRenamed("node", "cell")
-    cores = cores.join(of_cells, ["who", "cell"])
+    cores = merged(cores, of_cells, ["who", "cell"])
     newest = cores.groupBy("who", "label").agg(F.max("newest").alias("first"))
-    edge = _around(rows.where("NOT core").withColumnRenamed("at", "mine"), ["mine"]).join(cores.select("who", "cell", "at", "label"), ["who", "cell"]).where(near)
-    edge = edge.select("who", F.col("mine").alias("at"), "label").distinct().join(newest, ["who", "label"]).groupBy("who", "at").agg(F.max_by("label", "first").alias("label"))
+    edge = merged(_around(rows.where("NOT core").withColumnRenamed("at", "mine"), ["mine"]), cores.select("who", "cell", "at", "label"), ["who", "cell"]).where(near)
+    edge = merged(edge.select("who", F.col("mine").alias("at"), "label").distinct(), newest, ["who", "label"]).groupBy("who", "at").agg(F.max_by("label", "first").alias("label"))
     columns = ["who", "at", "n", "newest", "cell", "core", "label"]
-    return stored(cores.select(*columns).unionByName(rows.where("NOT core").join(edge, ["who", "at"], "left").select(*columns)), "positions")
+    return stored(cores.select(*columns).unionByName(merged(rows.where("NOT core"), edge, ["who", "at"], "left").select(*columns)), "positions")
 
 
 def dbscan(gps: DataFrame, eps: float = 1e-5, min_samples: int = 5) -> DataFrame:
@@ -117,9 +117,9 @@ def dbscan(gps: DataFrame, eps: float = 1e-5, min_samples: int = 5) -> DataFrame
     at = positions(gps, eps, min_samples)
     order = at.where("core").groupBy("who", "label").agg(F.max("newest").alias("first"))
     order = order.withColumn("cluster", F.row_number().over(W.partitionBy("who").orderBy(F.desc("first"))) - 1).drop("first")
-    at = at.join(order, ["who", "label"], "left").select("who", "at", "core", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    at = merged(at, order, ["who", "label"], "left").select("who", "at", "core", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     rows = gps.select("participant_id", "ts", "seq", "latitude", "longitude").withColumn("who", F.struct("participant_id")).withColumn("at", F.struct("latitude", "longitude"))
-    return rows.join(at, ["who", "at"]).select("participant_id", "ts", "seq", "latitude", "longitude", "cluster", "core")
+    return merged(rows, at, ["who", "at"]).select("participant_id", "ts", "seq", "latitude", "longitude", "cluster", "core")
 
 
 def reduced(gps: DataFrame, eps: float = 1e-5, min_samples: int = 5) -> DataFrame:
