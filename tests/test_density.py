@@ -79,6 +79,12 @@ def test_stored_tables_are_not_broadcast(spark, no_broadcast):
     assert density.dbscan(table(spark, GPS, *rows), 1.0).count() == len(rows)
 
 
+def test_k_means_broadcasts_nothing_that_grows(spark, no_broadcast):
+    rows = [(who, i, i, 40.0 + i % 2, -71.0) for who in ("a", "b") for i in range(12)]
+    found = got(intervals.locations_by_k_means(table(spark, GPS, *rows), k_max=3).select("participant_id", "rank", "latitude", "proportion"))
+    assert found == [(who, rank, 40.0 + rank, 0.5) for who in ("a", "b") for rank in (0, 1)]
+
+
 def plain_absorbed(rows, most):
     def apart(a, b):
         la, lb = math.radians(a["latitude"]), math.radians(b["latitude"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import haversine_km, planar_km
 from tidemark.operators.density import reduced
 from tidemark.plans.registry import PRIMARY, feature
-from tidemark.sources.store import stored
+from tidemark.sources.store import merged, stored
 
 
 def by_time(*keys: str):
@@ -198,9 +198,9 @@ def _starts(points: DataFrame, k_max: int) -> DataFrame:
         if open_.isEmpty():
             break
         far = F.expr(f"array_min({_SQUARES}) * n")
-        found = points.join(open_, "participant_id").groupBy("participant_id").agg(F.max_by(here, order(far)).alias("next"))
+        found = merged(points, open_, "participant_id").groupBy("participant_id").agg(F.max_by(here, order(far)).alias("next"))
         grown = F.when(F.col("next").isNotNull(), F.concat("centres", F.array("next"))).otherwise(F.col("centres"))
-        seeds = stored(seeds.join(found, "participant_id", "left").select("participant_id", "many", "readings", grown.alias("centres")), "seeds")
+        seeds = stored(merged(seeds, found, "participant_id", "left").select("participant_id", "many", "readings", grown.alias("centres")), "seeds")
     each = seeds.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("centres"))))
     return each.select("participant_id", "k", F.expr("slice(centres, 1, k)").alias("centres"))
 
@@ -219,19 +219,19 @@ def k_means_centres(points: DataFrame, k_max: int = 10, rounds: int = 25) -> Dat
         active = state.where("moved")
         if active.isEmpty():
             break
-        own = points.join(active, "participant_id").select("participant_id", "k", "n", "latitude", "longitude", F.expr(_NEAREST).alias("own"))
+        own = merged(points, active, "participant_id").select("participant_id", "k", "n", "latitude", "longitude", F.expr(_NEAREST).alias("own"))
         means = own.groupBy("participant_id", "k", "own").agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("latitude", "longitude")))
         maps = means.groupBy("participant_id", "k").agg(F.map_from_entries(F.collect_list(F.struct("own", F.struct("latitude", "longitude")))).alias("means"))
         new = F.expr("CASE WHEN means IS NULL THEN centres ELSE transform(centres, (c, i) -> coalesce(try_element_at(means, i), c)) END")
-        both = state.join(maps, ["participant_id", "k"], "left").select("participant_id", "k", "centres", new.alias("new"))
+        both = merged(state, maps, ["participant_id", "k"], "left").select("participant_id", "k", "centres", new.alias("new"))
         moved = F.expr("exists(zip_with(centres, new, (a, b) -> abs(a.latitude - b.latitude) > 1e-12 OR abs(a.longitude - b.longitude) > 1e-12), x -> x)")
         state = stored(both.select("participant_id", "k", F.col("new").alias("centres"), moved.alias("moved")), "centres")
-    own = points.join(state, "participant_id").select("participant_id", "k", "n", F.expr(_NEAREST).alias("own"), F.expr(f"array_min({_SQUARES}) * n").alias("cost"))
+    own = merged(points, state, "participant_id").select("participant_id", "k", "n", F.expr(_NEAREST).alias("own"), F.expr(f"array_min({_SQUARES}) * n").alias("cost"))
     sums = stored(own.groupBy("participant_id", "k", "own").agg(F.sum("n").alias("here"), F.sum("cost").alias("cost")), "sums")
     costs = sums.groupBy("participant_id", "k").agg(F.sum("cost").alias("cost")).withColumn("next", F.lead("cost").over(W.partitionBy("participant_id").orderBy("k")))
     best = costs.groupBy("participant_id").agg(F.coalesce(F.min(F.when(F.col("cost") - F.col("next") < 0.01, F.col("k"))), F.max("k")).alias("k"))
     person = W.partitionBy("participant_id")
-    shares = sums.join(best, ["participant_id", "k"]).join(state, ["participant_id", "k"]).select("participant_id", "own", F.expr("centres[own]").alias("c"), (F.col("here") / F.sum("here").over(person)).alias("proportion"))
+    shares = merged(merged(sums, best, ["participant_id", "k"]), state, ["participant_id", "k"]).select("participant_id", "own", F.expr("centres[own]").alias("c"), (F.col("here") / F.sum("here").over(person)).alias("proportion"))
     rank = (F.row_number().over(person.orderBy(F.desc("proportion"), "own")) - 1).cast("int")
     return shares.select("participant_id", rank.alias("rank"), "c.latitude", "c.longitude", "proportion")
 
@@ -246,12 +246,12 @@ def locations_by_k_means(gps: DataFrame, k_max: int = 10, eps: float = 1e-5, rou
     c = stored(k_means_centres(dense_points(gps, eps), k_max, rounds), "means")
     centres = c.groupBy("participant_id").agg(F.array_sort(F.collect_list(F.struct("rank", "latitude", "longitude"))).alias("centres"))  # k_max at most
     known = gps.where("latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude)")
-    rows = known.select("participant_id", "ts", "seq", "latitude", "longitude").join(centres, "participant_id").withColumn("cluster", F.expr(_NEAREST)).withColumn("c", F.expr("centres[cluster]")).drop("centres")
+    rows = merged(known.select("participant_id", "ts", "seq", "latitude", "longitude"), centres, "participant_id").withColumn("cluster", F.expr(_NEAREST)).withColumn("c", F.expr("centres[cluster]")).drop("centres")
     off = planar_km(F.col("c.latitude"), F.col("c.longitude"), F.col("latitude"), F.col("longitude")) * 1000
     sums = rows.groupBy("participant_id", "cluster").agg(F.first("c").alias("c"), F.avg(off).alias("radius"), F.count("*").alias("here"))
     person = W.partitionBy("participant_id")
     found = sums.withColumn("proportion", F.col("here") / F.sum("here").over(person)).withColumn("rank", (F.row_number().over(person.orderBy(F.desc("here"), "c.latitude", "c.longitude")) - 1).cast("int"))
-    found = found.join(dwell(rows.drop("c")), ["participant_id", "cluster"])
+    found = merged(found, dwell(rows.drop("c")), ["participant_id", "cluster"])
     return found.select("participant_id", "rank", "c.latitude", "c.longitude", "radius", "proportion", F.col("duration").cast("long").alias("duration"))
 
 
