@@ -103,12 +103,14 @@ def survey(events: DataFrame, activities: DataFrame, start: int | None = None, e
     position (of the answer in its event).
 
     Of a participant's events with the same slices only the longest counts, the first of equals; events of
-    activities that are no surveys, or unknown, go. Without replace_ids, survey is the activity's id, not its name.
+    activities that are no surveys, or unknown, go. Without replace_ids, survey is the activity's id, not its name. The list of activities
+    goes to all tasks: dealt out by activity, the events of one survey would be a single task's, slices and all.
     """
     same = W.partitionBy("participant_id", "temporal_slices").orderBy(F.desc("duration"), "ts", "seq")
-    once = between(events, start, end).withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    first = F.lag(F.lit(True)).over(same).isNull()  # a limit on row_number would sort all events once more, before they are dealt out
+    once = between(events, start, end).withColumn("first", first).where("first")
     names = activities.where("spec = 'lamp.survey'").select(F.col("id").alias("activity"), F.col("name" if replace_ids else "id").alias("survey"))
-    rows = once.join(names, "activity").select("participant_id", "ts", F.col("seq").alias("event"), "survey", F.posexplode("temporal_slices").alias("position", "s"))
+    rows = once.join(F.broadcast(names), "activity").select("participant_id", "ts", F.col("seq").alias("event"), "survey", F.posexplode("temporal_slices").alias("position", "s"))
     return rows.select("participant_id", "ts", "event", "survey", "s.item", "s.value", "s.type", "s.level", "s.duration", "position")
 
 
