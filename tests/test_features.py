@@ -306,3 +306,24 @@ def test_streams_agree_with_batches(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert got(spark.table("bouts")) == [("a", 0, 2000, 2000), ("a", 4000, 5000, 1000)]
+
+
+def test_surveys_are_not_dealt_out_by_activity_or_item(spark):
+    """All events of one survey, and all answers to one question, would be one task's."""
+    events = table(spark, f"participant_id string, ts long, seq long, duration long, activity string, temporal_slices {sensors.SLICES}", ("a", 1, 1, 5, "s", [(1, "q", "1", True, "t", "Yes")]), ("a", 1, 2, 5, "s", [(1, "q", "1", True, "t", "Yes")]))
+    activities = table(spark, "id string, name string, spec string", ("s", "Mood", "lamp.survey"))
+    questions = table(spark, "item string, category string, scoring string, map_to string", ("q", "c", "boolean", None))
+    maps = table(spark, "map string, answer string, points double", ("m", "x", 1.0))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = sensors.survey(events, activities)
+        scores = intervals.survey_scores(rows, questions, maps, return_ind_ques=True)
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (rows, scores)]
+        assert not any(f"hashpartitioning({c}#" in p for p in plans for c in ("activity", "item", "scoring"))
+        assert got(rows.select("event", "item")) == [(1, "q")]
+        assert got(scores.select("category", "question", "score")) == [("c", "c", 1.0), ("c", "q", 1.0)]
+    finally:
+        for k in held:
+            spark.conf.unset(k)

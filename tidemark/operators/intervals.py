@@ -261,14 +261,15 @@ def survey_scores(survey: DataFrame, questions: DataFrame, value_maps: DataFrame
 
     questions: item, category, scoring (value, raw, boolean, or the name of a map), map_to (an alias, or null).
     value_maps: map, answer, points. Questions that are not listed do not count, and an answer without a score neither. A survey's
-    total has its category as question; with return_ind_ques each question has a row too, the last of repeated answers.
+    total has its category as question; with return_ind_ques each question has a row too, the last of repeated answers. Questions and maps
+    go to all tasks, as answers to one question are too many for one.
     """
     alias = questions.select(F.col("item").alias("map_to"), F.col("scoring").alias("alias_scoring"))
     known = questions.join(alias, "map_to", "left").select("item", "category", F.coalesce("alias_scoring", "scoring").alias("scoring"))
     ends = survey.groupBy("participant_id", "event", "ts", "survey").agg((F.col("ts") + F.sum(F.coalesce("duration", F.lit(0)))).alias("end"))
-    rows = survey.where("value IS NOT NULL AND item IS NOT NULL").join(known, "item")
+    rows = survey.where("value IS NOT NULL AND item IS NOT NULL").join(F.broadcast(known), "item")
     maps = value_maps.select(F.col("map").alias("scoring"), F.col("answer").alias("value"), F.col("points").cast("double").alias("points"))
-    rows = rows.join(maps, ["scoring", "value"], "left")
+    rows = rows.join(F.broadcast(maps), ["scoring", "value"], "left")
     number = F.expr("try_cast(value AS double)")
     score = F.when(F.col("scoring") == "value", F.expr("CAST(try_cast(value AS int) AS double)")).when(F.col("scoring") == "raw", number).when(F.col("scoring") == "boolean", F.when(F.col("value") == "Yes", 1.0).otherwise(0.0)).otherwise(F.col("points"))
     rows = rows.withColumn("score", score).where("score IS NOT NULL")
