@@ -2,6 +2,8 @@
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
@@ -55,6 +57,34 @@ def test_means_at_a_bound_do_not_hang_on_files(spark, tmp_path):
     assert [tuple(r) for r in found] == [(0, "v,u", "elevated,stable", "elevated,stable", 59)]
 
 
+@pytest.mark.parametrize("name", ["q_joint_transitions", "q_transitions", "q_domain_bouts"])
+@pytest.mark.parametrize("odd", ["no k", "no value", "NaN", "repeated", "no id", "early"])
+def test_odd_days_beside_sql(spark, tmp_path, name, odd):
+    rows = pd.read_parquet(f"{SF}/events.parquet").sort_values("event_id").reset_index(drop=True)
+    third = rows.index % 3 == 0
+    if odd == "no k":
+        rows.loc[third, "props"] = None
+    elif odd == "no value":
+        rows.loc[third, "value"] = None
+    elif odd == "NaN":
+        rows.loc[third, "value"] = float("nan")
+    elif odd == "repeated":
+        rows = pd.concat([rows] * 7)
+    elif odd == "no id":
+        rows["event_id"] = rows["event_id"].astype("Int64").mask(third)
+    else:
+        rows["ts"] -= pd.Timedelta(days=12)
+    rows["ts"] = rows["ts"].astype("datetime64[us]")
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    if odd == "NaN":
+        table = table.set_column(table.column_names.index("value"), "value", pa.array(rows["value"].to_numpy(), from_pandas=False))
+    pq.write_table(table, tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert normal(QUERIES[name](spark, str(tmp_path)).toPandas()) == normal(con.execute(ORACLES[name]).df())
+
+
 def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

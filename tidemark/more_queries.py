@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalogue import _ACT, _DAILY, _EV, _LABEL, _PL, _SL, ORACLES, QUERIES, START, _daily, _named, _query, _rounded, activities, events, plays
+from tidemark.catalogue import _ACT, _DAILY, _EV, _LABEL, _PL, _SL, ORACLES, QUERIES, START, _daily, _labelled, _named, _query, _rounded, activities, events, plays
 from tidemark.operators import cohort, reports, series
 from tidemark.plans.grid import DAY, Grid
 from tidemark.sources import sensors
@@ -152,7 +152,7 @@ def _impute_bins(spark, sf_dir):
 @_query("q_joint_transitions", f"""WITH {_EV}, {_DAILY}, x AS (SELECT participant_id, day, {_LABEL.format("v")} || ',' || {_LABEL.format("u")} AS l FROM dl), y AS (SELECT participant_id, l AS a, lead(l) OVER p AS b, lead(day) OVER p - day AS gap FROM x WINDOW p AS (PARTITION BY participant_id ORDER BY day))
     SELECT participant_id, 'v,u' AS domains, a AS "from", b AS "to", count(*) AS n FROM y WHERE gap <= 3 GROUP BY participant_id, a, b""")
 def _joint(spark, sf_dir):
-    return cohort.transitions(_daily(spark, sf_dir), ["v", "u"], joint_size=2)
+    return cohort.transitions(_labelled(_daily(spark, sf_dir)), ["v", "u"], joint_size=2)
 
 
 @_query("q_members", "SELECT c_custkey AS participant_id, n_nationkey AS study_id, n_name AS study_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")

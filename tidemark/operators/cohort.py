@@ -25,12 +25,13 @@ def daily_means(rows: DataFrame, domains: Sequence[str]) -> DataFrame:
     """participant_id, day and the mean of each domain over rows (participant_id, day, seq, domains).
 
     Values are added one by one in order of arrival, seq: sums of doubles differ in their last place by order, and a mean that meets a bound, as
-    1 of the labels, would fall on either side of it by the partitions that its rows came from.
+    1 of the labels, would fall on either side of it by the partitions that its rows came from. Rows without seq come first; seq may repeat.
     """
     key = ["participant_id", "day"]
-    so_far = W.partitionBy(*key).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    sums = rows.select(*key, "seq", *(F.sum(F.col(c).cast("double")).over(so_far).alias(c) for c in domains), *(F.count(c).over(so_far).alias(f"{c}__n") for c in domains))
-    last = sums.groupBy(*key).agg(F.max_by(F.struct(*domains, *(f"{c}__n" for c in domains)), "seq").alias("s"))
+    order = W.partitionBy(*key).orderBy("seq")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    sums = rows.select(*key, F.row_number().over(order).alias("__at"), *(F.sum(F.col(c).cast("double")).over(so_far).alias(c) for c in domains), *(F.count(c).over(so_far).alias(f"{c}__n") for c in domains))
+    last = sums.groupBy(*key).agg(F.max_by(F.struct(*domains, *(f"{c}__n" for c in domains)), "__at").alias("s"))
     return last.select(*key, *(F.try_divide(f"s.{c}", f"s.{c}__n").alias(c) for c in domains))
 
 
