@@ -397,6 +397,40 @@ def test_nearest_is_exact(spark):
         assert np.allclose([x[2] for x in own], [x[2] for x in best], rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_shuffles_no_blocks(spark, kind):
+    """Shares of several sizes, many equal vectors and lengths far apart: exact, and less is shuffled than twice the vectors' bytes."""
+    r = np.random.default_rng(9)
+    made = r.normal(size=(4000, 32)) * 10.0 ** r.uniform(-4, 4, (4000, 1))
+    if kind == "double":
+        made[::3] *= 10.0 ** r.uniform(-90, 60, (len(made[::3]), 1))
+    made[1::5] = made[1]
+    made[2::40] = made[1]
+    made = made.astype(np.float32 if kind == "float" else np.float64)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(made.tolist())], f"id long, vector array<{kind}>").repartition(8)
+    status, threshold = spark.sparkContext._jsc.sc().statusStore(), "spark.sql.autoBroadcastJoinThreshold"
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return status.executorList(False).apply(0).totalShuffleWrite()
+
+    df = df.localCheckpoint()
+    before, usual = written(), spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        found = vectors.nearest(df, df.where("id % 20 = 0"), block=64).collect()
+    finally:
+        spark.conf.set(threshold, usual)
+    exact = made.astype(float)
+    expected = []
+    for q in range(0, 4000, 20):
+        scores = (exact[q] * exact).sum(axis=1)
+        best = [i for i in np.lexsort((np.arange(4000), -scores)) if i != q][:20]
+        expected += [(q, n + 1, int(i), float(scores[i])) for n, i in enumerate(best)]
+    assert sorted(tuple(x) for x in found) == expected
+    assert written() - before < 2 * exact.nbytes
+
+
 def test_few_and_no_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "id long, vector array<double>")
     assert got(vectors.nearest(df, df.where("id = 0"))) == [(0, 1, 1, 0.5)]

@@ -1,27 +1,35 @@
 """Nearest neighbours by block matrix join.
 
-Vectors are packed into blocks of rows. Each pair of a query block and a candidate block is one tile:
-the product of int8 codes gives every inner product up to a known error, pairs that the bounds rule out
-go, the rest are computed again from the original vectors in double precision, and a heap per query
-merges the tiles' short lists.
+Vectors are packed into blocks of rows. Each pair of a query block and a candidate block is one tile, and no block is shuffled
+for it: a task reads a strip of candidate blocks from the shared folder and holds one query block after the other against it.
+The product of int8 codes gives every inner product up to a known error, pairs that the bounds rule out go, the rest are
+computed again from the original vectors in double precision, and short lists of each query are merged by a heap.
+
+Candidates come in shares that grow eightfold, the smallest first, dealt out by a hash of their ids. What a query's k-th found so
+far scores is its floor in the next share, so a share adds about 8 * k candidates a query, however large the table is.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tidemark.llm.common import stored, table
 
 BLOCK = 4096
-#: Short lists of one query that are merged at once, about.
-FAN_IN = 256
+#: A share of the candidates holds so many times as many as all before it, and the first one so many blocks at most.
+STEP, FIRST = 8, 16
+#: Blocks of a file, as a reader holds many rows of a file at once.
+FILE = 16
+#: Numbers of originals that are multiplied at once.
+AT_ONCE = 1_000_000
 
 
 def _usable(vector: Column, dims: int) -> Column:
@@ -38,60 +46,120 @@ def coded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, error
 
 
-def tile(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """(query id, id, inner product) of each query's k nearest rows of the block: larger product, then smaller id; never its own id.
-
-    q.r = (q' + e).(r' + f) for codes q', r' and errors e, f, so |q.r - q'.r'| <= |q'||f| + |e||r'| + |e||f|.
-    """
-    (qc, qs, qe), (rc, rs, re) = coded(queries), coded(rows)
-    products = (qc.astype(np.float32) @ rc.astype(np.float32).T).astype(np.float64) if queries.shape[1] <= 1040 else qc.astype(np.float64) @ rc.astype(np.float64).T
-    products *= qs[:, None]
-    products *= rs[None, :]
-    qn, rn = np.sqrt((queries**2).sum(axis=1)) + qe, np.sqrt((rows**2).sum(axis=1)) + re
-    slack = qn[:, None] * re[None, :]
-    slack += qe[:, None] * rn[None, :]
-    slack += qe[:, None] * re[None, :]
-    slack *= 1 + 1e-9
-    slack += 1e-12 * qn[:, None] * rn[None, :]
-    own = query_ids[:, None] == ids[None, :]
-    low = products - slack
-    low[own] = -np.inf
-    n = min(k, len(ids))
-    floor = np.partition(low, len(ids) - n, axis=1)[:, len(ids) - n]
-    alive = (products + slack >= floor[:, None]) & ~own
-    for i in range(len(queries)):
-        at = np.flatnonzero(alive[i])
-        exact = (queries[i] * rows[at]).sum(axis=1)
-        best = np.lexsort((ids[at], -exact))[:k]
-        for j in best:
-            yield int(query_ids[i]), int(ids[at[j]]), float(exact[j])
-
-
-def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """One row for each block: ids and the vectors as little-endian doubles."""
+class Lists:
+    """The k nearest so far of each query of a block: larger product, then smaller id; never its own id."""
+
+    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, floor_ids: np.ndarray, k: int):
+        """floors, floor_ids: score and id of the k-th that is known of elsewhere; what is not nearer is not wanted. -inf: none is known."""
+        self.queries, self.query_ids, self.k = queries, query_ids, k
+        self.floors, self.floor_ids = floors.copy(), floor_ids.copy()
+        self.at, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        codes, scale, error = coded(queries)
+        self.codes, self.scale, self.error = codes.astype(np.float32), scale, error / scale
+        self.length = np.sqrt((queries**2).sum(axis=1)) / scale + self.error
+
+    def _begin(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        """Floors for queries without one, from the first rows' products less what rounding may add."""
+        new, n = np.flatnonzero(np.isneginf(self.floors)), min(len(ids), max(1024, 2 * self.k))
+        if not len(new) or n < self.k:
+            return
+        queries = self.queries[new]
+        low = queries @ rows[:n].T
+        low -= 1e-12 * len(queries[0]) * np.sqrt((queries**2).sum(axis=1))[:, None] * np.sqrt((rows[:n] ** 2).sum(axis=1))[None, :]
+        low[self.query_ids[new, None] == ids[None, :n]] = -np.inf
+        self.floors[new] = np.nan_to_num(np.partition(low, n - self.k, axis=1)[:, n - self.k], nan=-np.inf, posinf=-np.inf, neginf=-np.inf)
+        self.floor_ids[new] = np.iinfo(np.int64).max
+
+    def _alive(self, rows: np.ndarray) -> np.ndarray:
+        """Which pairs may reach the floor.
+
+        q.r = (q' + e).(r' + f) for codes q', r' and errors e, f, so |q.r - q'.r'| <= |q'||f| + |e||r'| + |e||f|. Product, bounds and floor are
+        one product of longer vectors, in units of both scales, with what single precision may lose added to each term. A row whose
+        scale is nothing beside the block's, and any sum that is no number, stays.
+        """
+        codes, scale, error = coded(rows)
+        top, error = scale.max(), error / scale
+        length = np.sqrt((rows**2).sum(axis=1)) / scale + error
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            floor = np.clip(self.floors / self.scale / top, -1e30, 1e30)
+            lost = 1.2e-7 * (codes.shape[1] + 8)
+            left = np.column_stack([self.codes, lost * abs(floor) - floor, *((1 + lost) * x for x in (self.length, self.error, self.error)), lost * np.sqrt((self.codes**2).sum(axis=1))])
+            right = np.column_stack([codes, top / scale, error, length, error, np.sqrt((codes.astype(np.float32) ** 2).sum(axis=1))])
+            left, right = left.astype(np.float32), right.astype(np.float32)
+            right[scale < 1e-20 * top] = 0
+            return ~(left @ right.T < 0)
+
+    def add(self, rows: np.ndarray, ids: np.ndarray) -> None:
+        self._begin(rows, ids)
+        at, row = np.divmod(np.flatnonzero(self._alive(rows)), len(ids))
+        other = self.query_ids[at] != ids[row]
+        at, row = at[other], row[other]
+        size = max(1, AT_ONCE // rows.shape[1])
+        for i in range(0, len(at), size):
+            a, r = at[i : i + size], row[i : i + size]
+            scores = (self.queries[a] * rows[r]).sum(axis=1)
+            near = (scores > self.floors[a]) | (scores == self.floors[a]) & (ids[r] <= self.floor_ids[a])
+            self.more.append((a[near], ids[r[near]], scores[near]))
+            if 2 * sum(len(x[0]) for x in self.more) > self.k * len(self.queries):
+                self._keep()
+
+    def _keep(self) -> None:
+        at, ids, scores = (np.concatenate(x) for x in zip((self.at, self.ids, self.scores), *self.more, strict=True))
+        self.more = []
+        order = np.lexsort((ids, -scores, at))
+        at, ids, scores = at[order], ids[order], scores[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        full = rank == self.k - 1
+        self.floors[at[full]], self.floor_ids[at[full]] = scores[full], ids[full]
+        self.at, self.ids, self.scores = (x[rank < self.k] for x in (at, ids, scores))
+
+    def found(self) -> pa.RecordBatch:
+        self._keep()
+        return pa.RecordBatch.from_pydict({"query_id": self.query_ids[self.at], "vec_id": self.ids, "score": self.scores})
+
+
+def _distinct(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Where the rows stand that may be among a query's k nearest: of equal vectors those of the k + 1 smallest ids."""
+    _, group = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.itemsize * vectors.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    group, ids = group[order], ids[order]
+    new = np.append(True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1]))
+    nth = np.cumsum(new)
+    return np.sort(order[nth - nth[np.searchsorted(group, group)] <= k])
+
+
+def _packed(rows: DataFrame, size: int, kind: str, k: int = 0) -> DataFrame:
+    """One row for each block: ids, vectors as numbers of the kind, and floors where rows have them. k: equal vectors of a block are thinned out for it."""
+    floors = "floor" in rows.columns
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def block(ids, vectors):
-            return pd.DataFrame({"ids": [np.concatenate(ids).astype("<i8").tobytes()], "rows": [np.concatenate(vectors).astype("<f8").tobytes()]})
-
-        ids, vectors, held = [], [], 0
+        def block(parts):
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            if k:
+                keep = _distinct(columns[0], columns[1], k)
+                columns = [x[keep] for x in columns]
+            return pd.DataFrame({n: [x.astype(t).tobytes()] for n, t, x in zip(("ids", "rows", "floors", "floor_ids"), ("<i8", kind, "<f8", "<i8"), columns, strict=False)})
+
+        parts, held = [], 0
         for batch in batches:
             if not len(batch):
                 continue
-            i, v = batch["id"].to_numpy(), np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            while len(i):
-                n = min(size - held, len(i))
-                ids.append(i[:n])
-                vectors.append(v[:n])
+            columns = [batch["id"].to_numpy(), np.stack(batch["vector"].to_numpy()).astype(kind)]
+            if floors:
+                columns += [batch["floor"].to_numpy(), batch["floor_id"].to_numpy()]
+            while len(columns[0]):
+                n = min(size - held, len(columns[0]))
+                parts.append([x[:n] for x in columns])
                 held += n
-                i, v = i[n:], v[n:]
+                columns = [x[n:] for x in columns]
                 if held == size:
-                    yield block(ids, vectors)
-                    ids, vectors, held = [], [], 0
+                    yield block(parts)
+                    parts, held = [], 0
         if held:
-            yield block(ids, vectors)
+            yield block(parts)
 
-    return rows.mapInPandas(pack, "ids binary, rows binary")
+    return rows.mapInPandas(pack, "ids binary, rows binary" + ", floors binary, floor_ids binary" * floors)
 
 
 def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
@@ -100,26 +168,36 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, block: int =
     Both frames have id and vector. Ties go to the smaller id; rows that repeat an id count one by one. Vectors that are
     null, all zero, hold null or non-finite components, or differ in length from the longest common length (that of
     most candidates, the longer of two as common) take no part, nor do null ids. With fewer candidates, all of them.
-    No usable rows: no rows. Every query block meets every candidate block once; tiles hold block * block numbers.
+    No usable rows: no rows. Every query block meets every candidate block once; tiles hold block * block / 4 numbers.
     """
     spark = candidates.sparkSession
     common = candidates.where("vector IS NOT NULL").groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     dims = common["n"] if common else 0
-    usable = [x.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & _usable(F.col("vector").cast("array<double>"), dims)) for x in (candidates, queries)]
-    base = stored(_packed(usable[0], block).withColumn("block", F.monotonically_increasing_id()), "vectors")
-    asked = stored(_packed(usable[1].repartition(max(1, min(64, spark.sparkContext.defaultParallelism))), block // 4).withColumn("asked", F.monotonically_increasing_id()), "queries")
-    blocks, asks = ([r[0] for r in x.collect()] for x in (base.select("block"), asked.select("asked")))  # one number for each block
-    if not blocks or not asks:
+    kind = "<f4" if all(x.schema["vector"].dataType.elementType == FloatType() for x in (candidates, queries)) else "<f8"
+    numbers = "array<float>" if kind == "<f4" else "array<double>"
+    usable, asked = (x.select(F.col("id").cast("long").alias("id"), F.col("vector").cast(numbers).alias("vector")).where(F.col("id").isNotNull() & _usable(F.col("vector"), dims)) for x in (candidates, queries))
+    total, n_asked = usable.count(), asked.count()
+    if not total or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tiles = base.withColumn("asked", F.explode(F.lit(asks).cast("array<long>")))
-    sides = asked.select("asked", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), F.explode(F.lit(blocks).cast("array<long>")).alias("block"))
-    joined = tiles.join(sides, ["block", "asked"])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    steps = 0
+    while total > FIRST * block * STEP**steps:
+        steps += 1
+    size = block // 4
+    at = F.pmod(F.xxhash64("id"), F.lit(STEP**steps))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, own = None, None
         for batch in batches:
-            for x in batch.itertuples(index=False):
-                found = list(tile(np.frombuffer(x.query_rows, "<f8").reshape(-1, dims), np.frombuffer(x.query_ids, "<i8"), np.frombuffer(x.rows, "<f8").reshape(-1, dims), np.frombuffer(x.ids, "<i8"), k))
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).assign(part=int(x.block))
+            for i, one in enumerate(batch["asked"].to_pylist()):
+                cell = {n: batch[n][i].as_buffer() for n in batch.schema.names if n != "asked"}
+                if one != own:
+                    if lists is not None:
+                        yield lists.found()
+                    of = np.frombuffer(cell["query_rows"], kind).reshape(-1, dims).astype(np.float64)
+                    own, lists = one, Lists(of, *(np.frombuffer(cell[n], t) for n, t in (("query_ids", "<i8"), ("floors", "<f8"), ("floor_ids", "<i8"))), k)
+                lists.add(np.frombuffer(cell["rows"], kind).reshape(-1, dims).astype(np.float64), np.frombuffer(cell["ids"], "<i8"))
+        if lists is not None:
+            yield lists.found()
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,14 +207,25 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, block: int =
                 out += [(query, i + 1, v, -s) for i, (s, v) in enumerate(best)]
             yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
 
-    def merged(lists: DataFrame, *keys: str) -> DataFrame:
-        lists = lists.groupBy("query_id", *keys).agg(F.collect_list(F.struct("vec_id", "score")).alias("found"))
-        return lists.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
-
-    short = joined.mapInPandas(search, "query_id long, vec_id long, score double, part long")
-    if len(blocks) > FAN_IN:  # so that no list to merge grows with the table
-        short = merged(short.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(math.isqrt(len(blocks))))), "part")
-    return merged(short)
+    found = None
+    for step in range(steps, -1, -1):
+        share = (at % STEP**step == 0) & (F.lit(step == steps) | (at % STEP ** (step + 1) != 0))
+        base = stored(_packed(usable.where(share), block, kind, k), "vectors", FILE)
+        floors = F.lit(float("-inf")).alias("floor"), F.lit(0).cast("long").alias("floor_id")
+        if found is None:
+            waiting = asked.select("id", "vector", *floors)
+        else:
+            last = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"), F.col("vec_id").alias("floor_id"))
+            waiting = asked.hint("merge").join(last, "id", "left").fillna(float("-inf"), ["floor"]).fillna(0, ["floor_id"])
+        blocks = _packed(waiting.repartition(max(-(-n_asked // size), min(n_asked // 64 + 1, spark.sparkContext.defaultParallelism))), size, kind)
+        blocks = stored(blocks.withColumnsRenamed({"ids": "query_ids", "rows": "query_rows"}).withColumn("asked", F.monotonically_increasing_id()), "queries")
+        short = blocks.hint("shuffle_replicate_nl").crossJoin(base).mapInArrow(search, "query_id long, vec_id long, score double")
+        if found is not None:
+            short = short.unionByName(found.drop("rank"))
+        found = short.groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("found")).mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
+        if step:
+            found = stored(found, "nearest")
+    return found
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
