@@ -3,7 +3,7 @@
 Vectors are packed into blocks of rows. Each pair of a query block and a candidate block is one tile, and no block is shuffled
 for it: a task reads a strip of candidate blocks from the shared folder and holds one query block after the other against it.
 The product of int8 codes gives every inner product up to a known error, pairs that the bounds rule out go, the rest are
-computed again from the original vectors in double precision, and short lists of each query are merged by a heap.
+computed again from the original vectors in double precision, and short lists of each query are merged by sorting.
 
 Candidates come in shares that grow eightfold, the smallest first, dealt out by a hash of their ids. What a query's k-th found so
 far scores is its floor in the next share, so a share adds about 8 * k candidates a query, however large the table is.
@@ -11,7 +11,6 @@ far scores is its floor in the next share, so a share adds about 8 * k candidate
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +45,13 @@ def coded(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, error
 
 
+def _ranked(at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs by query, the larger product first, then the smaller id, and the place of each in its query's list."""
+    order = np.lexsort((ids, -scores, at))
+    at = at[order]
+    return at, ids[order], scores[order], np.arange(len(at)) - np.searchsorted(at, at)
+
+
 class Lists:
     """The k nearest so far of each query of a block: larger product, then smaller id; never its own id."""
 
@@ -107,9 +113,7 @@ class Lists:
     def _keep(self) -> None:
         at, ids, scores = (np.concatenate(x) for x in zip((self.at, self.ids, self.scores), *self.more, strict=True))
         self.more = []
-        order = np.lexsort((ids, -scores, at))
-        at, ids, scores = at[order], ids[order], scores[order]
-        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        at, ids, scores, rank = _ranked(at, ids, scores)
         full = rank == self.k - 1
         self.floors[at[full]], self.floor_ids[at[full]] = scores[full], ids[full]
         self.at, self.ids, self.scores = (x[rank < self.k] for x in (at, ids, scores))
@@ -199,13 +203,13 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, block: int =
         if lists is not None:
             yield lists.found()
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for query, found in zip(batch["query_id"], batch["found"], strict=True):
-                best = heapq.nsmallest(k, ((-x["score"], x["vec_id"]) for x in found))
-                out += [(query, i + 1, v, -s) for i, (s, v) in enumerate(best)]
-            yield pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
+            ids, scores = (x.to_numpy() for x in batch["found"].flatten().flatten())
+            at = np.repeat(np.arange(batch.num_rows), batch["found"].value_lengths().to_numpy())
+            at, ids, scores, rank = _ranked(at, ids, scores)
+            near = rank < k
+            yield pa.RecordBatch.from_pydict({"query_id": batch["query_id"].to_numpy()[at[near]], "rank": (rank[near] + 1).astype(np.int32), "vec_id": ids[near], "score": scores[near]})
 
     found = None
     for step in range(steps, -1, -1):
@@ -222,7 +226,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, block: int =
         short = blocks.hint("shuffle_replicate_nl").crossJoin(base).mapInArrow(search, "query_id long, vec_id long, score double")
         if found is not None:
             short = short.unionByName(found.drop("rank"))
-        found = short.groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("found")).mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
+        found = short.groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("found")).mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
         if step:
             found = stored(found, "nearest")
     return found
